@@ -173,3 +173,305 @@ SELECT s.site,
   count(c.value) FILTER (WHERE c.usage = 'unknown') AS n_other
 FROM sites s LEFT JOIN color_tokens c ON s.site = c.site GROUP BY s.site
 """)
+
+# ---------------------------------------------------------------------------
+# More tokens
+# ---------------------------------------------------------------------------
+
+
+def _font_sql(conf: float) -> str:
+    return f"""
+SELECT site, font_family, {ORD}, pos, source_url, snippet, cast({conf} AS double) AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY site, font_family ORDER BY {ORD}, pos) AS rn FROM (
+    SELECT site, {ORD}, pos, source_url, {jtrim(f"regexp_extract(m, {L(P.FONT_FAMILY)}, 1)")} AS font_family,
+           substring(m, 1, 80) AS snippet
+    FROM ({explode_matches("corpus", "css", P.FONT_FAMILY, f"site, {ORD}, source_url")}))) WHERE rn = 1"""
+
+
+cte("font_tokens", ["corpus"], _font_sql(P.CONF_FONT))
+cte("font_families", ["corpus"], _font_sql(P.CONF_FONT_FAMILY_SCALE))
+
+
+def _prop_or_direct_sql(name_rx: str, direct_rx: str, direct_name: str, skip_none: bool) -> str:
+    none = " AND value <> 'none'" if skip_none else ""
+    return f"""
+SELECT site, value, {ORD}, kind_rank, pos, source_url, name, snippet, confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY site, value ORDER BY {ORD}, kind_rank, pos) AS rn FROM (
+    SELECT site, {ORD}, cast(0 AS bigint) AS kind_rank, pos, source_url, name, value, snippet,
+           cast({P.CONF_FROM_PROPERTY} AS double) AS confidence FROM (
+      SELECT site, {ORD}, pos, source_url, concat('--', name) AS name, value, substring(m, 1, 80) AS snippet,
+             row_number() OVER (PARTITION BY site, {ORD}, name ORDER BY pos) AS rn
+      FROM decls WHERE regexp_matches(name, {sql_lit('(?i)' + name_rx)})) a WHERE rn = 1
+    UNION ALL
+    SELECT site, {ORD}, cast(1 AS bigint), pos, source_url, '{direct_name}', value, snippet,
+           cast({P.CONF_DIRECT} AS double) FROM (
+      SELECT *, row_number() OVER (PARTITION BY site, {ORD}, value ORDER BY pos) AS rn FROM (
+        SELECT site, {ORD}, pos, source_url, {jtrim(f"regexp_extract(m, {L(direct_rx)}, 1)")} AS value,
+               substring(m, 1, 80) AS snippet
+        FROM ({explode_matches("corpus", "css", direct_rx, f"site, {ORD}, source_url")}))
+      WHERE NOT starts_with(value, 'var('){none}) b
+    WHERE rn = 1 AND NOT EXISTS (
+      SELECT 1 FROM decls d WHERE d.site = b.site AND d.src_rank = b.src_rank AND d.src_ord = b.src_ord
+        AND d.block_ord = b.block_ord AND regexp_matches(d.name, {sql_lit('(?i)' + name_rx)})
+        AND concat('--', d.name) = b.value))) WHERE rn = 1"""
+
+
+cte("radius_tokens", ["decls", "corpus"], _prop_or_direct_sql("radius", P.BORDER_RADIUS, "border-radius", False))
+cte("shadow_tokens", ["decls", "corpus"], _prop_or_direct_sql("shadow", P.BOX_SHADOW, "box-shadow", True))
+
+
+def _rule_props(styles: str, props: list[tuple[str, str]]) -> str:
+    return ", ".join(f"{first_group(styles, rx)} AS {name}" for name, rx in props)
+
+
+_HEAD_STYLES = f"regexp_extract(m, {L(P.HEADING_RULE)}, 2)"
+_BODY_STYLES = f"regexp_extract(m, {L(P.BODY_RULE)}, 1)"
+
+query("font_tokens", ["font_tokens"], "SELECT * FROM font_tokens")
+query("font_families", ["font_families"], "SELECT * FROM font_families")
+query("radius_tokens", ["radius_tokens"], "SELECT * FROM radius_tokens")
+query("shadow_tokens", ["shadow_tokens"], "SELECT * FROM shadow_tokens")
+query("heading_scale", ["corpus"], f"""
+SELECT site, {ORD}, pos, lower(regexp_extract(m, {L(P.HEADING_RULE)}, 1)) AS tag,
+  {_rule_props(_HEAD_STYLES, [("font_size", P.RULE_FONT_SIZE), ("font_weight", P.RULE_FONT_WEIGHT),
+                              ("line_height", P.RULE_LINE_HEIGHT), ("font_family", P.RULE_FONT_FAMILY)])},
+  substring(m, 1, 100) AS snippet, cast({P.CONF_RULE} AS double) AS confidence
+FROM ({explode_matches("corpus", "css", P.HEADING_RULE, f"site, {ORD}")})
+""")
+query("body_text", ["corpus"], f"""
+SELECT site, {ORD}, pos, font_size, line_height, font_family, snippet, cast({P.CONF_RULE} AS double) AS confidence
+FROM (
+  SELECT site, {ORD}, pos,
+    {_rule_props(_BODY_STYLES, [("font_size", P.RULE_FONT_SIZE), ("line_height", P.RULE_LINE_HEIGHT),
+                                ("font_family", P.RULE_FONT_FAMILY)])},
+    substring(m, 1, 100) AS snippet,
+    row_number() OVER (PARTITION BY site ORDER BY src_rank DESC, src_ord DESC, block_ord DESC, pos DESC) AS rn
+  FROM ({explode_matches("corpus", "css", P.BODY_RULE, f"site, {ORD}")})) WHERE rn = 1
+""")
+query("all_tokens", ["custom_properties", "color_tokens", "font_tokens", "radius_tokens", "shadow_tokens"], f"""
+SELECT site, 'custom_property' AS kind, regexp_extract(property, '^(--[^:]*):', 1) AS name, property AS value,
+       source_url, {ORD}, pos FROM custom_properties
+UNION ALL SELECT site, 'color', name, value, source_url, {ORD}, pos FROM color_tokens
+UNION ALL SELECT site, 'font', 'font-family', font_family, source_url, {ORD}, pos FROM font_tokens
+UNION ALL SELECT site, 'radius', name, value, source_url, {ORD}, pos FROM radius_tokens
+UNION ALL SELECT site, 'shadow', name, value, source_url, {ORD}, pos FROM shadow_tokens
+""")
+
+# ---------------------------------------------------------------------------
+# Detection (K1-K4)
+# ---------------------------------------------------------------------------
+_PATTERN_ROWS = ",\n  ".join(
+    f"({d}, {p}, {sql_lit(name)}, {sql_lit(cat)}, {w}, {sql_lit(ev)}, {sql_lit(re2_rx(rx, True))})"
+    for d, p, name, cat, w, ev, rx in P.stack_patterns())
+cte("stack_dim", [], f"""
+SELECT cast(detector_idx AS bigint) AS detector_idx, cast(pattern_idx AS bigint) AS pattern_idx, detector, category,
+       cast(weight AS double) AS weight, evidence, rx
+FROM (VALUES
+  {_PATTERN_ROWS}) AS v(detector_idx, pattern_idx, detector, category, weight, evidence, rx)
+""")
+cte("docs", ["pages_themed", "css_assets"], """
+SELECT site, cast(0 AS bigint) AS src_rank, page_ord AS src_ord, url AS source_url, html AS content FROM pages_themed
+UNION ALL
+SELECT site, cast(1 AS bigint), cast(css_ord AS bigint), css_url, css FROM css_assets
+""")
+cte("hits", ["docs", "stack_dim"], """
+SELECT d.site, d.src_rank, d.src_ord, d.source_url, s.detector_idx, s.pattern_idx, s.detector, s.category,
+       s.weight, s.evidence
+FROM docs d, stack_dim s WHERE regexp_matches(d.content, s.rx)
+""")
+cte("signals", ["hits"], """
+SELECT site, detector_idx, detector, category, n_evidence, evidence,
+       least(mw + least(cast(0.1 AS double) * (n_evidence - 1), cast(0.15 AS double)), cast(1.0 AS double)) AS conf
+FROM (
+  SELECT site, detector_idx, detector, category, count(*) AS n_evidence, max(weight) AS mw,
+         string_agg(evidence, '; ' ORDER BY pattern_idx) AS evidence
+  FROM (SELECT DISTINCT site, detector_idx, pattern_idx, detector, category, weight, evidence FROM hits)
+  GROUP BY site, detector_idx, detector, category)
+""")
+query("pattern_hits", ["hits"],
+      "SELECT site, src_rank, src_ord, source_url, detector_idx, pattern_idx, detector, evidence FROM hits")
+query("stack_signals", ["signals"], """
+SELECT site, detector_idx, detector, category, n_evidence, round(conf, 4) AS confidence, evidence FROM signals
+""")
+query("signal_sources", ["hits"], """
+SELECT site, detector_idx, detector, source_url, pattern_idx, src_rank, src_ord FROM (
+  SELECT *, row_number() OVER (PARTITION BY site, detector_idx, source_url
+                               ORDER BY pattern_idx, src_rank, src_ord) AS rn FROM hits) WHERE rn = 1
+""")
+cte("ranked", ["signals"], """
+SELECT *, row_number() OVER (PARTITION BY site ORDER BY conf DESC, detector_idx) AS stack_rank FROM signals
+""")
+query("ranked_stack", ["ranked"],
+      "SELECT site, stack_rank, detector, round(conf, 4) AS confidence FROM ranked")
+query("primary_stack", ["ranked"],
+      "SELECT site, detector, category, round(conf, 4) AS confidence FROM ranked WHERE stack_rank = 1")
+
+# ---------------------------------------------------------------------------
+# Components (K5-K6)
+# ---------------------------------------------------------------------------
+cte("component_m", ["css_assets"], "\nUNION ALL\n".join(
+    f"SELECT site, cast({t} AS bigint) AS type_idx, '{ctype}' AS type, cast({p} AS bigint) AS pattern_idx, "
+    f"cast(css_ord AS bigint) AS css_ord, pos, {jtrim(chr(39).join(['regexp_replace(m, ', '\\{$', ', ', '', ')']))} "
+    f"AS class_pattern FROM ({explode_matches('css_assets', 'css', re2_rx(rx, True), 'site, css_ord')})"
+    for t, p, ctype, rx in P.component_patterns()))
+cte("component_first", ["component_m"], """
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY site, type_idx ORDER BY pattern_idx, css_ord, pos) AS rn
+  FROM component_m) WHERE rn = 1
+""")
+query("component_patterns", ["component_m"], """
+SELECT site, type_idx, type, class_rank, class_pattern FROM (
+  SELECT *, row_number() OVER (PARTITION BY site, type_idx ORDER BY pattern_idx, css_ord, pos) AS class_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY site, type_idx, class_pattern ORDER BY pattern_idx, css_ord, pos) AS rn
+    FROM component_m) WHERE rn = 1) WHERE class_rank <= 5
+""")
+query("component_states", ["component_first", "css_assets"], f"""
+SELECT site, type_idx, type, sample_snippet, base_class,
+  coalesce((SELECT bool_or(regexp_matches(c.css, concat('(?i)\\.', base_class, '[^{{]*:hover'))) FROM css_assets c
+            WHERE c.site = f.site), false) AS has_hover,
+  coalesce((SELECT bool_or(regexp_matches(c.css, concat('(?i)\\.', base_class, '[^{{]*:focus'))) FROM css_assets c
+            WHERE c.site = f.site), false) AS has_focus,
+  coalesce((SELECT bool_or(regexp_matches(c.css, concat('(?i)\\.', base_class, '[^{{]*:active'))) FROM css_assets c
+            WHERE c.site = f.site), false) AS has_active
+FROM (SELECT site, type_idx, type, class_pattern AS sample_snippet,
+             regexp_extract(regexp_replace(class_pattern, '^\\.', ''), '^([a-zA-Z0-9_-]*)', 1) AS base_class
+      FROM component_first) f
+""".replace("{{", "{"))
+
+# ---------------------------------------------------------------------------
+# Accessibility
+# ---------------------------------------------------------------------------
+_LM = " + ".join(f"cast(coalesce(lm{i}, false) AS bigint)" for i in range(4))
+cte("a11y_site", ["sites", "pages_themed", "css_assets"], f"""
+SELECT s.site, coalesce(p.skip, false) AS skip, coalesce(c.fv, false) AS focus_visible,
+       coalesce(c.fo, false) AS focus_outline, cast(coalesce(p.aria, 0) AS bigint) AS aria_count,
+       cast(coalesce(p.imgs, 0) AS bigint) AS img_count, cast(coalesce(p.imgs_alt, 0) AS bigint) AS img_alt_count,
+       cast({_LM} AS bigint) AS landmark_count
+FROM sites s
+LEFT JOIN (
+  SELECT site, bool_or(skip) AS skip, sum(aria) AS aria, sum(imgs) AS imgs, sum(imgs_alt) AS imgs_alt,
+         {", ".join(f"bool_or(lm{i}) AS lm{i}" for i in range(4))}
+  FROM (SELECT site, regexp_matches(html, {L(P.SKIP_LINK)}) AS skip,
+               len(regexp_extract_all(html, {L(P.ARIA_ATTR)}, 0)) AS aria,
+               len(regexp_extract_all(html, {L(P.IMG_TAG)}, 0)) AS imgs,
+               len(list_filter(regexp_extract_all(html, {L(P.IMG_TAG)}, 0),
+                               lambda t: regexp_matches(t, {L(P.ALT_ATTR)}))) AS imgs_alt,
+               {", ".join(f"regexp_matches(html, {L(rx)}) AS lm{i}" for i, rx in enumerate(P.LANDMARKS))}
+        FROM pages_themed) GROUP BY site) p ON s.site = p.site
+LEFT JOIN (
+  SELECT site, bool_or(regexp_matches(css, {L(P.FOCUS_VISIBLE)})) AS fv,
+         bool_or(regexp_matches(css, {L(P.FOCUS_OUTLINE)})) AS fo
+  FROM css_assets GROUP BY site) c ON s.site = c.site
+""")
+
+_COV = "CASE WHEN img_count > 0 THEN img_alt_count / img_count ELSE cast(1.0 AS double) END"
+_A11Y_SQL = [
+    ("skip", f"""SELECT site, cast(0 AS bigint) AS feature_ord, '{P.A11Y_FEATURES[0]}' AS feature, skip AS present,
+       CASE WHEN skip THEN '{P.SKIP_LINK_DETAIL}' END AS details, 'html' AS source_type,
+       '{P.A11Y_SNIPPETS[0]}' AS snippet, cast(CASE WHEN skip THEN 0.9 ELSE 0.5 END AS double) AS confidence
+FROM a11y_site"""),
+    ("focus", f"""SELECT site, cast(1 AS bigint), '{P.A11Y_FEATURES[1]}', focus_visible OR focus_outline,
+       CASE WHEN focus_visible THEN '{P.FOCUS_VISIBLE_DETAIL}' WHEN focus_outline THEN '{P.FOCUS_OUTLINE_DETAIL}' END,
+       'css', '{P.A11Y_SNIPPETS[1]}',
+       cast(CASE WHEN focus_visible THEN 0.9 WHEN focus_outline THEN 0.7 ELSE 0.4 END AS double)
+FROM a11y_site"""),
+    ("aria", f"""SELECT site, cast(2 AS bigint), '{P.A11Y_FEATURES[2]}', aria_count > 5,
+       concat('Found ', cast(aria_count AS varchar), ' ARIA attributes'), 'html',
+       concat(cast(aria_count AS varchar), ' aria-* attributes'),
+       cast(CASE WHEN aria_count > 20 THEN 0.9 WHEN aria_count > 5 THEN 0.7 ELSE 0.4 END AS double)
+FROM a11y_site"""),
+    ("alt", f"""SELECT site, cast(3 AS bigint), '{P.A11Y_FEATURES[3]}', {_COV} > 0.8,
+       concat(cast(img_alt_count AS varchar), '/', cast(img_count AS varchar), ' images have alt text (',
+              cast(cast(floor(({_COV}) * 100 + 0.5) AS bigint) AS varchar), '%)'), 'html', '{P.A11Y_SNIPPETS[3]}',
+       cast(CASE WHEN {_COV} > 0.9 THEN 0.9 WHEN {_COV} > 0.7 THEN 0.7 ELSE 0.5 END AS double)
+FROM a11y_site"""),
+    ("semantic", f"""SELECT site, cast(4 AS bigint), '{P.A11Y_FEATURES[4]}', landmark_count >= 3,
+       concat('Uses ', cast(landmark_count AS varchar), '/4 semantic landmarks (nav, main, header, footer)'), 'html',
+       '{P.A11Y_SNIPPETS[4]}',
+       cast(CASE WHEN landmark_count >= 3 THEN 0.85 WHEN landmark_count >= 2 THEN 0.6 ELSE 0.4 END AS double)
+FROM a11y_site"""),
+]
+_A11Y_HEAD = "SELECT * FROM (\n"
+_A11Y_TAIL = "\n) AS t(site, feature_ord, feature, present, details, source_type, snippet, confidence)"
+for _key, _sql in _A11Y_SQL:
+    query({"skip": "a11y_skip_link", "focus": "a11y_focus", "aria": "a11y_aria", "alt": "a11y_alt",
+           "semantic": "a11y_semantic"}[_key], ["a11y_site"], _A11Y_HEAD + _sql + _A11Y_TAIL)
+query("a11y_report", ["a11y_site"], _A11Y_HEAD + "\nUNION ALL\n".join(s for _, s in _A11Y_SQL) + _A11Y_TAIL)
+
+# ---------------------------------------------------------------------------
+# Layout (K13-K16)
+# ---------------------------------------------------------------------------
+cte("container_widths", ["css_assets"], f"""
+SELECT site, cast(css_ord AS bigint) AS css_ord, pos, {jtrim(f"regexp_extract(m, {L(P.CONTAINER_WIDTH)}, 1)")} AS value,
+       substring(m, 1, 80) AS snippet, cast({P.CONF_CONTAINER} AS double) AS confidence
+FROM ({explode_matches("css_assets", "css", P.CONTAINER_WIDTH, "site, css_ord")})
+""")
+cte("breakpoints", ["css_assets"], f"""
+SELECT site, value, css_ord, pos, snippet, cast({P.CONF_BREAKPOINT} AS double) AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY site, value ORDER BY css_ord, pos) AS rn FROM (
+    SELECT site, cast(css_ord AS bigint) AS css_ord, pos,
+           {jtrim(f"regexp_extract(m, {L(P.MEDIA_WIDTH)}, 1)")} AS value, substring(m, 1, 60) AS snippet
+    FROM ({explode_matches("css_assets", "css", P.MEDIA_WIDTH, "site, css_ord")}))) WHERE rn = 1
+""")
+cte("grid", ["sites", "css_assets"], f"""
+SELECT s.site,
+  CASE WHEN coalesce(b, false) THEN 'bootstrap-grid' WHEN coalesce(g, false) THEN 'css-grid'
+       WHEN coalesce(f, false) THEN 'flexbox' ELSE 'unknown' END AS grid_system,
+  concat_ws('; ', CASE WHEN g THEN '{P.GRID_EVIDENCE[0]}' END, CASE WHEN f THEN '{P.GRID_EVIDENCE[1]}' END,
+            CASE WHEN b THEN '{P.GRID_EVIDENCE[2]}' END) AS grid_evidence
+FROM sites s LEFT JOIN (
+  SELECT site, bool_or(regexp_matches(css, {L(P.GRID_DISPLAY)})) AS g,
+         bool_or(regexp_matches(css, {L(P.FLEX_DISPLAY)})) AS f,
+         bool_or(regexp_matches(css, {L(P.BOOTSTRAP_COLUMNS)})) AS b
+  FROM css_assets GROUP BY site) c ON s.site = c.site
+""")
+query("container_widths", ["container_widths"], "SELECT * FROM container_widths")
+query("breakpoints", ["breakpoints"], "SELECT * FROM breakpoints")
+query("grid_system", ["grid"], "SELECT * FROM grid")
+query("layout_info", ["grid", "container_widths", "breakpoints"], """
+SELECT g.site, g.grid_system, g.grid_evidence,
+  cast((SELECT count(*) FROM container_widths c WHERE c.site = g.site) AS bigint) AS n_container_widths,
+  cast((SELECT count(*) FROM breakpoints b WHERE b.site = g.site) AS bigint) AS n_breakpoints
+FROM grid g
+""")
+
+# ---------------------------------------------------------------------------
+# robots.txt (L9), risks (K17), notes
+# ---------------------------------------------------------------------------
+_AG = "jtrim_ag"
+cte("robots_status", ["robots"], f"""
+SELECT origin, CASE WHEN f.path IS NOT NULL THEN 'blocked' ELSE 'allowed' END AS status,
+       CASE WHEN f.path IS NOT NULL THEN concat('robots.txt disallows crawling: ', f.path) END AS warning
+FROM (SELECT origin, list_reduce(
+        list_transform(string_split(body, chr(10)), lambda x: lower({jtrim('x')})),
+        lambda acc, ln: struct_pack(
+          in_block := CASE WHEN starts_with(ln, 'user-agent:')
+                           THEN ({jtrim('substring(ln, 12)')} = '*' OR contains({jtrim('substring(ln, 12)')}, 'bot'))
+                           ELSE acc.in_block END,
+          path := CASE WHEN acc.path IS NULL AND NOT starts_with(ln, 'user-agent:') AND acc.in_block
+                             AND starts_with(ln, 'disallow:') AND {jtrim('substring(ln, 10)')} IN ('/', '/*')
+                       THEN {jtrim('substring(ln, 10)')} ELSE acc.path END),
+        struct_pack(in_block := false, path := cast(NULL AS varchar))) AS f
+      FROM robots)
+""")
+query("robots_status", ["robots_status"], "SELECT * FROM robots_status")
+cte("site_facts", ["sites", "color_tokens", "signals", "robots_status", "pages_themed", "css_assets"], """
+SELECT s.site,
+  cast((SELECT count(*) FROM color_tokens c WHERE c.site = s.site) AS bigint) AS n_colors,
+  EXISTS (SELECT 1 FROM signals g WHERE g.site = s.site AND g.detector = 'Bootstrap') AS bootstrap,
+  EXISTS (SELECT 1 FROM signals g WHERE g.site = s.site AND g.detector = 'Tailwind CSS') AS tailwind,
+  coalesce((SELECT r.status FROM robots_status r WHERE r.origin = s.site), 'allowed') AS robots_status,
+  cast((SELECT count(*) FROM pages_themed p WHERE p.site = s.site) AS bigint) AS n_pages,
+  cast((SELECT count(*) FROM css_assets a WHERE a.site = s.site) AS bigint) AS n_css
+FROM sites s
+""")
+query("risks", ["site_facts"], f"""
+SELECT site, cast(row_number() OVER (PARTITION BY site ORDER BY k) - 1 AS bigint) AS risk_ord, risk FROM (
+  SELECT site, 0 AS k, {sql_lit(P.RISK_MANY_COLORS)} AS risk FROM site_facts WHERE n_colors > 50
+  UNION ALL SELECT site, 1, {sql_lit(P.RISK_TWO_FRAMEWORKS)} FROM site_facts WHERE bootstrap AND tailwind
+  UNION ALL SELECT site, 2, {sql_lit(P.RISK_ROBOTS)} FROM site_facts WHERE robots_status = 'blocked')
+""")
+query("notes", ["sites", "pages_themed"], f"""
+SELECT site, cast(0 AS bigint) AS note_ord, {sql_lit(P.NOTE_NO_EXTERNAL_CSS)} AS note FROM sites
+WHERE (SELECT count(*) FROM pages_themed p WHERE p.site = sites.site) > 0
+""")

@@ -14,7 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
+from sitelens.operators import a11y as A
+from sitelens.operators import components as CP
 from sitelens.operators import corpus as C
+from sitelens.operators import layout as LY
+from sitelens.operators import risks as RK
+from sitelens.operators import robots as RB
+from sitelens.operators import stack as S
 from sitelens.operators import tokens as T
 from sitelens.session import read_table
 from sitelens.sources import fixtures as FX
@@ -165,3 +171,155 @@ def color_usage_counts(sites: DataFrame, colors: DataFrame) -> DataFrame:
 @register("color_usage_counts")
 def _q_color_usage_counts(i: Inputs) -> DataFrame:
     return color_usage_counts(i.sites, T.color_tokens(i.decls))
+
+
+@register("font_tokens")
+def _q_font_tokens(i: Inputs) -> DataFrame:
+    return T.font_tokens(i.corpus)
+
+
+@register("radius_tokens")
+def _q_radius_tokens(i: Inputs) -> DataFrame:
+    return T.radius_tokens(i.decls, i.corpus)
+
+
+@register("shadow_tokens")
+def _q_shadow_tokens(i: Inputs) -> DataFrame:
+    return T.shadow_tokens(i.decls, i.corpus)
+
+
+@register("heading_scale")
+def _q_heading_scale(i: Inputs) -> DataFrame:
+    return T.heading_scale(i.corpus)
+
+
+@register("body_text")
+def _q_body_text(i: Inputs) -> DataFrame:
+    return T.body_text(i.corpus)
+
+
+@register("font_families")
+def _q_font_families(i: Inputs) -> DataFrame:
+    return T.font_families(i.corpus)
+
+
+@register("all_tokens")
+def _q_all_tokens(i: Inputs) -> DataFrame:
+    return T.all_tokens(i.decls, i.corpus)
+
+
+# ---------------------------------------------------------------------------
+# Detection and scoring
+# ---------------------------------------------------------------------------
+
+def _docs(i: Inputs) -> DataFrame:
+    return C.content_corpus(i.pages_themed, i.css_assets)
+
+
+def _signals(i: Inputs) -> DataFrame:
+    return S.stack_signals(S.pattern_hits(_docs(i)))
+
+
+def _flat_signals(df: DataFrame) -> DataFrame:
+    return df.select("site", "detector_idx", "detector", "category", "n_evidence",
+                     F.round("confidence", 4).alias("confidence"), F.array_join("evidence", "; ").alias("evidence"))
+
+
+@register("pattern_hits")
+def _q_pattern_hits(i: Inputs) -> DataFrame:
+    return S.pattern_hits(_docs(i)).select("site", "src_rank", "src_ord", "source_url", "detector_idx",
+                                           "pattern_idx", "detector", "evidence")
+
+
+@register("stack_signals")
+def _q_stack_signals(i: Inputs) -> DataFrame:
+    return _flat_signals(_signals(i))
+
+
+@register("signal_sources")
+def _q_signal_sources(i: Inputs) -> DataFrame:
+    return S.signal_sources(S.pattern_hits(_docs(i)))
+
+
+@register("ranked_stack")
+def _q_ranked_stack(i: Inputs) -> DataFrame:
+    ranked = S.ranked_stack(_signals(i))
+    return ranked.select("site", "stack_rank", "detector", F.round("confidence", 4).alias("confidence"))
+
+
+@register("primary_stack")
+def _q_primary_stack(i: Inputs) -> DataFrame:
+    return S.primary_stack(_signals(i)).select("site", "detector", "category",
+                                               F.round("confidence", 4).alias("confidence"))
+
+
+def _css(i: Inputs) -> DataFrame:
+    return C.external_css(i.css_assets)
+
+
+@register("component_patterns")
+def _q_component_patterns(i: Inputs) -> DataFrame:
+    return CP.component_classes(CP.component_matches(_css(i)))
+
+
+@register("component_states")
+def _q_component_states(i: Inputs) -> DataFrame:
+    css = _css(i)
+    samples = CP.component_samples(CP.component_matches(css))
+    return CP.component_states(samples, CP.state_pieces(css))
+
+
+def _a11y(i: Inputs) -> DataFrame:
+    return A.site_a11y(i.sites, i.pages_themed, _css(i))
+
+
+for _idx, _name in enumerate(["a11y_skip_link", "a11y_focus", "a11y_aria", "a11y_alt", "a11y_semantic"]):
+    REGISTRY[_name] = (lambda idx: lambda i: A.signal(_a11y(i), idx))(_idx)
+
+
+@register("a11y_report")
+def _q_a11y_report(i: Inputs) -> DataFrame:
+    return A.a11y_report(_a11y(i))
+
+
+@register("container_widths")
+def _q_container_widths(i: Inputs) -> DataFrame:
+    return LY.container_widths(_css(i))
+
+
+@register("breakpoints")
+def _q_breakpoints(i: Inputs) -> DataFrame:
+    return LY.breakpoints(_css(i))
+
+
+@register("grid_system")
+def _q_grid_system(i: Inputs) -> DataFrame:
+    g = LY.grid_system(i.sites, _css(i))
+    return g.select("site", "grid_system", F.array_join("grid_evidence", "; ").alias("grid_evidence"))
+
+
+@register("layout_info")
+def _q_layout_info(i: Inputs) -> DataFrame:
+    li = LY.layout_info(i.sites, _css(i))
+    return li.withColumn("grid_evidence", F.array_join("grid_evidence", "; "))
+
+
+def _facts(i: Inputs) -> DataFrame:
+    return RK.site_facts(i.sites, T.color_tokens(i.decls), _signals(i), RB.site_robots(i.sites, i.robots),
+                         i.pages_themed, _css(i))
+
+
+@register("risks")
+def _q_risks(i: Inputs) -> DataFrame:
+    return RK.risks(_facts(i))
+
+
+@register("notes")
+def _q_notes(i: Inputs) -> DataFrame:
+    """K18 on sites whose style sheets were not fetched (external CSS left out, as with include_assets off)."""
+    return RK.notes(RK.note_facts(i.sites, i.pages_themed, None))
+
+
+@register("robots_status")
+def _q_robots_status(i: Inputs) -> DataFrame:
+    return RB.robots_status(i.robots)
