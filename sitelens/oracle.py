@@ -475,3 +475,154 @@ query("notes", ["sites", "pages_themed"], f"""
 SELECT site, cast(0 AS bigint) AS note_ord, {sql_lit(P.NOTE_NO_EXTERNAL_CSS)} AS note FROM sites
 WHERE (SELECT count(*) FROM pages_themed p WHERE p.site = sites.site) > 0
 """)
+
+# ---------------------------------------------------------------------------
+# URL resolution (L1-L3), DuckDB mirror of functions.urls
+# ---------------------------------------------------------------------------
+from sitelens.functions import urls as U  # noqa: E402
+
+
+def _q(s: str) -> str:
+    return sql_lit(s)
+
+
+def _pct(c: str, extra: str) -> str:
+    rx = _q(U._set_rx(extra))
+    return (f"CASE WHEN regexp_matches({c}, {rx}) THEN array_to_string(list_transform("
+            f"regexp_extract_all({c}, '(?s).', 0), lambda ch: CASE WHEN regexp_matches(ch, {rx}) "
+            f"THEN regexp_replace(hex(encode(ch)), '(..)', '%\\1', 'g') ELSE ch END), '') ELSE {c} END")
+
+
+def _dots_sql(path: str) -> str:
+    one = "lower({}) IN ('.', '%2e')"
+    two = "lower({}) IN ('..', '.%2e', '%2e.', '%2e%2e')"
+    segs = f"string_split(substring({path}, 2), '/')"
+    fold = (f"list_reduce({segs}, lambda acc, s: CASE WHEN {two.format('s')} THEN "
+            f"(CASE WHEN len(acc) > 0 THEN acc[1:len(acc) - 1] ELSE acc END) WHEN {one.format('s')} THEN acc "
+            f"ELSE list_concat(acc, [s]) END, cast([] AS varchar[]))")
+    last = f"({segs})[-1]"
+    return (f"concat('/', array_to_string(CASE WHEN {one.format(last)} OR {two.format(last)} "
+            f"THEN list_concat({fold}, ['']) ELSE {fold} END, '/'))")
+
+
+def resolve_sql(src: str, keep: str, href: str, base: str | None, out: str) -> str:
+    """SELECT keep…, <href resolved against base> AS out FROM src (same staging as the Spark version)."""
+    P_ = _q(U.URL_PARTS)
+    base_e = base if base else "cast(NULL AS varchar)"
+    s1 = (f"SELECT {keep}, regexp_replace(regexp_replace({href}, {_q(U.EDGE_SPACE)}, '', 'g'), "
+          f"{_q(U.TAB_NEWLINE)}, '', 'g') AS _h, "
+          + ", ".join(f"regexp_extract({base_e}, {P_}, {g}) AS b{n}"
+                      for g, n in ((1, "s"), (3, "a"), (4, "p"), (5, "q")))
+          + f", coalesce(regexp_matches({base_e}, {P_}), false) AS _bok FROM {src}")
+    s2 = (f"SELECT *, lower(regexp_extract(_h, {_q(U.SCHEME)}, 1)) AS _s FROM ({s1})")
+    s3 = (f"SELECT *, substring(_h, length(_s) + 2) AS _rest, lower(bs) AS _bs FROM ({s2})")
+    s4 = (f"SELECT *, CASE WHEN _s = '' THEN _h WHEN _s IN ('http', 'https') AND _s = _bs "
+          f"AND NOT regexp_matches(_rest, '^[/\\\\]') THEN _rest END AS _r FROM ({s3})")
+    origin_b = "concat(_bs, '://', ba)"
+    relative = (f"CASE WHEN NOT _bok THEN NULL "
+                f"WHEN regexp_matches(_r, '^[/\\\\][/\\\\]') THEN concat(_bs, ':', _r) "
+                f"WHEN regexp_matches(_r, '^[/\\\\]') THEN concat({origin_b}, _r) "
+                f"WHEN starts_with(_r, '?') THEN concat({origin_b}, bp, _r) "
+                f"WHEN starts_with(_r, '#') THEN concat({origin_b}, bp, bq, _r) "
+                f"WHEN _r = '' THEN concat({origin_b}, bp, bq) "
+                f"ELSE concat({origin_b}, regexp_extract(bp, '^(.*/)', 1), _r) END")
+    s5 = (f"SELECT *, CASE WHEN _r IS NOT NULL THEN {relative} "
+          f"WHEN _s IN ('http', 'https') THEN concat(_s, '://', regexp_replace(_rest, '^[/\\\\]+', '')) "
+          f"ELSE concat(_s, ':', _rest) END AS _abs FROM ({s4})")
+    s6 = (f"SELECT *, lower(regexp_extract(_abs, {P_}, 1)) AS _us, regexp_extract(_abs, {P_}, 2) AS _a2, "
+          f"regexp_extract(_abs, {P_}, 3) AS _ua, regexp_extract(_abs, {P_}, 4) AS _up, "
+          f"regexp_extract(_abs, {P_}, 5) AS _uq, regexp_extract(_abs, {P_}, 6) AS _uf FROM ({s5})")
+    s7 = (f"SELECT *, regexp_extract(_ua, '^(.*@)', 1) AS _ui, "
+          f"regexp_extract(_ua, '^(?:.*@)?([^@]*)$', 1) AS _hp FROM ({s6})")
+    s8 = (f"SELECT *, lower(regexp_extract(_hp, '^(\\[[^\\]]*\\]|[^:]*)', 1)) AS _host, "
+          f"regexp_extract(_hp, '^(?:\\[[^\\]]*\\]|[^:]*):(.*)$', 1) AS _port FROM ({s7})")
+    s9 = (f"SELECT *, CASE WHEN regexp_matches(_port, '^[0-9]{{1,5}}$') THEN cast(_port AS integer) END AS _pn, "
+          f"CASE WHEN _up = '' THEN '/' ELSE replace(_up, '\\', '/') END AS _p0 FROM ({s8})")
+    s10 = (f"SELECT *, (_a2 <> '' AND _host <> '' AND NOT regexp_matches(_host, {_q(U.FORBIDDEN_HOST)}) "
+           f"AND (_port = '' OR (_pn IS NOT NULL AND _pn <= 65535))) AS _ok, "
+           f"CASE WHEN _port = '' OR _pn = (CASE WHEN _us = 'http' THEN 80 WHEN _us = 'https' THEN 443 END) "
+           f"THEN '' ELSE concat(':', cast(_pn AS varchar)) END AS _po, {_dots_sql('_p0')} AS _path FROM ({s9})")
+    canonical = (f"concat(_us, '://', _ui, _host, _po, {_pct('_path', U.PATH_SET)}, {_pct('_uq', U.QUERY_SET)}, "
+                 f"{_pct('_uf', U.FRAGMENT_SET)})")
+    keep_cols = ", ".join(c.strip().split(" AS ")[-1].split(".")[-1] for c in keep.split(","))
+    return (f"SELECT {keep_cols}, CASE WHEN _abs IS NULL THEN NULL "
+            f"WHEN _us IN ('http', 'https') THEN CASE WHEN _ok THEN {canonical} END "
+            f"WHEN regexp_matches(_abs, {_q(U.SCHEME)}) THEN _abs END AS {out} FROM ({s10})")
+
+
+def origin_sql(u: str) -> str:
+    return (f"CASE WHEN {u} IS NULL THEN NULL WHEN regexp_matches({u}, '^https?://') THEN "
+            f"concat(regexp_extract({u}, '^(https?://)', 1), regexp_extract({u}, '^https?://(?:[^/?#@]*@)?([^/?#]*)', 1)) "
+            f"WHEN regexp_matches({u}, {_q(U.SCHEME)}) THEN 'null' END")
+
+
+def _tags(kind: int, rx: str, with_href: bool) -> str:
+    if with_href:
+        lst = f"list_filter(regexp_extract_all(html, {L(rx)}, 0), lambda t: regexp_matches(t, {L(P.HREF_IN_TAG)}))"
+        val = f"regexp_extract(t, {L(P.HREF_IN_TAG)}, 1)"
+    else:
+        lst = f"regexp_extract_all(html, {L(rx)}, 1)"
+        val = "t"
+    return (f"SELECT site, page_ord, cast({kind} AS bigint) AS kind_rank, p1, cast(0 AS bigint) AS p2, {val} AS href "
+            f"FROM (SELECT site, page_ord, cast(generate_subscripts(l, 1) - 1 AS bigint) AS p1, unnest(l) AS t "
+            f"FROM (SELECT site, page_ord, {lst} AS l FROM pages_themed))")
+
+
+cte("raw_links", ["pages_themed"], "\nUNION ALL\n".join([
+    _tags(0, P.LINK_STYLESHEET, True),
+    _tags(1, P.LINK_TEXT_CSS, True),
+    f"""SELECT site, page_ord, cast(2 AS bigint), p1, cast(generate_subscripts(im, 1) - 1 AS bigint), unnest(im)
+FROM (SELECT site, page_ord, p1, regexp_extract_all(body, {L(P.CSS_IMPORT)}, 1) AS im FROM (
+  SELECT site, page_ord, cast(generate_subscripts(bl, 1) - 1 AS bigint) AS p1, unnest(bl) AS body
+  FROM (SELECT site, page_ord, regexp_extract_all(html, {L(P.STYLE_BLOCK)}, 1) AS bl FROM pages_themed)))""",
+    _tags(3, P.SCRIPT_SRC, False),
+    _tags(4, P.ANCHOR_HREF, False)]))
+cte("page_bases", ["pages_themed"],
+    "SELECT site, page_ord, url, regexp_replace(canon, '#.*$', '') AS final_url FROM ("
+    + resolve_sql("pages_themed", "site, page_ord, url", "url", None, "canon") + ")")
+cte("resolved", ["raw_links", "page_bases"], resolve_sql(
+    "(SELECT r.*, b.final_url FROM raw_links r JOIN page_bases b ON r.site = b.site AND r.page_ord = b.page_ord)",
+    "site, page_ord, final_url, kind_rank, p1, p2, href", "href", "final_url", "url"))
+
+
+def _dedup_links(where: str, url: str = "url") -> str:
+    return f"""
+SELECT site, page_ord, url, kind_rank, p1, p2 FROM (
+  SELECT site, page_ord, {url} AS url, kind_rank, p1, p2,
+         row_number() OVER (PARTITION BY site, page_ord, {url} ORDER BY kind_rank, p1, p2) AS rn
+  FROM resolved WHERE {where}) WHERE rn = 1"""
+
+
+_ANCHOR = f"kind_rank = 4 AND NOT regexp_matches(href, {L(P.SKIPPED_SCHEMES)}) AND url IS NOT NULL"
+_SAME = f"coalesce({origin_sql('url')} = {origin_sql('final_url')}, false)"
+cte("css_links", ["resolved"], _dedup_links("kind_rank <= 2 AND url IS NOT NULL"))
+cte("js_links", ["resolved"], _dedup_links("kind_rank = 3 AND url IS NOT NULL"))
+cte("internal_links", ["resolved"], _dedup_links(f"{_ANCHOR} AND {_SAME}", "regexp_replace(url, '[?#].*$', '')"))
+query("css_links", ["css_links"], "SELECT * FROM css_links")
+query("js_links", ["js_links"], "SELECT * FROM js_links")
+query("internal_links", ["internal_links"], "SELECT * FROM internal_links")
+query("canonical_urls", ["resolved"],
+      "SELECT site, url, count(*) AS n_links FROM resolved WHERE url IS NOT NULL GROUP BY site, url")
+query("pages_per_origin", ["page_bases"],
+      f"SELECT {origin_sql('final_url')} AS origin, count(*) AS n_pages FROM page_bases GROUP BY 1")
+query("link_origin_split", ["resolved"], f"""
+SELECT site, count(*) FILTER (WHERE {_SAME}) AS n_same_origin, count(*) FILTER (WHERE NOT {_SAME}) AS n_cross_origin
+FROM resolved WHERE {_ANCHOR} GROUP BY site
+""")
+_PL = "\n".join(f"""LEFT JOIN (SELECT site, page_ord, count(*) AS n, string_agg(url, ' ' ORDER BY kind_rank, p1, p2) AS l
+           FROM {t} GROUP BY site, page_ord) {t[0]} ON p.site = {t[0]}.site AND p.page_ord = {t[0]}.page_ord"""
+                for t in ("css_links", "js_links", "internal_links"))
+query("page_links", ["pages_themed", "css_links", "js_links", "internal_links"], f"""
+SELECT p.site, p.page_ord, coalesce(c.n, 0) AS n_css_links, coalesce(j.n, 0) AS n_js_links,
+       coalesce(i.n, 0) AS n_internal_links, coalesce(c.l, '') AS css_links, coalesce(j.l, '') AS js_links,
+       coalesce(i.l, '') AS internal_links
+FROM pages_themed p
+{_PL}
+""")
+query("link_counts", ["resolved", "css_links", "js_links", "internal_links"], """
+SELECT s.site,
+  coalesce((SELECT count(DISTINCT url) FROM css_links c WHERE c.site = s.site), 0) AS n_css_links,
+  coalesce((SELECT count(DISTINCT url) FROM js_links c WHERE c.site = s.site), 0) AS n_js_links,
+  coalesce((SELECT count(DISTINCT url) FROM internal_links c WHERE c.site = s.site), 0) AS n_internal_links
+FROM (SELECT DISTINCT site FROM resolved) s
+""")

@@ -18,6 +18,7 @@ from sitelens.operators import a11y as A
 from sitelens.operators import components as CP
 from sitelens.operators import corpus as C
 from sitelens.operators import layout as LY
+from sitelens.operators import links as LK
 from sitelens.operators import risks as RK
 from sitelens.operators import robots as RB
 from sitelens.operators import stack as S
@@ -323,3 +324,57 @@ def _q_notes(i: Inputs) -> DataFrame:
 @register("robots_status")
 def _q_robots_status(i: Inputs) -> DataFrame:
     return RB.robots_status(i.robots)
+
+
+# ---------------------------------------------------------------------------
+# URLs and links
+# ---------------------------------------------------------------------------
+
+def _resolved(i: Inputs) -> DataFrame:
+    return LK.resolved_links(i.pages_themed)
+
+
+_LINK_COLS = ["site", "page_ord", "url", "kind_rank", "p1", "p2"]
+
+
+@register("canonical_urls")
+def _q_canonical_urls(i: Inputs) -> DataFrame:
+    return LK.canonical_urls(_resolved(i))
+
+
+@register("pages_per_origin")
+def _q_pages_per_origin(i: Inputs) -> DataFrame:
+    return LK.pages_per_origin(i.pages_themed)
+
+
+@register("link_origin_split")
+def _q_link_origin_split(i: Inputs) -> DataFrame:
+    return LK.link_origin_split(_resolved(i))
+
+
+@register("css_links")
+def _q_css_links(i: Inputs) -> DataFrame:
+    return LK.css_links(_resolved(i)).select(*_LINK_COLS)
+
+
+@register("js_links")
+def _q_js_links(i: Inputs) -> DataFrame:
+    return LK.js_links(_resolved(i)).select(*_LINK_COLS)
+
+
+@register("internal_links")
+def _q_internal_links(i: Inputs) -> DataFrame:
+    return LK.internal_links(_resolved(i)).select(*_LINK_COLS)
+
+
+@register("page_links")
+def _q_page_links(i: Inputs) -> DataFrame:
+    pl = LK.page_links(_resolved(i), i.pages_themed)
+    return pl.select("site", "page_ord",
+                     *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("css_links", "js_links", "internal_links")],
+                     *[F.array_join(c, " ").alias(c) for c in ("css_links", "js_links", "internal_links")])
+
+
+@register("link_counts")
+def _q_link_counts(i: Inputs) -> DataFrame:
+    return LK.link_counts(_resolved(i))
