@@ -626,3 +626,87 @@ SELECT s.site,
   coalesce((SELECT count(DISTINCT url) FROM internal_links c WHERE c.site = s.site), 0) AS n_internal_links
 FROM (SELECT DISTINCT site FROM resolved) s
 """)
+
+# ---------------------------------------------------------------------------
+# Requests (V1, V2) and sources
+# ---------------------------------------------------------------------------
+_REQ = "request_id, theme_url, max_pages, same_origin_only, include_assets, mode, notes"
+cte("req_parsed", ["requests"], resolve_sql("requests", _REQ, "theme_url", None, "parsed"))
+query("validate_requests", ["req_parsed"], f"""
+SELECT request_id, len(errs) = 0 AS valid, cast(len(errs) AS bigint) AS n_errors,
+       array_to_string(errs, ', ') AS errors FROM (
+  SELECT request_id, list_filter([
+    CASE WHEN theme_url IS NULL OR theme_url = '' THEN {sql_lit(P.ERR_URL_REQUIRED)}
+         WHEN parsed IS NULL THEN {sql_lit(P.ERR_URL_INVALID)}
+         WHEN regexp_extract(parsed, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) NOT IN ('http', 'https')
+         THEN {sql_lit(P.ERR_URL_SCHEME)} END,
+    CASE WHEN max_pages IS NOT NULL AND (max_pages < 1 OR max_pages > 20) THEN {sql_lit(P.ERR_MAX_PAGES)} END,
+    CASE WHEN mode IS NOT NULL AND mode NOT IN ('extract', 'prompt', 'both') THEN {sql_lit(P.ERR_MODE)} END
+  ], lambda e: e IS NOT NULL) AS errs FROM req_parsed)
+""")
+cte("req_filled", ["requests"], f"""
+SELECT request_id, theme_url, coalesce(max_pages, {P.DEFAULT_MAX_PAGES}) AS max_pages,
+       coalesce(same_origin_only, true) AS same_origin_only, coalesce(include_assets, false) AS include_assets,
+       coalesce(mode, 'both') AS mode, coalesce(notes, '') AS notes FROM requests
+""")
+cte("req_norm", ["req_filled"], resolve_sql("req_filled", _REQ, "theme_url", None, "seed"))
+query("normalize_requests", ["req_norm"], f"""
+SELECT request_id, theme_url, cast(max_pages AS bigint) AS max_pages, same_origin_only, include_assets, mode, notes,
+       seed, {origin_sql('seed')} AS site FROM req_norm
+""")
+
+
+def _eff(s: str) -> str:
+    return f"CASE WHEN {s} = 429 OR {s} >= 500 THEN 0 ELSE {s} END"
+
+
+def _err(s: str, url: str) -> str:
+    return (f"CASE WHEN {s} >= 200 AND {s} < 300 THEN NULL WHEN {s} = 429 OR {s} >= 500 "
+            f"THEN concat('Failed to fetch ', {url}, ' after {P.FETCH_RETRIES} attempts') "
+            f"ELSE concat('HTTP ', cast({s} AS varchar)) END")
+
+
+cte("page_status", ["pages_themed", "fetch_log"], f"""
+SELECT p.site, p.page_ord, p.url, {_eff('coalesce(f.status, 200)')} AS status,
+       {_err('coalesce(f.status, 200)', 'p.url')} AS error, p.html
+FROM pages_themed p LEFT JOIN fetch_log f ON f.kind = 'page' AND f.site = p.site AND f.url = p.url
+""")
+_PLN = "\n".join(f"""LEFT JOIN (SELECT site, page_ord, count(*) AS n FROM {t} GROUP BY site, page_ord) {t[0]}
+  ON s.site = {t[0]}.site AND s.page_ord = {t[0]}.page_ord""" for t in ("css_links", "js_links", "internal_links"))
+query("src_pages", ["page_status", "page_bases", "css_links", "js_links", "internal_links"], f"""
+SELECT s.site, s.page_ord, s.url, b.final_url, cast(s.status AS bigint) AS status, s.error,
+       CASE WHEN s.error IS NULL THEN substring(s.html, 1, 2000) ELSE '' END AS html_snippet,
+       CASE WHEN s.error IS NULL THEN coalesce(c.n, 0) ELSE 0 END AS n_css_links,
+       CASE WHEN s.error IS NULL THEN coalesce(j.n, 0) ELSE 0 END AS n_js_links,
+       CASE WHEN s.error IS NULL THEN coalesce(i.n, 0) ELSE 0 END AS n_internal_links
+FROM page_status s JOIN page_bases b ON s.site = b.site AND s.page_ord = b.page_ord
+{_PLN}
+""")
+query("src_css_assets", ["css_links", "page_status", "css_assets"], """
+SELECT w.site, w.url AS css_url, w.page_ord, w.kind_rank, w.p1, w.p2,
+       coalesce(a.css IS NOT NULL AND a.css <> '', false) AS fetched,
+       CASE WHEN a.css IS NOT NULL AND a.css <> '' THEN cast(length(a.css) AS bigint) END AS css_length
+FROM (SELECT * FROM (
+        SELECT l.*, row_number() OVER (PARTITION BY l.site, l.url ORDER BY l.page_ord, l.kind_rank, l.p1, l.p2) AS rn
+        FROM css_links l JOIN page_status s ON s.site = l.site AND s.page_ord = l.page_ord AND s.error IS NULL)
+      WHERE rn = 1) w
+LEFT JOIN css_assets a ON a.site = w.site AND a.css_url = w.url
+""")
+query("src_css_files", ["css_assets"], "SELECT site, cast(css_ord AS bigint) AS css_ord, css FROM css_assets")
+query("crawl_stats", ["sites", "fetch_log", "robots_status"], """
+SELECT s.site, coalesce(a.pages_crawled, 0) AS pages_crawled, coalesce(a.total_requests, 0) AS total_requests,
+       coalesce(a.failed_requests, 0) AS failed_requests, coalesce(a.crawl_duration_ms, 0) AS crawl_duration_ms,
+       coalesce(r.status, 'allowed') AS robots_status
+FROM sites s
+LEFT JOIN (SELECT site, count(*) FILTER (WHERE kind = 'page') AS pages_crawled, count(*) AS total_requests,
+                  count(*) FILTER (WHERE NOT (status >= 200 AND status < 300)) AS failed_requests,
+                  cast(max(ended_ms) - min(started_ms) AS bigint) AS crawl_duration_ms
+           FROM fetch_log GROUP BY site) a ON a.site = s.site
+LEFT JOIN robots_status r ON r.origin = s.site
+""")
+query("fetch_outcome", ["fetch_log"], f"""
+SELECT site, kind, CASE WHEN err IS NULL THEN 'ok' WHEN eff = 0 THEN 'error' ELSE err END AS outcome,
+       cast(eff AS bigint) AS status, count(*) AS n
+FROM (SELECT site, kind, {_eff('status')} AS eff, {_err('status', 'url')} AS err FROM fetch_log)
+GROUP BY ALL
+""")

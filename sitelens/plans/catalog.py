@@ -7,6 +7,7 @@ one-to-one with the oracle SQL; nested per-site documents are built in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -17,14 +18,18 @@ from sitelens.functions import patterns as P
 from sitelens.operators import a11y as A
 from sitelens.operators import components as CP
 from sitelens.operators import corpus as C
+from sitelens.operators import crawl as CR
 from sitelens.operators import layout as LY
 from sitelens.operators import links as LK
+from sitelens.operators import requests as RQ
 from sitelens.operators import risks as RK
 from sitelens.operators import robots as RB
 from sitelens.operators import stack as S
 from sitelens.operators import tokens as T
-from sitelens.session import read_table
+from sitelens.session import ensure_checkpoint_dir, read_table
+from sitelens.sources import files as FL
 from sitelens.sources import fixtures as FX
+from sitelens.sources import pages as SP
 
 # sf_dir -> folder holding pre-derived ``pages_themed`` / ``css_assets`` parquet
 # (the bench lands them once, as a crawl would).
@@ -378,3 +383,69 @@ def _q_page_links(i: Inputs) -> DataFrame:
 @register("link_counts")
 def _q_link_counts(i: Inputs) -> DataFrame:
     return LK.link_counts(_resolved(i))
+
+
+# ---------------------------------------------------------------------------
+# Requests, sources and the crawl
+# ---------------------------------------------------------------------------
+
+
+@register("validate_requests")
+def _q_validate_requests(i: Inputs) -> DataFrame:
+    v = RQ.validate_requests(i.requests)
+    return v.select("request_id", "valid", F.size("errors").cast("bigint").alias("n_errors"),
+                    F.array_join("errors", ", ").alias("errors"))
+
+
+@register("normalize_requests")
+def _q_normalize_requests(i: Inputs) -> DataFrame:
+    n = RQ.normalize_requests(i.requests)
+    return n.select("request_id", "theme_url", F.col("max_pages").cast("bigint").alias("max_pages"),
+                    "same_origin_only", "include_assets", "mode", "notes", "seed", "site")
+
+
+@register("src_pages")
+def _q_src_pages(i: Inputs) -> DataFrame:
+    r = SP.page_records(i.pages_themed, i.fetch_log)
+    return r.select("site", "page_ord", "url", "final_url", F.col("status").cast("bigint").alias("status"), "error",
+                    "html_snippet", *[F.size(c).cast("bigint").alias(f"n_{c}")
+                                      for c in ("css_links", "js_links", "internal_links")])
+
+
+@register("src_css_assets")
+def _q_src_css_assets(i: Inputs) -> DataFrame:
+    s = SP.css_assets_fetched(i.pages_themed, i.fetch_log, i.css_assets)
+    return s.select("site", "css_url", "page_ord", "kind_rank", "p1", "p2", "fetched",
+                    F.length("css").cast("bigint").alias("css_length"))
+
+
+@register("src_css_files")
+def _q_src_css_files(i: Inputs) -> DataFrame:
+    """S3 round trip: land ``css_assets`` as files in the checkpoint folder, read them back."""
+    path = f"{ensure_checkpoint_dir(i.spark).rstrip('/')}/css-files-{uuid.uuid4().hex}"
+    FL.write_css_files(i.css_assets, path)
+    return FL.read_css_files(i.spark, path).select("site", "css_ord", "css")
+
+
+@register("crawl_stats")
+def _q_crawl_stats(i: Inputs) -> DataFrame:
+    return SP.crawl_stats(i.sites, i.fetch_log, i.robots)
+
+
+@register("fetch_outcome")
+def _q_fetch_outcome(i: Inputs) -> DataFrame:
+    out = SP.fetch_outcomes(i.fetch_log)
+    return out.select("site", "kind", "outcome", F.col("status").cast("bigint").alias("status"), "n")
+
+
+def bfs_inputs(i: Inputs):
+    reqs = RQ.accepted_requests(i.requests)
+    status = CR.page_status(i.pages_themed, i.fetch_log)
+    links = CR.store_links(i.pages_themed, status)
+    return reqs, links
+
+
+@register("site_bfs")
+def _q_site_bfs(i: Inputs) -> DataFrame:
+    reqs, links = bfs_inputs(i)
+    return CR.site_bfs(reqs, links)
