@@ -710,3 +710,83 @@ SELECT site, kind, CASE WHEN err IS NULL THEN 'ok' WHEN eff = 0 THEN 'error' ELS
 FROM (SELECT site, kind, {_eff('status')} AS eff, {_err('status', 'url')} AS err FROM fetch_log)
 GROUP BY ALL
 """)
+
+# ---------------------------------------------------------------------------
+# Report pieces over the whole tables
+# ---------------------------------------------------------------------------
+_REC = " ".join(f"WHEN primary_stack = {sql_lit(n)} THEN {sql_lit(t)}" for n, t in P.RECOMMENDATIONS)
+query("recommended_approach", ["sites", "ranked"], f"""
+SELECT s.site, r.detector AS primary_stack,
+       CASE {_REC} ELSE {sql_lit(P.RECOMMEND_DEFAULT)} END AS recommended_approach
+FROM sites s LEFT JOIN (SELECT site, detector FROM ranked WHERE stack_rank = 1) r ON r.site = s.site
+""".replace("CASE WHEN primary_stack", "CASE WHEN r.detector").replace("WHEN primary_stack", "WHEN r.detector"))
+query("report_meta", ["sites", "fetch_log", "robots_status", "pages_themed"], f"""
+SELECT s.site, '{P.REPORT_VERSION}' AS version, '2026-01-01T00:00:00.000Z' AS generated_at,
+       (SELECT p.url FROM pages_themed p WHERE p.site = s.site AND p.page_ord = 0) AS source_url,
+       coalesce(a.pages_crawled, 0) AS pages_crawled, coalesce(a.crawl_duration_ms, 0) AS crawl_duration_ms,
+       coalesce(r.status, 'allowed') AS robots_status
+FROM sites s
+LEFT JOIN (SELECT site, count(*) FILTER (WHERE kind = 'page') AS pages_crawled,
+                  cast(max(ended_ms) - min(started_ms) AS bigint) AS crawl_duration_ms
+           FROM fetch_log GROUP BY site) a ON a.site = s.site
+LEFT JOIN robots_status r ON r.origin = s.site
+""")
+query("typography_summary", ["sites", "font_families", "corpus"], f"""
+SELECT s.site,
+  coalesce((SELECT array_to_string(list(font_family ORDER BY {ORD}, pos)[1:5], ' | ') FROM font_families f
+            WHERE f.site = s.site), '') AS primary_fonts,
+  coalesce(h.n, 0) AS n_headings, b.font_size AS body_size
+FROM sites s
+LEFT JOIN (SELECT site, count(*) AS n FROM ({explode_matches("corpus", "css", P.HEADING_RULE, "site")}) GROUP BY site) h
+  ON h.site = s.site
+LEFT JOIN (SELECT site, font_size FROM (
+    SELECT site, {first_group(_BODY_STYLES, P.RULE_FONT_SIZE)} AS font_size,
+           row_number() OVER (PARTITION BY site ORDER BY src_rank DESC, src_ord DESC, block_ord DESC, pos DESC) AS rn
+    FROM ({explode_matches("corpus", "css", P.BODY_RULE, f"site, {ORD}")})) WHERE rn = 1) b ON b.site = s.site
+""")
+cte("comp_states", ["component_first", "css_assets"], _QUERIES["component_states"][1])
+cte("comp_classes", ["component_m"], _QUERIES["component_patterns"][1])
+query("component_summary", ["comp_states", "comp_classes"], """
+SELECT st.site, st.type AS name, st.type,
+       (SELECT string_agg(class_pattern, ', ' ORDER BY class_rank) FROM comp_classes c
+        WHERE c.site = st.site AND c.type_idx = st.type_idx) AS classes,
+       concat_ws(', ', CASE WHEN has_hover THEN 'hover' END, CASE WHEN has_focus THEN 'focus' END,
+                 CASE WHEN has_active THEN 'active' END) AS states
+FROM comp_states st
+""")
+query("a11y_layout_summary", ["a11y_site"],
+      "SELECT site, feature_ord, feature, present, details FROM (\n" + "\nUNION ALL\n".join(s for _, s in _A11Y_SQL)
+      + "\n) AS t(site, feature_ord, feature, present, details, source_type, snippet, confidence)")
+query("quick_start_tokens", ["color_tokens", "radius_tokens", "shadow_tokens", "font_families"], f"""
+SELECT site, kind, item_ord, name, CASE WHEN kind = 'font' THEN NULL ELSE
+         regexp_replace(regexp_replace(name, '^--', ''), '[^a-zA-Z0-9]', '-', 'g') END AS key, value FROM (
+  SELECT site, 'color' AS kind, row_number() OVER (PARTITION BY site ORDER BY {ORD}, pos) AS item_ord, name, value
+  FROM color_tokens
+  UNION ALL SELECT site, 'radius', row_number() OVER (PARTITION BY site ORDER BY {ORD}, kind_rank, pos), name, value
+  FROM radius_tokens
+  UNION ALL SELECT site, 'shadow', row_number() OVER (PARTITION BY site ORDER BY {ORD}, kind_rank, pos), name, value
+  FROM shadow_tokens
+  UNION ALL SELECT site, 'font', row_number() OVER (PARTITION BY site ORDER BY {ORD}, pos), font_family,
+         {jtrim("split_part(font_family, ',', 1)")}
+  FROM font_families)
+WHERE (kind = 'color' AND item_ord <= 10) OR (kind = 'radius' AND item_ord <= 5) OR (kind = 'shadow' AND item_ord <= 3)
+   OR (kind = 'font' AND item_ord <= 5)
+""")
+query("run_summary", ["sites", "signals", "ranked", "color_tokens", "font_tokens", "radius_tokens", "shadow_tokens",
+                      "component_m", "site_facts"], """
+SELECT s.site,
+  (SELECT count(*) FROM signals x WHERE x.site = s.site) AS n_signals,
+  (SELECT count(*) FROM color_tokens x WHERE x.site = s.site) AS n_colors,
+  (SELECT count(*) FROM font_tokens x WHERE x.site = s.site) AS n_typography,
+  (SELECT count(*) FROM radius_tokens x WHERE x.site = s.site) AS n_radii,
+  (SELECT count(*) FROM shadow_tokens x WHERE x.site = s.site) AS n_shadows,
+  (SELECT count(DISTINCT type_idx) FROM component_m x WHERE x.site = s.site) AS n_components,
+  cast(5 AS bigint) AS n_a11y,
+  (SELECT cast((n_colors > 50)::int + (bootstrap AND tailwind)::int + (robots_status = 'blocked')::int AS bigint)
+   FROM site_facts f WHERE f.site = s.site) AS n_risks,
+  (SELECT count(*) FROM color_tokens x WHERE x.site = s.site) + (SELECT count(*) FROM font_tokens x WHERE x.site = s.site)
+  + (SELECT count(*) FROM radius_tokens x WHERE x.site = s.site)
+  + (SELECT count(*) FROM shadow_tokens x WHERE x.site = s.site) AS total_tokens,
+  r.detector AS primary_stack, cast(round(r.conf * 100) AS bigint) AS primary_confidence_pct
+FROM sites s LEFT JOIN (SELECT * FROM ranked WHERE stack_rank = 1) r ON r.site = s.site
+""")

@@ -26,10 +26,15 @@ from sitelens.operators import risks as RK
 from sitelens.operators import robots as RB
 from sitelens.operators import stack as S
 from sitelens.operators import tokens as T
+from sitelens.plans import batch as BT
+from sitelens.plans import markdown as MD
+from sitelens.plans import report as RP
+from sitelens.plans.analysis import SiteAnalysis
 from sitelens.session import ensure_checkpoint_dir, read_table
 from sitelens.sources import files as FL
 from sitelens.sources import fixtures as FX
 from sitelens.sources import pages as SP
+from sitelens.sources import sinks as SK
 
 # sf_dir -> folder holding pre-derived ``pages_themed`` / ``css_assets`` parquet
 # (the bench lands them once, as a crawl would).
@@ -50,14 +55,20 @@ class Inputs:
     def pages(self) -> DataFrame:
         return read_table(self.spark, self.sf_dir, "pages")
 
+    def _derived(self, df: DataFrame) -> DataFrame:
+        """A derived input table, written once to the checkpoint folder: many branches of a plan read it."""
+        ensure_checkpoint_dir(self.spark)
+        return df.checkpoint()
+
     @cached_property
     def pages_themed(self) -> DataFrame:
-        return self._prepared("pages_themed") or FX.run_sql(self.spark, FX.PAGES_THEMED_SQL, pages=self.pages)
+        return self._prepared("pages_themed") or self._derived(
+            FX.run_sql(self.spark, FX.PAGES_THEMED_SQL, pages=self.pages))
 
     @cached_property
     def css_assets(self) -> DataFrame:
-        return self._prepared("css_assets") or FX.run_sql(self.spark, FX.CSS_ASSETS_SQL,
-                                                          pages_themed=self.pages_themed)
+        return self._prepared("css_assets") or self._derived(
+            FX.run_sql(self.spark, FX.CSS_ASSETS_SQL, pages_themed=self.pages_themed))
 
     @cached_property
     def requests(self) -> DataFrame:
@@ -449,3 +460,132 @@ def bfs_inputs(i: Inputs):
 def _q_site_bfs(i: Inputs) -> DataFrame:
     reqs, links = bfs_inputs(i)
     return CR.site_bfs(reqs, links)
+
+
+# ---------------------------------------------------------------------------
+# Report (whole-table, flat) and the batch run (nested documents over the budgeted crawl)
+# ---------------------------------------------------------------------------
+
+def _analysis(i: Inputs) -> SiteAnalysis:
+    return SiteAnalysis(i.pages_themed, i.css_assets, i.sites, RB.site_robots(i.sites, i.robots))
+
+
+@register("recommended_approach")
+def _q_recommended_approach(i: Inputs) -> DataFrame:
+    prim = RP.primary_stacks(_analysis(i))
+    out = i.sites.join(prim, "site", "left")
+    return out.select("site", "primary_stack", RP.recommended_approach(F.col("primary_stack")).alias(
+        "recommended_approach"))
+
+
+@register("report_meta")
+def _q_report_meta(i: Inputs) -> DataFrame:
+    stats = SP.crawl_stats(i.sites, i.fetch_log, i.robots)
+    seeds = C.site_seeds(i.pages_themed)
+    return stats.join(seeds, "site").select(
+        "site", F.lit(P.REPORT_VERSION).alias("version"), F.lit(BT.DEFAULT_GENERATED_AT).alias("generated_at"),
+        F.col("start_url").alias("source_url"), "pages_crawled", "crawl_duration_ms", "robots_status")
+
+
+@register("typography_summary")
+def _q_typography_summary(i: Inputs) -> DataFrame:
+    a = _analysis(i)
+    fonts = RP.ordered(a.families, ["site"], RP.TOKEN_ORD, F.col("font_family"), "_f", "string")
+    n_head = a.headings.groupBy("site").agg(F.count("*").cast("bigint").alias("n_headings"))
+    out = i.sites.join(fonts, "site", "left").join(n_head, "site", "left").join(
+        a.body.select("site", F.col("font_size").alias("body_size")), "site", "left")
+    return out.select("site", F.array_join(F.slice(F.coalesce("_f", F.array().cast("array<string>")), 1, 5), " | ")
+                      .alias("primary_fonts"), F.coalesce("n_headings", F.lit(0).cast("bigint")).alias("n_headings"),
+                      "body_size")
+
+
+@register("component_summary")
+def _q_component_summary(i: Inputs) -> DataFrame:
+    a = _analysis(i)
+    classes = RP.ordered(a.component_classes, ["site", "type_idx", "type"], ["class_rank"], F.col("class_pattern"),
+                         "classes", "string")
+    states = F.array_compact(F.array(*[F.when(F.col(f"has_{s}"), F.lit(s)) for s in P.COMPONENT_STATES]))
+    out = classes.join(a.component_states, ["site", "type_idx", "type"])
+    return out.select("site", F.col("type").alias("name"), "type", F.array_join("classes", ", ").alias("classes"),
+                      F.array_join(states, ", ").alias("states"))
+
+
+@register("a11y_layout_summary")
+def _q_a11y_layout_summary(i: Inputs) -> DataFrame:
+    return _analysis(i).a11y.select("site", "feature_ord", "feature", "present", "details")
+
+
+@register("quick_start_tokens")
+def _q_quick_start_tokens(i: Inputs) -> DataFrame:
+    return RP.quick_start_tokens(_analysis(i))
+
+
+@register("run_summary")
+def _q_run_summary(i: Inputs) -> DataFrame:
+    return RP.run_summary(_analysis(i))
+
+
+def _batch(i: Inputs) -> BT.BatchResult:
+    return BT.run_batch(i.requests, i.pages_themed, i.css_assets, i.fetch_log, i.robots)
+
+
+@register("extract_site")
+def _q_extract_site(i: Inputs) -> DataFrame:
+    """R1 over the crawl: the extraction summary per request."""
+    b = _batch(i)
+    a = SiteAnalysis(b.pages, b.css, b.requests.select(F.col("request_id").alias("site")))
+    return RP.run_summary(a)
+
+
+@register("site_report")
+def _q_site_report(i: Inputs) -> DataFrame:
+    r = F.col("report")
+    return _batch(i).reports.select(
+        "site", r["meta"]["pagesCrawled"].alias("pages_crawled"), F.size(r["stackSignals"]).alias("n_stack_signals"),
+        F.size(r["tokens"]["colors"]).alias("n_colors"),
+        F.size(r["tokens"]["customProperties"]).alias("n_custom_properties"),
+        r["layout"]["gridSystem"].alias("grid_system"), r["recommendedApproach"].alias("recommended_approach"))
+
+
+@register("report_json")
+def _q_report_json(i: Inputs) -> DataFrame:
+    return _batch(i).outputs.select("site", "report_json")
+
+
+@register("design_doc")
+def _q_design_doc(i: Inputs) -> DataFrame:
+    return _batch(i).outputs.select("site", "design_doc")
+
+
+@register("doc_lines")
+def _q_doc_lines(i: Inputs) -> DataFrame:
+    return MD.doc_lines(_batch(i).outputs.select("site", "design_doc"))
+
+
+@register("run_batch")
+def _q_run_batch(i: Inputs) -> DataFrame:
+    b = _batch(i)
+    n_css = b.css.groupBy("site").agg(F.count("*").cast("bigint").alias("n_css"))
+    out = b.outputs.join(b.reports.select("site", F.col("report")["meta"]["pagesCrawled"].alias("pages_crawled")),
+                         "site").join(n_css, "site", "left")
+    return out.select("request_id", "mode", "pages_crawled", F.coalesce("n_css", F.lit(0).cast("bigint")).alias("n_css"),
+                      F.length("report_json").cast("bigint").alias("json_chars"),
+                      F.size(F.split("design_doc", "\n")).cast("bigint").alias("doc_lines"))
+
+
+def _sink_roundtrip(i: Inputs, writer) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(i.spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    writer(_batch(i).outputs, path)
+    back = SK.read_back(i.spark, path)
+    return back.select("request_id", F.length("text").cast("bigint").alias("n_chars"),
+                       F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+
+
+@register("sink_report_json")
+def _q_sink_report_json(i: Inputs) -> DataFrame:
+    return _sink_roundtrip(i, SK.write_report_json)
+
+
+@register("sink_report_md")
+def _q_sink_report_md(i: Inputs) -> DataFrame:
+    return _sink_roundtrip(i, SK.write_design_doc)
