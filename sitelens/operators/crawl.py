@@ -108,6 +108,7 @@ def site_bfs(requests: DataFrame, links: DataFrame, max_levels: int = MAX_LEVELS
                .checkpoint())
         if new.isEmpty():
             break
-        visited = visited.unionByName(new).checkpoint()
+        # every piece is checkpointed, so the union's lineage stays one level deep per piece
+        visited = visited.unionByName(new)
         frontier = new
     return visited

@@ -22,7 +22,7 @@ from sitelens.operators.robots import robots_status
 from sitelens.plans.analysis import SiteAnalysis
 from sitelens.plans.markdown import design_doc
 from sitelens.plans.report import report_json, site_report
-from sitelens.session import ensure_checkpoint_dir
+from sitelens.session import ensure_checkpoint_dir, join_small
 
 DEFAULT_GENERATED_AT = "2026-01-01T00:00:00.000Z"
 MISSING_STATUS = 404  # a URL with no landed page answers Not Found
@@ -38,12 +38,21 @@ class BatchResult:
 
 
 def crawled_pages(visited: DataFrame, pages: DataFrame, status: DataFrame) -> DataFrame:
-    """Page records of the crawl: the landed page behind each visited URL, or a failed fetch."""
-    keys = CR.page_keys(pages).join(status.select("site", "page_ord", "status", "error"), ["site", "page_ord"])
+    """Page records of the crawl: the landed page behind each visited URL, or a failed fetch.
+
+    The visited set is small (at most ``max_pages`` per request) and
+    materialised; the store is only streamed past it (size-checked broadcast),
+    so the HTML of pages that were not crawled never moves.
+    """
+    vk = visited.withColumn("key", strip_fragment(F.col("url"))).checkpoint()
+    keys = join_small(CR.page_keys(pages), vk.select("key").distinct(), "key", "left_semi")
+    keys = keys.join(status.select("site", "page_ord", "status", "error"), ["site", "page_ord"])
     keys = first_seen(keys, ["key"], ["site", "page_ord"], ["status", "error"]).select(
         "key", F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "status", "error")
-    hits = visited.withColumn("key", strip_fragment(F.col("url"))).join(keys, "key", "left")
-    body = pages.select(F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "html")
+    hits = vk.join(keys, "key", "left").checkpoint()
+    wanted = hits.where(F.col("store_site").isNotNull()).select("store_site", "store_ord").distinct()
+    body = join_small(pages.select(F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "html"),
+                      wanted, ["store_site", "store_ord"], "left_semi")
     rec = hits.join(body, ["store_site", "store_ord"], "left")
     missing = F.col("store_site").isNull()
     status_c = F.when(missing, F.lit(MISSING_STATUS)).otherwise(F.col("status"))
@@ -57,15 +66,18 @@ def crawled_pages(visited: DataFrame, pages: DataFrame, status: DataFrame) -> Da
 def fetched_css(crawled: DataFrame, requests: DataFrame, css_store: DataFrame) -> DataFrame:
     """Style sheets of the crawled pages, first-seen order, for requests with ``include_assets``.
 
-    Missing or empty content is a failed fetch and is left out.  Output: site, css_ord, css_url, css.
+    Missing or empty content is a failed fetch and is left out.  Only the
+    wanted sheets are read out of the store (size-checked broadcast of the
+    wanted URLs).  Output: site, css_ord, css_url, css.
     """
     wanted = requests.where("include_assets").select(F.col("request_id").alias("site"))
     ok = crawled.join(wanted, "site", "left_semi").where(F.col("error").isNull())
     res = LK.resolved_links(ok.select("site", "page_ord", F.col("final_url").alias("url"), "html"))
     links = LK.css_links(res)
-    first = first_seen(links, ["site", "url"], ["page_ord", "kind_rank", "p1", "p2"], [])
-    store = first_seen(css_store.select("css_url", "css", "site", "css_ord"), ["css_url"], ["site", "css_ord"],
-                       ["css"]).select("css_url", "css")
+    first = first_seen(links, ["site", "url"], ["page_ord", "kind_rank", "p1", "p2"], []).checkpoint()
+    urls = first.select(F.col("url").alias("css_url")).distinct()
+    store = join_small(css_store.select("css_url", "css", "site", "css_ord"), urls, "css_url", "left_semi")
+    store = first_seen(store, ["css_url"], ["site", "css_ord"], ["css"]).select("css_url", "css")
     got = first.join(store, first["url"] == store["css_url"], "inner").where(F.col("css") != "")
     w = Window.partitionBy("site").orderBy("page_ord", "kind_rank", "p1", "p2")
     return got.select("site", (F.row_number().over(w) - 1).cast("bigint").alias("css_ord"), "css_url", "css")

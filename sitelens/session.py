@@ -65,3 +65,24 @@ def run_sql(spark: SparkSession, template: str, **tables: DataFrame) -> DataFram
     for name in sorted(tables, key=len, reverse=True):
         query = query.replace(f"${name}", "{" + name + "}")
     return spark.sql(query, **tables)
+
+
+# A materialised side is broadcast only when its row count is checked to be at most this
+# (rows here are short: keys, URLs); beyond it the join is a regular shuffle join.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Join ``big`` with a small, already materialised ``small``.
+
+    The size of ``small`` is checked (a count over checkpointed data); within
+    the bound it is broadcast, so ``big`` is only streamed through — its wide
+    columns (HTML, CSS) never enter a shuffle.  Beyond the bound Spark plans a
+    shuffle join (and AQE may still pick a broadcast from runtime sizes).
+    """
+    from pyspark.sql import functions as F
+
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)

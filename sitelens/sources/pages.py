@@ -16,24 +16,23 @@ SNIPPET_CHARS = 2000
 def page_records(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
     """Page records — url, final url, status, error, first 2,000 characters, the three link lists.
 
-    A failed fetch keeps ``html = ''`` and empty link lists.  ``headers`` is
-    always an empty map, as in the original.
+    A failed fetch keeps an empty snippet and empty link lists; ``headers`` is
+    always an empty map, as in the original.  The snippet is cut in the first
+    projection of the pages, so only it (never the whole HTML) enters a join;
+    the full text stays in ``pages`` under the same (site, page_ord) key.
     """
     status = page_status(pages, fetch_log)
     bases = LK.page_bases(pages).select("site", "page_ord", "final_url")
     ok = status.where(F.col("error").isNull()).select("site", "page_ord")
     ok_pages = pages.join(ok, ["site", "page_ord"], "left_semi")
     links = LK.page_links(LK.resolved_links(ok_pages), pages.select("site", "page_ord"))
-    body = pages.select("site", "page_ord", "html").join(status.select("site", "page_ord", "error"),
-                                                         ["site", "page_ord"])
-    body = body.select("site", "page_ord",
-                       F.when(F.col("error").isNull(), F.col("html")).otherwise(F.lit("")).alias("html"))
-    out = (status.join(bases, ["site", "page_ord"]).join(body, ["site", "page_ord"])
+    snippets = pages.select("site", "page_ord", F.substring("html", 1, SNIPPET_CHARS).alias("_snip"))
+    out = (status.join(bases, ["site", "page_ord"]).join(snippets, ["site", "page_ord"])
            .join(links, ["site", "page_ord"]))
     return out.select(
         "site", "page_ord", "url", "final_url", "status", "error",
         F.create_map().cast("map<string,string>").alias("headers"),
-        F.substring("html", 1, SNIPPET_CHARS).alias("html_snippet"), "html",
+        F.when(F.col("error").isNull(), F.col("_snip")).otherwise(F.lit("")).alias("html_snippet"),
         "css_links", "js_links", "internal_links")
 
 
