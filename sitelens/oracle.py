@@ -790,3 +790,10 @@ SELECT s.site,
   r.detector AS primary_stack, cast(round(r.conf * 100) AS bigint) AS primary_confidence_pct
 FROM sites s LEFT JOIN (SELECT * FROM ranked WHERE stack_rank = 1) r ON r.site = s.site
 """)
+
+# Streaming registry (§7.7): the set of distinct colours per site over inline style blocks.
+cte("inline_colors", ["blocks"], f"""
+SELECT DISTINCT site, regexp_extract({jtrim(f"regexp_extract(m, {L(P.CUSTOM_PROPERTY)}, 2)")}, {L(P.COLOR)}, 0) AS value
+FROM ({explode_matches("blocks", "css", P.CUSTOM_PROPERTY, "site")})
+""")
+query("stream_color_tokens", ["inline_colors"], "SELECT site, value FROM inline_colors WHERE value <> ''")

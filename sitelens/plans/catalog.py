@@ -35,6 +35,7 @@ from sitelens.sources import files as FL
 from sitelens.sources import fixtures as FX
 from sitelens.sources import pages as SP
 from sitelens.sources import sinks as SK
+from sitelens.streaming import tokens as ST
 
 # sf_dir -> folder holding pre-derived ``pages_themed`` / ``css_assets`` parquet
 # (the bench lands them once, as a crawl would).
@@ -589,3 +590,12 @@ def _q_sink_report_json(i: Inputs) -> DataFrame:
 @register("sink_report_md")
 def _q_sink_report_md(i: Inputs) -> DataFrame:
     return _sink_roundtrip(i, SK.write_design_doc)
+
+
+@register("stream_color_tokens")
+def _q_stream_color_tokens(i: Inputs) -> DataFrame:
+    """§7.7: land the pages as files, stream them through the colour registry, read the sink back."""
+    root = f"{ensure_checkpoint_dir(i.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    i.pages_themed.select("page_id", "page_ord", "site", "url", "html").repartition(4).write.parquet(f"{root}/pages")
+    ST.run_available(i.spark, f"{root}/pages", f"{root}/out", f"{root}/state")
+    return i.spark.read.parquet(f"{root}/out").select("site", "value")
