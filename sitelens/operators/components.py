@@ -64,10 +64,19 @@ def state_pieces(css: DataFrame) -> DataFrame:
 
 
 def component_states(samples: DataFrame, pieces: DataFrame) -> DataFrame:
-    """K6: hover / focus / active per (site, component) from the base class regex."""
-    joined = samples.join(pieces, "site", "left")
+    """K6: hover / focus / active per (site, component) from the base class regex.
+
+    The selector pieces (the large, possibly skewed side) meet the per-site
+    base classes (<= 7 rows per site) in an inner join, which AQE may split on
+    a hot site or broadcast from runtime sizes; the flags are OR-ed per
+    component with partial aggregation and joined back to every component.
+    """
+    keys = ["site", "type_idx"]
     flags = []
     for state in P.COMPONENT_STATES:
         pattern = F.concat(F.lit(r"(?i)\."), F.col("base_class"), F.lit(r"[^{]*:" + state))
-        flags.append(F.coalesce(F.bool_or(F.regexp_like(F.col("piece"), pattern)), F.lit(False)).alias(f"has_{state}"))
-    return joined.groupBy("site", "type_idx", "type", "sample_snippet", "base_class").agg(*flags)
+        flags.append(F.bool_or(F.regexp_like(F.col("piece"), pattern)).alias(f"has_{state}"))
+    hit = pieces.join(samples.select(*keys, "base_class"), "site").groupBy(*keys).agg(*flags)
+    out = samples.join(hit, keys, "left")
+    return out.select("site", "type_idx", "type", "sample_snippet", "base_class",
+                      *[F.coalesce(F.col(f"has_{s}"), F.lit(False)).alias(f"has_{s}") for s in P.COMPONENT_STATES])

@@ -12,9 +12,8 @@ all requests advance together, one level per iteration:
 which equals the queue (duplicates in the queue are dropped at pop time and
 children queue in parent order, then link order).  A level holds at most
 ``max_pages`` (<= 20) rows per request, so the per-request window is
-bounded; the link table is hash-partitioned by page key once, so each level
-only shuffles the small frontier.  Lineage is cut every level with a
-reliable ``checkpoint()`` in the session's checkpoint folder.
+bounded.  Lineage is cut every level by writing the level as a table in the
+session's checkpoint folder (``session.materialize``).
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import patterns as P
 from sitelens.functions.urls import origin, strip_fragment, with_resolved_url
 from sitelens.operators import links as LK
-from sitelens.session import ensure_checkpoint_dir
+from sitelens.session import ensure_checkpoint_dir, materialize
 
 MAX_LEVELS = P.MAX_PAGES_RANGE[1]
 
@@ -61,18 +60,16 @@ def page_keys(pages: DataFrame) -> DataFrame:
         F.col("key").isNotNull())
 
 
-def store_links(pages: DataFrame, status: DataFrame, partitions: int | None = None) -> DataFrame:
+def store_links(pages: DataFrame, status: DataFrame) -> DataFrame:
     """Internal links of every successfully fetched landed page, keyed by the page's fetch key.
 
-    Output: key, pos (link order), target — hash-partitioned by ``key``.
+    Output: key, pos (link order), target.
     """
     ok = status.where(F.col("error").isNull()).select("site", "page_ord")
-    ok_pages = pages.join(ok, ["site", "page_ord"], "left_semi")
-    internal = LK.internal_links(LK.resolved_links(ok_pages))
+    # one narrow pass over the HTML; only the short link rows meet the status list
+    internal = LK.internal_links(LK.resolved_links(pages).join(ok, ["site", "page_ord"], "left_semi"))
     keyed = internal.join(page_keys(pages).select("site", "page_ord", "key"), ["site", "page_ord"])
-    out = keyed.select("key", F.struct("kind_rank", "p1", "p2").alias("pos"), F.col("url").alias("target"))
-    n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, "key")
+    return keyed.select("key", F.struct("kind_rank", "p1", "p2").alias("pos"), F.col("url").alias("target"))
 
 
 def site_bfs(requests: DataFrame, links: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
@@ -82,12 +79,13 @@ def site_bfs(requests: DataFrame, links: DataFrame, max_levels: int = MAX_LEVELS
     Output: request_id, url, visit_no (1-based crawl order), level.
     """
     ensure_checkpoint_dir(requests.sparkSession)
-    links = links.checkpoint()
+    links = materialize(links, "bfs-links")
     req = requests.select("request_id", "max_pages", "same_origin_only",
                           origin(F.col("seed")).alias("seed_origin"))
     visited = requests.where(F.col("seed").isNotNull() & (F.col("max_pages") >= 1)).select(
         "request_id", F.col("seed").alias("url"), F.lit(1).cast("bigint").alias("visit_no"),
-        F.lit(0).cast("bigint").alias("level")).checkpoint()
+        F.lit(0).cast("bigint").alias("level"))
+    visited = materialize(visited, "bfs-level")
     frontier = visited
     for level in range(1, max_levels + 1):
         cand = (frontier.withColumn("key", strip_fragment(F.col("url")))
@@ -104,11 +102,11 @@ def site_bfs(requests: DataFrame, links: DataFrame, max_levels: int = MAX_LEVELS
                .select("request_id", "url", (F.col("_n") + F.row_number().over(w)).cast("bigint").alias("visit_no"),
                        "max_pages")
                .where(F.col("visit_no") <= F.col("max_pages"))
-               .select("request_id", "url", "visit_no", F.lit(level).cast("bigint").alias("level"))
-               .checkpoint())
+               .select("request_id", "url", "visit_no", F.lit(level).cast("bigint").alias("level")))
+        new = materialize(new, "bfs-level")
         if new.isEmpty():
             break
-        # every piece is checkpointed, so the union's lineage stays one level deep per piece
+        # every piece is materialised, so the union's lineage stays one level deep per piece
         visited = visited.unionByName(new)
         frontier = new
     return visited

@@ -22,7 +22,7 @@ from sitelens.operators.robots import robots_status
 from sitelens.plans.analysis import SiteAnalysis
 from sitelens.plans.markdown import design_doc
 from sitelens.plans.report import report_json, site_report
-from sitelens.session import ensure_checkpoint_dir, join_small
+from sitelens.session import ensure_checkpoint_dir, join_small, materialize
 
 DEFAULT_GENERATED_AT = "2026-01-01T00:00:00.000Z"
 MISSING_STATUS = 404  # a URL with no landed page answers Not Found
@@ -44,12 +44,12 @@ def crawled_pages(visited: DataFrame, pages: DataFrame, status: DataFrame) -> Da
     materialised; the store is only streamed past it (size-checked broadcast),
     so the HTML of pages that were not crawled never moves.
     """
-    vk = visited.withColumn("key", strip_fragment(F.col("url"))).checkpoint()
+    vk = materialize(visited.withColumn("key", strip_fragment(F.col("url"))), "crawl-visited")
     keys = join_small(CR.page_keys(pages), vk.select("key").distinct(), "key", "left_semi")
     keys = keys.join(status.select("site", "page_ord", "status", "error"), ["site", "page_ord"])
     keys = first_seen(keys, ["key"], ["site", "page_ord"], ["status", "error"]).select(
         "key", F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "status", "error")
-    hits = vk.join(keys, "key", "left").checkpoint()
+    hits = materialize(vk.join(keys, "key", "left"), "crawl-hits")
     wanted = hits.where(F.col("store_site").isNotNull()).select("store_site", "store_ord").distinct()
     body = join_small(pages.select(F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "html"),
                       wanted, ["store_site", "store_ord"], "left_semi")
@@ -74,7 +74,7 @@ def fetched_css(crawled: DataFrame, requests: DataFrame, css_store: DataFrame) -
     ok = crawled.join(wanted, "site", "left_semi").where(F.col("error").isNull())
     res = LK.resolved_links(ok.select("site", "page_ord", F.col("final_url").alias("url"), "html"))
     links = LK.css_links(res)
-    first = first_seen(links, ["site", "url"], ["page_ord", "kind_rank", "p1", "p2"], []).checkpoint()
+    first = materialize(first_seen(links, ["site", "url"], ["page_ord", "kind_rank", "p1", "p2"], []), "css-wanted")
     urls = first.select(F.col("url").alias("css_url")).distinct()
     store = join_small(css_store.select("css_url", "css", "site", "css_ord"), urls, "css_url", "left_semi")
     store = first_seen(store, ["css_url"], ["site", "css_ord"], ["css"]).select("css_url", "css")
@@ -86,13 +86,13 @@ def fetched_css(crawled: DataFrame, requests: DataFrame, css_store: DataFrame) -
 def run_batch(requests: DataFrame, pages: DataFrame, css_store: DataFrame, fetch_log: DataFrame | None,
               robots: DataFrame | None, generated_at: str = DEFAULT_GENERATED_AT) -> BatchResult:
     ensure_checkpoint_dir(requests.sparkSession)
-    # Stage results are written to the checkpoint folder: each is reused by many
-    # report pieces, and the lineage behind them (crawl levels) is long.
-    reqs = RQ.accepted_requests(requests).checkpoint()
+    # Stage results are written as tables in the checkpoint folder: each is reused
+    # by many report pieces, and the lineage behind them (crawl levels) is long.
+    reqs = materialize(RQ.accepted_requests(requests), "requests")
     status = CR.page_status(pages, fetch_log)
     visited = CR.site_bfs(reqs, CR.store_links(pages, status))
-    crawled = crawled_pages(visited, pages, status).checkpoint()
-    css = fetched_css(crawled, reqs, css_store).checkpoint()
+    crawled = materialize(crawled_pages(visited, pages, status), "crawled-pages")
+    css = materialize(fetched_css(crawled, reqs, css_store), "crawled-css")
     sites = reqs.select(F.col("request_id").alias("site"))
     if robots is not None:
         rob = robots_status(robots)
@@ -102,7 +102,7 @@ def run_batch(requests: DataFrame, pages: DataFrame, css_store: DataFrame, fetch
         site_rob = sites.select("site", F.lit("allowed").alias("robots_status"))
     analysis = SiteAnalysis(crawled, css, sites, site_rob)
     meta = _meta(reqs, crawled, css, fetch_log, site_rob)
-    reports = site_report(analysis, meta, generated_at).checkpoint()
+    reports = materialize(site_report(analysis, meta, generated_at), "reports")
     docs = design_doc(reports)
     outputs = (reqs.select(F.col("request_id"), F.col("request_id").alias("site"), "mode")
                .join(report_json(reports), "site").join(docs, "site"))

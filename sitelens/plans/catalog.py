@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
@@ -30,7 +30,7 @@ from sitelens.plans import batch as BT
 from sitelens.plans import markdown as MD
 from sitelens.plans import report as RP
 from sitelens.plans.analysis import SiteAnalysis
-from sitelens.session import ensure_checkpoint_dir, read_table
+from sitelens.session import ensure_checkpoint_dir, materialize, read_table
 from sitelens.sources import files as FL
 from sitelens.sources import fixtures as FX
 from sitelens.sources import pages as SP
@@ -58,8 +58,7 @@ class Inputs:
 
     def _derived(self, df: DataFrame) -> DataFrame:
         """A derived input table, written once to the checkpoint folder: many branches of a plan read it."""
-        ensure_checkpoint_dir(self.spark)
-        return df.checkpoint()
+        return materialize(df, "derived")
 
     @cached_property
     def pages_themed(self) -> DataFrame:
@@ -491,11 +490,13 @@ def _q_report_meta(i: Inputs) -> DataFrame:
 @register("typography_summary")
 def _q_typography_summary(i: Inputs) -> DataFrame:
     a = _analysis(i)
-    fonts = RP.ordered(a.families, ["site"], RP.TOKEN_ORD, F.col("font_family"), "_f", "string")
+    w = Window.partitionBy("site").orderBy(*RP.TOKEN_ORD)
+    top = a.families.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 5)  # partial group limit
+    fonts = RP.ordered(top, ["site"], ["_r"], F.col("font_family"), "_f", "string")
     n_head = a.headings.groupBy("site").agg(F.count("*").cast("bigint").alias("n_headings"))
     out = i.sites.join(fonts, "site", "left").join(n_head, "site", "left").join(
         a.body.select("site", F.col("font_size").alias("body_size")), "site", "left")
-    return out.select("site", F.array_join(F.slice(F.coalesce("_f", F.array().cast("array<string>")), 1, 5), " | ")
+    return out.select("site", F.array_join(F.coalesce("_f", F.array().cast("array<string>")), " | ")
                       .alias("primary_fonts"), F.coalesce("n_headings", F.lit(0).cast("bigint")).alias("n_headings"),
                       "body_size")
 

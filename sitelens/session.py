@@ -86,3 +86,19 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing ``df`` as a parquet table in the checkpoint folder and reading it back.
+
+    One pass (a reliable ``checkpoint()`` computes its input twice unless it is
+    cached), columnar, and it survives the loss of executors: the folder is the
+    shared one named by ``spark.checkpoint.dir``.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

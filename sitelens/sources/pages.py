@@ -24,8 +24,9 @@ def page_records(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
     status = page_status(pages, fetch_log)
     bases = LK.page_bases(pages).select("site", "page_ord", "final_url")
     ok = status.where(F.col("error").isNull()).select("site", "page_ord")
-    ok_pages = pages.join(ok, ["site", "page_ord"], "left_semi")
-    links = LK.page_links(LK.resolved_links(ok_pages), pages.select("site", "page_ord"))
+    # links are extracted from every page in a narrow pass; the short link rows (not the HTML) meet the status
+    ok_links = LK.resolved_links(pages).join(ok, ["site", "page_ord"], "left_semi")
+    links = LK.page_links(ok_links, pages.select("site", "page_ord"))
     snippets = pages.select("site", "page_ord", F.substring("html", 1, SNIPPET_CHARS).alias("_snip"))
     out = (status.join(bases, ["site", "page_ord"]).join(snippets, ["site", "page_ord"])
            .join(links, ["site", "page_ord"]))
@@ -42,9 +43,8 @@ def css_fetch_list(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
     Output: site, css_url, page_ord, kind_rank, p1, p2.
     """
     status = page_status(pages, fetch_log)
-    ok_pages = pages.join(status.where(F.col("error").isNull()).select("site", "page_ord"),
-                          ["site", "page_ord"], "left_semi")
-    links = LK.css_links(LK.resolved_links(ok_pages))
+    ok = status.where(F.col("error").isNull()).select("site", "page_ord")
+    links = LK.css_links(LK.resolved_links(pages).join(ok, ["site", "page_ord"], "left_semi"))
     out = first_seen(links, ["site", "url"], ["page_ord", "kind_rank", "p1", "p2"], [])
     return out.withColumnRenamed("url", "css_url")
 
