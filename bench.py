@@ -38,7 +38,7 @@ def main() -> None:
 
     t0 = time.time()
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    themed = run_sql(spark, FX.PAGES_THEMED_SQL, pages=pages)
+    themed = FX.pages_themed_frame(spark, pages)
     themed.write.mode("overwrite").parquet(f"{scratch}/pages_themed")
     themed = spark.read.parquet(f"{scratch}/pages_themed")
     run_sql(spark, FX.CSS_ASSETS_SQL, pages_themed=themed).write.mode("overwrite").parquet(f"{scratch}/css_assets")

@@ -62,8 +62,7 @@ class Inputs:
 
     @cached_property
     def pages_themed(self) -> DataFrame:
-        return self._prepared("pages_themed") or self._derived(
-            FX.run_sql(self.spark, FX.PAGES_THEMED_SQL, pages=self.pages))
+        return self._prepared("pages_themed") or self._derived(FX.pages_themed_frame(self.spark, self.pages))
 
     @cached_property
     def css_assets(self) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitelens.session import read_table, run_sql
 
-# ``pages_themed``: page_id, page_ord, site, url, html
-PAGES_THEMED_SQL = r"""
-WITH p AS (
+# ``pages_themed``: page_id, page_ord, site, url, html.  The text is the fixture as specified;
+# ``p``/``n`` number the pages of each site and name the next two paths.
+PAGES_THEMED_N_SQL = r"""
+p AS (
   SELECT page_id, url, html,
          regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site,
          regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path
@@ -23,7 +24,10 @@ n AS (
   SELECT *, cast(row_number() OVER (PARTITION BY site ORDER BY page_id) - 1 AS bigint) AS page_ord,
     coalesce(lead(path) OVER (PARTITION BY site ORDER BY page_id), '/end') AS nxt,
     coalesce(lead(path, 2) OVER (PARTITION BY site ORDER BY page_id), '/end') AS nxt2
-  FROM p),
+  FROM p)
+"""
+
+PAGES_THEMED_M_SQL = r"""
 m AS (SELECT * FROM (VALUES
   (0,'__NEXT_DATA__'),(1,'/_next/x'),(2,'next/head'),(3,'data-nscript'),(4,'data-reactroot'),
   (5,'__REACT_DEVTOOLS'),(6,'react.min.js'),(7,'react-dom'),(8,'data-v-1a2b'),(9,'__VUE__'),(10,'vue.js'),
@@ -32,6 +36,9 @@ m AS (SELECT * FROM (VALUES
   (22,'class-variance-authority'),(23,'bootstrap.min.css'),(24,'<i class="row"></i>'),(25,'btn-danger'),
   (26,'@mui/'),(27,'MuiCard'),(28,'__emotion'),(29,'@chakra-ui'),(30,'chakra-x'),(31,'@vite/x'),
   (32,'vite.config'),(33,'webpackJsonp'),(34,'__webpack_require__')) AS v(mk, marker))
+"""
+
+PAGES_THEMED_FINAL_SQL = r"""
 SELECT page_id, page_ord, site, url,
   replace(replace(html, '</head>', concat(
     '<link rel="stylesheet" href="/assets/', cast(page_id % 7 AS string), '.css">',
@@ -49,9 +56,15 @@ SELECT page_id, page_ord, site, url,
     CASE WHEN page_id % 2 = 0 THEN '<img src="b.png">' ELSE '' END,
     CASE WHEN page_id % 4 = 0 THEN '<a href="#main">Skip to content</a><main >' ELSE '' END,
     coalesce(marker, ''), '<article>')) AS html
-FROM n LEFT JOIN m ON n.page_id % 37 = m.mk
+FROM $n n LEFT JOIN m ON n.page_id % 37 = m.mk
 """
 
+PAGES_THEMED_SQL = ("WITH " + PAGES_THEMED_N_SQL.strip() + ",\n" + PAGES_THEMED_M_SQL.strip() + "\n"
+                    + PAGES_THEMED_FINAL_SQL.strip().replace("FROM $n n LEFT JOIN", "FROM n LEFT JOIN"))
+
+# Spark side: the same final projection over a numbered page table built without per-site tasks.
+PAGES_THEMED_FROM_N_SQL = "WITH " + PAGES_THEMED_M_SQL.strip() + "\n" + PAGES_THEMED_FINAL_SQL.strip()
+
 # ``css_assets``: site, css_ord, css_url, css — the fetched external style sheets.
 CSS_ASSETS_SQL = r"""
 SELECT DISTINCT site, page_id % 7 AS css_ord, concat(site, '/assets/', cast(page_id % 7 AS string), '.css') AS css_url,
@@ -121,8 +134,32 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages")
 
 
+def numbered_pages(pages_df: DataFrame) -> DataFrame:
+    """``n`` of the fixture: site, path, page_ord and the next two paths of each page, skew-safe.
+
+    Equals ``row_number()``/``lead`` over ``PARTITION BY site ORDER BY page_id``
+    but never puts one site in one task, and the HTML moves only in the final
+    join by ``page_id``.
+    """
+    from pyspark.sql import functions as F
+
+    from sitelens.operators.ordinal import with_lead, with_ordinal
+
+    keys = pages_df.select("page_id", F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("site"),
+                           F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1).alias("path"))
+    ranked = with_ordinal(keys, "site", "page_id", "page_ord")
+    ranked = with_lead(with_lead(ranked, "site", "page_ord", "path", 1, "nxt"), "site", "page_ord", "path", 2, "nxt2")
+    small = ranked.select("page_id", "site", "path", "page_ord", F.coalesce("nxt", F.lit("/end")).alias("nxt"),
+                          F.coalesce("nxt2", F.lit("/end")).alias("nxt2"))
+    return pages_df.select("page_id", "url", "html").join(small, "page_id")
+
+
+def pages_themed_frame(spark: SparkSession, pages_df: DataFrame) -> DataFrame:
+    return run_sql(spark, PAGES_THEMED_FROM_N_SQL, n=numbered_pages(pages_df))
+
+
 def pages_themed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, PAGES_THEMED_SQL, pages=pages(spark, sf_dir))
+    return pages_themed_frame(spark, pages(spark, sf_dir))
 
 
 def css_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
