@@ -39,7 +39,8 @@ def main() -> None:
     t0 = time.time()
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     themed = FX.pages_themed_frame(spark, pages)
-    themed.write.mode("overwrite").parquet(f"{scratch}/pages_themed")
+    # landed as several files, as a crawl writes pages: one file would be one task downstream
+    themed.repartition(4 * int(cpus), "page_id").write.mode("overwrite").parquet(f"{scratch}/pages_themed")
     themed = spark.read.parquet(f"{scratch}/pages_themed")
     run_sql(spark, FX.CSS_ASSETS_SQL, pages_themed=themed).write.mode("overwrite").parquet(f"{scratch}/css_assets")
     prepare = time.time() - t0

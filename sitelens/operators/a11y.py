@@ -100,12 +100,20 @@ def signal(agg: DataFrame, idx: int) -> DataFrame:
     present, details, snip, conf = SIGNALS[idx](agg)
     return agg.select("site", F.lit(idx).cast("bigint").alias("feature_ord"), F.lit(P.A11Y_FEATURES[idx]).alias("feature"),
                       present.alias("present"), details.alias("details"), F.lit(SOURCE_TYPES[idx]).alias("source_type"),
-                      snip.alias("snippet"), conf.cast("double").alias("confidence"))
+                      snip.cast("string").alias("snippet"), conf.cast("double").alias("confidence"))
 
 
 def a11y_report(agg: DataFrame) -> DataFrame:
-    """The five signals per site, always five rows, in fixed order."""
-    out = signal(agg, 0)
-    for i in range(1, 5):
-        out = out.unionByName(signal(agg, i))
-    return out
+    """The five signals per site, always five rows, in fixed order.
+
+    One pass over the per-site aggregate: the five rows are an inline array of
+    structs (no union that would recompute the aggregate five times).
+    """
+    rows = []
+    for idx, fn in enumerate(SIGNALS):
+        present, details, snip, conf = fn(agg)
+        rows.append(F.struct(F.lit(idx).cast("bigint").alias("feature_ord"), F.lit(P.A11Y_FEATURES[idx]).alias("feature"),
+                             present.alias("present"), details.alias("details"),
+                             F.lit(SOURCE_TYPES[idx]).alias("source_type"), snip.cast("string").alias("snippet"),
+                             conf.cast("double").alias("confidence")))
+    return agg.select("site", F.inline(F.array(*rows)))

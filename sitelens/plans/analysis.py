@@ -15,6 +15,7 @@ from sitelens.operators import risks as RK
 from sitelens.operators import robots as RB
 from sitelens.operators import stack as S
 from sitelens.operators import tokens as T
+from sitelens.session import materialize
 
 
 class SiteAnalysis:
@@ -26,8 +27,14 @@ class SiteAnalysis:
     robots: site, robots_status — optional.
     """
 
-    def __init__(self, pages: DataFrame, css: DataFrame | None, sites: DataFrame, robots: DataFrame | None = None):
+    def __init__(self, pages: DataFrame, css: DataFrame | None, sites: DataFrame, robots: DataFrame | None = None,
+                 shared: bool = True):
         self.pages, self.css_assets, self.sites, self._robots = pages, css, sites, robots
+        self._shared = shared
+
+    def _share(self, df: DataFrame, name: str) -> DataFrame:
+        """Intermediates read by many branches are written once (one HTML scan each, not one per branch)."""
+        return materialize(df, name) if self._shared else df
 
     @cached_property
     def css(self) -> DataFrame | None:
@@ -35,11 +42,11 @@ class SiteAnalysis:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return C.css_corpus(self.pages, self.css_assets)
+        return self._share(C.css_corpus(self.pages, self.css_assets), "corpus")
 
     @cached_property
     def decls(self) -> DataFrame:
-        return T.declarations(self.corpus)
+        return self._share(T.declarations(self.corpus), "declarations")
 
     @cached_property
     def properties(self) -> DataFrame:
@@ -75,7 +82,7 @@ class SiteAnalysis:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return S.pattern_hits(C.content_corpus(self.pages, self.css_assets))
+        return self._share(S.pattern_hits(C.content_corpus(self.pages, self.css_assets)), "pattern-hits")
 
     @cached_property
     def signals(self) -> DataFrame:
@@ -101,7 +108,7 @@ class SiteAnalysis:
 
     @cached_property
     def a11y(self) -> DataFrame:
-        return A.a11y_report(A.site_a11y(self.sites, self.pages, self.css))
+        return A.a11y_report(self._share(A.site_a11y(self.sites, self.pages, self.css), "a11y"))
 
     @cached_property
     def container_widths(self) -> DataFrame | None:

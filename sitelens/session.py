@@ -22,6 +22,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sit
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SITELENS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Small local data: keep several tasks per CPU-heavy (regex) stage.  On a cluster these stay
+        # at their defaults (64-128 MB partitions, 128 MB row groups) so partitions fit executor memory.
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", os.environ.get("SITELENS_ADVISORY", "2m"))
+        .config("spark.sql.files.maxPartitionBytes", os.environ.get("SITELENS_SPLIT", "4m"))
+        .config("spark.hadoop.parquet.block.size", str(4 * 1024 * 1024))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
