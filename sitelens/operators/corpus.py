@@ -66,7 +66,8 @@ def content_corpus(pages: DataFrame, css_assets: DataFrame | None) -> DataFrame:
         F.col("css_url").alias("source_url"), F.col("css").alias("content")))
 
 
-def external_css(css_assets: DataFrame | None, spark=None) -> DataFrame | None:
+def external_css(css_assets: DataFrame | None) -> DataFrame | None:
+    """External style sheets as analysed by the CSS-only rules: site, css_ord, css_url, css."""
     return None if css_assets is None else css_assets.select(
         "site", F.col("css_ord").cast("bigint").alias("css_ord"), "css_url", "css")
 

@@ -12,7 +12,6 @@ from sitelens.operators import components as CP
 from sitelens.operators import corpus as C
 from sitelens.operators import layout as LY
 from sitelens.operators import risks as RK
-from sitelens.operators import robots as RB
 from sitelens.operators import stack as S
 from sitelens.operators import tokens as T
 from sitelens.session import materialize
@@ -137,5 +136,3 @@ class SiteAnalysis:
     def notes(self) -> DataFrame:
         return RK.note_list(RK.note_facts(self.sites, self.pages, self.css))
 
-
-__all__ = ["SiteAnalysis", "RB"]

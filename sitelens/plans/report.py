@@ -56,7 +56,7 @@ def _extracted(value: Column, url: Column, snippet: Column, conf: Column) -> Col
                     snippet.alias("sampleSnippet"), conf.cast("double").alias("confidence"))
 
 
-def report_pieces(a: SiteAnalysis, start_urls: DataFrame) -> list[DataFrame]:
+def report_pieces(a: SiteAnalysis) -> list[DataFrame]:
     """The per-site list columns of the report, each a (site, column) frame."""
     src = F.col("source_url")
     sig_sources = ordered(a.signal_sources, ["site", "detector_idx"], ["pattern_idx", "src_rank", "src_ord"],
@@ -118,7 +118,7 @@ def site_report(a: SiteAnalysis, meta: DataFrame, generated_at: str) -> DataFram
     ``meta``: site, source_url, pages_crawled, crawl_duration_ms, robots_status, notes_text (config notes).
     """
     out = meta
-    for piece in report_pieces(a, meta):
+    for piece in report_pieces(a):
         out = out.join(piece, "site", "left")
     out = (out.join(primary_stacks(a), "site", "left").join(a.grid, "site", "left")
            .join(a.risks, "site", "left").join(a.notes, "site", "left"))
