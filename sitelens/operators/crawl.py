@@ -68,8 +68,9 @@ def store_links(pages: DataFrame, status: DataFrame) -> DataFrame:
     ok = status.where(F.col("error").isNull()).select("site", "page_ord")
     # one narrow pass over the HTML; only the short link rows meet the status list
     internal = LK.internal_links(LK.resolved_links(pages).join(ok, ["site", "page_ord"], "left_semi"))
-    keyed = internal.join(page_keys(pages).select("site", "page_ord", "key"), ["site", "page_ord"])
-    return keyed.select("key", F.struct("kind_rank", "p1", "p2").alias("pos"), F.col("url").alias("target"))
+    # the page's fetch key is its final URL, already on every link row
+    return internal.where(F.col("final_url").isNotNull()).select(
+        F.col("final_url").alias("key"), F.struct("kind_rank", "p1", "p2").alias("pos"), F.col("url").alias("target"))
 
 
 def site_bfs(requests: DataFrame, links: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:

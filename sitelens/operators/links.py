@@ -32,8 +32,8 @@ def page_bases(pages: DataFrame) -> DataFrame:
     return canon.select(*PAGE, "url", strip_fragment(F.col("_canon")).alias("final_url"))
 
 
-def raw_links(pages: DataFrame) -> DataFrame:
-    """Raw link values of each page, in page order.  Output: site, page_ord, kind_rank, p1, p2, href."""
+def raw_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw link values of each page, in page order.  Output: site, page_ord, *keep, kind_rank, p1, p2, href."""
     html = F.col("html")
     href_of = lambda tag: F.regexp_extract(tag, P.java_rx(P.HREF_IN_TAG), 1)
     has_href = lambda tag: tag.rlike(P.java_rx(P.HREF_IN_TAG))
@@ -55,18 +55,26 @@ def raw_links(pages: DataFrame) -> DataFrame:
     scripts = tagged(3, find_all(html, P.SCRIPT_SRC, 1), lambda v: v)
     anchors = tagged(4, find_all(html, P.ANCHOR_HREF, 1), lambda v: v)
     every = F.concat(sheets, typed, imports, scripts, anchors)
-    return pages.select(*PAGE, F.inline(every)).select(
-        *PAGE, F.col("kind_rank").cast("bigint"), F.col("p1").cast("bigint"), F.col("p2").cast("bigint"), "href")
+    return pages.select(*PAGE, *keep, F.inline(every)).select(
+        *PAGE, *keep, F.col("kind_rank").cast("bigint"), F.col("p1").cast("bigint"), F.col("p2").cast("bigint"),
+        "href")
 
 
 def resolved_links(pages: DataFrame) -> DataFrame:
-    """Every raw link resolved against its page.  Output: site, page_ord, final_url, kind_rank, p1, p2, href, url."""
-    raw = raw_links(pages).join(page_bases(pages).select(*PAGE, "final_url"), PAGE)
-    return with_resolved_url(raw, "href", "final_url", "url")
+    """Every raw link resolved against its page.  Output: site, page_ord, final_url, kind_rank, p1, p2, href, url.
+
+    One narrow pass: the page's own URL is canonicalised in the same rows
+    that carry its HTML, then the link values are exploded and resolved — no
+    join of link rows back to their pages.
+    """
+    based = with_resolved_url(pages.select(*PAGE, "url", "html"), "url", None, "_canon")
+    based = based.select(*PAGE, strip_fragment(F.col("_canon")).alias("final_url"), "html")
+    return with_resolved_url(raw_links(based, ("final_url",)), "href", "final_url", "url")
 
 
 def _dedup(df: DataFrame) -> DataFrame:
-    return first_seen(df, [*PAGE, "url"], LINK_ORD, [])
+    # final_url depends on the page only; keeping it as a key carries it through at no cost
+    return first_seen(df, [*PAGE, "final_url", "url"], LINK_ORD, [])
 
 
 def css_links(resolved: DataFrame) -> DataFrame:
