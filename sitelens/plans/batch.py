@@ -35,6 +35,7 @@ class BatchResult:
     css: DataFrame  # fetched style sheets per request
     reports: DataFrame  # site, report (nested), notes_text, primary_stack, primary_confidence
     outputs: DataFrame  # request_id, site, mode, report_json, design_doc
+    robots: DataFrame  # site (= request id), robots_status
 
 
 def crawled_pages(visited: DataFrame, pages: DataFrame, status: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def run_batch(requests: DataFrame, pages: DataFrame, css_store: DataFrame, fetch
     docs = design_doc(reports)
     outputs = (reqs.select(F.col("request_id"), F.col("request_id").alias("site"), "mode")
                .join(report_json(reports), "site").join(docs, "site"))
-    return BatchResult(reqs, crawled, css, reports, outputs)
+    return BatchResult(reqs, crawled, css, reports, outputs, site_rob)
 
 
 def _meta(reqs: DataFrame, crawled: DataFrame, css: DataFrame, fetch_log: DataFrame | None,

@@ -56,47 +56,76 @@ def _extracted(value: Column, url: Column, snippet: Column, conf: Column) -> Col
                     snippet.alias("sampleSnippet"), conf.cast("double").alias("confidence"))
 
 
+ORD_WIDTH = 5  # common order-key width of all report lists (padded with zeros)
+
+
+def _lists(specs: list[tuple[DataFrame | None, str, Sequence[str], Column, str]]) -> DataFrame | None:
+    """Several ordered per-site lists in one aggregate.
+
+    specs: (frame, list name, order columns, value, element type).  The frames
+    become one union of (site, list id, order key, value-in-its-own-column)
+    rows, grouped once by site with one guarded ``collect_list`` per list —
+    one shuffle and no joins instead of one aggregate and one join per list.
+    """
+    specs = [sp for sp in specs if sp[0] is not None]
+    if not specs:
+        return None
+    parts = []
+    for k, (df, _name, order, value, element) in enumerate(specs):
+        pad = [F.lit(0).cast("bigint")] * (ORD_WIDTH - len(order))
+        okey = F.struct(*[F.col(c).cast("bigint").alias(f"o{i}") for i, c in enumerate(order)],
+                        *[p.alias(f"o{len(order) + i}") for i, p in enumerate(pad)])
+        vals = [value.cast(element).alias(f"_v{j}") if j == k else F.lit(None).cast(sp[4]).alias(f"_v{j}")
+                for j, sp in enumerate(specs)]
+        parts.append(df.select("site", F.lit(k).alias("_k"), okey.alias("_o"), *vals))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    aggs = []
+    for k, (_df, name, _order, _value, element) in enumerate(specs):
+        items = F.array_sort(F.collect_list(F.when(F.col("_k") == k, F.struct(F.col("_o"), F.col(f"_v{k}").alias("_v")))))
+        aggs.append(F.transform(items, lambda x: x["_v"]).cast(f"array<{element}>").alias(name))
+    return union.groupBy("site").agg(*aggs)
+
+
 def report_pieces(a: SiteAnalysis) -> list[DataFrame]:
-    """The per-site list columns of the report, each a (site, column) frame."""
+    """The per-site list columns of the report, as (site, columns…) frames."""
     src = F.col("source_url")
     sig_sources = ordered(a.signal_sources, ["site", "detector_idx"], ["pattern_idx", "src_rank", "src_ord"],
                           F.col("source_url"), "sourceUrls", "string")
     signals = a.signals.join(sig_sources, ["site", "detector_idx"], "left")
-    stack = ordered(signals, ["site"], ["stack_rank"], F.struct(
-        F.col("detector").alias("name"), "category", "confidence", "evidence",
-        F.coalesce("sourceUrls", F.array().cast("array<string>")).alias("sourceUrls")), "stackSignals", SIGNAL_T)
-    colors = ordered(a.colors, ["site"], TOKEN_ORD, F.struct(
-        "name", "value", "format", "usage", _source("css", src, F.col("snippet"), F.col("confidence")).alias("source")),
-        "colors", COLOR_T)
-    typography = ordered(a.fonts, ["site"], TOKEN_ORD, F.struct(
-        F.lit("font-family").alias("name"), F.col("font_family").alias("fontFamily"),
-        _source("css", src, F.col("snippet"), F.col("confidence")).alias("source")), "typography", TYPO_T)
-    radii = ordered(a.radii, ["site"], [*ORD, "kind_rank", "pos"], F.struct(
-        "name", "value", _source("css", src, F.col("snippet"), F.col("confidence")).alias("source")), "radii", NV_T)
-    shadows = ordered(a.shadows, ["site"], [*ORD, "kind_rank", "pos"], F.struct(
-        "name", "value", _source("css", src, F.col("snippet"), F.col("confidence")).alias("source")), "shadows", NV_T)
-    props = ordered(a.properties, ["site"], TOKEN_ORD, _extracted(F.col("property"), src, F.col("snippet"),
-                                                                  F.col("confidence")), "customProperties",
-                    EXTRACTED_T)
-    families = ordered(a.families, ["site"], TOKEN_ORD, F.col("font_family"), "_families", "string")
-    primary_fonts = families.select("site", F.slice("_families", 1, 5).alias("primaryFonts"))
-    heading_scale = ordered(a.headings, ["site"], TOKEN_ORD, F.struct("tag", F.col("font_size").alias("size")),
-                            "headingScale", HEAD_T)
-    body = a.body.select("site", F.col("font_size").alias("bodySize"))
-    pieces = [stack, colors, typography, radii, shadows, props, primary_fonts, heading_scale, body]
+    source = lambda: _source("css", src, F.col("snippet"), F.col("confidence"))
+    specs = [
+        (signals, "stackSignals", ["stack_rank"], F.struct(
+            F.col("detector").alias("name"), "category", "confidence", "evidence",
+            F.coalesce("sourceUrls", F.array().cast("array<string>")).alias("sourceUrls")), SIGNAL_T),
+        (a.colors, "colors", TOKEN_ORD, F.struct("name", "value", "format", "usage", source().alias("source")),
+         COLOR_T),
+        (a.fonts, "typography", TOKEN_ORD, F.struct(F.lit("font-family").alias("name"),
+                                                     F.col("font_family").alias("fontFamily"),
+                                                     source().alias("source")), TYPO_T),
+        (a.radii, "radii", [*ORD, "kind_rank", "pos"], F.struct("name", "value", source().alias("source")), NV_T),
+        (a.shadows, "shadows", [*ORD, "kind_rank", "pos"], F.struct("name", "value", source().alias("source")),
+         NV_T),
+        (a.properties, "customProperties", TOKEN_ORD,
+         _extracted(F.col("property"), src, F.col("snippet"), F.col("confidence")), EXTRACTED_T),
+        (a.families, "_families", TOKEN_ORD, F.col("font_family"), "string"),
+        (a.headings, "headingScale", TOKEN_ORD, F.struct("tag", F.col("font_size").alias("size")), HEAD_T),
+        (a.a11y, "accessibilitySignals", ["feature_ord"], F.struct("feature", "present", "details"), A11Y_T),
+        (a.container_widths, "containerWidths", ["css_ord", "pos"], F.col("value"), "string"),
+        (a.breakpoints, "breakpoints", ["css_ord", "pos"], F.col("value"), "string"),
+    ]
     if a.component_classes is not None:
         classes = ordered(a.component_classes, ["site", "type_idx", "type"], ["class_rank"], F.col("class_pattern"),
                           "classes", "string")
         states = F.array_compact(F.array(*[F.when(F.col(f"has_{s}"), F.lit(s)) for s in P.COMPONENT_STATES]))
         comps = classes.join(a.component_states, ["site", "type_idx", "type"])
-        pieces.append(ordered(comps, ["site"], ["type_idx"], F.struct(
-            F.col("type").alias("name"), "type", "classes", states.alias("states")), "componentPatterns", COMP_T))
-        pieces.append(ordered(a.container_widths, ["site"], ["css_ord", "pos"], F.col("value"),
-                              "containerWidths", "string"))
-        pieces.append(ordered(a.breakpoints, ["site"], ["css_ord", "pos"], F.col("value"), "breakpoints", "string"))
-    pieces.append(ordered(a.a11y, ["site"], ["feature_ord"], F.struct("feature", "present", "details"),
-                          "accessibilitySignals", A11Y_T))
-    return [p for p in pieces if p is not None]
+        specs.append((comps, "componentPatterns", ["type_idx"], F.struct(
+            F.col("type").alias("name"), "type", "classes", states.alias("states")), COMP_T))
+    lists = _lists(specs)
+    lists = lists.withColumn("primaryFonts", F.slice("_families", 1, 5)).drop("_families")
+    body = a.body.select("site", F.col("font_size").alias("bodySize"))
+    return [lists, body]
 
 
 def recommended_approach(primary: Column) -> Column:

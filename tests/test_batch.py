@@ -47,3 +47,31 @@ def test_confidence_bounds(spark):
     sig = queries()["stack_signals"](spark, SF01)
     lo, hi = sig.agg(F.min("confidence"), F.max("confidence")).first()
     assert 0 <= lo <= hi <= 1
+
+
+def test_report_lists_match_flat_analysis(spark):
+    from sitelens.plans.analysis import SiteAnalysis
+    from sitelens.plans.report import run_summary
+
+    i = Inputs(spark, SF001)
+    reqs = i.requests.withColumn("include_assets", F.lit(True))
+    res = run_batch(reqs, i.pages_themed, i.css_assets, i.fetch_log, i.robots)
+    flat = run_summary(SiteAnalysis(res.pages, res.css, res.requests.select(F.col("request_id").alias("site")),
+                                    res.robots))
+    want = {r["site"]: r for r in flat.collect()}
+    r = F.col("report")
+    got = res.reports.select(
+        "site", F.size(r["stackSignals"]).alias("n_signals"), F.size(r["tokens"]["colors"]).alias("n_colors"),
+        F.size(r["tokens"]["typography"]).alias("n_typography"), F.size(r["tokens"]["radii"]).alias("n_radii"),
+        F.size(r["tokens"]["shadows"]).alias("n_shadows"), F.size(r["componentPatterns"]).alias("n_components"),
+        F.size(r["accessibilitySignals"]).alias("n_a11y"), F.size(r["risks"]).alias("n_risks"),
+        F.try_element_at(r["stackSignals"], F.lit(1))["name"].alias("primary")).collect()
+    assert len(got) == len(want) > 0
+    n_comp = 0
+    for g in got:
+        w = want[g["site"]]
+        for c in ("n_signals", "n_colors", "n_typography", "n_radii", "n_shadows", "n_components", "n_a11y", "n_risks"):
+            assert g[c] == w[c], (g["site"], c)
+        assert g["primary"] == w["primary_stack"]
+        n_comp += g["n_components"]
+    assert n_comp > 0  # style sheets were fetched and analysed
