@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
+import uuid
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -33,8 +33,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = sys.argv[1:] or HEADLINE
     spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * int(cpus)), app="sitelens-bench")
-    ensure_checkpoint_dir(spark)
-    scratch = tempfile.mkdtemp(prefix="sitelens-bench-", dir="/tmp")
+    # inputs are landed in the session's shared checkpoint folder (spark.checkpoint.dir), never a machine-local one
+    scratch = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-inputs-{uuid.uuid4().hex}"
 
     t0 = time.time()
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")

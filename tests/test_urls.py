@@ -44,3 +44,15 @@ def test_origin(spark):
                                 (None,)], "u string")
     got = [r[0] for r in df.select(origin(F.col("u"))).collect()]
     assert got == ["https://www.example.com", "http://h.x:8080", "null", None]
+
+
+def test_canonical_urls_are_fixed_points(spark):
+    """Resolving an already canonical URL (no base) gives it back unchanged, for every link of the corpus."""
+    from conftest import SF01
+    from sitelens.operators.links import resolved_links
+    from sitelens.plans.catalog import Inputs
+
+    urls = resolved_links(Inputs(spark, SF01).pages_themed).where(F.col("url").isNotNull()).select("url").distinct()
+    again = with_resolved_url(urls, "url", None, "again")
+    assert again.count() > 1000
+    assert again.where(~F.col("again").eqNullSafe(F.col("url"))).count() == 0
