@@ -532,10 +532,16 @@ def _batch(i: Inputs) -> BT.BatchResult:
 
 @register("extract_site")
 def _q_extract_site(i: Inputs) -> DataFrame:
-    """R1 over the crawl: the extraction summary per request."""
+    """R1 over the crawl: the nested extraction result per request, as JSON, with a few of its sizes."""
     b = _batch(i)
-    a = SiteAnalysis(b.pages, b.css, b.requests.select(F.col("request_id").alias("site")))
-    return RP.run_summary(a)
+    sites = b.requests.select(F.col("request_id").alias("site"))
+    starts = b.requests.select(F.col("request_id").alias("site"), F.col("theme_url").alias("start_url"))
+    ex = RP.extraction_result(SiteAnalysis(b.pages, b.css, sites, b.robots), starts)
+    e = F.col("extraction")
+    return ex.select("site", F.size(e["typographyScale"]["headings"]).alias("n_headings"),
+                     F.size(e["typographyScale"]["fontFamilies"]).alias("n_font_families"),
+                     F.size(e["componentPatterns"]).alias("n_components"), e["layout"]["gridSystem"].alias("grid_system"),
+                     F.to_json(e).alias("extraction_json"))
 
 
 @register("site_report")

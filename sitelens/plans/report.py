@@ -230,3 +230,99 @@ def quick_start_tokens(a: SiteAnalysis) -> DataFrame:
             .unionByName(first(a.radii, "radius", 5, [*ORD, "kind_rank", "pos"], F.col("name"), F.col("value")))
             .unionByName(first(a.shadows, "shadow", 3, [*ORD, "kind_rank", "pos"], F.col("name"), F.col("value")))
             .unionByName(fonts.withColumn("key", F.lit(None).cast("string"))))
+
+
+HEADING_FULL_T = ("struct<tag:string,fontSize:string,fontWeight:string,lineHeight:string,fontFamily:string,"
+                  f"source:{SOURCE_T}>")
+BODY_T = f"struct<fontSize:string,lineHeight:string,fontFamily:string,source:{SOURCE_T}>"
+COMP_FULL_T = ("struct<name:string,type:string,classPatterns:array<string>,hasHoverState:boolean,"
+               f"hasFocusState:boolean,hasActiveState:boolean,source:{SOURCE_T}>")
+A11Y_FULL_T = f"struct<feature:string,present:boolean,details:string,source:{SOURCE_T}>"
+
+
+def extraction_result(a: SiteAnalysis, start_urls: DataFrame) -> DataFrame:
+    """Everything the extractors produce for a site, nested (the original's extraction result).
+
+    ``start_urls``: site, start_url — the source URL of the site-level rules
+    (type scale, components, accessibility, layout).  Lists are built in one
+    aggregate; the start URL is filled in afterwards with one join on site.
+    """
+    src = F.col("source_url")
+    none = F.lit(None).cast("string")
+    css_src = lambda url, snip, conf: _source("css", url, snip, conf)
+    extracted_start = lambda v, snip, conf: F.struct(
+        v.alias("value"), F.lit("css").alias("sourceType"), none.alias("sourceUrl"), snip.alias("sampleSnippet"),
+        F.lit(conf).cast("double").alias("confidence"))
+    sig_sources = ordered(a.signal_sources, ["site", "detector_idx"], ["pattern_idx", "src_rank", "src_ord"],
+                          F.col("source_url"), "sourceUrls", "string")
+    signals = a.signals.join(sig_sources, ["site", "detector_idx"], "left")
+    specs = [
+        (signals, "stackSignals", ["stack_rank"], F.struct(
+            F.col("detector").alias("name"), "category", "confidence", "evidence",
+            F.coalesce("sourceUrls", F.array().cast("array<string>")).alias("sourceUrls")), SIGNAL_T),
+        (a.colors, "colors", TOKEN_ORD, F.struct("name", "value", "format", "usage",
+                                                  css_src(src, F.col("snippet"), F.col("confidence")).alias("source")),
+         COLOR_T),
+        (a.fonts, "typography", TOKEN_ORD, F.struct(F.lit("font-family").alias("name"),
+                                                     F.col("font_family").alias("fontFamily"),
+                                                     css_src(src, F.col("snippet"), F.col("confidence")).alias("source")),
+         TYPO_T),
+        (a.radii, "radii", [*ORD, "kind_rank", "pos"],
+         F.struct("name", "value", css_src(src, F.col("snippet"), F.col("confidence")).alias("source")), NV_T),
+        (a.shadows, "shadows", [*ORD, "kind_rank", "pos"],
+         F.struct("name", "value", css_src(src, F.col("snippet"), F.col("confidence")).alias("source")), NV_T),
+        (a.properties, "customProperties", TOKEN_ORD,
+         _extracted(F.col("property"), src, F.col("snippet"), F.col("confidence")), EXTRACTED_T),
+        (a.headings, "headings", TOKEN_ORD, F.struct(
+            "tag", F.col("font_size").alias("fontSize"), F.col("font_weight").alias("fontWeight"),
+            F.col("line_height").alias("lineHeight"), F.col("font_family").alias("fontFamily"),
+            css_src(none, F.col("snippet"), F.col("confidence")).alias("source")), HEADING_FULL_T),
+        (a.families, "fontFamilies", TOKEN_ORD,
+         extracted_start(F.col("font_family"), F.col("snippet"), P.CONF_FONT_FAMILY_SCALE), EXTRACTED_T),
+        (a.a11y, "accessibilitySignals", ["feature_ord"], F.struct(
+            "feature", "present", "details", _source("x", none, F.col("snippet"), F.col("confidence"))
+            .withField("sourceType", F.col("source_type")).alias("source")), A11Y_FULL_T),
+        (a.container_widths, "containerWidths", ["css_ord", "pos"],
+         extracted_start(F.col("value"), F.col("snippet"), P.CONF_CONTAINER), EXTRACTED_T),
+        (a.breakpoints, "breakpoints", ["css_ord", "pos"],
+         extracted_start(F.col("value"), F.col("snippet"), P.CONF_BREAKPOINT), EXTRACTED_T),
+    ]
+    if a.component_classes is not None:
+        classes = ordered(a.component_classes, ["site", "type_idx", "type"], ["class_rank"], F.col("class_pattern"),
+                          "classPatterns", "string")
+        comps = classes.join(a.component_states, ["site", "type_idx", "type"])
+        specs.append((comps, "componentPatterns", ["type_idx"], F.struct(
+            F.col("type").alias("name"), "type", "classPatterns", F.col("has_hover").alias("hasHoverState"),
+            F.col("has_focus").alias("hasFocusState"), F.col("has_active").alias("hasActiveState"),
+            css_src(none, F.col("sample_snippet"), F.lit(P.CONF_COMPONENT)).alias("source")), COMP_FULL_T))
+    lists = _lists(specs)
+    body = a.body.select("site", F.struct(
+        F.col("font_size").alias("fontSize"), F.col("line_height").alias("lineHeight"),
+        F.col("font_family").alias("fontFamily"), css_src(none, F.col("snippet"), F.col("confidence")).alias("source"))
+        .cast(BODY_T).alias("bodyText"))
+    out = (a.sites.join(start_urls, "site", "left").join(lists, "site", "left").join(body, "site", "left")
+           .join(a.grid, "site", "left").join(a.risks, "site", "left").join(a.notes, "site", "left"))
+    start = F.col("start_url")
+    with_start = lambda c: F.transform(c, lambda x: x.withField("source.sourceUrl", start))
+    with_start_flat = lambda c: F.transform(c, lambda x: x.withField("sourceUrl", start))
+    cols = set(out.columns)
+    empty = lambda t: F.array().cast(f"array<{t}>")
+    arr = lambda c, t: F.coalesce(F.col(c), empty(t)) if c in cols else empty(t)
+    result = F.struct(
+        arr("stackSignals", SIGNAL_T).alias("stackSignals"),
+        F.struct(arr("colors", COLOR_T).alias("colors"), arr("typography", TYPO_T).alias("typography"),
+                 empty(SPACING_T).alias("spacing"), arr("radii", NV_T).alias("radii"),
+                 arr("shadows", NV_T).alias("shadows"),
+                 arr("customProperties", EXTRACTED_T).alias("customProperties")).alias("tokens"),
+        F.struct(with_start(arr("headings", HEADING_FULL_T)).alias("headings"),
+                 F.when(F.col("bodyText").isNotNull(), F.col("bodyText").withField("source.sourceUrl", start))
+                 .alias("bodyText"),
+                 with_start_flat(arr("fontFamilies", EXTRACTED_T)).alias("fontFamilies")).alias("typographyScale"),
+        with_start(arr("componentPatterns", COMP_FULL_T)).alias("componentPatterns"),
+        with_start(arr("accessibilitySignals", A11Y_FULL_T)).alias("accessibilitySignals"),
+        F.struct(with_start_flat(arr("containerWidths", EXTRACTED_T)).alias("containerWidths"),
+                 with_start_flat(arr("breakpoints", EXTRACTED_T)).alias("breakpoints"),
+                 F.coalesce("grid_system", F.lit("unknown")).alias("gridSystem"),
+                 F.coalesce("grid_evidence", empty("string")).alias("gridEvidence")).alias("layout"),
+        F.coalesce("risks", empty("string")).alias("risks"), F.coalesce("notes", empty("string")).alias("notes"))
+    return out.select("site", result.alias("extraction"))
