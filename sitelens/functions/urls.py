@@ -49,8 +49,19 @@ def percent_encode(c: Column, extra: str) -> Column:
     return F.when(c.rlike(rx), enc).otherwise(c)
 
 
+DOT_SEGMENT = r"(?i)(^|/)(\.|%2e){1,2}(/|$)"
+
+
 def _dot_segments(path: Column) -> Column:
-    """Remove ``.`` and ``..`` segments; a trailing dot segment leaves a trailing slash."""
+    """Remove ``.`` and ``..`` segments; a trailing dot segment leaves a trailing slash.
+
+    The fold is a higher-order function (interpreted per row), so it runs only
+    for the rare paths that hold a dot segment; for all others it is the identity.
+    """
+    return F.when(path.rlike(DOT_SEGMENT), _fold_dot_segments(path)).otherwise(path)
+
+
+def _fold_dot_segments(path: Column) -> Column:
     segs = F.split(F.substring(path, 2, 1 << 30), "/")
     one = lambda s: F.lower(s).isin(".", "%2e")
     two = lambda s: F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e")
