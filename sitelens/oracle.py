@@ -797,3 +797,47 @@ SELECT DISTINCT site, regexp_extract({jtrim(f"regexp_extract(m, {L(P.CUSTOM_PROP
 FROM ({explode_matches("blocks", "css", P.CUSTOM_PROPERTY, "site")})
 """)
 query("stream_color_tokens", ["inline_colors"], "SELECT site, value FROM inline_colors WHERE value <> ''")
+
+# ---------------------------------------------------------------------------
+# Crawl (L8): the level-wise rule unrolled (the budget caps it at 20 levels)
+# ---------------------------------------------------------------------------
+cte("bfs_links", ["internal_links", "page_status", "page_bases"], """
+SELECT b.final_url AS key, l.kind_rank, l.p1, l.p2, l.url AS target
+FROM internal_links l JOIN page_status s ON s.site = l.site AND s.page_ord = l.page_ord
+JOIN page_bases b ON b.site = l.site AND b.page_ord = l.page_ord
+WHERE s.error IS NULL AND b.final_url IS NOT NULL
+""")
+cte("bfs_reqs", ["req_norm", "validate_requests_v"], f"""
+SELECT n.request_id, n.seed, n.max_pages, n.same_origin_only, {origin_sql('n.seed')} AS seed_origin
+FROM req_norm n JOIN validate_requests_v v ON v.request_id = n.request_id AND v.valid
+""")
+cte("validate_requests_v", ["req_parsed"], _QUERIES["validate_requests"][1])
+cte("bfs_v0", ["bfs_reqs"], """
+SELECT request_id, seed AS url, cast(1 AS bigint) AS visit_no, cast(0 AS bigint) AS level
+FROM bfs_reqs WHERE seed IS NOT NULL AND max_pages >= 1
+""")
+_MAX_LEVELS = P.MAX_PAGES_RANGE[1]
+for _lv in range(1, _MAX_LEVELS + 1):
+    _prev_v, _prev_f = f"bfs_v{_lv - 1}", ("bfs_v0" if _lv == 1 else f"bfs_n{_lv - 1}")
+    cte(f"bfs_n{_lv}", [_prev_v, _prev_f, "bfs_links", "bfs_reqs"], f"""
+SELECT request_id, url, visit_no, cast({_lv} AS bigint) AS level FROM (
+  SELECT c.request_id, c.url, r.max_pages,
+         cast((SELECT max(visit_no) FROM {_prev_v} v WHERE v.request_id = c.request_id)
+              + row_number() OVER (PARTITION BY c.request_id ORDER BY c.parent, c.kind_rank, c.p1, c.p2) AS bigint)
+           AS visit_no
+  FROM (
+    SELECT * FROM (
+      SELECT f.request_id, b.target AS url, f.visit_no AS parent, b.kind_rank, b.p1, b.p2,
+             row_number() OVER (PARTITION BY f.request_id, b.target
+                                ORDER BY f.visit_no, b.kind_rank, b.p1, b.p2) AS rn
+      FROM {_prev_f} f
+      JOIN bfs_links b ON b.key = regexp_replace(f.url, '#.*$', '')
+      JOIN bfs_reqs r ON r.request_id = f.request_id
+      WHERE (NOT r.same_origin_only OR coalesce({origin_sql('b.target')} = r.seed_origin, false))
+        AND NOT EXISTS (SELECT 1 FROM {_prev_v} v WHERE v.request_id = f.request_id AND v.url = b.target))
+    WHERE rn = 1) c
+  JOIN bfs_reqs r ON r.request_id = c.request_id)
+WHERE visit_no <= max_pages
+""")
+    cte(f"bfs_v{_lv}", [_prev_v, f"bfs_n{_lv}"], f"SELECT * FROM {_prev_v} UNION ALL SELECT * FROM bfs_n{_lv}")
+query("site_bfs", [f"bfs_v{_MAX_LEVELS}"], f"SELECT request_id, url, visit_no, level FROM bfs_v{_MAX_LEVELS}")
