@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.functions.urls import strip_fragment
+from sitelens.functions.urls import origin, strip_fragment, with_resolved_url
 from sitelens.operators import crawl as CR
 from sitelens.operators import links as LK
 from sitelens.operators import requests as RQ
@@ -22,7 +22,7 @@ from sitelens.operators.robots import robots_status
 from sitelens.plans.analysis import SiteAnalysis
 from sitelens.plans.markdown import design_doc
 from sitelens.plans.report import report_json, site_report
-from sitelens.session import ensure_checkpoint_dir, join_small, materialize
+from sitelens.session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir, join_small, materialize
 
 DEFAULT_GENERATED_AT = "2026-01-01T00:00:00.000Z"
 MISSING_STATUS = 404  # a URL with no landed page answers Not Found
@@ -84,12 +84,31 @@ def fetched_css(crawled: DataFrame, requests: DataFrame, css_store: DataFrame) -
     return got.select("site", (F.row_number().over(w) - 1).cast("bigint").alias("css_ord"), "css_url", "css")
 
 
+def pages_of_origins(pages: DataFrame, origins: DataFrame) -> DataFrame:
+    """Landed pages whose canonical origin is one of ``origins`` (column ``origin``).
+
+    A crawl never leaves its seed's origin (links are kept only on the page's
+    own origin and the store has no redirects), so a batch needs only the pages
+    of the requested origins.  The origin is computed in the same narrow pass
+    that carries the HTML and the requested set is broadcast when its checked
+    size allows; beyond that the store is used whole rather than shuffled.
+    """
+    n = origins.count()
+    if n > BROADCAST_MAX_ROWS:
+        return pages
+    canon = with_resolved_url(pages, "url", None, "_canon")
+    keyed = canon.withColumn("_origin", origin(strip_fragment(F.col("_canon"))))
+    wanted = F.broadcast(origins.select(F.col("origin").alias("_origin")))
+    return keyed.join(wanted, "_origin", "left_semi").select(*pages.columns)
+
+
 def run_batch(requests: DataFrame, pages: DataFrame, css_store: DataFrame, fetch_log: DataFrame | None,
               robots: DataFrame | None, generated_at: str = DEFAULT_GENERATED_AT) -> BatchResult:
     ensure_checkpoint_dir(requests.sparkSession)
     # Stage results are written as tables in the checkpoint folder: each is reused
     # by many report pieces, and the lineage behind them (crawl levels) is long.
     reqs = materialize(RQ.accepted_requests(requests), "requests")
+    pages = pages_of_origins(pages, reqs.select(F.col("site").alias("origin")).where("origin is not null").distinct())
     status = CR.page_status(pages, fetch_log)
     visited = CR.site_bfs(reqs, CR.store_links(pages, status))
     crawled = materialize(crawled_pages(visited, pages, status), "crawled-pages")

@@ -75,3 +75,15 @@ def test_report_lists_match_flat_analysis(spark):
         assert g["primary"] == w["primary_stack"]
         n_comp += g["n_components"]
     assert n_comp > 0  # style sheets were fetched and analysed
+
+
+def test_store_pruning_is_exact(spark, monkeypatch):
+    """Cutting the store to the requested origins changes nothing in the crawl or the reports."""
+    import sitelens.plans.batch as BT
+
+    i = Inputs(spark, SF001)
+    a = BT.run_batch(i.requests, i.pages_themed, i.css_assets, i.fetch_log, i.robots)
+    monkeypatch.setattr(BT, "pages_of_origins", lambda pages, origins: pages)
+    b = BT.run_batch(i.requests, i.pages_themed, i.css_assets, i.fetch_log, i.robots)
+    key = lambda res: sorted(tuple(r) for r in res.outputs.select("site", "report_json").collect())
+    assert key(a) == key(b)
