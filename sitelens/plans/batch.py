@@ -92,9 +92,11 @@ def pages_of_origins(pages: DataFrame, origins: DataFrame) -> DataFrame:
     of the requested origins.  The origin is computed in the same narrow pass
     that carries the HTML and the requested set is broadcast when its checked
     size allows; beyond that the store is used whole rather than shuffled.
+    When the requests cover half of the store's sites or more, the cut would
+    save little and is skipped (this choice affects cost only, not results).
     """
     n = origins.count()
-    if n > BROADCAST_MAX_ROWS:
+    if n > BROADCAST_MAX_ROWS or 2 * n >= pages.select("site").distinct().count():
         return pages
     canon = with_resolved_url(pages, "url", None, "_canon")
     keyed = canon.withColumn("_origin", origin(strip_fragment(F.col("_canon"))))
