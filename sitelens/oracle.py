@@ -841,3 +841,21 @@ WHERE visit_no <= max_pages
 """)
     cte(f"bfs_v{_lv}", [_prev_v, f"bfs_n{_lv}"], f"SELECT * FROM {_prev_v} UNION ALL SELECT * FROM bfs_n{_lv}")
 query("site_bfs", [f"bfs_v{_MAX_LEVELS}"], f"SELECT request_id, url, visit_no, level FROM bfs_v{_MAX_LEVELS}")
+
+query("layout_summary", ["container_widths", "breakpoints", "grid", "sites", "css_assets"], f"""
+SELECT site, 'container_width' AS kind, cast(css_ord * 1000000 + pos AS bigint) AS item_ord, value FROM container_widths
+UNION ALL SELECT site, 'breakpoint', cast(css_ord * 1000000 + pos AS bigint), value FROM breakpoints
+UNION ALL SELECT site, 'grid_system', cast(0 AS bigint), grid_system FROM grid
+UNION ALL SELECT site, 'grid_evidence', cast(k AS bigint), ev FROM (
+  SELECT s.site, unnest(list_filter([
+      CASE WHEN bool_or(regexp_matches(c.css, {L(P.GRID_DISPLAY)})) THEN '{P.GRID_EVIDENCE[0]}' END,
+      CASE WHEN bool_or(regexp_matches(c.css, {L(P.FLEX_DISPLAY)})) THEN '{P.GRID_EVIDENCE[1]}' END,
+      CASE WHEN bool_or(regexp_matches(c.css, {L(P.BOOTSTRAP_COLUMNS)})) THEN '{P.GRID_EVIDENCE[2]}' END],
+      lambda x: x IS NOT NULL)) AS ev,
+    unnest(generate_series(0, len(list_filter([
+      CASE WHEN bool_or(regexp_matches(c.css, {L(P.GRID_DISPLAY)})) THEN 1 END,
+      CASE WHEN bool_or(regexp_matches(c.css, {L(P.FLEX_DISPLAY)})) THEN 1 END,
+      CASE WHEN bool_or(regexp_matches(c.css, {L(P.BOOTSTRAP_COLUMNS)})) THEN 1 END], lambda x: x IS NOT NULL)) - 1))
+      AS k
+  FROM sites s JOIN css_assets c ON c.site = s.site GROUP BY s.site)
+""")

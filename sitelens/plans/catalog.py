@@ -605,3 +605,24 @@ def _q_stream_color_tokens(i: Inputs) -> DataFrame:
     i.pages_themed.select("page_id", "page_ord", "site", "url", "html").repartition(4).write.parquet(f"{root}/pages")
     ST.run_available(i.spark, f"{root}/pages", f"{root}/out", f"{root}/state")
     return i.spark.read.parquet(f"{root}/out").select("site", "value")
+
+
+@register("layout_summary")
+def _q_layout_summary(i: Inputs) -> DataFrame:
+    """R6, layout half: the layout values without source info, as (site, kind, item_ord, value).
+
+    Container widths in order (not de-duplicated), breakpoints first seen, the
+    grid system, and its evidence list.  Item order is the order key, not a rank.
+    """
+    a = _analysis(i)
+    cw = a.container_widths.select("site", F.lit("container_width").alias("kind"),
+                                   (F.col("css_ord") * 1_000_000 + F.col("pos")).cast("bigint").alias("item_ord"),
+                                   "value")
+    bp = a.breakpoints.select("site", F.lit("breakpoint").alias("kind"),
+                              (F.col("css_ord") * 1_000_000 + F.col("pos")).cast("bigint").alias("item_ord"), "value")
+    grid = a.grid.select("site", F.lit("grid_system").alias("kind"), F.lit(0).cast("bigint").alias("item_ord"),
+                         F.col("grid_system").alias("value"))
+    ev = a.grid.select("site", F.lit("grid_evidence").alias("kind"),
+                       F.posexplode("grid_evidence").alias("item_ord", "value")).select(
+        "site", "kind", F.col("item_ord").cast("bigint"), "value")
+    return cw.unionByName(bp).unionByName(grid).unionByName(ev)
