@@ -8,7 +8,7 @@ from conftest import SF001
 
 FAST = ["color_usage_counts", "custom_properties", "radius_tokens", "stack_signals", "component_states",
         "a11y_report", "breakpoints", "css_links", "internal_links", "validate_requests", "crawl_stats",
-        "quick_start_tokens", "robots_status"]
+        "quick_start_tokens", "robots_status", "layout_summary", "site_bfs"]
 
 
 @pytest.fixture(scope="module")
