@@ -122,7 +122,9 @@ def run_batch(requests: DataFrame, pages: DataFrame, css_store: DataFrame, fetch
                     .select(F.col("request_id").alias("site"), F.coalesce("status", F.lit("allowed")).alias("robots_status")))
     else:
         site_rob = sites.select("site", F.lit("allowed").alias("robots_status"))
-    analysis = SiteAnalysis(crawled, css, sites, site_rob)
+    # sources of inline styles and stack signals are the pages' final URLs (no fragment), as fetched
+    analysed = crawled.select("site", "page_ord", F.col("final_url").alias("url"), "html")
+    analysis = SiteAnalysis(analysed, css, sites, site_rob)
     meta = _meta(reqs, crawled, css, fetch_log, site_rob)
     reports = materialize(site_report(analysis, meta, generated_at), "reports")
     docs = design_doc(reports)
