@@ -41,7 +41,10 @@ def effective_status(status: F.Column, url: F.Column) -> tuple[F.Column, F.Colum
 
 
 def page_status(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
-    """Status of each landed page from the fetch log (200 when not logged).  Output: site, page_ord, status, error."""
+    """Status of each landed page from the fetch log (200 when not logged).
+
+    Output: site, page_ord, url, status, error (after the retry rule, for this URL), raw_status.
+    """
     keys = pages.select("site", "page_ord", "url")
     if fetch_log is not None:
         log = fetch_log.where(F.col("kind") == "page").select("site", "url", F.col("status").alias("_raw"))
@@ -50,7 +53,8 @@ def page_status(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
         keys = keys.withColumn("_raw", F.lit(None).cast("int"))
     raw = F.coalesce(F.col("_raw"), F.lit(200))
     eff, err = effective_status(raw, F.col("url"))
-    return keys.select("site", "page_ord", "url", eff.alias("status"), err.alias("error"))
+    return keys.select("site", "page_ord", "url", eff.alias("status"), err.alias("error"),
+                       raw.cast("int").alias("raw_status"))
 
 
 def page_keys(pages: DataFrame) -> DataFrame:

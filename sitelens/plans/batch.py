@@ -47,18 +47,19 @@ def crawled_pages(visited: DataFrame, pages: DataFrame, status: DataFrame) -> Da
     """
     vk = materialize(visited.withColumn("key", strip_fragment(F.col("url"))), "crawl-visited")
     keys = join_small(CR.page_keys(pages), vk.select("key").distinct(), "key", "left_semi")
-    keys = keys.join(status.select("site", "page_ord", "status", "error"), ["site", "page_ord"])
-    keys = first_seen(keys, ["key"], ["site", "page_ord"], ["status", "error"]).select(
-        "key", F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "status", "error")
+    keys = keys.join(status.select("site", "page_ord", "raw_status"), ["site", "page_ord"])
+    keys = first_seen(keys, ["key"], ["site", "page_ord"], ["raw_status"]).select(
+        "key", F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "raw_status")
     hits = materialize(vk.join(keys, "key", "left"), "crawl-hits")
     wanted = hits.where(F.col("store_site").isNotNull()).select("store_site", "store_ord").distinct()
     body = join_small(pages.select(F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "html"),
                       wanted, ["store_site", "store_ord"], "left_semi")
     rec = hits.join(body, ["store_site", "store_ord"], "left")
     missing = F.col("store_site").isNull()
-    status_c = F.when(missing, F.lit(MISSING_STATUS)).otherwise(F.col("status"))
-    error_c = F.when(missing, F.lit(f"HTTP {MISSING_STATUS}")).otherwise(F.col("error"))
-    html = F.when(missing | F.col("error").isNotNull(), F.lit("")).otherwise(F.col("html"))
+    # the retry rule names the URL that was fetched: the visited one
+    raw = F.when(missing, F.lit(MISSING_STATUS)).otherwise(F.col("raw_status"))
+    status_c, error_c = CR.effective_status(raw, F.col("url"))
+    html = F.when(error_c.isNotNull(), F.lit("")).otherwise(F.col("html"))
     return rec.select(F.col("request_id").alias("site"), (F.col("visit_no") - 1).alias("page_ord"), "url",
                       F.col("key").alias("final_url"), status_c.cast("int").alias("status"), error_c.alias("error"),
                       html.alias("html"))
