@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import quality_rules
+from sitelens.llm import bpe, mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.quality_query,
+    "op7_bpe": bpe.bpe_query,
+    "op8_mixing": mixing.mixing_query,
 }
 
 #: Queries whose whole result SQL can express; the learned, iterative and random ones have none and are tested by brute force.
