@@ -11,6 +11,7 @@
 Only distinct words per block and one copy of the texts are shuffled, never a
 row per word occurrence.  A block is one input split, so its size is bounded by
 the reader's split size; the words of a block are small next to its texts.
+Texts and encoded words travel as compressed Arrow streams of many rows.
 
 A *word* here is the smallest part the tokenizer treats alone: texts are cut at
 white space (the normaliser drops it), lower-cased and cut by the tokenizer's
@@ -29,7 +30,9 @@ import hashlib
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +43,12 @@ from sitelens.llm import common as C
 WORDS_AT_ONCE = 1_000_000
 
 _ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Latin letters with marks: already composed, and lower-cased one by one (the dotted capital I and the two
+# spaces of this range are left to the general way).
+_LATIN = re.compile("[\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u017f]*")
+_LATIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: Rows of one compressed stream.
+PACK_ROWS = 2_000
 _loaded: dict[str, object] = {}
 
 
@@ -68,7 +77,10 @@ def splitter(path: str) -> Callable[[bytes], list[bytes]]:
             return [run]
         if run.isascii():
             return _ASCII_PARTS.findall(run.lower())
-        plain = tok.normalizer.normalize_str(run.decode())
+        text = run.decode()
+        if _LATIN.fullmatch(text):
+            return [p.encode() for p in _LATIN_PARTS.findall(text.lower())]
+        plain = tok.normalizer.normalize_str(text)
         parts = [plain[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(plain)]
         for part in parts:
             if tok.normalizer.normalize_str(part) != part or len(tok.pre_tokenizer.pre_tokenize_str(part)) != 1:
@@ -116,6 +128,34 @@ def block_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return marked.mapInArrow(run, "block int, word binary")
 
 
+def pack(df: DataFrame, key: str, rows: int = PACK_ROWS) -> DataFrame:
+    """``(key, packed)``: up to ``rows`` consecutive rows of one key as one compressed Arrow stream."""
+    C.ship(df.sparkSession)
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = table[key].combine_chunks().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            edges = sorted({0, len(keys), *cuts.tolist(), *range(0, len(keys), rows)})
+            out = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                sink = pa.BufferOutputStream()
+                part = table.slice(a, b - a).drop_columns([key])
+                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+                    writer.write_table(part.combine_chunks())
+                out.append((keys[a], sink.getvalue().to_pybytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], [key, "packed"])
+
+    return df.mapInArrow(run, f"{key} int, packed binary")
+
+
+def unpack(column: pa.ChunkedArray) -> list[pa.Table]:
+    return [pa.ipc.open_stream(p).read_all() for p in column.to_pylist()]
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """``(id, piece)`` of every id of the tokenizer file, special tokens included."""
     pairs = sorted((i, p) for p, i in tokenizer(path).get_vocab(with_added_tokens=True).items())
@@ -158,17 +198,19 @@ def tokens_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 def _put_together(docs: DataFrame, path: str, key: str, text: str, digests: bool) -> DataFrame:
     spark = docs.sparkSession
     C.ship(spark)
-    listed = block_words(docs, path, text)
-    words = listed.select("word").distinct()
-    table = decode_ids(encode_words(words, path), spark, path)
-    back = listed.distinct().join(table, "word").select("block", "word", "ids_text", "pieces_text")
-    rows = docs.select(F.spark_partition_id().alias("block"), F.col(key).alias("key"), F.col(text).alias("text"))
+    # dealt by word once, for the distinct words and for the way back to their blocks
+    listed = block_words(docs, path, text).repartition("word")
+    table = decode_ids(encode_words(listed.select("word").distinct(), path), spark, path)
+    back = pack(listed.join(table, "word").select("block", "word", "ids_text", "pieces_text").sortWithinPartitions("block"), "block", 50_000)
+    rows = pack(docs.select(F.spark_partition_id().alias("block"), F.col(key).alias("key"), F.col(text).alias("text")), "block")
     kind = docs.schema[key].dataType
     out = "key {}, n_tokens long, ids string, decoded string".format(kind.simpleString())
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         cut, tok = splitter(path), tokenizer(path)
-        known = dict(zip(_utf8(right["word"].combine_chunks()), zip(_utf8(right["ids_text"].combine_chunks()), _utf8(right["pieces_text"].combine_chunks()))))
+        known = {}
+        for words in unpack(right["packed"]):
+            known.update(zip(*(_utf8(words["word"].combine_chunks()), zip(*(_utf8(words[c].combine_chunks()) for c in ("ids_text", "pieces_text"))))))
 
         class Runs(dict):
             """Ids and pieces of a run, put together from its words when first met."""
@@ -184,9 +226,10 @@ def _put_together(docs: DataFrame, path: str, key: str, text: str, digests: bool
                 self[run] = made = (b" ".join(x[0] for x in found), b" ".join(x[1] for x in found))
                 return made
 
-        runs, n, ids, decoded = Runs(), [], [], []
-        for chunk in left["text"].chunks:
-            for t in _utf8(chunk):
+        runs, keys, n, ids, decoded = Runs(), [], [], [], []
+        for docs in unpack(left["packed"]):
+            keys += docs["key"].chunks
+            for t in _utf8(docs["text"].combine_chunks()):
                 pairs = [p for p in map(runs.__getitem__, t.split()) if p[0]]
                 a, b = b" ".join([p[0] for p in pairs]), b" ".join([p[1] for p in pairs])
                 n.append(a.count(b" ") + 1 if a else 0)
@@ -194,7 +237,7 @@ def _put_together(docs: DataFrame, path: str, key: str, text: str, digests: bool
                 decoded.append(hashlib.sha256(b).hexdigest() if digests else b.decode())
                 if len(runs) > 2 * WORDS_AT_ONCE:
                     runs.clear()
-        return pa.table({"key": left["key"], "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.string()), "decoded": pa.array(decoded, pa.string())})
+        return pa.table({"key": pa.chunked_array(keys), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.string()), "decoded": pa.array(decoded, pa.string())})
 
     made = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(join, out)
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids_text", "decoded")
