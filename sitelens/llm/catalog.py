@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import bpe, mixing, quality_rules
+from sitelens.llm import bpe, mixing, near_dedup, pii, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.quality_query,
+    "op3_pii": pii.pii_query,
+    "op4_sharding": sharding.sharding_query,
     "op7_bpe": bpe.bpe_query,
     "op8_mixing": mixing.mixing_query,
+    "op10_near_dedup": near_dedup.near_dedup_query,
 }
 
 #: Queries whose whole result SQL can express; the learned, iterative and random ones have none and are tested by brute force.

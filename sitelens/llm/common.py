@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,20 @@ def with_row_id(df: DataFrame, name: str, out: str = "rid") -> DataFrame:
     return write_once(df.withColumn(out, F.monotonically_increasing_id()), name)
 
 
+def numbered(df: DataFrame, group: str, order: list[str], out: str, name: str) -> DataFrame:
+    """0-based places within ``group`` by ``order``, for groups of any size: ranges of rows are numbered
+    apart and shifted by the counts before them.  Rows that are alike in ``order`` may swap places."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, group, *order, "_tie")
+              .sortWithinPartitions(group, *order, "_tie").drop("_tie")
+              .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = write_once(ranged, name)  # both uses below must see the same places
+    counts = ranged.groupBy("_pid", group).agg(F.min("_mid").alias("_m0"), F.count("*").alias("_c"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    return ranged.join(shifts, ["_pid", group]).withColumn(out, F.col("_off") + F.col("_mid") - F.col("_m0")).drop("_pid", "_mid", "_m0", "_off")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -24,7 +24,7 @@ partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.llm import common as C
@@ -36,27 +36,13 @@ MOST_COPIES = 2.0
 SEED = 20_011
 
 
-def _numbered(df: DataFrame, group: str, order: list[str], out: str, name: str) -> DataFrame:
-    """0-based places within ``group`` by ``order``, for groups of any size: ranges of rows are numbered
-    apart and shifted by the counts before them.  Rows that are alike in ``order`` may swap places."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, group, *order, "_tie")
-              .sortWithinPartitions(group, *order, "_tie").drop("_tie")
-              .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = C.write_once(ranged, name)  # both uses below must see the same places
-    counts = ranged.groupBy("_pid", group).agg(F.min("_mid").alias("_m0"), F.count("*").alias("_c"))
-    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    return ranged.join(shifts, ["_pid", group]).withColumn(out, F.col("_off") + F.col("_mid") - F.col("_m0")).drop("_pid", "_mid", "_m0", "_off")
-
-
 def source_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = MOST_COPIES) -> DataFrame:
     """``(src, source, source_size, target)`` from ``docs(source, size)``: shares by weight, stopped at
     ``cap`` times the source's size, what is over shared again by weight until none is above."""
     # partial sums first: a hot source is one row per task before the shuffle
     sizes = (docs.groupBy("source").agg(F.sum("size").alias("source_size"))
              .withColumn("_one", F.lit(0)).withColumn("_null", F.col("source").isNull().cast("int")))
-    ranked = _numbered(sizes, "_one", ["_null", "source"], "src", "mix-sources").drop("_one", "_null")
+    ranked = C.numbered(sizes, "_one", ["_null", "source"], "src", "mix-sources").drop("_one", "_null")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("src") % len(weights) + 1).cast("int"))
     ranked = C.write_once(ranked.withColumn("weight", weight), "mix-weights")
     limit = F.col("source_size") * cap
@@ -140,7 +126,7 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS,
     open_ = (F.col("size") > 0) & (F.col("part") > 0)
     # largest first: a large document carried on is decided on its way through the smaller ones, so what is
     # left undecided at the end is small
-    units = _numbered(rows.where(open_).withColumn("less", -F.col("size")), "src", ["less", "key"], "at", "mix-units")
+    units = C.numbered(rows.where(open_).withColumn("less", -F.col("size")), "src", ["less", "key"], "at", "mix-units")
     picked = round_fractions(units.select("src", "at", F.col("key").alias("d"), F.col("size").alias("z"), F.col("part").alias("p")), seed)
     by_source = rated.select("src", "source_size", "target", "whole")
     given = (picked.join(by_source, "src")
