@@ -8,10 +8,10 @@
 4. The encoded words go back to the block of rows they came from, where ids and
    pieces are put together by the words' positions in each text.
 
-Only distinct words per block and one copy of the texts are shuffled, never a
-row per word occurrence.  A block is one input split, so its size is bounded by
-the reader's split size; the words of a block are small next to its texts.
-Texts and encoded words travel as compressed Arrow streams of many rows.
+Only distinct words per block and the positions are shuffled, never a row per
+word occurrence: a text travels as the numbers of its words in its part of the
+block, about 1.5 bytes a word.  A block is one input split, so its size is
+bounded by the reader's split size.
 
 A *word* here is the smallest part the tokenizer treats alone: texts are cut at
 white space (the normaliser drops it), lower-cased and cut by the tokenizer's
@@ -32,6 +32,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +48,8 @@ _ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 # spaces of this range are left to the general way).
 _LATIN = re.compile("[\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u017f]*")
 _LATIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+")
-#: Rows of one compressed stream.
-PACK_ROWS = 2_000
+#: Bytes of text that are numbered together, about.
+PART_BYTES = 32 << 20
 _loaded: dict[str, object] = {}
 
 
@@ -94,6 +95,21 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def _runs(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """How many runs between white space each text has, and all runs in order, dictionary-encoded."""
+    lists = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
+    flat = lists.flatten()
+    real = pc.not_equal(flat, "")
+    owner = np.repeat(np.arange(len(column)), np.asarray(pc.list_value_length(lists)))[real.to_numpy(zero_copy_only=False)]
+    return np.bincount(owner, minlength=len(column)), flat.filter(real).dictionary_encode()
+
+
+def _parts(column: pa.Array):
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()))
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PART_BYTES)) + 1
+    yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)])
+
+
 def block_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``(block, word)``: the words of each block, once per task (or part of a task)."""
     C.ship(docs.sparkSession)
@@ -102,19 +118,17 @@ def block_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         cut, runs, words, block = splitter(path), set(), set(), None
 
         def out():
-            names = ["block", "word"]
             listed = list(words)
             for a in range(0, len(listed), 50_000):
                 part = listed[a:a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], ["block", "word"])
 
         for batch in batches:
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             if not batch.num_rows:
                 continue
-            block = columns["block"][0].as_py()
-            for t in _utf8(columns["text"]):
-                new = set(t.split()) - runs
+            block = batch.column(0)[0].as_py()
+            for a, b in _parts(batch.column(1)):
+                new = set(_utf8(_runs(batch.column(1).slice(a, b - a))[1].dictionary)) - runs
                 runs |= new
                 for r in new:
                     words.update(cut(r))
@@ -128,7 +142,33 @@ def block_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return marked.mapInArrow(run, "block int, word binary")
 
 
-def pack(df: DataFrame, key: str, rows: int = PACK_ROWS) -> DataFrame:
+def block_positions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(block, packed)``: keys of a part of a block, its distinct runs, and each text as the numbers of its runs."""
+    C.ship(docs.sparkSession)
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+        for batch in batches:
+            for a, b in _parts(batch.column(2)) if batch.num_rows else ():
+                counts, runs = _runs(batch.column(2).slice(a, b - a))
+                codes = runs.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(-np.bincount(codes, minlength=len(runs.dictionary)), kind="stable")  # frequent runs get small numbers
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                planes = rank[codes].view(np.uint8).reshape(-1, 4).T.tobytes() if len(codes) else b""
+                sink = pa.BufferOutputStream()
+                streams = ({"key": batch.column(1).slice(a, b - a), "n": pa.array(counts, pa.int64())}, {"run": runs.dictionary.take(pa.array(order))}, {"planes": pa.array([planes], pa.large_binary())})
+                for columns in streams:
+                    made = pa.table(columns)
+                    with pa.ipc.new_stream(sink, made.schema, options=options) as writer:
+                        writer.write_table(made)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
+
+    marked = docs.select(F.spark_partition_id().alias("block"), F.col(key).alias("key"), F.col(text).alias("text"))
+    return marked.mapInArrow(run, "block int, packed binary")
+
+
+def pack(df: DataFrame, key: str, rows: int) -> DataFrame:
     """``(key, packed)``: up to ``rows`` consecutive rows of one key as one compressed Arrow stream."""
     C.ship(df.sparkSession)
 
@@ -176,12 +216,16 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 
 
 def decode_ids(encoded: DataFrame, spark: SparkSession, path: str, key: str = "word") -> DataFrame:
-    """``(key, ids_text, pieces_text)``: decimal ids and pieces, joined by spaces in order; the join keeps the key's partitions."""
+    """``encoded(key, ids, ...)`` with ``ids_text`` and ``pieces_text``: decimal ids and pieces, joined by spaces in order.
+
+    The join is with the vocabulary, and it keeps the key's partitions, so the ids come together again without a shuffle.
+    """
     pieces = F.broadcast(vocabulary(spark, path))  # bounded by the tokenizer file
-    placed = encoded.select(key, F.posexplode("ids").alias("at", "id")).join(pieces, "id")
+    rest = [c for c in encoded.columns if c not in (key, "ids")]
+    placed = encoded.select(key, *rest, F.posexplode("ids").alias("at", "id")).join(pieces, "id")
     parts = F.array_sort(F.collect_list(F.struct("at", "id", "piece")))
-    return (placed.groupBy(key).agg(parts.alias("parts"))
-            .select(key, F.array_join(F.transform("parts", lambda x: x["id"].cast("string")), " ").alias("ids_text"),
+    return (placed.groupBy(key).agg(parts.alias("parts"), *[F.first(c).alias(c) for c in rest])
+            .select(key, *rest, F.array_join(F.transform("parts", lambda x: x["id"].cast("string")), " ").alias("ids_text"),
                     F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("pieces_text")))
 
 
@@ -198,12 +242,13 @@ def tokens_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 def _put_together(docs: DataFrame, path: str, key: str, text: str, digests: bool) -> DataFrame:
     spark = docs.sparkSession
     C.ship(spark)
-    # dealt by word once, for the distinct words and for the way back to their blocks
-    listed = block_words(docs, path, text).repartition("word")
-    table = decode_ids(encode_words(listed.select("word").distinct(), path), spark, path)
-    back = pack(listed.join(table, "word").select("block", "word", "ids_text", "pieces_text").sortWithinPartitions("block"), "block", 50_000)
-    rows = pack(docs.select(F.spark_partition_id().alias("block"), F.col(key).alias("key"), F.col(text).alias("text")), "block")
+    # one row per distinct word, with the blocks (input splits) that hold it
+    words = block_words(docs, path, text).groupBy("word").agg(F.collect_list("block").alias("blocks"))
+    table = decode_ids(encode_words(words, path), spark, path)
+    back = pack(table.select(F.explode("blocks").alias("block"), "word", "ids_text", "pieces_text").sortWithinPartitions("block"), "block", 50_000)
+    rows = block_positions(docs, key, text)
     kind = docs.schema[key].dataType
+    left_key = C.arrow_type(kind)
     out = "key {}, n_tokens long, ids string, decoded string".format(kind.simpleString())
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -212,32 +257,38 @@ def _put_together(docs: DataFrame, path: str, key: str, text: str, digests: bool
         for words in unpack(right["packed"]):
             known.update(zip(*(_utf8(words["word"].combine_chunks()), zip(*(_utf8(words[c].combine_chunks()) for c in ("ids_text", "pieces_text"))))))
 
-        class Runs(dict):
-            """Ids and pieces of a run, put together from its words when first met."""
-
-            def __missing__(self, run: bytes):
-                found = []
-                for w in cut(run):
-                    if w not in known:  # the word has no ids, or the rows were split anew after a loss of executors
-                        ids = tok.encode(w.decode(), add_special_tokens=False).ids
-                        known[w] = (" ".join(map(str, ids)).encode(), " ".join(map(tok.id_to_token, ids)).encode())
-                    if known[w][0]:
-                        found.append(known[w])
-                self[run] = made = (b" ".join(x[0] for x in found), b" ".join(x[1] for x in found))
-                return made
-
-        runs, keys, n, ids, decoded = Runs(), [], [], [], []
-        for docs in unpack(left["packed"]):
-            keys += docs["key"].chunks
-            for t in _utf8(docs["text"].combine_chunks()):
-                pairs = [p for p in map(runs.__getitem__, t.split()) if p[0]]
-                a, b = b" ".join([p[0] for p in pairs]), b" ".join([p[1] for p in pairs])
-                n.append(a.count(b" ") + 1 if a else 0)
-                ids.append(hashlib.sha256(a).hexdigest() if digests else a.decode())
-                decoded.append(hashlib.sha256(b).hexdigest() if digests else b.decode())
-                if len(runs) > 2 * WORDS_AT_ONCE:
-                    runs.clear()
-        return pa.table({"key": pa.chunked_array(keys), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.string()), "decoded": pa.array(decoded, pa.string())})
+        def whole(run: bytes) -> tuple[bytes, bytes]:
+            """Ids and pieces of a run, put together from its words."""
+            found = []
+            for w in cut(run):
+                if w not in known:  # the word has no ids, or the rows were split anew after a loss of executors
+                    ids = tok.encode(w.decode(), add_special_tokens=False).ids
+                    known[w] = (" ".join(map(str, ids)).encode(), " ".join(map(tok.id_to_token, ids)).encode())
+                if known[w][0]:
+                    found.append(known[w])
+            return b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found])
+
+        keys, n, ids, decoded = [], [], [], []
+        for part in left["packed"].to_pylist():
+            source = pa.BufferReader(part)
+            rows_, runs_, codes_ = (pa.ipc.open_stream(source).read_all() for _ in range(3))
+            keys += rows_["key"].chunks
+            made = [whole(r) for r in _utf8(runs_["run"].combine_chunks())]
+            ids_of, pieces_of = [m[0] for m in made], [m[1] for m in made]
+            tokens = np.array([i.count(b" ") + 1 if i else 0 for i in ids_of], np.int64)
+            codes = np.ascontiguousarray(np.frombuffer(codes_["planes"][0].as_py(), np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
+            ends = np.cumsum(rows_["n"].to_numpy())
+            for a, b in zip((ends - rows_["n"].to_numpy()).tolist(), ends.tolist()):
+                own = codes[a:b]
+                size = tokens[own]
+                if not size.all():  # runs without a token leave no gap
+                    own = own[size > 0]
+                at = own.tolist()
+                i, d = b" ".join([ids_of[x] for x in at]), b" ".join([pieces_of[x] for x in at])
+                n.append(int(size.sum()))
+                ids.append(hashlib.sha256(i).hexdigest() if digests else i.decode())
+                decoded.append(hashlib.sha256(d).hexdigest() if digests else d.decode())
+        return pa.table({"key": pa.chunked_array(keys, type=left_key), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.string()), "decoded": pa.array(decoded, pa.string())})
 
     made = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(join, out)
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids_text", "decoded")
