@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.llm import bpe, mixing, near_dedup, nearest, passages, pii, quality_rules, sharding, warc
+from sitelens.llm import bpe, html_main, mixing, near_dedup, nearest, passages, pii, quality_rules, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.quality_query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_passages": passages.passages_query,
     "op7_bpe": bpe.bpe_query,
     "op8_mixing": mixing.mixing_query,
+    "op9_html_main": html_main.html_query,
     "op10_near_dedup": near_dedup.near_dedup_query,
 }
 
