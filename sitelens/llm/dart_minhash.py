@@ -22,6 +22,7 @@ from sitelens.llm import text_arrays as A
 
 FIRST_BAND = 2.0 ** -4  # expected darts on a unit of weight within band 0
 EMPTY = np.uint64(2**64 - 1)
+MOST_BANDS = 64
 
 
 @lru_cache(maxsize=64)
@@ -97,15 +98,17 @@ def _throw(best: np.ndarray, cell: np.ndarray, own: np.ndarray, part: np.ndarray
 
 
 def band_keys(ranks: np.ndarray, rows: int) -> np.ndarray:
-    """One hash per band of ``rows`` coordinates; the band's number is part of it."""
+    """One hash per band of ``rows`` coordinates, with the band's number in the low bits."""
     n, k = ranks.shape
     bands = k // rows
+    if bands > MOST_BANDS:
+        raise ValueError(f"at most {MOST_BANDS} bands")
     out = np.zeros((n, bands), np.uint64)
     for j in range(bands):
         key = np.full(n, np.uint64(j + 1))
         for c in range(j * rows, (j + 1) * rows):
             key = A.mix(key ^ A.seeded(ranks[:, c], 3))
-        out[:, j] = key
+        out[:, j] = (key & ~np.uint64(MOST_BANDS - 1)) | np.uint64(j)
     return out
 
 

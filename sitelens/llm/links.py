@@ -3,28 +3,28 @@
 Items that share a band key may be similar.  Within a key, items are compared
 with one leader first (the leader changes with each round), the exact measure
 decides, and components are formed.  Only keys that still hold several
-components are then searched for the remaining links, block against block,
-leaving out pairs within one component: first the best few partners of an item
-in every other component, then, for what is still apart, all partners.  Every
-link between different components that shares a key is found; links inside a
-component change nothing and are not sought.
+components are then searched for the remaining links, block against block:
+every item outside the key's largest component meets all items of other
+components, in the order of their estimated similarity, until the exact measure
+finds a link to each such component or no candidate is left.  So what a search
+returns grows with the items and components, not with the pairs, and every
+link between components that shares a key is found; links inside a component
+change nothing and are not sought.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm import common as C
+from sitelens.llm.dart_minhash import MOST_BANDS
 
 #: Items of one key that a task compares at once; larger groups are cut into blocks of about so many.
 BLOCK = 8192
 STAR_ROUNDS = 2
-BEST = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -49,12 +49,14 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def similar_components(keys: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], least_equal: int) -> DataFrame:
+def similar_components(keys: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, least_equal: int, rows: int) -> DataFrame:
     """``(id, comp)`` of all items that are linked to another one.
 
-    ``keys(id, key)``: band keys; ``sketches(id, sketch binary)``: one byte per coordinate; ``verify`` keeps
-    the pairs ``(a, b)`` that are similar by the exact measure; pairs with fewer than ``least_equal`` equal
-    bytes are not verified in the later rounds.
+    ``keys(id, key)``: band keys with the band's number in the low bits (``band_keys``); ``sketches(id, sketch
+    binary)``: one byte per coordinate, ``rows`` of them to a band; ``sets(id, items array<long>)``: the exact
+    sets, ascending as unsigned numbers, of every item that shares a key; items are linked at a Jaccard
+    similarity of ``threshold`` or more.  In the search, pairs with fewer than ``least_equal`` equal bytes are
+    passed over.
     """
     C.ship(keys.sparkSession)
     # a key held by one item tells nothing
@@ -62,18 +64,15 @@ def similar_components(keys: DataFrame, sketches: DataFrame, verify: Callable[[D
     live = C.write_once(keys.join(shared, "key"), "links-keys")
     edges = comps = None
     for turn in range(STAR_ROUNDS):
-        rows = _with_components(live, comps)
+        divided = _with_components(live, comps)
         if comps is not None:
-            rows = rows.join(_divided(rows), "key", "left_semi")
-        leaders = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("lead"))
-        met = (rows.join(leaders, "key").where("comp != lead.comp").select(F.col("id").alias("a"), F.col("lead.id").alias("b")))
-        edges, comps = _grow(edges, comps, verify(C.write_once(_pairs(met), "links-pairs")))
-    for best in (BEST, None):
-        rows = _with_components(live, comps)
-        rows = rows.join(_divided(rows), "key", "left_semi")
-        found = _search(rows, sketches, least_equal, best)
-        edges, comps = _grow(edges, comps, verify(C.write_once(found.distinct(), "links-pairs")))
-    return comps
+            divided = divided.join(_divided(divided), "key", "left_semi")
+        leaders = divided.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("lead"))
+        met = divided.join(leaders, "key").where("comp != lead.comp").select(F.col("id").alias("a"), F.col("lead.id").alias("b"))
+        edges, comps = _grow(edges, comps, verified(C.write_once(_pairs(met), "links-pairs"), sets, threshold))
+    divided = _with_components(live, comps)
+    divided = divided.join(_divided(divided), "key", "left_semi")
+    return _grow(edges, comps, _search(divided, sketches, sets, threshold, least_equal, rows).distinct())[1]
 
 
 def _with_components(live: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -96,51 +95,61 @@ def _grow(edges, comps, found: DataFrame):
     return found, components(found)
 
 
-def _search(rows: DataFrame, sketches: DataFrame, least_equal: int, best: int | None) -> DataFrame:
-    """``(a, b)``: pairs of different components with one key and enough equal sketch bytes."""
+def _search(divided: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, least_equal: int, rows: int) -> DataFrame:
+    """``(a, b)``: a link for every item and other component that share a key and are similar."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (rows.join(sketches, "id").withColumn("blocks", blocks)
+    dealt = (divided.join(sketches, "id").join(sets, "id").withColumn("blocks", blocks)
              .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
              # each pair of blocks meets once; a key within one block is one group
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp", "sketch"))
+             .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp", "sketch", "items"))
 
     def compare(group: pa.Table) -> pa.Table:
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        band = group["key"][0].as_py() & (MOST_BANDS - 1)
         ids, comp, own = (group[c].to_numpy() for c in ("id", "comp", "own"))
         width = len(group["sketch"][0].as_py())
         table = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), width)
-        a, b = [], []
+        lists = group["items"].combine_chunks()
+        flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
         if lo == hi:  # everyone but the largest component against all
             names, sizes = np.unique(comp, return_counts=True)
             asks, asked = np.flatnonzero(comp != names[np.argmax(sizes)]), np.arange(len(ids))
         else:
             asks, asked = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        a, b = [], []
         for i in asks:
-            equal = (table[asked] == table[i]).sum(axis=1)
+            same = table[asked] == table[i]
+            equal = same.sum(axis=1)
             near = np.flatnonzero((equal >= least_equal) & (comp[asked] != comp[i]))
-            if best is not None and len(near) > best:
-                near = near[np.lexsort((ids[asked[near]], -equal[near], comp[asked[near]]))]
-                there = comp[asked[near]]
-                begin = np.concatenate(([0], np.flatnonzero(there[1:] != there[:-1]) + 1))
-                place = np.arange(len(near)) - np.repeat(begin, np.diff(np.concatenate((begin, [len(near)]))))
-                near = near[place < best]
-            a.extend([ids[i]] * len(near))
-            b.extend(ids[asked[near]])
+            if not len(near):
+                continue
+            # a pair that shares several bands is looked at under the first of them
+            first = same[near][:, : width // rows * rows].reshape(len(near), -1, rows).all(axis=2).argmax(axis=1)
+            near = near[first == band]
+            x, found = flat[ends[i]:ends[i + 1]], set()
+            for j in asked[near[np.lexsort((ids[asked[near]], -equal[near]))]]:
+                if comp[j] in found:
+                    continue
+                y = flat[ends[j]:ends[j + 1]]
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+                    continue
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if both / (len(x) + len(y) - both) >= threshold:
+                    found.add(comp[j])
+                    a.append(ids[i])
+                    b.append(ids[j])
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
-def jaccard_verifier(sets: DataFrame, threshold: float) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the pairs whose sets ``(id, items array<long>)`` have a Jaccard similarity of ``threshold`` or more."""
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-        small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return (pairs.join(left, "a").join(right, "b").where(small >= threshold * large)
-                .withColumn("both", both).where(F.col("both") / (F.size("x") + F.size("y") - F.col("both")) >= threshold).select("a", "b"))
-
-    return verify
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets have a Jaccard similarity of ``threshold`` or more."""
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return (pairs.join(left, "a").join(right, "b").where(small >= threshold * large)
+            .withColumn("both", both).where(F.col("both") / (F.size("x") + F.size("y") - F.col("both")) >= threshold).select("a", "b"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from sitelens.llm import common as C
 from sitelens.llm import text_arrays as A
 from sitelens.llm.dart_minhash import band_keys, sketch
-from sitelens.llm.links import jaccard_verifier, similar_components
+from sitelens.llm.links import similar_components
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -191,7 +191,7 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     live = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("id").distinct()
     wanted = reps.join(live, "id", "left_semi").select("id", "doc", "th", "line")
     sets = C.write_once(line_sets(docs, wanted, id_column, text), "passages-sets")
-    comps = similar_components(keys, reps.select("id", "sketch"), jaccard_verifier(sets, THRESHOLD), LEAST_EQUAL)
+    comps = similar_components(keys, reps.select("id", "sketch"), sets, THRESHOLD, LEAST_EQUAL, ROWS)
     placed = (lines.join(same, ["fp1", "fp2"]).join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
               .select("doc", "th", "line", "s", "e", F.coalesce("comp", "rep").alias("class")))
     found = C.write_once(_classes(placed), "passages-lines")
