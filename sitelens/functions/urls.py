@@ -24,6 +24,7 @@ URL_PARTS = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*):(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.
 SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 EDGE_SPACE = r"^[\x00-\x20]+|[\x00-\x20]+$"
 TAB_NEWLINE = r"[\t\n\r]"
+IPV6_HOST = r"^\[[0-9a-f:.]+\]$"
 FORBIDDEN_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|]"
 DEFAULT_PORTS = {"http": 80, "https": 443}
 SPECIAL = ["http", "https"]
@@ -111,6 +112,10 @@ def with_resolved_url(df: DataFrame, href: str, base: str | None, out: str) -> D
                 .when(sv.isin(*SPECIAL), F.concat(sv, F.lit("://"), F.regexp_replace("_rest", r"^[/\\]+", "")))
                 .otherwise(F.concat(sv, F.lit(":"), F.col("_rest"))))
     t = t.select(*cols, absolute.alias("_abs"))
+    # for http and https a backslash before the query is a slash
+    head = F.regexp_extract("_abs", r"^([^?#]*)", 1)
+    slashed = F.concat(F.translate(head, "\\", "/"), F.substring(F.col("_abs"), F.length(head) + 1, F.lit(1 << 30)))
+    t = t.select(*cols, F.when(F.col("_abs").rlike(r"^(?i:https?):"), slashed).otherwise(F.col("_abs")).alias("_abs"))
     t = t.select(*cols, "_abs", F.struct(*_parts(F.col("_abs"), "u")).alias("_u"))
     u = F.col("_u")
     us = F.lower(u["us"])
@@ -128,7 +133,8 @@ def with_resolved_url(df: DataFrame, href: str, base: str | None, out: str) -> D
     port_ok = (F.col("_port") == "") | (port_num.isNotNull() & (port_num <= 65535))
     port_out = (F.when((F.col("_port") == "") | (port_num == default), F.lit(""))
                 .otherwise(F.concat(F.lit(":"), port_num.cast("string"))))
-    valid = ((F.col("_a2") != "") & (F.col("_host") != "") & ~F.col("_host").rlike(FORBIDDEN_HOST) & port_ok)
+    host_ok = ~F.col("_host").rlike(FORBIDDEN_HOST) | F.col("_host").rlike(IPV6_HOST)
+    valid = (F.col("_a2") != "") & (F.col("_host") != "") & host_ok & port_ok
     path = F.regexp_replace(F.col("_p"), r"\\", "/")
     path = F.when(path == "", F.lit("/")).otherwise(path)
     t = t.select(*cols, "_abs", "_us", "_ui", "_host", "_q", "_f", port_out.alias("_po"), valid.alias("_ok"),

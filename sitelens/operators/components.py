@@ -9,6 +9,7 @@ from sitelens.functions import patterns as P
 from sitelens.functions.text import js_trim, rx
 from sitelens.operators.corpus import first_seen
 
+SALTS = 16  # a site's selector pieces meet its base classes in so many groups
 MAX_CLASSES = 5  # the report keeps the first five distinct class patterns per component
 
 _STATE_PIECE = r"(?i)[^{]*:(?:hover|focus|active)"
@@ -64,19 +65,22 @@ def state_pieces(css: DataFrame) -> DataFrame:
 
 
 def component_states(samples: DataFrame, pieces: DataFrame) -> DataFrame:
-    """K6: hover / focus / active per (site, component) from the base class regex.
+    """K6: hover / focus / active per (site, component), from the base class.
 
-    The selector pieces (the large, possibly skewed side) meet the per-site
-    base classes (<= 7 rows per site) in an inner join, which AQE may split on
-    a hot site or broadcast from runtime sizes; the flags are OR-ed per
-    component with partial aggregation and joined back to every component.
+    A piece holds no ``{``, so the class followed by a state anywhere later in
+    it is found by plain substring search.  The pieces are salted and the at
+    most seven base classes of a site repeated per salt: the join spreads a hot
+    site over ``SALTS`` tasks, and the flags are OR-ed by a partial aggregate
+    with an exchange of its own.
     """
     keys = ["site", "type_idx"]
-    flags = []
-    for state in P.COMPONENT_STATES:
-        pattern = F.concat(F.lit(r"(?i)\."), F.col("base_class"), F.lit(r"[^{]*:" + state))
-        flags.append(F.bool_or(F.regexp_like(F.col("piece"), pattern)).alias(f"has_{state}"))
-    hit = pieces.join(samples.select(*keys, "base_class"), "site").groupBy(*keys).agg(*flags)
+    salted = pieces.select("site", F.lower("piece").alias("piece"), F.pmod(F.xxhash64("piece"), F.lit(SALTS)).cast("int").alias("salt"))
+    wanted = samples.select(*keys, F.concat(F.lit("."), F.lower("base_class")).alias("dotted"),
+                            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    at = F.position(F.col("dotted"), F.col("piece"))
+    after = at + F.length("dotted")
+    flags = [F.bool_or((at > 0) & (F.position(F.lit(f":{state}"), F.col("piece"), after) > 0)).alias(f"has_{state}") for state in P.COMPONENT_STATES]
+    hit = salted.join(wanted, ["site", "salt"]).groupBy(*keys).agg(*flags)
     out = samples.join(hit, keys, "left")
     return out.select("site", "type_idx", "type", "sample_snippet", "base_class",
                       *[F.coalesce(F.col(f"has_{s}"), F.lit(False)).alias(f"has_{s}") for s in P.COMPONENT_STATES])

@@ -12,7 +12,7 @@ all requests advance together, one level per iteration:
 which equals the queue (duplicates in the queue are dropped at pop time and
 children queue in parent order, then link order).  A level holds at most
 ``max_pages`` (<= 20) rows per request, so the per-request window is
-bounded.  Lineage is cut every level by writing the level as a table in the
+bounded.  Levels go on until one is empty.  Lineage is cut every level by writing the level as a table in the
 session's checkpoint folder (``session.materialize``).
 """
 
@@ -24,37 +24,50 @@ from pyspark.sql import functions as F
 from sitelens.functions import patterns as P
 from sitelens.functions.urls import origin, strip_fragment, with_resolved_url
 from sitelens.operators import links as LK
+from sitelens.operators.corpus import first_seen
 from sitelens.session import ensure_checkpoint_dir, materialize
 
-MAX_LEVELS = P.MAX_PAGES_RANGE[1]
-
 
 def effective_status(status: F.Column, url: F.Column) -> tuple[F.Column, F.Column]:
-    """(status, error) after the retry rule: 2xx ok; 429/5xx end as status 0 after the retries; else ``HTTP n``."""
-    retried = (status == 429) | (status >= 500)
+    """(status, error) after the retry rule: 2xx ok; no status, 0, 429 and 5xx end as status 0 after the retries; else ``HTTP n``."""
+    failed = status.isNull() | (status == 0) | (status == 429) | (status >= 500)
     ok = (status >= 200) & (status < 300)
-    eff = F.when(retried, F.lit(0)).otherwise(status).cast("int")
-    err = (F.when(ok, F.lit(None).cast("string"))
-           .when(retried, F.format_string(f"Failed to fetch %s after {P.FETCH_RETRIES} attempts", url))
+    eff = F.when(failed, F.lit(0)).otherwise(status).cast("int")
+    err = (F.when(failed, F.format_string(f"Failed to fetch %s after {P.FETCH_RETRIES} attempts", url))
+           .when(ok, F.lit(None).cast("string"))
            .otherwise(F.concat(F.lit("HTTP "), status.cast("string"))))
     return eff, err
 
 
+def fetch_state(fetch_log: DataFrame) -> DataFrame:
+    """The log as one row per (site, url, kind): the last answer's status and error, first start and last end.
+
+    A log may carry an ``error`` text (no HTTP answer at all); it wins over the status, which becomes 0.
+    """
+    message = F.col("error") if "error" in fetch_log.columns else F.lit(None).cast("string")
+    last = F.max(F.struct("ended_ms", "started_ms", "status", message.alias("message"))).alias("_last")
+    one = fetch_log.groupBy("site", "url", "kind").agg(last, F.min("started_ms").alias("started_ms"), F.max("ended_ms").alias("ended_ms"))
+    eff, err = effective_status(F.col("_last.status"), F.col("url"))
+    no_answer = F.col("_last.message").isNotNull()
+    return one.select("site", "url", "kind", F.col("_last.status").alias("raw_status"), F.col("_last.message").alias("message"),
+                      F.when(no_answer, F.lit(0)).otherwise(eff).cast("int").alias("status"),
+                      F.when(no_answer, F.col("_last.message")).otherwise(err).alias("error"), "started_ms", "ended_ms")
+
+
 def page_status(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
-    """Status of each landed page from the fetch log (200 when not logged).
+    """Status of each landed page from the fetch log (200 when not logged; a logged page without a status failed).
 
-    Output: site, page_ord, url, status, error (after the retry rule, for this URL), raw_status.
+    Output: site, page_ord, url, status, error (after the retry rule, for this URL), raw_status, message.
     """
     keys = pages.select("site", "page_ord", "url")
-    if fetch_log is not None:
-        log = fetch_log.where(F.col("kind") == "page").select("site", "url", F.col("status").alias("_raw"))
-        keys = keys.join(log, ["site", "url"], "left")
-    else:
-        keys = keys.withColumn("_raw", F.lit(None).cast("int"))
-    raw = F.coalesce(F.col("_raw"), F.lit(200))
-    eff, err = effective_status(raw, F.col("url"))
-    return keys.select("site", "page_ord", "url", eff.alias("status"), err.alias("error"),
-                       raw.cast("int").alias("raw_status"))
+    if fetch_log is None:
+        return keys.select("*", F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"),
+                           F.lit(200).alias("raw_status"), F.lit(None).cast("string").alias("message"))
+    log = fetch_state(fetch_log.where(F.col("kind") == "page")).select(
+        "site", "url", "status", "error", "raw_status", "message", F.lit(True).alias("_logged"))
+    out = keys.join(log, ["site", "url"], "left")
+    default = lambda c: F.when(F.col("_logged"), F.col(c)).otherwise(F.lit(200)).cast("int").alias(c)
+    return out.select("site", "page_ord", "url", default("status"), "error", default("raw_status"), "message")
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
@@ -64,20 +77,28 @@ def page_keys(pages: DataFrame) -> DataFrame:
         F.col("key").isNotNull())
 
 
+def store_rows(pages: DataFrame, status: DataFrame) -> DataFrame:
+    """One landed row per fetch key, the first by (site, page_ord): its status decides, and only its links are followed.
+
+    Output: key, site, page_ord, url, raw_status, message, error.
+    """
+    keyed = page_keys(pages).join(status.drop("url", "status"), ["site", "page_ord"])
+    return first_seen(keyed, ["key"], ["site", "page_ord"], ["url", "raw_status", "message", "error"])
+
+
 def store_links(pages: DataFrame, status: DataFrame) -> DataFrame:
-    """Internal links of every successfully fetched landed page, keyed by the page's fetch key.
+    """Internal links of the landed row behind each fetch key, if it was fetched.
 
-    Output: key, pos (link order), target.
+    One narrow pass over the HTML; only short link rows meet the keys.  The
+    table depends on the store alone: a caller with many batches builds it once
+    and hands it to each.  Output: key, pos (link order), target.
     """
-    ok = status.where(F.col("error").isNull()).select("site", "page_ord")
-    # one narrow pass over the HTML; only the short link rows meet the status list
-    internal = LK.internal_links(LK.resolved_links(pages).join(ok, ["site", "page_ord"], "left_semi"))
-    # the page's fetch key is its final URL, already on every link row
-    return internal.where(F.col("final_url").isNotNull()).select(
-        F.col("final_url").alias("key"), F.struct("kind_rank", "p1", "p2").alias("pos"), F.col("url").alias("target"))
+    ok = store_rows(pages, status).where(F.col("error").isNull()).select("key", "site", "page_ord")
+    internal = LK.internal_links(LK.resolved_links(pages)).join(ok, ["site", "page_ord"])
+    return internal.select("key", F.struct("kind_rank", "p1", "p2").alias("pos"), F.col("url").alias("target"))
 
 
-def site_bfs(requests: DataFrame, links: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def site_bfs(requests: DataFrame, links: DataFrame) -> DataFrame:
     """The pages each request would crawl, in crawl order.
 
     Input requests: request_id, seed (canonical URL, may be null), max_pages, same_origin_only.
@@ -91,8 +112,9 @@ def site_bfs(requests: DataFrame, links: DataFrame, max_levels: int = MAX_LEVELS
         "request_id", F.col("seed").alias("url"), F.lit(1).cast("bigint").alias("visit_no"),
         F.lit(0).cast("bigint").alias("level"))
     visited = materialize(visited, "bfs-level")
-    frontier = visited
-    for level in range(1, max_levels + 1):
+    frontier, level = visited, 0
+    while True:  # every level visits a page of some request, so the largest budget bounds the levels
+        level += 1
         cand = (frontier.withColumn("key", strip_fragment(F.col("url")))
                 .join(links, "key")
                 .select("request_id", F.col("target").alias("url"), F.col("visit_no").alias("parent"), "pos")

@@ -26,9 +26,14 @@ LINK_ORD = ["kind_rank", "p1", "p2"]
 KINDS = {0: "css", 1: "css", 2: "css", 3: "js", 4: "anchor"}
 
 
+def landed_url(pages: DataFrame) -> F.Column:
+    """Where each page was answered: its ``final_url`` (after redirects) if the table has one, else its URL."""
+    return F.coalesce("final_url", "url") if "final_url" in pages.columns else F.col("url")
+
+
 def page_bases(pages: DataFrame) -> DataFrame:
     """Canonical final URL (no fragment) of each page: the base for its links."""
-    canon = with_resolved_url(pages.select(*PAGE, "url"), "url", None, "_canon")
+    canon = with_resolved_url(pages.select(*PAGE, "url", landed_url(pages).alias("_landed")), "_landed", None, "_canon")
     return canon.select(*PAGE, "url", strip_fragment(F.col("_canon")).alias("final_url"))
 
 
@@ -67,7 +72,7 @@ def resolved_links(pages: DataFrame) -> DataFrame:
     that carry its HTML, then the link values are exploded and resolved — no
     join of link rows back to their pages.
     """
-    based = with_resolved_url(pages.select(*PAGE, "url", "html"), "url", None, "_canon")
+    based = with_resolved_url(pages.select(*PAGE, landed_url(pages).alias("_landed"), "html"), "_landed", None, "_canon")
     based = based.select(*PAGE, strip_fragment(F.col("_canon")).alias("final_url"), "html")
     return with_resolved_url(raw_links(based, ("final_url",)), "href", "final_url", "url")
 

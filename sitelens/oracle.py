@@ -471,9 +471,10 @@ SELECT site, cast(row_number() OVER (PARTITION BY site ORDER BY k) - 1 AS bigint
   UNION ALL SELECT site, 1, {sql_lit(P.RISK_TWO_FRAMEWORKS)} FROM site_facts WHERE bootstrap AND tailwind
   UNION ALL SELECT site, 2, {sql_lit(P.RISK_ROBOTS)} FROM site_facts WHERE robots_status = 'blocked')
 """)
-query("notes", ["sites", "pages_themed"], f"""
+query("notes", ["sites", "pages_themed", "css_fetched"], f"""
 SELECT site, cast(0 AS bigint) AS note_ord, {sql_lit(P.NOTE_NO_EXTERNAL_CSS)} AS note FROM sites
 WHERE (SELECT count(*) FROM pages_themed p WHERE p.site = sites.site) > 0
+  AND NOT EXISTS (SELECT 1 FROM css_fetched f WHERE f.site = sites.site AND f.fetched)
 """)
 
 # ---------------------------------------------------------------------------
@@ -682,16 +683,18 @@ SELECT s.site, s.page_ord, s.url, b.final_url, cast(s.status AS bigint) AS statu
 FROM page_status s JOIN page_bases b ON s.site = b.site AND s.page_ord = b.page_ord
 {_PLN}
 """)
-query("src_css_assets", ["css_links", "page_status", "css_assets"], """
+query("src_css_assets", ["css_links", "page_status", "css_assets", "fetch_log"], """
 SELECT w.site, w.url AS css_url, w.page_ord, w.kind_rank, w.p1, w.p2,
-       coalesce(a.css IS NOT NULL AND a.css <> '', false) AS fetched,
-       CASE WHEN a.css IS NOT NULL AND a.css <> '' THEN cast(length(a.css) AS bigint) END AS css_length
+       coalesce(a.css IS NOT NULL AND a.css <> '' AND (f.url IS NULL OR f.status BETWEEN 200 AND 299), false) AS fetched,
+       CASE WHEN a.css IS NOT NULL AND a.css <> '' AND (f.url IS NULL OR f.status BETWEEN 200 AND 299) THEN cast(length(a.css) AS bigint) END AS css_length
 FROM (SELECT * FROM (
         SELECT l.*, row_number() OVER (PARTITION BY l.site, l.url ORDER BY l.page_ord, l.kind_rank, l.p1, l.p2) AS rn
         FROM css_links l JOIN page_status s ON s.site = l.site AND s.page_ord = l.page_ord AND s.error IS NULL)
       WHERE rn = 1) w
 LEFT JOIN css_assets a ON a.site = w.site AND a.css_url = w.url
+LEFT JOIN fetch_log f ON f.kind = 'css' AND f.site = w.site AND f.url = w.url
 """)
+cte("css_fetched", ["css_links", "page_status", "css_assets", "fetch_log"], _QUERIES["src_css_assets"][1])
 query("src_css_files", ["css_assets"], "SELECT site, cast(css_ord AS bigint) AS css_ord, css FROM css_assets")
 query("crawl_stats", ["sites", "fetch_log", "robots_status"], """
 SELECT s.site, coalesce(a.pages_crawled, 0) AS pages_crawled, coalesce(a.total_requests, 0) AS total_requests,
@@ -843,10 +846,10 @@ WHERE visit_no <= max_pages
 query("site_bfs", [f"bfs_v{_MAX_LEVELS}"], f"SELECT request_id, url, visit_no, level FROM bfs_v{_MAX_LEVELS}")
 
 query("layout_summary", ["container_widths", "breakpoints", "grid", "sites", "css_assets"], f"""
-SELECT site, 'container_width' AS kind, cast(css_ord * 1000000 + pos AS bigint) AS item_ord, value FROM container_widths
-UNION ALL SELECT site, 'breakpoint', cast(css_ord * 1000000 + pos AS bigint), value FROM breakpoints
-UNION ALL SELECT site, 'grid_system', cast(0 AS bigint), grid_system FROM grid
-UNION ALL SELECT site, 'grid_evidence', cast(k AS bigint), ev FROM (
+SELECT site, 'container_width' AS kind, cast(css_ord AS bigint) AS sheet_ord, cast(pos AS bigint) AS item_ord, value FROM container_widths
+UNION ALL SELECT site, 'breakpoint', cast(css_ord AS bigint), cast(pos AS bigint), value FROM breakpoints
+UNION ALL SELECT site, 'grid_system', cast(0 AS bigint), cast(0 AS bigint), grid_system FROM grid
+UNION ALL SELECT site, 'grid_evidence', cast(0 AS bigint), cast(k AS bigint), ev FROM (
   SELECT s.site, unnest(list_filter([
       CASE WHEN bool_or(regexp_matches(c.css, {L(P.GRID_DISPLAY)})) THEN '{P.GRID_EVIDENCE[0]}' END,
       CASE WHEN bool_or(regexp_matches(c.css, {L(P.FLEX_DISPLAY)})) THEN '{P.GRID_EVIDENCE[1]}' END,

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.functions.urls import origin, strip_fragment, with_resolved_url
+from sitelens.functions.urls import strip_fragment
 from sitelens.operators import crawl as CR
 from sitelens.operators import links as LK
 from sitelens.operators import requests as RQ
@@ -22,7 +22,7 @@ from sitelens.operators.robots import robots_status
 from sitelens.plans.analysis import SiteAnalysis
 from sitelens.plans.markdown import design_doc
 from sitelens.plans.report import report_json, site_report
-from sitelens.session import BROADCAST_MAX_ROWS, ensure_checkpoint_dir, join_small, materialize
+from sitelens.session import ensure_checkpoint_dir, materialize
 
 DEFAULT_GENERATED_AT = "2026-01-01T00:00:00.000Z"
 MISSING_STATUS = 404  # a URL with no landed page answers Not Found
@@ -39,38 +39,37 @@ class BatchResult:
 
 
 def crawled_pages(visited: DataFrame, pages: DataFrame, status: DataFrame) -> DataFrame:
-    """Page records of the crawl: the landed page behind each visited URL, or a failed fetch.
+    """Page records of the crawl: the landed row behind each visited URL, or a failed fetch.
 
-    The visited set is small (at most ``max_pages`` per request) and
-    materialised; the store is only streamed past it (size-checked broadcast),
-    so the HTML of pages that were not crawled never moves.
+    The visited set holds at most ``max_pages`` rows per request.  It meets
+    the store's keys first; the HTML is looked up last, by (site, page_ord).
+    Output: site (= request), page_ord, url, final_url, status, error, html, store_site, store_url.
     """
-    vk = materialize(visited.withColumn("key", strip_fragment(F.col("url"))), "crawl-visited")
-    keys = join_small(CR.page_keys(pages), vk.select("key").distinct(), "key", "left_semi")
-    keys = keys.join(status.select("site", "page_ord", "raw_status"), ["site", "page_ord"])
-    keys = first_seen(keys, ["key"], ["site", "page_ord"], ["raw_status"]).select(
-        "key", F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "raw_status")
-    hits = materialize(vk.join(keys, "key", "left"), "crawl-hits")
+    vk = visited.withColumn("key", strip_fragment(F.col("url")))
+    rows = CR.store_rows(pages, status).select("key", F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"),
+                                               F.col("url").alias("store_url"), "raw_status", "message")
+    hits = materialize(vk.join(rows, "key", "left"), "crawl-hits")
+    bases = LK.page_bases(pages).select(F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "final_url")
+    body = pages.select(F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "html")
     wanted = hits.where(F.col("store_site").isNotNull()).select("store_site", "store_ord").distinct()
-    body = join_small(pages.select(F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "html"),
-                      wanted, ["store_site", "store_ord"], "left_semi")
-    rec = hits.join(body, ["store_site", "store_ord"], "left")
+    rec = hits.join(bases, ["store_site", "store_ord"], "left").join(body.join(wanted, ["store_site", "store_ord"], "left_semi"), ["store_site", "store_ord"], "left")
     missing = F.col("store_site").isNull()
     # the retry rule names the URL that was fetched: the visited one
     raw = F.when(missing, F.lit(MISSING_STATUS)).otherwise(F.col("raw_status"))
     status_c, error_c = CR.effective_status(raw, F.col("url"))
+    no_answer = F.col("message").isNotNull()
+    error_c = F.when(no_answer, F.col("message")).otherwise(error_c)
     html = F.when(error_c.isNotNull(), F.lit("")).otherwise(F.col("html"))
     return rec.select(F.col("request_id").alias("site"), (F.col("visit_no") - 1).alias("page_ord"), "url",
-                      F.col("key").alias("final_url"), status_c.cast("int").alias("status"), error_c.alias("error"),
-                      html.alias("html"))
+                      F.coalesce("final_url", "key").alias("final_url"), F.when(no_answer, F.lit(0)).otherwise(status_c).cast("int").alias("status"),
+                      error_c.alias("error"), html.alias("html"), "store_site", "store_url")
 
 
-def fetched_css(crawled: DataFrame, requests: DataFrame, css_store: DataFrame) -> DataFrame:
+def fetched_css(crawled: DataFrame, requests: DataFrame, css_store: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
     """Style sheets of the crawled pages, first-seen order, for requests with ``include_assets``.
 
-    Missing or empty content is a failed fetch and is left out.  Only the
-    wanted sheets are read out of the store (size-checked broadcast of the
-    wanted URLs).  Output: site, css_ord, css_url, css.
+    A missing sheet, empty content and a logged fetch without a 2xx answer are
+    failed fetches and left out.  Output: site, css_ord, css_url, css, store_site.
     """
     wanted = requests.where("include_assets").select(F.col("request_id").alias("site"))
     ok = crawled.join(wanted, "site", "left_semi").where(F.col("error").isNull())
@@ -78,44 +77,29 @@ def fetched_css(crawled: DataFrame, requests: DataFrame, css_store: DataFrame) -
     links = LK.css_links(res)
     first = materialize(first_seen(links, ["site", "url"], ["page_ord", "kind_rank", "p1", "p2"], []), "css-wanted")
     urls = first.select(F.col("url").alias("css_url")).distinct()
-    store = join_small(css_store.select("css_url", "css", "site", "css_ord"), urls, "css_url", "left_semi")
-    store = first_seen(store, ["css_url"], ["site", "css_ord"], ["css"]).select("css_url", "css")
-    got = first.join(store, first["url"] == store["css_url"], "inner").where(F.col("css") != "")
+    # one store row per URL is chosen by its keys; the style sheet's text is looked up last
+    keys = first_seen(css_store.select("css_url", "site", "css_ord").join(urls, "css_url", "left_semi"), ["css_url"], ["site", "css_ord"], [])
+    if fetch_log is not None:
+        failed = CR.fetch_state(fetch_log.where(F.col("kind") == "css")).where("error is not null").select("site", F.col("url").alias("css_url"))
+        keys = keys.join(failed, ["site", "css_url"], "left_anti")
+    store = css_store.select("css_url", "css", "site", "css_ord").join(keys, ["css_url", "site", "css_ord"], "left_semi")
+    got = first.join(store.select("css_url", "css", F.col("site").alias("store_site")), first["url"] == store["css_url"], "inner").where(F.col("css") != "")
     w = Window.partitionBy("site").orderBy("page_ord", "kind_rank", "p1", "p2")
-    return got.select("site", (F.row_number().over(w) - 1).cast("bigint").alias("css_ord"), "css_url", "css")
-
-
-def pages_of_origins(pages: DataFrame, origins: DataFrame) -> DataFrame:
-    """Landed pages whose canonical origin is one of ``origins`` (column ``origin``).
-
-    A crawl never leaves its seed's origin (links are kept only on the page's
-    own origin and the store has no redirects), so a batch needs only the pages
-    of the requested origins.  The origin is computed in the same narrow pass
-    that carries the HTML and the requested set is broadcast when its checked
-    size allows; beyond that the store is used whole rather than shuffled.
-    When the requests cover half of the store's sites or more, the cut would
-    save little and is skipped (this choice affects cost only, not results).
-    """
-    n = origins.count()
-    if n > BROADCAST_MAX_ROWS or 2 * n >= pages.select("site").distinct().count():
-        return pages
-    canon = with_resolved_url(pages, "url", None, "_canon")
-    keyed = canon.withColumn("_origin", origin(strip_fragment(F.col("_canon"))))
-    wanted = F.broadcast(origins.select(F.col("origin").alias("_origin")))
-    return keyed.join(wanted, "_origin", "left_semi").select(*pages.columns)
+    return got.select("site", (F.row_number().over(w) - 1).cast("bigint").alias("css_ord"), "css_url", "css", "store_site")
 
 
 def run_batch(requests: DataFrame, pages: DataFrame, css_store: DataFrame, fetch_log: DataFrame | None,
-              robots: DataFrame | None, generated_at: str = DEFAULT_GENERATED_AT) -> BatchResult:
+              robots: DataFrame | None, generated_at: str = DEFAULT_GENERATED_AT,
+              links: DataFrame | None = None) -> BatchResult:
+    """Run all accepted requests.  ``links``: the store's link table (``crawl.store_links``), if built before."""
     ensure_checkpoint_dir(requests.sparkSession)
     # Stage results are written as tables in the checkpoint folder: each is reused
     # by many report pieces, and the lineage behind them (crawl levels) is long.
     reqs = materialize(RQ.accepted_requests(requests), "requests")
-    pages = pages_of_origins(pages, reqs.select(F.col("site").alias("origin")).where("origin is not null").distinct())
     status = CR.page_status(pages, fetch_log)
-    visited = CR.site_bfs(reqs, CR.store_links(pages, status))
+    visited = CR.site_bfs(reqs, CR.store_links(pages, status) if links is None else links)
     crawled = materialize(crawled_pages(visited, pages, status), "crawled-pages")
-    css = materialize(fetched_css(crawled, reqs, css_store), "crawled-css")
+    css = materialize(fetched_css(crawled, reqs, css_store, fetch_log), "crawled-css")
     sites = reqs.select(F.col("request_id").alias("site"))
     if robots is not None:
         rob = robots_status(robots)
@@ -125,7 +109,7 @@ def run_batch(requests: DataFrame, pages: DataFrame, css_store: DataFrame, fetch
         site_rob = sites.select("site", F.lit("allowed").alias("robots_status"))
     # sources of inline styles and stack signals are the pages' final URLs (no fragment), as fetched
     analysed = crawled.select("site", "page_ord", F.col("final_url").alias("url"), "html")
-    analysis = SiteAnalysis(analysed, css, sites, site_rob)
+    analysis = SiteAnalysis(analysed, css.drop("store_site"), sites, site_rob)
     meta = _meta(reqs, crawled, css, fetch_log, site_rob)
     reports = materialize(site_report(analysis, meta, generated_at), "reports")
     docs = design_doc(reports)
@@ -142,10 +126,11 @@ def _meta(reqs: DataFrame, crawled: DataFrame, css: DataFrame, fetch_log: DataFr
                        F.col("notes").alias("notes_text"))
     out = base.join(n_pages, "site", "left").join(site_rob, "site", "left")
     if fetch_log is not None:
-        fetched = (crawled.select("site", F.col("url").alias("u"))
-                   .unionByName(css.select("site", F.col("css_url").alias("u"))))
-        log = fetch_log.select(F.col("url").alias("u"), "started_ms", "ended_ms")
-        dur = (fetched.join(log, "u").groupBy("site")
+        # by the store's own site and URL: a sheet shared by sites counts only as this request fetched it
+        fetched = (crawled.where("store_site is not null").select("site", F.col("store_site").alias("s"), F.col("store_url").alias("u"), F.lit("page").alias("k"))
+                   .unionByName(css.select("site", F.col("store_site").alias("s"), F.col("css_url").alias("u"), F.lit("css").alias("k"))).distinct())
+        log = CR.fetch_state(fetch_log).select(F.col("site").alias("s"), F.col("url").alias("u"), F.col("kind").alias("k"), "started_ms", "ended_ms")
+        dur = (fetched.join(log, ["s", "u", "k"]).groupBy("site")
                .agg((F.max("ended_ms") - F.min("started_ms")).cast("bigint").alias("crawl_duration_ms")))
         out = out.join(dur, "site", "left")
     else:

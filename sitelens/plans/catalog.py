@@ -341,7 +341,7 @@ def _q_risks(i: Inputs) -> DataFrame:
 @register("notes")
 def _q_notes(i: Inputs) -> DataFrame:
     """K18 on sites whose style sheets were not fetched (external CSS left out, as with include_assets off)."""
-    return RK.notes(RK.note_facts(i.sites, i.pages_themed, None))
+    return RK.notes(RK.note_facts(i.sites, i.pages_themed, SP.css_assets_fetched(i.pages_themed, i.fetch_log, i.css_assets).where("fetched").select("site", "css")))
 
 
 @register("robots_status")
@@ -447,7 +447,7 @@ def _q_src_css_files(i: Inputs) -> DataFrame:
 
 @register("crawl_stats")
 def _q_crawl_stats(i: Inputs) -> DataFrame:
-    return SP.crawl_stats(i.sites, i.fetch_log, i.robots)
+    return SP.crawl_stats(i.sites, i.fetch_log, i.robots, i.css_assets)
 
 
 @register("fetch_outcome")
@@ -487,7 +487,7 @@ def _q_recommended_approach(i: Inputs) -> DataFrame:
 
 @register("report_meta")
 def _q_report_meta(i: Inputs) -> DataFrame:
-    stats = SP.crawl_stats(i.sites, i.fetch_log, i.robots)
+    stats = SP.crawl_stats(i.sites, i.fetch_log, i.robots, i.css_assets)
     seeds = C.site_seeds(i.pages_themed)
     return stats.join(seeds, "site").select(
         "site", F.lit(P.REPORT_VERSION).alias("version"), F.lit(BT.DEFAULT_GENERATED_AT).alias("generated_at"),
@@ -592,7 +592,7 @@ def _sink_roundtrip(i: Inputs, writer) -> DataFrame:
     path = f"{ensure_checkpoint_dir(i.spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
     writer(_batch(i).outputs, path)
     back = SK.read_back(i.spark, path)
-    return back.select("request_id", F.length("text").cast("bigint").alias("n_chars"),
+    return back.select("request_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("n_chars"),
                        F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
 
 
@@ -617,20 +617,19 @@ def _q_stream_color_tokens(i: Inputs) -> DataFrame:
 
 @register("layout_summary")
 def _q_layout_summary(i: Inputs) -> DataFrame:
-    """R6, layout half: the layout values without source info, as (site, kind, item_ord, value).
+    """R6, layout half: the layout values without source info, as (site, kind, sheet_ord, item_ord, value).
 
     Container widths in order (not de-duplicated), breakpoints first seen, the
     grid system, and its evidence list.  Item order is the order key, not a rank.
     """
     a = _analysis(i)
     cw = a.container_widths.select("site", F.lit("container_width").alias("kind"),
-                                   (F.col("css_ord") * 1_000_000 + F.col("pos")).cast("bigint").alias("item_ord"),
-                                   "value")
+                                   F.col("css_ord").cast("bigint").alias("sheet_ord"), F.col("pos").cast("bigint").alias("item_ord"), "value")
     bp = a.breakpoints.select("site", F.lit("breakpoint").alias("kind"),
-                              (F.col("css_ord") * 1_000_000 + F.col("pos")).cast("bigint").alias("item_ord"), "value")
-    grid = a.grid.select("site", F.lit("grid_system").alias("kind"), F.lit(0).cast("bigint").alias("item_ord"),
+                              F.col("css_ord").cast("bigint").alias("sheet_ord"), F.col("pos").cast("bigint").alias("item_ord"), "value")
+    grid = a.grid.select("site", F.lit("grid_system").alias("kind"), F.lit(0).cast("bigint").alias("sheet_ord"), F.lit(0).cast("bigint").alias("item_ord"),
                          F.col("grid_system").alias("value"))
-    ev = a.grid.select("site", F.lit("grid_evidence").alias("kind"),
+    ev = a.grid.select("site", F.lit("grid_evidence").alias("kind"), F.lit(0).cast("bigint").alias("sheet_ord"),
                        F.posexplode("grid_evidence").alias("item_ord", "value")).select(
-        "site", "kind", F.col("item_ord").cast("bigint"), "value")
+        "site", "kind", "sheet_ord", F.col("item_ord").cast("bigint"), "value")
     return cw.unionByName(bp).unionByName(grid).unionByName(ev)

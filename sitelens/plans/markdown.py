@@ -223,7 +223,7 @@ For complete data with confidence scores and source references, see `theme_repor
 
 ---
 
-*Generated by Theme Intelligence Extractor — Analyzes publicly accessible HTML/CSS only.*
+*Generated by sitelens from publicly accessible HTML and CSS.*
 """
 
 NO_STACK = "| No frameworks detected | - | - | - |"

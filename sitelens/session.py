@@ -72,25 +72,17 @@ def run_sql(spark: SparkSession, template: str, **tables: DataFrame) -> DataFram
     return spark.sql(query, **tables)
 
 
-# A materialised side is broadcast only when its row count is checked to be at most this
-# (rows here are short: keys, URLs); beyond it the join is a regular shuffle join.
-BROADCAST_MAX_ROWS = 1_000_000
+_written: dict[str, list[str]] = {}
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with a small, already materialised ``small``.
-
-    The size of ``small`` is checked (a count over checkpointed data); within
-    the bound it is broadcast, so ``big`` is only streamed through — its wide
-    columns (HTML, CSS) never enter a shuffle.  Beyond the bound Spark plans a
-    shuffle join (and AQE may still pick a broadcast from runtime sizes).
-    """
-    from pyspark.sql import functions as F
-
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables that this application has materialised; for the end of a run, once its results are written."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -106,4 +98,5 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)

@@ -17,8 +17,8 @@ def read_css_files(spark: SparkSession, path: str) -> DataFrame:
 
     The text writer ends each file with one newline, which is removed again.
     """
-    df = spark.read.text(path, wholetext=True)
+    df = spark.read.schema("value string, site string, css_ord bigint").text(path, wholetext=True)
     value = F.col("value")
     css = F.when(value.endswith("\n"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(value)
-    return df.select(F.col("site").cast("string").alias("site"), F.col("css_ord").cast("bigint").alias("css_ord"),
+    return df.select("site", "css_ord",
                      F.col("_metadata.file_path").alias("css_path"), css.alias("css"))

@@ -82,11 +82,14 @@ SELECT DISTINCT site, page_id % 7 AS css_ord, concat(site, '/assets/', cast(page
 FROM $pages_themed
 """
 
-# ``requests``: one per site (seed = first page, options left to defaults) plus invalid rows.
+# ``requests``: one per site (seed = first page; each option given or left to its default) plus invalid rows.
 REQUESTS_SQL = r"""
-SELECT site AS request_id, url AS theme_url, cast(NULL AS int) AS max_pages,
-       cast(NULL AS boolean) AS same_origin_only, cast(NULL AS boolean) AS include_assets,
-       cast(NULL AS string) AS mode, cast(NULL AS string) AS notes
+SELECT site AS request_id, url AS theme_url,
+       cast(CASE page_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 12 END AS int) AS max_pages,
+       CASE page_id % 3 WHEN 1 THEN true WHEN 2 THEN false END AS same_origin_only,
+       CASE WHEN page_id % 5 = 0 THEN cast(NULL AS boolean) ELSE page_id % 5 > 1 END AS include_assets,
+       CASE page_id % 4 WHEN 1 THEN 'both' WHEN 2 THEN 'extract' WHEN 3 THEN 'prompt' END AS mode,
+       CASE WHEN page_id % 2 = 1 THEN concat('note on ', site) END AS notes
 FROM $pages_themed WHERE page_ord = 0
 UNION ALL
 SELECT * FROM (VALUES

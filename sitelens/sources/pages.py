@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.operators import links as LK
 from sitelens.operators.corpus import first_seen
-from sitelens.operators.crawl import effective_status, page_status
+from sitelens.operators.crawl import effective_status, fetch_state, page_status
 from sitelens.operators.robots import site_robots
 
 SNIPPET_CHARS = 2000
@@ -50,14 +50,20 @@ def css_fetch_list(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
 
 
 def css_assets_fetched(pages: DataFrame, fetch_log: DataFrame | None, store: DataFrame) -> DataFrame:
-    """The link list looked up in the fetched style-sheet store; missing or empty content failed.
+    """The link list looked up in the fetched style-sheet store; missing or empty content failed, and so did
+    a sheet whose logged fetch was not answered with 2xx.
 
     Output: site, css_url, page_ord, kind_rank, p1, p2, fetched, css (null when failed).
     """
     wanted = css_fetch_list(pages, fetch_log)
     got = store.select("site", "css_url", "css")
     out = wanted.join(got, ["site", "css_url"], "left")
-    fetched = F.col("css").isNotNull() & (F.col("css") != "")
+    if fetch_log is None:
+        out = out.withColumn("_error", F.lit(None).cast("string"))
+    else:
+        log = fetch_state(fetch_log.where(F.col("kind") == "css")).select("site", F.col("url").alias("css_url"), F.col("error").alias("_error"))
+        out = out.join(log, ["site", "css_url"], "left")
+    fetched = F.col("css").isNotNull() & (F.col("css") != "") & F.col("_error").isNull()
     return out.select("site", "css_url", "page_ord", "kind_rank", "p1", "p2", fetched.alias("fetched"),
                       F.when(fetched, F.col("css")).alias("css"))
 
@@ -70,14 +76,15 @@ def fetch_outcomes(fetch_log: DataFrame) -> DataFrame:
             .groupBy("site", "kind", "outcome", "status").agg(F.count("*").cast("bigint").alias("n")))
 
 
-def crawl_stats(sites: DataFrame, fetch_log: DataFrame, robots: DataFrame) -> DataFrame:
+def crawl_stats(sites: DataFrame, fetch_log: DataFrame, robots: DataFrame, store: DataFrame) -> DataFrame:
     """Per site pages, total requests (pages + style sheets), failed requests, duration, robots status.
 
-    A page fails on any non-2xx outcome; a style sheet fails unless it was fetched with 2xx.
+    A page fails on any non-2xx outcome; a style sheet fails unless it was answered with 2xx and has content.
     """
-    eff, err = effective_status(F.col("status"), F.col("url"))
-    agg = fetch_log.select("site", "kind", err.isNotNull().alias("failed"), "started_ms", "ended_ms").groupBy(
-        "site").agg(
+    full = store.where("css <> ''").select("site", F.col("css_url").alias("url"), F.lit("css").alias("kind"), F.lit(True).alias("_full")).distinct()
+    failed = F.col("error").isNotNull() | ((F.col("kind") == "css") & F.col("_full").isNull())
+    agg = (fetch_state(fetch_log).join(full, ["site", "url", "kind"], "left")
+           .select("site", "kind", failed.alias("failed"), "started_ms", "ended_ms").groupBy("site")).agg(
         F.count_if(F.col("kind") == "page").cast("bigint").alias("pages_crawled"),
         F.count("*").cast("bigint").alias("total_requests"),
         F.count_if("failed").cast("bigint").alias("failed_requests"),

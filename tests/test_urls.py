@@ -56,3 +56,11 @@ def test_canonical_urls_are_fixed_points(spark):
     again = with_resolved_url(urls, "url", None, "again")
     assert again.count() > 1000
     assert again.where(~F.col("again").eqNullSafe(F.col("url"))).count() == 0
+
+
+def test_ipv6_hosts_and_backslashes(spark):
+    cases = [("http://[2001:DB8::1]:80/a", "http://[2001:db8::1]/a"), ("https://[::1]:8443/x?q", "https://[::1]:8443/x?q"),
+             ("https://h.test\\a\\b", "https://h.test/a/b"), ("https://h.test/a?x\\y", "https://h.test/a?x\\y"), ("http://[zz]/", None)]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "h string")
+    from sitelens.functions.urls import with_resolved_url
+    assert [r["u"] for r in with_resolved_url(df, "h", None, "u").collect()] == [w for _, w in cases]
