@@ -215,18 +215,39 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.withColumn("ids", encode.asNondeterministic()(F.col("word")))
 
 
-def decode_ids(encoded: DataFrame, spark: SparkSession, path: str, key: str = "word") -> DataFrame:
-    """``encoded(key, ids, ...)`` with ``ids_text`` and ``pieces_text``: decimal ids and pieces, joined by spaces in order.
+def decode_ids(encoded: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """``(word, blocks, ids_text, pieces_text)`` for ``(word, blocks, ids)``: decimal ids and pieces, joined by spaces in order.
 
-    The join is with the vocabulary, and it keeps the key's partitions, so the ids come together again without a shuffle.
+    The ids of a word become consecutive rows, the join with the vocabulary (broadcast: bounded by the tokenizer
+    file) keeps their order, and the rows of a word are put together again as they come by - no shuffle.
     """
-    pieces = F.broadcast(vocabulary(spark, path))  # bounded by the tokenizer file
-    rest = [c for c in encoded.columns if c not in (key, "ids")]
-    placed = encoded.select(key, *rest, F.posexplode("ids").alias("at", "id")).join(pieces, "id")
-    parts = F.array_sort(F.collect_list(F.struct("at", "id", "piece")))
-    return (placed.groupBy(key).agg(parts.alias("parts"), *[F.first(c).alias(c) for c in rest])
-            .select(key, *rest, F.array_join(F.transform("parts", lambda x: x["id"].cast("string")), " ").alias("ids_text"),
-                    F.array_join(F.transform("parts", lambda x: x["piece"]), " ").alias("pieces_text")))
+    C.ship(spark)
+    head = F.col("at") == 0
+    placed = (encoded.select("word", "blocks", F.size("ids").alias("n"), F.posexplode("ids").alias("at", "id")).join(F.broadcast(vocabulary(spark, path)), "id")
+              .select(F.when(head, F.col("word")).alias("word"), F.when(head, F.col("blocks")).alias("blocks"), "n", "at", "id", "piece"))
+
+    def run(batches):
+        left = 0  # rows of the current word still to come
+        word, blocks, ids, pieces = None, None, [], []
+        for batch in batches:
+            out = [], [], [], []
+            for w, bs, n, at, i, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if at == 0:
+                    if left:
+                        raise ValueError("the rows of a word are out of order")
+                    word, blocks, ids, pieces, left = w, bs, [], [], n
+                elif at != len(ids) or not left:
+                    raise ValueError("the rows of a word are out of order")
+                ids.append(str(i))
+                pieces.append(piece)
+                left -= 1
+                if not left:
+                    for column, value in zip(out, (word, blocks, " ".join(ids), " ".join(pieces))):
+                        column.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.list_(pa.int32()), pa.string(), pa.string()))], ["word", "blocks", "ids_text", "pieces_text"])
+
+    return placed.mapInArrow(run, "word binary, blocks array<int>, ids_text string, pieces_text string")
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
