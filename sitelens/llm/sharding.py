@@ -4,8 +4,8 @@ Documents are linked when they share a link key (here: equal texts; a document
 may have several keys).  Every document starts in a hashed shard.  A round
 counts, per link, its documents in each shard, sums these votes per document
 (its own included) and moves documents to the shard with most votes, as far as
-that shard has room; ties go to a shard that depends on the link alone, so
-linked documents agree.  Shards without room are out of the vote, so a group
+that shard has room; ties go to a shard with room that depends on the link
+alone, so linked documents agree.  Shards without room are out of the vote, so a group
 larger than a shard fills one after another.  Requests reach the driver only
 as a histogram (shard x gain x 64 hash classes).
 
@@ -55,9 +55,12 @@ def propagate(links: DataFrame, rows: int, shards: int = SHARDS, rounds: int = R
         votes = (links.join(counts, "link").groupBy("rid").agg(*[F.sum(f"c{s}").alias(f"v{s}") for s in range(shards)]).join(state, "rid"))
         rank = F.pmod(F.xxhash64("first"), F.lit(shards))
         options = [F.when((F.lit(room[s]) > 0) | (F.col("shard") == s),
-                          F.struct(F.col(f"v{s}").alias("v"), F.pmod(F.lit(s) + rank, F.lit(shards)).alias("tie"), F.lit(s).alias("s"))) for s in range(shards)]
+                          F.struct(F.col(f"v{s}").alias("v"), (F.pmod(F.lit(s) + rank, F.lit(shards)) if room[s] else F.lit(-1)).cast("int").alias("tie"), F.lit(s).alias("s")))
+                   for s in range(shards)]
         own = F.element_at(F.array(*[F.col(f"v{s}") for s in range(shards)]), F.col("shard") + 1)
-        wish = (votes.withColumn("top", F.greatest(*options)).select("rid", "first", "shard", F.col("top.s").alias("best"), sum(F.col(f"v{s}") for s in range(shards)).alias("linked"), (F.col("top.v") - own).alias("gain"))
+        wish = (votes.withColumn("top", F.greatest(*options)).select("rid", "first", "shard", F.col("top.s").alias("best"), sum(F.col(f"v{s}") for s in range(shards)).alias("linked"), F.col("top.v").alias("most"), (F.col("top.v") - own).alias("gain"))
+                # a small group that is split over full shards moves on as a whole
+                .withColumn("best", F.when(_stuck(room, share), _refuge(room)).otherwise(F.col("best")))
                 .withColumn("worth", F.when(F.col("gain") > 0, F.floor(F.log2(F.col("gain").cast("double")))).otherwise(-1).cast("int"))
                 # documents of one link are in one class, so that groups move together, unless they would overfill it
                 .withColumn("part", F.pmod(F.xxhash64(F.when(F.col("linked") * CLASSES <= min(share), F.col("first")).otherwise(F.col("rid")), F.lit(turn)), F.lit(CLASSES)).cast("int")))
@@ -70,6 +73,17 @@ def propagate(links: DataFrame, rows: int, shards: int = SHARDS, rounds: int = R
     return state.select("rid", "shard")
 
 
+def _stuck(room: list[int], share: list[int]) -> Column:
+    full = F.element_at(F.array(*[F.lit(r == 0) for r in room]), F.col("shard") + 1)
+    return full & (F.col("best") == F.col("shard")) & (F.col("most") < F.col("linked")) & (F.col("linked") * CLASSES <= min(share)) & F.lit(any(room))
+
+
+def _refuge(room: list[int]) -> Column:
+    """A shard with room that depends on the link alone."""
+    free = [s for s, r in enumerate(room) if r] or [0]
+    return F.element_at(F.array(*[F.lit(s) for s in free]), (F.pmod(F.xxhash64("first", F.lit(1)), F.lit(len(free))) + 1).cast("int"))
+
+
 def _moves(moves: dict[int, list[tuple[int, int]]]) -> Column:
     tests = [(F.col("best") == s) & (F.col("worth") * CLASSES + F.col("part")).isin([w * CLASSES + p for w, p in cells]) for s, cells in moves.items()]
     out = tests[0]
