@@ -107,7 +107,3 @@ def last_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload:
 def site_seeds(pages: DataFrame) -> DataFrame:
     """Start URL of each site: its first page."""
     return first_seen(pages, ["site"], ["page_ord"], ["url"]).select("site", F.col("url").alias("start_url"))
-
-
-def bool_any(c: Column) -> Column:
-    return F.coalesce(F.bool_or(c), F.lit(False))

@@ -268,15 +268,13 @@ def js_fixed1_seconds(ms: Column) -> Column:
 
     Off a decimal tie it is integer rounding.  On a tie (``ms % 100 == 50``)
     JavaScript rounds the exact binary value of ``ms / 1000``; whether that
-    value lies above or below the tie is read from its IEEE bits:
-    x >= ms/1000  <=>  mantissa * 1000 >= ms * 2^(1075 - exponent).
+    value lies above or below the tie is told by scaling it to an integer (a
+    power of two changes no digit) and comparing in decimals.
     """
     x = ms.cast("double") / 1000
-    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x).cast("bigint")
-    mantissa = bits.bitwiseAND(F.lit((1 << 52) - 1)).bitwiseOR(F.lit(1 << 52))
-    exponent = F.shiftright(bits, 52).bitwiseAND(F.lit(0x7FF))
-    shift = (F.lit(1075) - exponent).cast("int")
-    up = (mantissa * 1000) >= F.call_function("shiftleft", ms.cast("bigint"), shift)
+    scale = F.pow(F.lit(2.0), F.lit(52) - F.floor(F.log2(x)))
+    whole = lambda c: c.cast("decimal(20,0)")
+    up = whole((x * scale).cast("bigint")) * 1000 >= whole(ms) * whole(scale.cast("bigint"))
     n = (F.when(ms % 100 == 50, F.floor(ms / 100) + F.when(up, 1).otherwise(0))
          .otherwise(F.floor((ms + 50) / 100))).cast("bigint")
     return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))

@@ -185,19 +185,19 @@ def report_json(report: DataFrame, pretty: bool = False) -> DataFrame:
 
 def run_summary(a: SiteAnalysis) -> DataFrame:
     """Counts per phase per site, the primary stack and its confidence in percent."""
-    def n(df: DataFrame | None, name: str) -> DataFrame | None:
-        return None if df is None else df.groupBy("site").agg(F.count("*").alias(name))
-
-    out = a.sites
     comps = None if a.component_classes is None else a.component_classes.select("site", "type_idx").distinct()
-    for piece in (n(a.signals, "n_signals"), n(a.colors, "n_colors"), n(a.fonts, "n_typography"),
-                  n(a.radii, "n_radii"), n(a.shadows, "n_shadows"), n(comps, "n_components"),
-                  n(a.a11y, "n_a11y")):
-        if piece is not None:
-            out = out.join(piece, "site", "left")
+    # all items as (site, kind) rows, counted by one aggregate
+    items = {"n_signals": a.signals, "n_colors": a.colors, "n_typography": a.fonts, "n_radii": a.radii,
+             "n_shadows": a.shadows, "n_components": comps, "n_a11y": a.a11y}
+    kinds = [df.select("site", F.lit(name).alias("kind")) for name, df in items.items() if df is not None]
+    rows = kinds[0]
+    for more in kinds[1:]:
+        rows = rows.unionByName(more)
+    counts = rows.groupBy("site").agg(*[F.count_if(F.col("kind") == name).alias(name) for name in items])
+    out = a.sites.join(counts, "site", "left")
     out = out.join(a.risks.select("site", F.size("risks").alias("n_risks")), "site", "left")
     out = out.join(primary_stacks(a), "site", "left")
-    names = ["n_signals", "n_colors", "n_typography", "n_radii", "n_shadows", "n_components", "n_a11y", "n_risks"]
+    names = [*items, "n_risks"]
     zero = F.lit(0).cast("bigint")
     cnt = {c: (F.coalesce(F.col(c), zero).cast("bigint") if c in out.columns else zero) for c in names}
     total = cnt["n_colors"] + cnt["n_typography"] + cnt["n_radii"] + cnt["n_shadows"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelens.session import read_table, run_sql
+from sitelens.session import run_sql
 
 # ``pages_themed``: page_id, page_ord, site, url, html.  The text is the fixture as specified;
 # ``p``/``n`` number the pages of each site and name the next two paths.
@@ -133,10 +133,6 @@ ON s.k = b.k
 """
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages")
-
-
 def numbered_pages(pages_df: DataFrame) -> DataFrame:
     """``n`` of the fixture: site, path, page_ord and the next two paths of each page, skew-safe.
 
@@ -161,28 +157,6 @@ def pages_themed_frame(spark: SparkSession, pages_df: DataFrame) -> DataFrame:
     return run_sql(spark, PAGES_THEMED_FROM_N_SQL, n=numbered_pages(pages_df))
 
 
-def pages_themed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_themed_frame(spark, pages(spark, sf_dir))
-
-
-def css_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, CSS_ASSETS_SQL, pages_themed=pages_themed(spark, sf_dir))
-
-
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, REQUESTS_SQL, pages_themed=pages_themed(spark, sf_dir))
-
-
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    themed = pages_themed(spark, sf_dir)
-    return run_sql(spark, FETCH_LOG_SQL, pages_themed=themed,
-                   css_assets=run_sql(spark, CSS_ASSETS_SQL, pages_themed=themed))
-
-
-def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, ROBOTS_SQL, pages_themed=pages_themed(spark, sf_dir))
-
-
 # Oracle CTE bodies (DuckDB): the same text with table references bound to CTE names.
 def oracle_ctes() -> dict[str, str]:
     def bind(sql: str) -> str:
