@@ -90,6 +90,18 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str, name: str) -
     return ranged.join(shifts, ["_pid", group]).withColumn(out, F.col("_off") + F.col("_mid") - F.col("_m0")).drop("_pid", "_mid", "_m0", "_off")
 
 
+def hashed_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash of ``key`` (equal keys count once).
+
+    Twice as many as asked are let through by a bound on the hash, set from the number of rows, so a task hands on
+    its share of the sample and not a whole sample.
+    """
+    span = 1 << 40
+    most = min(span, 2 * rows * span // max(1, df.count()) + 1)
+    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(key, F.lit(9)), F.lit(span))).where(F.col("_hash") < most)
+    return hashed.dropDuplicates(["_hash"]).orderBy("_hash").limit(rows).drop("_hash")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

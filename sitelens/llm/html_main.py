@@ -337,8 +337,8 @@ def learn(sources: list[str]) -> BoostedTrees:
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> BoostedTrees:
     """Trees learned from at most ``sample`` pages, chosen by a hash of their html."""
-    chosen = pages.where("html is not null").orderBy(F.xxhash64("html", F.lit(4)), "html").limit(sample).select("html").collect()
-    return learn([r["html"] for r in chosen])
+    chosen = C.hashed_sample(pages.where("html is not null").select("html"), F.col("html"), sample).collect()
+    return learn(sorted(r["html"] for r in chosen))
 
 
 def main_texts(pages: DataFrame, model: BoostedTrees) -> DataFrame:

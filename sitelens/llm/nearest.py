@@ -145,7 +145,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Coder | None:
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
         return None
-    chosen = rows.where(F.size("v") == sizes[0]["d"]).orderBy(F.xxhash64("id", F.lit(9)), "id").limit(sample).select("v").toPandas()
+    chosen = C.hashed_sample(rows.where(F.size("v") == sizes[0]["d"]), F.struct("id", "v"), sample).toPandas().sort_values("id", kind="stable")
     return Coder(np.stack(chosen["v"].to_numpy()).astype(float))
 
 

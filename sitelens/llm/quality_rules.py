@@ -288,13 +288,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
     Rows that fail the base rules are not learned from: the list judges what
     the base rules let pass.
     """
-    chosen = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-              .orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows))
+    chosen = (labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")))
+    chosen = C.hashed_sample(chosen, F.col("doc_id"), rows)
     known = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``rows``
              .transform(with_statistics).where(~base_failed()))
     table = (known.select("doc_id", "quality", *[v.alias(k) for k, v in features().items()])
-             .groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ["quality", *features()]])  # repeated rows count once
-             .orderBy("doc_id").limit(rows).toPandas())
+             .groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ["quality", *features()]])  # repeated rows count once, so ``rows`` bounds it
+             .toPandas().sort_values("doc_id", kind="stable"))
     if table["quality"].nunique() < 2:
         return []
     return learn({k: table[k].to_numpy() for k in features()}, (table["quality"] == 0).to_numpy())
