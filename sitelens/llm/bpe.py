@@ -49,7 +49,7 @@ _ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _LATIN = re.compile("[\x00-\x84\x86-\x9f\xa1-\u012f\u0131-\u017f]*")
 _LATIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+")
 #: Bytes of text that are numbered together, about.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 _loaded: dict[str, object] = {}
 
 
@@ -129,6 +129,7 @@ def block_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             block = batch.column(0)[0].as_py()
             for a, b in _parts(batch.column(1)):
                 new = set(_utf8(_runs(batch.column(1).slice(a, b - a))[1].dictionary)) - runs
+                pa.default_memory_pool().release_unused()
                 runs |= new
                 for r in new:
                     words.update(cut(r))
@@ -163,6 +164,7 @@ def block_positions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
                     with pa.ipc.new_stream(sink, made.schema, options=options) as writer:
                         writer.write_table(made)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
+                pa.default_memory_pool().release_unused()
 
     marked = docs.select(F.spark_partition_id().alias("block"), F.col(key).alias("key"), F.col(text).alias("text"))
     return marked.mapInArrow(run, "block int, packed binary")
@@ -290,6 +292,7 @@ def _put_together(docs: DataFrame, path: str, key: str, text: str, digests: bool
             return b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found])
 
         keys, n, ids, decoded = [], [], [], []
+        pa.default_memory_pool().release_unused()
         for part in left["packed"].to_pylist():
             source = pa.BufferReader(part)
             rows_, runs_, codes_ = (pa.ipc.open_stream(source).read_all() for _ in range(3))
