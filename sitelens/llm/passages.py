@@ -12,8 +12,12 @@ has the smallest hash of any ``REACH`` in a row, and equal passages are cut at
 equal places whatever stands around them (every passage of 46 words or
 more has a window); equal windows are one class.
 
-Of each class that reaches over two or more documents the first paragraph (by
-document id, then place) stays and the others are to be removed.
+Of each class that reaches over two or more documents the first paragraph or
+window (by document id, then place) stays and the others are to be removed.
+Windows are taken from all lines, whether a paragraph class holds them or not,
+and both kinds follow one order of places: whatever is removed stands at an
+earlier place too, so what stays of a passage that is a line in some documents
+and part of a line in others is its first place.
 
 Defined cases: a null text is an empty one; rows alike in id and text are one
 document; a null id is one document per text and comes last; lines that are
@@ -195,12 +199,9 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     placed = (lines.join(same, ["fp1", "fp2"]).join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
               .select("doc", "th", "line", "s", "e", F.coalesce("comp", "rep").alias("class")))
     found = C.write_once(_classes(placed), "passages-lines")
-    # windows that begin in a line that no class holds
+    # windows of every line, also of those that a class holds: the same passage may be a line here and part of one there
     windows = every.where("sketch is null").select("doc", "th", "line", "s", "e", F.col("fp1").alias("class"))
-    inner = _classes(windows)
-    held = found.select("doc", "th", "line").distinct()
-    free = inner.join(held, inner["doc"].eqNullSafe(held["doc"]) & (inner["th"] == held["th"]) & (inner["line"] == held["line"]), "left_anti")
-    out = found.withColumn("kind", F.lit("paragraph")).unionByName(free.withColumn("kind", F.lit("passage")))
+    out = found.withColumn("kind", F.lit("paragraph")).unionByName(_classes(windows).withColumn("kind", F.lit("passage")))
     return out.select(F.col("doc").alias("doc_id"), "kind", "s", "e", F.col("class").alias("class_id"), "class_docs", "kept")
 
 
