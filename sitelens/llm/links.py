@@ -49,14 +49,13 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def similar_components(keys: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, least_equal: int, rows: int) -> DataFrame:
+def similar_components(keys: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``(id, comp)`` of all items that are linked to another one.
 
-    ``keys(id, key)``: band keys with the band's number in the low bits (``band_keys``); ``sketches(id, sketch
-    binary)``: one byte per coordinate, ``rows`` of them to a band; ``sets(id, items array<long>)``: the exact
-    sets, ascending as unsigned numbers, of every item that shares a key; items are linked at a Jaccard
-    similarity of ``threshold`` or more.  In the search, pairs with fewer than ``least_equal`` equal bytes are
-    passed over.
+    ``keys(id, key)``: band keys with the band's number in the low bits (``band_keys``); ``sketches(id, keys
+    array<long>, sketch binary)``: all keys of an item in the order of the bands, and one byte per coordinate, which
+    only order the candidates of the search; ``sets(id, items array<long>)``: the exact sets, ascending as unsigned
+    numbers, of every item that shares a key; items are linked at a Jaccard similarity of ``threshold`` or more.
     """
     C.ship(keys.sparkSession)
     # a key held by one item tells nothing
@@ -72,7 +71,7 @@ def similar_components(keys: DataFrame, sketches: DataFrame, sets: DataFrame, th
         edges, comps = _grow(edges, comps, verified(C.write_once(_pairs(met), "links-pairs"), sets, threshold))
     divided = _with_components(live, comps)
     divided = divided.join(_divided(divided), "key", "left_semi")
-    return _grow(edges, comps, _search(divided, sketches, sets, threshold, least_equal, rows).distinct())[1]
+    return _grow(edges, comps, _search(divided, sketches, sets, threshold).distinct())[1]
 
 
 def _with_components(live: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -95,14 +94,14 @@ def _grow(edges, comps, found: DataFrame):
     return found, components(found)
 
 
-def _search(divided: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, least_equal: int, rows: int) -> DataFrame:
+def _search(divided: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``(a, b)``: a link for every item and other component that share a key and are similar."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (divided.join(sketches, "id").join(sets, "id").withColumn("blocks", blocks)
              .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
              # each pair of blocks meets once; a key within one block is one group
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp", "sketch", "items"))
+             .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "comp", "keys", "sketch", "items"))
 
     def compare(group: pa.Table) -> pa.Table:
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
@@ -110,6 +109,7 @@ def _search(divided: DataFrame, sketches: DataFrame, sets: DataFrame, threshold:
         ids, comp, own = (group[c].to_numpy() for c in ("id", "comp", "own"))
         width = len(group["sketch"][0].as_py())
         table = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), width)
+        shared = group["keys"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         lists = group["items"].combine_chunks()
         flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
         if lo == hi:  # everyone but the largest component against all
@@ -119,16 +119,14 @@ def _search(divided: DataFrame, sketches: DataFrame, sets: DataFrame, threshold:
             asks, asked = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         a, b = [], []
         for i in asks:
-            same = table[asked] == table[i]
-            equal = same.sum(axis=1)
-            near = np.flatnonzero((equal >= least_equal) & (comp[asked] != comp[i]))
+            near = asked[comp[asked] != comp[i]]
+            # a pair that shares several keys is looked at under the first of them, which holds both components too
+            near = near[(shared[near] == shared[i]).argmax(axis=1) == band]
             if not len(near):
                 continue
-            # a pair that shares several bands is looked at under the first of them
-            first = same[near][:, : width // rows * rows].reshape(len(near), -1, rows).all(axis=2).argmax(axis=1)
-            near = near[first == band]
+            equal = (table[near] == table[i]).sum(axis=1)
             x, found = flat[ends[i]:ends[i + 1]], set()
-            for j in asked[near[np.lexsort((ids[asked[near]], -equal[near]))]]:
+            for j in near[np.lexsort((ids[near], -equal))]:
                 if comp[j] in found:
                     continue
                 y = flat[ends[j]:ends[j + 1]]

@@ -38,8 +38,6 @@ WIDTH = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 6
-#: Equal sketch bytes below which a pair is not verified: 0.8 x 144 is 115, and 94 is 4.4 deviations below.
-LEAST_EQUAL = 94
 SEED = 12
 
 
@@ -115,7 +113,7 @@ def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text: str
     live = C.write_once(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("id").distinct(), "near-live")
     wanted = reps.join(live.withColumnRenamed("id", "rid"), "rid", "left_semi").select(F.col("rid").alias("id"), F.col("id").alias("doc"), "th1", "th2")
     sets = C.write_once(sets_of(docs, wanted, id_column, text), "near-sets")
-    comps = similar_components(keys, reps.select(F.col("rid").alias("id"), "sketch"), sets, threshold, LEAST_EQUAL, ROWS)
+    comps = similar_components(keys, reps.select(F.col("rid").alias("id"), "keys", "sketch"), sets, threshold)
     rows = (items.select("rid", "id", "th1", "th2", "fp1", "fp2", "size").join(same, ["fp1", "fp2"], "left")
             .withColumn("rep", F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("rid")))
             .join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))

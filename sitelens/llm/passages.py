@@ -42,8 +42,6 @@ THRESHOLD = 0.8
 LEAST_WORDS = 25
 BANDS = 16
 ROWS = 4
-#: 0.8 x 64 is 51; 37 is 4.4 deviations below.
-LEAST_EQUAL = 37
 WINDOW = 20
 REACH = 25
 
@@ -195,7 +193,7 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     live = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("id").distinct()
     wanted = reps.join(live, "id", "left_semi").select("id", "doc", "th", "line")
     sets = C.write_once(line_sets(docs, wanted, id_column, text), "passages-sets")
-    comps = similar_components(keys, reps.select("id", "sketch"), sets, THRESHOLD, LEAST_EQUAL, ROWS)
+    comps = similar_components(keys, reps.select("id", "keys", "sketch"), sets, THRESHOLD)
     placed = (lines.join(same, ["fp1", "fp2"]).join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
               .select("doc", "th", "line", "s", "e", F.coalesce("comp", "rep").alias("class")))
     found = C.write_once(_classes(placed), "passages-lines")

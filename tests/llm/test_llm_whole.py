@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sitelens.llm import passages
+from sitelens.llm import links, nearest, passages
 
 rng = np.random.default_rng(11)
 
@@ -32,3 +32,25 @@ def test_a_line_here_and_part_of_a_line_there(spark):
     assert [i for i, t in clean if p in t] == [1]
     assert {r["doc_id"] for r in out if r["kind"] == "passage" and text[r["doc_id"]][r["s"]:r["e"]] in near} >= {20, 21, 30}
     assert not any(r["kept"] for r in out if r["doc_id"] == 30)
+
+
+def test_pair_whose_first_band_agrees_in_its_bytes_only(spark):
+    """Items 1 and 2 share the key of band 1 and, by their bytes alone, band 0; the leaders of that key are others."""
+    n = 40
+    sets = [(i, list(range(100 * i, 100 * i + 20))) for i in range(n)]
+    sets[2] = (2, [*range(100, 119), 200])
+    keys = [(i, [64 * (i + 1), 64 * 7 + 1]) for i in range(n)]
+    sketch = [(i, bytearray([1, 2, 3, 4] if i in (1, 2) else [i + 10, 2, 3, 4])) for i in range(n)]
+    apart = spark.createDataFrame(keys, "id long, keys array<long>")
+    found = links.similar_components(apart.select("id", F.explode("keys").alias("key")), apart.join(spark.createDataFrame(sketch, "id long, sketch binary"), "id"),
+                                     spark.createDataFrame(sets, "id long, items array<long>"), 0.8)
+    assert {r["id"]: r["comp"] for r in found.collect()} == {1: 1, 2: 1}
+
+
+def test_search_does_not_pass_over_low_estimates(spark):
+    n = 40
+    sets = [(i, list(range(100 * i, 100 * i + 20))) for i in range(n)]
+    sets[2] = (2, [*range(100, 119), 200])
+    apart = spark.createDataFrame([(i, [64 * (i + 1), 64 * 7 + 1], bytearray([i, i, 3, 4])) for i in range(n)], "id long, keys array<long>, sketch binary")
+    found = links.similar_components(apart.select("id", F.explode("keys").alias("key")), apart, spark.createDataFrame(sets, "id long, items array<long>"), 0.8)
+    assert {r["id"]: r["comp"] for r in found.collect()} == {1: 1, 2: 1}
