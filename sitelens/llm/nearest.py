@@ -6,7 +6,7 @@ lose least (iterative quantisation).  The Hamming radius is the distance within
 which the sample's own nearest neighbours lie (``COVER`` of them); the whole
 table is denser than the sample, so its neighbours are nearer.
 
-Index: all rows are dealt into blocks by a hash of their id, each small enough
+Index: all rows are dealt into blocks by a hash of their row number, each small enough
 for one task.  A block cuts its codes into ``PIECES`` substrings and sorts the
 rows by each.  A code within radius r of a query differs by at most r // PIECES
 bits in some substring (one bit less in all but the first r % PIECES + 1), so
@@ -17,9 +17,9 @@ or is exhausted, so a query always gets k neighbours where there are k.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite
 components take no part; nor do vectors of another length than the sample's
-most frequent one, or rows with a null id; repeated ids are rows of their own
-(a query excludes rows with its id); ties go to the smaller id; an empty table
-gives no rows.
+most frequent one, or rows with a null id; repeated ids are rows of their own:
+each row that is a query has its own ten neighbours and leaves out itself alone;
+ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,8 +82,8 @@ class Coder:
 class Block:
     """The multi-index of one block of rows."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, coder: Coder, pieces: int = PIECES):
-        self.ids, self.vectors, self.coder, self.pieces = ids, vectors, coder, pieces
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, coder: Coder, pieces: int = PIECES):
+        self.rows, self.ids, self.vectors, self.coder, self.pieces = rows, ids, vectors, coder, pieces
         self.codes = coder.codes(vectors)
         width = coder.bits // pieces // 8
         self.values = np.ascontiguousarray(self.codes.reshape(len(ids), pieces, width)).view(f"u{width}")[:, :, 0]
@@ -112,19 +112,19 @@ class Block:
         rows = np.flatnonzero(found)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
 
-    def nearest(self, query: int, vector: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the block's best ``k`` of the rows found."""
+    def nearest(self, query: int, vector: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, ids and distances of the block's best ``k`` of the rows found; ``query`` is the row that asks."""
         radius = self.coder.radius
-        others = int((self.ids != query).sum())
+        others = int((self.rows != query).sum())
         while True:
             rows = self.within(code, radius)
-            rows = rows[self.ids[rows] != query]
+            rows = rows[self.rows[rows] != query]
             if len(rows) >= min(k, others) or radius >= self.coder.bits:
                 break
             radius = min(self.coder.bits, radius + self.pieces)
         dist = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(axis=1))
-        best = np.lexsort((self.ids[rows], dist))[:k]
-        return self.ids[rows[best]], dist[best]
+        best = np.lexsort((self.rows[rows], self.ids[rows], dist))[:k]
+        return self.rows[rows[best]], self.ids[rows[best]], dist[best]
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -151,19 +151,19 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Coder | None:
 
 def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows found for each row that ``is_query`` (over ``id``) selects."""
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_row long, query_id long, row long, vec_id long, score double"
     out = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
     C.ship(spark)
-    rows = C.write_once(usable(vectors, id_column, vector), "ann-rows")
+    rows = C.with_row_id(usable(vectors, id_column, vector), "ann-rows", "row")
     coder = fit(rows)
     if coder is None:
         return spark.createDataFrame([], out)
     rows = rows.where(F.size("v") == len(coder.centre))
     blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
-    index = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
+    index = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "row", "id", "v")
     # a stated query set against all rows, in blocks: every block sees every query
-    asks = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "id", "v")
+    asks = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "row", "id", "v")
     dealt = index.unionByName(asks).repartition(blocks, "block").sortWithinPartitions("block", "asks")
 
     def run(batches):
@@ -179,25 +179,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_column:
                 number, asking = divmod(int(keys[a]), 2)
                 if number != current:
                     held, block, current = [], None, number
-                ids, x = part["id"].to_numpy(), _matrix(part["v"].combine_chunks())
+                names, ids, x = part["row"].to_numpy(), part["id"].to_numpy(), _matrix(part["v"].combine_chunks())
                 if not asking:
-                    held.append((ids, x))
+                    held.append((names, ids, x))
                     continue
                 if not held:  # a block without rows of its own
                     continue
                 if block is None:
-                    block = Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), coder)
+                    block = Block(*(np.concatenate(h) for h in zip(*held)), coder)
                 codes = coder.codes(x)
-                q, v, s = [], [], []
+                asking_row, q, r, v, s = [], [], [], [], []
                 for i in range(len(ids)):
-                    near, dist = block.nearest(int(ids[i]), x[i], codes[i], k)
+                    found, near, dist = block.nearest(int(names[i]), x[i], codes[i], k)
+                    asking_row.append(np.full(len(near), names[i]))
                     q.append(np.full(len(near), ids[i]))
+                    r.append(found)
                     v.append(near)
                     s.append(dist)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in ((q, pa.int64()), (v, pa.int64()), (s, pa.float64()))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in ((asking_row, pa.int64()), (q, pa.int64()), (r, pa.int64()), (v, pa.int64()), (s, pa.float64()))], ["query_row", "query_id", "row", "vec_id", "score"])
 
     found = dealt.mapInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -54,3 +54,15 @@ def test_search_does_not_pass_over_low_estimates(spark):
     apart = spark.createDataFrame([(i, [64 * (i + 1), 64 * 7 + 1], bytearray([i, i, 3, 4])) for i in range(n)], "id long, keys array<long>, sketch binary")
     found = links.similar_components(apart.select("id", F.explode("keys").alias("key")), apart, spark.createDataFrame(sets, "id long, items array<long>"), 0.8)
     assert {r["id"]: r["comp"] for r in found.collect()} == {1: 1, 2: 1}
+
+
+def test_query_rows_of_one_id_have_ten_neighbours_each(spark):
+    x = rng.standard_normal((60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (0, x[1].tolist())]
+    ids, vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    got = nearest.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") == 0).collect()
+    want = []
+    for q in np.flatnonzero(ids == 0):
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        want += [(rank + 1, int(ids[i]), round(float(d[i]), 9)) for rank, i in enumerate([i for i in np.lexsort((ids, d)) if i != q][:10])]
+    assert sorted((r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
