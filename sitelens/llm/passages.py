@@ -183,7 +183,7 @@ def line_sets(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", tex
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, kind, s, e, class_id, class_docs, kept)``: every paragraph or window whose class reaches over several documents."""
+    """``(doc_id, kind, s, e, class_id, class_docs, kept, th)``: every paragraph or window whose class reaches over several documents."""
     every = C.with_row_id(units(docs, id_column, text), "passages-units", "id")
     lines = every.where("sketch is not null")
     # partial sums first: a paragraph held by a third of all texts is one row per task
@@ -200,7 +200,7 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     # windows of every line, also of those that a class holds: the same passage may be a line here and part of one there
     windows = every.where("sketch is null").select("doc", "th", "line", "s", "e", F.col("fp1").alias("class"))
     out = found.withColumn("kind", F.lit("paragraph")).unionByName(_classes(windows).withColumn("kind", F.lit("passage")))
-    return out.select(F.col("doc").alias("doc_id"), "kind", "s", "e", F.col("class").alias("class_id"), "class_docs", "kept")
+    return out.select(F.col("doc").alias("doc_id"), "kind", "s", "e", F.col("class").alias("class_id"), "class_docs", "kept", "th")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -212,9 +212,15 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def remove_passages(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the spans that ``found`` does not keep (overlaps are cut once)."""
-    spans = found.where("not kept").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_spans"))
-    joined = docs.join(spans, docs[id_column].eqNullSafe(spans["_id"]), "left")
+    """``docs`` without the spans that ``found`` does not keep (overlaps are cut once).
+
+    Spans belong to a text: the id and the fingerprint ``th``.  A ``found`` without ``th`` is read by the id alone
+    and is for tables whose ids are their own.
+    """
+    owner = ["doc_id", "th"] if "th" in found.columns else ["doc_id"]
+    spans = found.where("not kept").groupBy(*[F.col(c).alias(f"_{c}") for c in owner]).agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_spans"))
+    same = docs[id_column].eqNullSafe(spans["_doc_id"])
+    joined = docs.join(spans, same & (F.xxhash64(docs[text]) == spans["_th"]) if "th" in found.columns else same, "left")
     whole = docs[text]
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -229,4 +235,4 @@ def remove_passages(docs: DataFrame, found: DataFrame, id_column: str = "doc_id"
 
 def passages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph or passage that several documents hold."""
-    return repeated_passages(C.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repeated_passages(C.read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("th")

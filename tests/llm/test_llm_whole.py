@@ -66,3 +66,12 @@ def test_query_rows_of_one_id_have_ten_neighbours_each(spark):
         d = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
         want += [(rank + 1, int(ids[i]), round(float(d[i]), 9)) for rank, i in enumerate([i for i in np.lexsort((ids, d)) if i != q][:10])]
     assert sorted((r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
+
+
+def test_spans_are_cut_out_of_their_own_text_only(spark):
+    p, q = some(60), some(60)
+    clean_text = some(200)
+    rows = [(1, p), (2, some(30) + "\n" + p), (2, clean_text), (None, q), (None, some(50) + "\n" + q), (None, clean_text[:-1] + "z")]
+    _, clean = removed(spark, rows[:3] + rows[3:5])
+    assert (2, clean_text) in clean and sum(p in t for _, t in clean) == sum(q in t for _, t in clean) == 1
+    assert len(clean) == 5 and (1, p) in clean
