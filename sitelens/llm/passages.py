@@ -10,10 +10,16 @@ A passage pasted into a longer line, or over several lines, is not similar to
 a line as a whole.  So windows of ``WINDOW`` words begin where a word triple
 has the smallest hash of any ``REACH`` in a row, and equal passages are cut at
 equal places whatever stands around them (every passage of 46 words or
-more has a window); equal windows are one class.
-
-Of each class that reaches over two or more documents the first paragraph or
-window (by document id, then place) stays and the others are to be removed.
+more has a window); equal windows are one class.  These are seeds.  Where the
+holders of a seed change, the windows at all words up to ``REACH`` before and
+after it are cut too (a repeated passage reaches no further without another
+seed), and one between seeds that leave words out.  Windows that overlap and
+have their first places side by side are joined, which gives the longest
+repeated spans word by word.
+
+Of each class that has two or more places, in several documents or in one
+(kind ``repeat`` for such paragraphs), the first (by document id, then place)
+stays and the others are to be removed.
 Windows are taken from all lines, whether a paragraph class holds them or not,
 and both kinds follow one order of places: whatever is removed stands at an
 earlier place too, so what stays of a passage that is a line in some documents
@@ -29,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelens.llm import common as C
@@ -103,11 +109,18 @@ def _anchors(lines: Lines) -> np.ndarray:
     high = _sliding(low, np.maximum)  # the largest of those minima over all ranges that hold a place
     at = np.flatnonzero(high[1:n + 1] == triple[REACH:REACH + n])
     at = at[at <= n - WINDOW]
-    if len(at):  # text that repeats itself has one smallest triple many times; the first of a run of equal ones is enough
-        at = at[np.concatenate(([True], (np.diff(at) >= WINDOW) | (triple[REACH + at[1:]] != triple[REACH + at[:-1]])))]
     return at[lines.owner[at] == lines.owner[at + WINDOW - 1]]
 
 
+def _windows(lines: Lines, at: np.ndarray) -> dict[str, np.ndarray]:
+    """The windows that begin at the words ``at``: place within the text (in words, and code points), fingerprint."""
+    prints = np.zeros(len(at), np.uint64)
+    for k in range(WINDOW):
+        prints = A.mix(prints ^ A.seeded(lines.words[at + k], 5))
+    s, e = lines.places(at, at + WINDOW - 1, lines.owner[at])
+    return {"word": at - np.searchsorted(lines.owner, lines.owner[at]), "s": s, "e": e, "print": A.signed(prints)}
+
+
 def _sliding(x: np.ndarray, best: np.ufunc) -> np.ndarray:
     """``best`` of every ``REACH`` consecutive values."""
     out, width = x, 1
@@ -119,7 +132,7 @@ def _sliding(x: np.ndarray, best: np.ufunc) -> np.ndarray:
 
 
 def units(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Paragraphs (with band keys) and windows (without) of every text."""
+    """Paragraphs (with band keys) and windows (without; ``line`` is the number of their first word) of every text."""
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         ids, th = batch.column(0), batch.column(1)
         out = {k: [] for k in ("row", "line", "s", "e", "fp1", "fp2", "keys", "counts")}
@@ -138,11 +151,8 @@ def units(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
                 sketches += [r.tobytes() for r in sketch(ranks)]
             at = _anchors(x)
             if len(at):
-                prints = np.zeros(len(at), np.uint64)
-                for k in range(WINDOW):
-                    prints = A.mix(prints ^ A.seeded(x.words[at + k], 5))
-                s, e = x.places(at, at + WINDOW - 1, x.owner[at])
-                for k, v in (("row", x.owner[at] + a), ("line", x.number[x.line[at]]), ("s", s), ("e", e), ("fp1", A.signed(prints)),
+                w = _windows(x, at)
+                for k, v in (("row", x.owner[at] + a), ("line", w["word"]), ("s", w["s"]), ("e", w["e"]), ("fp1", w["print"]),
                              ("fp2", np.zeros(len(at), np.int64)), ("counts", np.zeros(len(at), np.int64))):
                     out[k].append(v)
                 sketches += [None] * len(at)
@@ -183,7 +193,7 @@ def line_sets(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", tex
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, kind, s, e, class_id, class_docs, kept, th)``: every paragraph or window whose class reaches over several documents."""
+    """``(doc_id, kind, s, e, class_id, class_docs, kept, th)``: every paragraph or longest passage that stands at several places."""
     every = C.with_row_id(units(docs, id_column, text), "passages-units", "id")
     lines = every.where("sketch is not null")
     # partial sums first: a paragraph held by a third of all texts is one row per task
@@ -198,19 +208,81 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
               .select("doc", "th", "line", "s", "e", F.coalesce("comp", "rep").alias("class")))
     found = C.write_once(_classes(placed), "passages-lines")
     # windows of every line, also of those that a class holds: the same passage may be a line here and part of one there
-    windows = every.where("sketch is null").select("doc", "th", "line", "s", "e", F.col("fp1").alias("class"))
-    out = found.withColumn("kind", F.lit("paragraph")).unionByName(_classes(windows).withColumn("kind", F.lit("passage")))
+    windows = every.where("sketch is null").select("doc", "th", F.col("line").alias("word"), "s", "e", F.col("fp1").alias("class"))
+    paragraphs = found.drop("line").withColumn("kind", F.when(F.col("class_docs") > 1, "paragraph").otherwise("repeat"))
+    out = paragraphs.unionByName(_passages(docs, windows, id_column, text).withColumn("kind", F.lit("passage")))
     return out.select(F.col("doc").alias("doc_id"), "kind", "s", "e", F.col("class").alias("class_id"), "class_docs", "kept", "th")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """Rows of the classes that hold two documents or more; the first of a class is kept."""
+    """Rows of the classes that have two places or more; the first of a class is kept."""
     place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("th").alias("th"), F.col("s").alias("s"))
-    per_doc = rows.groupBy("class", "doc", "th").agg(F.min(place).alias("first"))
-    wide = (per_doc.groupBy("class").agg(F.count("*").alias("class_docs"), F.min("first").alias("first")).where("class_docs > 1"))
+    per_doc = rows.groupBy("class", "doc", "th").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    wide = per_doc.groupBy("class").agg(F.count("*").alias("class_docs"), F.min("first").alias("first"), F.max("last").alias("last")).where("first != last").drop("last")
     return rows.join(wide, "class").withColumn("kept", place == F.col("first")).drop("first")
 
 
+def _repeated(windows: DataFrame, name: str) -> DataFrame:
+    """``windows`` of two places or more, once per place, with their first place and what tells their holders (``n``, ``who``)."""
+    place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("th").alias("th"), F.col("word").alias("word"))
+    wide = (windows.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("other"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.col("doc").isNull(), "doc", "th")).alias("who"))
+            .where("first != other").drop("other"))
+    # rows alike in id and text are one document
+    return C.write_once(windows.join(wide, "class").dropDuplicates(["doc", "th", "word"]), name)
+
+
+def _passages(docs: DataFrame, seeds: DataFrame, id_column: str, text: str) -> DataFrame:
+    """The longest repeated spans around the seeds, classed by their first window."""
+    live = _repeated(seeds, "passages-seeds")
+    order = Window.partitionBy("doc", "th").orderBy("word")  # windows of one text
+    word = F.col("word")
+
+    def joined(step) -> Column:
+        return F.coalesce((step("n").over(order) == F.col("n")) & (step("who").over(order) == F.col("who")) & (F.abs(step("word").over(order) - word) <= REACH), F.lit(False))
+
+    none = F.array().cast("array<int>")
+    gap = F.lead("word").over(order) - word
+    after = F.when(~joined(F.lead), F.sequence(word + 1, word + REACH)).when(gap > WINDOW, F.array(word + REACH - WINDOW)).otherwise(none)
+    before = F.when(~joined(F.lag), F.sequence(word - REACH, word - 1)).otherwise(none)
+    asked = (live.select("doc", "th", F.concat(after, before).alias("asked")).where(F.size("asked") > 0)
+             .groupBy("doc", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("asked")))).alias("asked")))
+    columns = ["doc", "th", "word", "s", "e", "class"]
+    every = _repeated(_windows_at(docs, asked, id_column, text).unionByName(live.select(*columns)), "passages-windows")
+    first = F.col("first")
+    every = (every.withColumn("kept", first["doc"].eqNullSafe(F.col("doc")) & (first["th"] == F.col("th")) & (first["word"] == word))
+             .withColumn("beside", F.struct("n", "who", "kept", first["doc"].alias("d"), first["th"].alias("t"), (word - first["word"]).alias("off"))))
+    same = F.lag("beside").over(order).eqNullSafe(F.col("beside")) & (word - F.lag("word").over(order) <= WINDOW)
+    runs = every.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    spans = (runs.groupBy("doc", "th", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min(F.struct("word", "class"))["class"].alias("class"), F.min("kept").alias("kept")).drop("run"))
+    spans = C.write_once(spans, "passages-spans")
+    holders = spans.select("class", "doc", "th").distinct().groupBy("class").agg(F.count("*").alias("class_docs"))
+    return spans.join(holders, "class")
+
+
+def _windows_at(docs: DataFrame, asked: DataFrame, id_column: str, text: str) -> DataFrame:
+    """The windows that begin at the ``asked`` words (those outside a text are none)."""
+    rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    found = rows.join(asked, rows["doc"].eqNullSafe(asked["doc"]) & (rows["th"] == asked["th"])).select(rows["doc"], rows["th"], "asked", "text")
+
+    def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        out = {k: [] for k in ("row", "word", "s", "e", "print")}
+        for a, b in A.chunks(batch.column(3)):
+            x = Lines(batch.column(3).slice(a, b - a))
+            lists = batch.column(2).slice(a, b - a)
+            owner, at = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            begin, end = np.searchsorted(x.owner, owner), np.searchsorted(x.owner, owner, side="right")
+            inside = (at >= 0) & (begin + at + WINDOW <= end)
+            out["row"].append(owner[inside] + a)
+            for k, v in _windows(x, (begin + at)[inside]).items():
+                out[k].append(v)
+        flat = {k: np.concatenate(v) for k, v in out.items()}
+        row = pa.array(flat["row"], pa.int64())
+        return {"doc": batch.column(0).take(row), "th": batch.column(1).take(row), "word": pa.array(flat["word"], pa.int32()), "s": pa.array(flat["s"], pa.int32()),
+                "e": pa.array(flat["e"], pa.int32()), "class": pa.array(flat["print"], pa.int64())}
+
+    return C.map_batches(found, cut, "doc long, th long, word int, s int, e int, class long")
+
+
 def remove_passages(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the spans that ``found`` does not keep (overlaps are cut once).
 
@@ -234,5 +306,5 @@ def remove_passages(docs: DataFrame, found: DataFrame, id_column: str = "doc_id"
 
 
 def passages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph or passage that several documents hold."""
+    """Every paragraph or passage that stands at several places."""
     return repeated_passages(C.read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("th")

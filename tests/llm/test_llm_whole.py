@@ -75,3 +75,26 @@ def test_spans_are_cut_out_of_their_own_text_only(spark):
     _, clean = removed(spark, rows[:3] + rows[3:5])
     assert (2, clean_text) in clean and sum(p in t for _, t in clean) == sum(q in t for _, t in clean) == 1
     assert len(clean) == 5 and (1, p) in clean
+
+
+def test_passages_go_to_their_last_word_and_repeats_inside_one_document(spark):
+    shared = [some(n) for n in range(passages.REACH + passages.WINDOW + 1, 90, 4)]
+    rows = [(100 * k + i, " ".join([some(7 * i + 40 - k), p, some(30 + 5 * i)])) for k, p in enumerate(shared) for i in range(3)]
+    line, inline = some(30), some(60)
+    rows += [(9000, "\n".join([line, some(28), line, some(33), line])), (9001, " ".join([some(35), inline, some(50), inline, some(20)]))]
+    # 9003 and 9004 share more than either does with 9002
+    core, left, right = some(50), some(12), some(12)
+    rows += [(9002, " ".join([some(40), core, some(40)]))] + [(k, " ".join([some(40), left, core, right, some(40)])) for k in (9003, 9004)]
+    # a text that repeats itself, in two documents
+    rows += [(k, " ".join([some(40), *["one two three"] * 100, some(40)])) for k in (9005, 9006)]
+    out, clean = removed(spark, rows)
+    clean = dict(clean)
+    for k, p in enumerate(shared):
+        assert p in clean[100 * k]
+        for i in (1, 2):
+            assert not set(p.split()) & set(clean[100 * k + i].split())
+            assert len(clean[100 * k + i].split()) == len(rows[3 * k + i][1].split()) - len(p.split())
+    assert clean[9000].count(line) == 1 and clean[9000].split()[:30] == line.split() and {r["kind"] for r in out if r["doc_id"] == 9000} >= {"repeat"}
+    assert clean[9001].count(inline) == 1 and sum(w in inline.split() for w in clean[9001].split()) == 60
+    assert not set((left + " " + core + " " + right).split()) & set(clean[9004].split()) and not set(core.split()) & set(clean[9003].split())
+    assert "three" not in clean[9006].split()
