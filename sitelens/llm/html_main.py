@@ -42,7 +42,9 @@ CHUNK_PAGES = 256
 
 # Fixed values of HTML: element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math object select".split())
+RAW = set("script style noscript template iframe textarea title svg select".split())
+#: Where an svg without an end ends in browsers: at the first of these.
+BREAKOUT = re.compile(r"<(?:b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var)(?=[\s/>])", re.I)
 BLOCK = set("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
             "legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul video audio canvas button".split())
 #: What an opening tag closes, if that is the nearest of its kind.
@@ -144,9 +146,16 @@ class Page:
                 self.end[i] = len(self.tag)
                 continue
             i = self._open(stack, tag, m[3])
+            if tag in ("svg", "math") and re.search(r"(?:^|[\s\"'])/$|^[^=]*/$", m[3]):  # an unquoted value takes the slash
+                self.end[i] = len(self.tag)
+                continue
             if tag in RAW:
                 close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(s, at)
-                at = n if not close else (s.find(">", close.end()) + 1 or n)
+                if close:
+                    at = s.find(">", close.end()) + 1 or n
+                else:
+                    out = BREAKOUT.search(s, at) if tag == "svg" else None
+                    at = out.start() if out else n
                 self.end[i] = len(self.tag)
                 continue
             if not m[3].endswith("/") or tag in BLOCK:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sitelens.llm import links, nearest, passages
+from sitelens.llm import html_main, links, nearest, passages
 
 rng = np.random.default_rng(11)
 
@@ -98,3 +98,15 @@ def test_passages_go_to_their_last_word_and_repeats_inside_one_document(spark):
     assert clean[9001].count(inline) == 1 and sum(w in inline.split() for w in clean[9001].split()) == 60
     assert not set((left + " " + core + " " + right).split()) & set(clean[9004].split()) and not set(core.split()) & set(clean[9003].split())
     assert "three" not in clean[9006].split()
+
+
+def test_article_goes_on_after_a_self_closed_svg_and_keeps_math_and_object():
+    def words(page):
+        p = html_main.Page(page)
+        return " ".join(t for _, t in p.stream if t)
+
+    for tag in ('<svg class="icon"/>', "<svg/>", "<svg />", "<math/>", "<svg class='icon'>", "<svg><path d='M0'/></svg>"):
+        got = words(f"<article><p>before {tag}<p>after the icon</p><p>end</p></article>")
+        assert "before" in got and "after the icon" in got and "end" in got, tag
+    got = words("<article><p>energy <math><mi>mass</mi></math> <object data=x>fallback</object> rest</p><svg><text>drawn</text></svg></article>")
+    assert all(w in got for w in ("energy", "mass", "fallback", "rest")) and "drawn" not in got
