@@ -232,7 +232,11 @@ def _repeated(windows: DataFrame, name: str) -> DataFrame:
 
 
 def _passages(docs: DataFrame, seeds: DataFrame, id_column: str, text: str) -> DataFrame:
-    """The longest repeated spans around the seeds, classed by their first window."""
+    """The longest repeated spans around the seeds, classed by their first window.
+
+    ``class_docs`` counts the documents that have a span with that first window; where the holders change within a
+    span, it is given in overlapping pieces.
+    """
     live = _repeated(seeds, "passages-seeds")
     order = Window.partitionBy("doc", "th").orderBy("word")  # windows of one text
     word = F.col("word")
