@@ -17,11 +17,16 @@ from sitelens.session import ensure_checkpoint_dir, materialize, read_table  # n
 #: Separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch on its way to a Python worker, unless the session names another number.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers (once per application)."""
+    """Give this package to the executors' Python workers (once per application), and bound the batches they get in bytes."""
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
