@@ -115,7 +115,7 @@ def with_resolved_url(df: DataFrame, href: str, base: str | None, out: str) -> D
     # for http and https a backslash before the query is a slash
     head = F.regexp_extract("_abs", r"^([^?#]*)", 1)
     slashed = F.concat(F.translate(head, "\\", "/"), F.substring(F.col("_abs"), F.length(head) + 1, F.lit(1 << 30)))
-    t = t.select(*cols, F.when(F.col("_abs").rlike(r"^(?i:https?):"), slashed).otherwise(F.col("_abs")).alias("_abs"))
+    t = t.select(*cols, F.when(F.contains("_abs", F.lit("\\")) & F.col("_abs").rlike(r"^(?i:https?):"), slashed).otherwise(F.col("_abs")).alias("_abs"))
     t = t.select(*cols, "_abs", F.struct(*_parts(F.col("_abs"), "u")).alias("_u"))
     u = F.col("_u")
     us = F.lower(u["us"])

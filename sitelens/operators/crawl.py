@@ -5,7 +5,7 @@ mark visited, skip off-origin (vs. the seed), fetch, enqueue the page's
 internal links, stop at ``max_pages`` pages (failed fetches count).  Here
 all requests advance together, one level per iteration:
 
-  frontier ⋈ links(page) → candidates → origin filter → anti-join visited
+  frontier ⋈ links of its pages → candidates → origin filter → anti-join visited
   → first per (request, url) by (parent visit_no, link order)
   → visit_no = pages so far + rank → keep ``<= max_pages``
 
@@ -98,14 +98,26 @@ def store_links(pages: DataFrame, status: DataFrame) -> DataFrame:
     return internal.select("key", F.struct("kind_rank", "p1", "p2").alias("pos"), F.col("url").alias("target"))
 
 
-def site_bfs(requests: DataFrame, links: DataFrame) -> DataFrame:
+class LinkTable:
+    """A store's whole link table (``store_links``), asked like a page store."""
+
+    def __init__(self, links: DataFrame):
+        self.table = materialize(links, "bfs-links")
+
+    def links(self, keys: DataFrame) -> DataFrame:
+        return self.table.join(keys, "key", "left_semi")
+
+
+def site_bfs(requests: DataFrame, store) -> DataFrame:
     """The pages each request would crawl, in crawl order.
 
     Input requests: request_id, seed (canonical URL, may be null), max_pages, same_origin_only.
-    Output: request_id, url, visit_no (1-based crawl order), level.
+    ``store``: a page store (``sources.page_store``), which reads and parses the pages of a level only, or a link
+    table made before.  Output: request_id, url, visit_no (1-based crawl order), level.
     """
     ensure_checkpoint_dir(requests.sparkSession)
-    links = materialize(links, "bfs-links")
+    if isinstance(store, DataFrame):
+        store = LinkTable(store)
     req = requests.select("request_id", "max_pages", "same_origin_only",
                           origin(F.col("seed")).alias("seed_origin"))
     visited = requests.where(F.col("seed").isNotNull() & (F.col("max_pages") >= 1)).select(
@@ -115,8 +127,8 @@ def site_bfs(requests: DataFrame, links: DataFrame) -> DataFrame:
     frontier, level = visited, 0
     while True:  # every level visits a page of some request, so the largest budget bounds the levels
         level += 1
-        cand = (frontier.withColumn("key", strip_fragment(F.col("url")))
-                .join(links, "key")
+        at = frontier.withColumn("key", strip_fragment(F.col("url")))
+        cand = (at.join(store.links(at.select("key").distinct()), "key")
                 .select("request_id", F.col("target").alias("url"), F.col("visit_no").alias("parent"), "pos")
                 .join(req, "request_id"))
         cand = cand.where(~F.col("same_origin_only") | F.coalesce(origin(F.col("url")) == F.col("seed_origin"),

@@ -37,9 +37,8 @@ def page_bases(pages: DataFrame) -> DataFrame:
     return canon.select(*PAGE, "url", strip_fragment(F.col("_canon")).alias("final_url"))
 
 
-def raw_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Raw link values of each page, in page order.  Output: site, page_ord, *keep, kind_rank, p1, p2, href."""
-    html = F.col("html")
+def link_array(html: F.Column, kinds: tuple[int, ...] = tuple(KINDS)) -> F.Column:
+    """All raw link values of a page's HTML, in page order, as an array of (kind_rank, p1, p2, href)."""
     href_of = lambda tag: F.regexp_extract(tag, P.java_rx(P.HREF_IN_TAG), 1)
     has_href = lambda tag: tag.rlike(P.java_rx(P.HREF_IN_TAG))
 
@@ -50,21 +49,32 @@ def raw_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         return F.transform(items, lambda s, i: F.struct(F.lit(kind).alias("kind_rank"), i.alias("p1"),
                                                         F.lit(0).alias("p2"), s["href"].alias("href")))
 
-    sheets = tagged(0, find_all(html, P.LINK_STYLESHEET), href_of, has_href)
-    typed = tagged(1, find_all(html, P.LINK_TEXT_CSS), href_of, has_href)
-    imports = F.flatten(F.transform(
-        find_all(html, P.STYLE_BLOCK, 1),
-        lambda body, b: F.transform(find_all(body, P.CSS_IMPORT, 1),
-                                    lambda h, j: F.struct(F.lit(2).alias("kind_rank"), b.alias("p1"),
-                                                          j.alias("p2"), h.alias("href")))))
-    scripts = tagged(3, find_all(html, P.SCRIPT_SRC, 1), lambda v: v)
-    anchors = tagged(4, find_all(html, P.ANCHOR_HREF, 1), lambda v: v)
-    every = F.concat(sheets, typed, imports, scripts, anchors)
+    found = {
+        0: lambda: tagged(0, find_all(html, P.LINK_STYLESHEET), href_of, has_href),
+        1: lambda: tagged(1, find_all(html, P.LINK_TEXT_CSS), href_of, has_href),
+        2: lambda: F.flatten(F.transform(
+            find_all(html, P.STYLE_BLOCK, 1),
+            lambda body, b: F.transform(find_all(body, P.CSS_IMPORT, 1),
+                                        lambda h, j: F.struct(F.lit(2).alias("kind_rank"), b.alias("p1"),
+                                                              j.alias("p2"), h.alias("href"))))),
+        3: lambda: tagged(3, find_all(html, P.SCRIPT_SRC, 1), lambda v: v),
+        4: lambda: tagged(4, find_all(html, P.ANCHOR_HREF, 1), lambda v: v),
+    }
+    return F.concat(*[found[k]() for k in kinds])
+
+
+def link_rows(pages: DataFrame, every: F.Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """An array of raw links as rows.  Output: site, page_ord, *keep, kind_rank, p1, p2, href."""
     return pages.select(*PAGE, *keep, F.inline(every)).select(
         *PAGE, *keep, F.col("kind_rank").cast("bigint"), F.col("p1").cast("bigint"), F.col("p2").cast("bigint"),
         "href")
 
 
+def raw_links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw link values of each page, in page order.  Output: site, page_ord, *keep, kind_rank, p1, p2, href."""
+    return link_rows(pages, link_array(F.col("html")), keep)
+
+
 def resolved_links(pages: DataFrame) -> DataFrame:
     """Every raw link resolved against its page.  Output: site, page_ord, final_url, kind_rank, p1, p2, href, url.
 
@@ -98,12 +108,15 @@ def anchor_links(resolved: DataFrame) -> DataFrame:
                           & F.col("url").isNotNull())
 
 
+def internal_anchors(resolved: DataFrame) -> DataFrame:
+    """Anchors of the page's final origin, query and fragment stripped, every occurrence."""
+    same = F.coalesce(origin(F.col("url")) == origin(F.col("final_url")), F.lit(False))
+    return anchor_links(resolved).where(same).withColumn("url", strip_query_fragment(F.col("url")))
+
+
 def internal_links(resolved: DataFrame) -> DataFrame:
     """Anchors of the page's final origin, query and fragment stripped, de-duplicated."""
-    a = anchor_links(resolved)
-    same = F.coalesce(origin(F.col("url")) == origin(F.col("final_url")), F.lit(False))
-    a = a.where(same).withColumn("url", strip_query_fragment(F.col("url")))
-    return _dedup(a)
+    return _dedup(internal_anchors(resolved))
 
 
 def page_links(resolved: DataFrame, pages: DataFrame) -> DataFrame:

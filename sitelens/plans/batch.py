@@ -23,6 +23,7 @@ from sitelens.plans.analysis import SiteAnalysis
 from sitelens.plans.markdown import design_doc
 from sitelens.plans.report import report_json, site_report
 from sitelens.session import ensure_checkpoint_dir, materialize
+from sitelens.sources.page_store import PageStore, land_pages
 
 DEFAULT_GENERATED_AT = "2026-01-01T00:00:00.000Z"
 MISSING_STATUS = 404  # a URL with no landed page answers Not Found
@@ -38,21 +39,15 @@ class BatchResult:
     robots: DataFrame  # site (= request id), robots_status
 
 
-def crawled_pages(visited: DataFrame, pages: DataFrame, status: DataFrame) -> DataFrame:
+def crawled_pages(visited: DataFrame, store: PageStore) -> DataFrame:
     """Page records of the crawl: the landed row behind each visited URL, or a failed fetch.
 
-    The visited set holds at most ``max_pages`` rows per request.  It meets
-    the store's keys first; the HTML is looked up last, by (site, page_ord).
+    The visited set holds at most ``max_pages`` rows per request; the store, laid out by fetch key, stays in place.
     Output: site (= request), page_ord, url, final_url, status, error, html, store_site, store_url.
     """
     vk = visited.withColumn("key", strip_fragment(F.col("url")))
-    rows = CR.store_rows(pages, status).select("key", F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"),
-                                               F.col("url").alias("store_url"), "raw_status", "message")
-    hits = materialize(vk.join(rows, "key", "left"), "crawl-hits")
-    bases = LK.page_bases(pages).select(F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "final_url")
-    body = pages.select(F.col("site").alias("store_site"), F.col("page_ord").alias("store_ord"), "html")
-    wanted = hits.where(F.col("store_site").isNotNull()).select("store_site", "store_ord").distinct()
-    rec = hits.join(bases, ["store_site", "store_ord"], "left").join(body.join(wanted, ["store_site", "store_ord"], "left_semi"), ["store_site", "store_ord"], "left")
+    rows = store.rows(vk.select("key").distinct(), ["site", "url", "final_url", "html", "raw_status", "message"])
+    rec = vk.join(rows.select("key", F.col("site").alias("store_site"), F.col("url").alias("store_url"), "final_url", "html", "raw_status", "message"), "key", "left")
     missing = F.col("store_site").isNull()
     # the retry rule names the URL that was fetched: the visited one
     raw = F.when(missing, F.lit(MISSING_STATUS)).otherwise(F.col("raw_status"))
@@ -88,17 +83,21 @@ def fetched_css(crawled: DataFrame, requests: DataFrame, css_store: DataFrame, f
     return got.select("site", (F.row_number().over(w) - 1).cast("bigint").alias("css_ord"), "css_url", "css", "store_site")
 
 
-def run_batch(requests: DataFrame, pages: DataFrame, css_store: DataFrame, fetch_log: DataFrame | None,
+def run_batch(requests: DataFrame, pages: DataFrame | PageStore, css_store: DataFrame, fetch_log: DataFrame | None,
               robots: DataFrame | None, generated_at: str = DEFAULT_GENERATED_AT,
               links: DataFrame | None = None) -> BatchResult:
-    """Run all accepted requests.  ``links``: the store's link table (``crawl.store_links``), if built before."""
+    """Run all accepted requests over landed pages, which are a page store or a table that is laid out first.
+
+    ``links``: the store's whole link table (``crawl.store_links``), if built before; else the crawl parses the pages
+    it visits, or finds their links in the store's cache.
+    """
     ensure_checkpoint_dir(requests.sparkSession)
     # Stage results are written as tables in the checkpoint folder: each is reused
     # by many report pieces, and the lineage behind them (crawl levels) is long.
     reqs = materialize(RQ.accepted_requests(requests), "requests")
-    status = CR.page_status(pages, fetch_log)
-    visited = CR.site_bfs(reqs, CR.store_links(pages, status) if links is None else links)
-    crawled = materialize(crawled_pages(visited, pages, status), "crawled-pages")
+    store = pages if isinstance(pages, PageStore) else land_pages(pages, fetch_log)
+    visited = CR.site_bfs(reqs, store if links is None else links)
+    crawled = materialize(crawled_pages(visited, store), "crawled-pages")
     css = materialize(fetched_css(crawled, reqs, css_store, fetch_log), "crawled-css")
     sites = reqs.select(F.col("request_id").alias("site"))
     if robots is not None:

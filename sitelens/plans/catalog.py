@@ -30,10 +30,11 @@ from sitelens.plans import batch as BT
 from sitelens.plans import markdown as MD
 from sitelens.plans import report as RP
 from sitelens.plans.analysis import SiteAnalysis
-from sitelens.session import ensure_checkpoint_dir, materialize, read_table
+from sitelens.session import ensure_checkpoint_dir, materialize, read_table, table_state
 from sitelens.sources import files as FL
 from sitelens.sources import fixtures as FX
 from sitelens.sources import pages as SP
+from sitelens.sources.page_store import PageStore, land_pages
 from sitelens.sources import sinks as SK
 from sitelens.streaming import tokens as ST
 
@@ -42,8 +43,9 @@ from sitelens.streaming import tokens as ST
 PREPARED: dict[str, str] = {}
 
 # Derived input tables are deterministic and read-only: once written for an
-# application and a data folder, later queries of the same application reuse them.
-_DERIVED: dict[tuple[str, str, str], DataFrame] = {}
+# application and a state of the data folder, later queries of the same application
+# reuse them.  They belong to no run, so no run's clean-up deletes them.
+_DERIVED: dict[tuple, object] = {}
 
 
 class Inputs:
@@ -60,13 +62,22 @@ class Inputs:
     def pages(self) -> DataFrame:
         return read_table(self.spark, self.sf_dir, "pages")
 
-    def _derived(self, name: str, build) -> DataFrame:
-        """A derived input table, written once to the checkpoint folder: many branches (and queries) read it."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+    @cached_property
+    def _source(self) -> tuple:
+        root = PREPARED.get(self.sf_dir)
+        return (self.spark.sparkContext.applicationId, self.sf_dir, root, table_state(self.spark, f"{self.sf_dir.rstrip('/')}/pages.parquet"))
+
+    def _once(self, name: str, build):
+        """What ``build`` makes, once per application and state of the data."""
+        key = (*self._source, name)
         if key not in _DERIVED:
-            _DERIVED[key] = materialize(build(), f"derived-{name}")
+            _DERIVED[key] = build()
         return _DERIVED[key]
 
+    def _derived(self, name: str, build) -> DataFrame:
+        """A derived input table, written once to the checkpoint folder: many branches (and queries) read it."""
+        return self._once(name, lambda: materialize(build(), f"derived-{name}", keep=True))
+
     @cached_property
     def pages_themed(self) -> DataFrame:
         return self._prepared("pages_themed") or self._derived(
@@ -85,6 +96,11 @@ class Inputs:
     def fetch_log(self) -> DataFrame:
         return FX.run_sql(self.spark, FX.FETCH_LOG_SQL, pages_themed=self.pages_themed, css_assets=self.css_assets)
 
+    @cached_property
+    def page_store(self) -> PageStore:
+        """The landed pages laid out by fetch key, as a crawl leaves them."""
+        return self._once("page_store", lambda: land_pages(self.pages_themed, self.fetch_log, keep=True))
+
     @cached_property
     def robots(self) -> DataFrame:
         return FX.run_sql(self.spark, FX.ROBOTS_SQL, pages_themed=self.pages_themed)
@@ -456,17 +472,9 @@ def _q_fetch_outcome(i: Inputs) -> DataFrame:
     return out.select("site", "kind", "outcome", F.col("status").cast("bigint").alias("status"), "n")
 
 
-def bfs_inputs(i: Inputs):
-    reqs = RQ.accepted_requests(i.requests)
-    status = CR.page_status(i.pages_themed, i.fetch_log)
-    links = CR.store_links(i.pages_themed, status)
-    return reqs, links
-
-
 @register("site_bfs")
 def _q_site_bfs(i: Inputs) -> DataFrame:
-    reqs, links = bfs_inputs(i)
-    return CR.site_bfs(reqs, links)
+    return CR.site_bfs(RQ.accepted_requests(i.requests), i.page_store)
 
 
 # ---------------------------------------------------------------------------
@@ -535,7 +543,7 @@ def _q_run_summary(i: Inputs) -> DataFrame:
 
 
 def _batch(i: Inputs) -> BT.BatchResult:
-    return BT.run_batch(i.requests, i.pages_themed, i.css_assets, i.fetch_log, i.robots)
+    return BT.run_batch(i.requests, i.page_store, i.css_assets, i.fetch_log, i.robots)
 
 
 @register("extract_site")
