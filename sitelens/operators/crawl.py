@@ -54,20 +54,22 @@ def fetch_state(fetch_log: DataFrame) -> DataFrame:
                       F.when(no_answer, F.col("_last.message")).otherwise(err).alias("error"), "started_ms", "ended_ms")
 
 
-def page_status(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
-    """Status of each landed page from the fetch log (200 when not logged; a logged page without a status failed).
-
-    Output: site, page_ord, url, status, error (after the retry rule, for this URL), raw_status, message.
-    """
-    keys = pages.select("site", "page_ord", "url")
+def with_page_status(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
+    """``pages`` (site, url, …) with status, error, raw_status and message from the fetch log, after the retry rule for
+    this URL: 200 when not logged; a logged page without a status failed."""
     if fetch_log is None:
-        return keys.select("*", F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"),
-                           F.lit(200).alias("raw_status"), F.lit(None).cast("string").alias("message"))
+        return pages.select("*", F.lit(200).alias("status"), F.lit(None).cast("string").alias("error"),
+                            F.lit(200).alias("raw_status"), F.lit(None).cast("string").alias("message"))
     log = fetch_state(fetch_log.where(F.col("kind") == "page")).select(
         "site", "url", "status", "error", "raw_status", "message", F.lit(True).alias("_logged"))
-    out = keys.join(log, ["site", "url"], "left")
+    out = pages.join(log, ["site", "url"], "left")
     default = lambda c: F.when(F.col("_logged"), F.col(c)).otherwise(F.lit(200)).cast("int").alias(c)
-    return out.select("site", "page_ord", "url", default("status"), "error", default("raw_status"), "message")
+    return out.select(*pages.columns, default("status"), "error", default("raw_status"), "message")
+
+
+def page_status(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
+    """Status of each landed page.  Output: site, page_ord, url, status, error, raw_status, message."""
+    return with_page_status(pages.select("site", "page_ord", "url"), fetch_log)
 
 
 def page_keys(pages: DataFrame) -> DataFrame:

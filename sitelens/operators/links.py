@@ -119,18 +119,44 @@ def internal_links(resolved: DataFrame) -> DataFrame:
     return _dedup(internal_anchors(resolved))
 
 
-def page_links(resolved: DataFrame, pages: DataFrame) -> DataFrame:
-    """The three ordered lists per page (a page's links are bounded by the page itself)."""
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        agg = F.array_sort(F.collect_list(F.struct(*LINK_ORD, "url")))
-        return df.groupBy(*PAGE).agg(F.transform(agg, lambda s: s["url"]).alias(name))
+#: The three link lists of a page.
+LISTS = ("css_links", "js_links", "internal_links")
 
-    out = pages.select(*PAGE)
-    for df, name in ((css_links(resolved), "css_links"), (js_links(resolved), "js_links"),
-                     (internal_links(resolved), "internal_links")):
-        out = out.join(listed(df, name), PAGE, "left")
-    empty = F.array().cast("array<string>")
-    return out.select(*PAGE, *[F.coalesce(c, empty).alias(c) for c in ("css_links", "js_links", "internal_links")])
+
+def listed(resolved: DataFrame) -> DataFrame:
+    """Resolved links with the list they belong to (``list``, null for none) and the URL as that list holds it."""
+    url, kind = F.col("url"), F.col("kind_rank")
+    internal = ((kind == 4) & ~F.col("href").rlike(P.java_rx(P.SKIPPED_SCHEMES))
+                & F.coalesce(origin(url) == origin(F.col("final_url")), F.lit(False)))
+    out = resolved.withColumn("list", F.when(url.isNull(), F.lit(None)).when(kind <= 2, "css_links").when(kind == 3, "js_links").when(internal, "internal_links"))
+    return out.withColumn("url", F.when(F.col("list") == "internal_links", strip_query_fragment(url)).otherwise(url))
+
+
+def link_lists(rows: DataFrame) -> list[F.Column]:
+    """Aggregates of ``listed`` rows of one page: each list in link order, a URL at its first place."""
+    item = F.struct(*LINK_ORD, "url")
+    return [F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, item))), lambda s: s["url"])).alias(name) for name in LISTS]
+
+
+def page_rows(pages: DataFrame, extra: dict[str, F.Column] | None = None) -> DataFrame:
+    """The resolved links of every page from one pass over the HTML; a page without links gives one row of nulls.
+
+    Output: site, page_ord, final_url, *extra (on the page's first row only), kind_rank, p1, p2, href, url.
+    """
+    extra = extra or {}
+    based = with_resolved_url(pages.select(*PAGE, landed_url(pages).alias("_landed"), "html", *[c.alias(n) for n, c in extra.items()]), "_landed", None, "_canon")
+    based = based.select(*PAGE, strip_fragment(F.col("_canon")).alias("final_url"), *extra, link_array(F.col("html")).alias("_links"))
+    rows = based.select(*PAGE, "final_url", *extra, F.posexplode_outer("_links").alias("_n", "_link"))
+    first = F.coalesce("_n", F.lit(0)) == 0
+    rows = rows.select(*PAGE, "final_url", *[F.when(first, F.col(n)).alias(n) for n in extra],
+                       *[F.col(f"_link.{c}").cast("bigint").alias(c) for c in LINK_ORD], F.col("_link.href").alias("href"))
+    return with_resolved_url(rows, "href", "final_url", "url")
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """The three ordered lists per page (a page's links are bounded by the page itself): one scan, one aggregate."""
+    rows = listed(page_rows(pages))
+    return rows.groupBy(*PAGE).agg(*link_lists(rows))
 
 
 def canonical_urls(resolved: DataFrame) -> DataFrame:
@@ -154,14 +180,6 @@ def link_origin_split(resolved: DataFrame) -> DataFrame:
 
 
 def link_counts(resolved: DataFrame) -> DataFrame:
-    """Per site, distinct CSS, JS and internal links (the sizes of the crawl's link sets)."""
-    def n(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("site").agg(F.count_distinct("url").cast("bigint").alias(name))
-
-    sites = resolved.select("site").distinct()
-    out = sites
-    for df, name in ((css_links(resolved), "n_css_links"), (js_links(resolved), "n_js_links"),
-                     (internal_links(resolved), "n_internal_links")):
-        out = out.join(n(df, name), "site", "left")
-    return out.select("site", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-                                for c in ("n_css_links", "n_js_links", "n_internal_links")])
+    """Per site, distinct CSS, JS and internal links (the sizes of the crawl's link sets); a site counts once a raw link is found."""
+    each = listed(resolved).select("site", "list", F.when(F.col("list").isNotNull(), F.col("url")).alias("url")).distinct()
+    return each.groupBy("site").agg(*[F.count_if(F.col("list") == name).cast("bigint").alias(f"n_{name}") for name in LISTS])

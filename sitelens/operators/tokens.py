@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
-from sitelens.functions.text import first_group, js_trim, snippet
+from sitelens.functions.text import find_all, first_group, js_trim, snippet
 from sitelens.operators.corpus import ORD, first_seen, last_seen, matches
 
 TOKEN_ORD = [*ORD, "kind_rank", "pos"]
@@ -83,47 +83,108 @@ def font_families(corpus: DataFrame) -> DataFrame:
     return font_tokens(corpus, P.CONF_FONT_FAMILY_SCALE)
 
 
-def _property_or_direct(decls: DataFrame, corpus: DataFrame, name_rx: str, direct_rx: str, direct_name: str,
-                        skip_none: bool) -> DataFrame:
-    """T6/T7 shared rule.
+#: Kinds of tokens, in the order of the long table.
+KINDS = ("custom_property", "color", "font", "radius", "shadow")
+_DIRECT = {"radius": (P.BORDER_RADIUS, "border-radius"), "shadow": (P.BOX_SHADOW, "box-shadow")}
 
-    Per block: (a) custom properties whose name matches ``name_rx``, first per
-    name; (b) direct declarations not starting ``var(`` (and not ``none`` for
-    shadows), first per value, skipped when the value equals a name of (a) in
-    the same block.  Then first per value per site, by block order, (a) before
-    (b), then position.
+
+def _bound(value, build):
+    """``build`` over ``value``, computed once (an expression used twice in a lambda would be computed twice)."""
+    return F.transform(F.array(value), build)[0]
+
+
+def _hit(kind, kind_rank, pos, name, value, usage, m, width, confidence):
+    return F.struct(F.lit(kind).alias("kind"), F.lit(kind_rank).cast("bigint").alias("kind_rank"), pos.cast("bigint").alias("pos"), name.alias("name"),
+                    value.alias("value"), usage.alias("usage"), snippet(m, width).alias("snippet"), F.lit(confidence).alias("confidence"))
+
+
+def _from_properties(decls, kind):
+    """T6/T7 (a): custom properties whose name holds ``kind``, the first of each name in the block."""
+    named = F.filter(decls, lambda d: d["name"].rlike("(?i)" + kind))
+    by_name = F.array_sort(F.transform(named, lambda d: F.struct(d["name"].alias("name"), d["pos"].alias("pos"), d["value"].alias("value"), d["m"].alias("m"))))
+    return _bound(by_name, lambda ds: F.filter(ds, lambda d, i: (i == 0) | (F.get(ds, i - 1)["name"] != d["name"])))
+
+
+def _direct(matches_of, own_names, kind):
+    """T6/T7 (b): direct declarations, not starting ``var(`` (nor ``none`` for shadows), whose value is no name of (a) in the block."""
+    def keep(d):
+        ok = ~d["value"].startswith("var(") & ~(d["value"].startswith("--") & F.array_contains(own_names, d["value"]))
+        return ok & (d["value"] != "none") if kind == "shadow" else ok
+
+    return F.filter(matches_of, keep)
+
+
+def tagged_matches(corpus: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Every match of the wanted kinds in every block, as rows, from one projection and one generator.
+
+    A block's matches, and the names of its own custom properties that (b) of T6/T7 looks at, are arrays beside each
+    other, so nothing is joined.  Output: site, src_rank, src_ord, block_ord, source_url, kind, kind_rank, pos, name,
+    value, usage (colours), snippet, confidence.
+    """
+    css = F.col("css")
+
+    def parsed(pattern, build):
+        return F.transform(find_all(css, pattern), lambda m, i: build(m, i.cast("bigint")))
+
+    decl = lambda m, i: F.struct(i.alias("pos"), m.alias("m"), F.regexp_extract(m, P.java_rx(P.CUSTOM_PROPERTY), 1).alias("name"),
+                                 js_trim(F.regexp_extract(m, P.java_rx(P.CUSTOM_PROPERTY), 2)).alias("value"))
+    plain = lambda rx_: lambda m, i: F.struct(i.alias("pos"), m.alias("m"), js_trim(F.regexp_extract(m, P.java_rx(rx_), 1)).alias("value"))
+    first = {"_decls": parsed(P.CUSTOM_PROPERTY, decl)} if set(kinds) - {"font"} else {}
+    if "font" in kinds:
+        first["_fonts"] = parsed(P.FONT_FAMILY, plain(P.FONT_FAMILY))
+    for kind in set(kinds) & set(_DIRECT):
+        first[f"_{kind}"] = parsed(_DIRECT[kind][0], plain(_DIRECT[kind][0]))
+    blocks = corpus.select("site", *ORD, "source_url", *[c.alias(n) for n, c in first.items()])
+    own = {f"_own_{k}": _from_properties(F.col("_decls"), k) for k in kinds if k in _DIRECT}
+    if own:
+        blocks = blocks.select("*", *[c.alias(n) for n, c in own.items()])
+    dashed = lambda d: F.concat(F.lit("--"), d["name"])
+    none = F.lit(None).cast("string")
+
+    def hits(kind):
+        if kind == "custom_property":
+            return [F.transform("_decls", lambda d: _hit(kind, 0, d["pos"], F.regexp_extract(F.concat(dashed(d), F.lit(": "), d["value"]), "^(--[^:]*):", 1),
+                                                         F.concat(dashed(d), F.lit(": "), d["value"]), none, d["m"], 100, P.CONF_CUSTOM_PROPERTY))]
+        if kind == "color":
+            found = F.transform("_decls", lambda d: _hit(kind, 0, d["pos"], dashed(d), F.regexp_extract(d["value"], P.java_rx(P.COLOR), 0), _usage(d["name"]), d["m"], 80, P.CONF_COLOR))
+            return [F.filter(found, lambda h: h["value"] != "")]
+        if kind == "font":
+            return [F.transform("_fonts", lambda d: _hit(kind, 0, d["pos"], F.lit("font-family"), d["value"], none, d["m"], 80, P.CONF_FONT))]
+        names = F.transform(f"_own_{kind}", dashed)
+        direct = _bound(names, lambda ns: _direct(F.col(f"_{kind}"), ns, kind))
+        return [F.transform(f"_own_{kind}", lambda d: _hit(kind, 0, d["pos"], dashed(d), d["value"], none, d["m"], 80, P.CONF_FROM_PROPERTY)),
+                F.transform(direct, lambda d: _hit(kind, 1, d["pos"], F.lit(_DIRECT[kind][1]), d["value"], none, d["m"], 80, P.CONF_DIRECT))]
+
+    return blocks.select("site", *ORD, "source_url", F.inline(F.concat(*[h for k in kinds for h in hits(k)])))
+
+
+def tokens(corpus: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """The wanted kinds of tokens: the first match per site, kind and value, by block, kind_rank and position, in one aggregate.
+
+    Output: site, kind, value, src_rank, src_ord, block_ord, kind_rank, pos, source_url, name, usage, snippet, confidence.
     """
-    block = ["site", *ORD]
-    a = (decls.where(F.col("name").rlike("(?i)" + name_rx))
-         .select(*block, "pos", "source_url", F.concat(F.lit("--"), "name").alias("name"), "value",
-                 snippet(F.col("m"), 80).alias("snippet")))
-    a = first_seen(a, [*block, "name"], ["pos"], ["source_url", "value", "snippet"])
-    a = a.select(*block, F.lit(0).cast("bigint").alias("kind_rank"), "pos", "source_url", "name", "value",
-                 "snippet", F.lit(P.CONF_FROM_PROPERTY).alias("confidence"))
-
-    b = (matches(corpus, "css", direct_rx, groups=(1,), keep=[*ORD, "source_url"])
-         .select(*block, "pos", "source_url", js_trim(F.col("g1")).alias("value"),
-                 snippet(F.col("m"), 80).alias("snippet")))
-    keep = ~F.col("value").startswith("var(")
-    if skip_none:
-        keep = keep & (F.col("value") != "none")
-    b = first_seen(b.where(keep), [*block, "value"], ["pos"], ["source_url", "snippet"])
-    b = b.join(a.select(*block, F.col("name").alias("value")), [*block, "value"], "left_anti")
-    b = b.select(*block, F.lit(1).cast("bigint").alias("kind_rank"), "pos", "source_url",
-                 F.lit(direct_name).alias("name"), "value", "snippet", F.lit(P.CONF_DIRECT).alias("confidence"))
-
-    both = a.unionByName(b)
-    return first_seen(both, ["site", "value"], TOKEN_ORD, ["source_url", "name", "snippet", "confidence"])
-
-
-def radius_tokens(decls: DataFrame, corpus: DataFrame) -> DataFrame:
+    return first_seen(tagged_matches(corpus, kinds), ["site", "kind", "value"], TOKEN_ORD, ["source_url", "name", "usage", "snippet", "confidence"])
+
+
+def of_kind(found: DataFrame, kind: str) -> DataFrame:
+    """One kind of ``tokens`` with that kind's own columns."""
+    rows = found.where(F.col("kind") == kind)
+    if kind in _DIRECT:
+        return rows.select("site", "value", *TOKEN_ORD, "source_url", "name", "snippet", "confidence")
+    if kind == "color":
+        return rows.select("site", "value", *ORD, "pos", "source_url", "name", "usage", "snippet", _format(F.col("value")).alias("format"), "confidence")
+    value = {"custom_property": "property", "font": "font_family"}[kind]
+    return rows.select("site", F.col("value").alias(value), *ORD, "pos", "source_url", "snippet", "confidence")
+
+
+def radius_tokens(corpus: DataFrame) -> DataFrame:
     """Radius tokens (custom properties named *radius*, direct ``border-radius``)."""
-    return _property_or_direct(decls, corpus, "radius", P.BORDER_RADIUS, "border-radius", skip_none=False)
+    return of_kind(tokens(corpus, ("radius",)), "radius")
 
 
-def shadow_tokens(decls: DataFrame, corpus: DataFrame) -> DataFrame:
+def shadow_tokens(corpus: DataFrame) -> DataFrame:
     """Shadow tokens (custom properties named *shadow*, direct ``box-shadow`` except ``none``)."""
-    return _property_or_direct(decls, corpus, "shadow", P.BOX_SHADOW, "box-shadow", skip_none=True)
+    return of_kind(tokens(corpus, ("shadow",)), "shadow")
 
 
 def _rule_props(styles, props):
@@ -153,18 +214,6 @@ def body_text(corpus: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.lit(P.CONF_RULE))
 
 
-def all_tokens(decls: DataFrame, corpus: DataFrame) -> DataFrame:
+def all_tokens(corpus: DataFrame) -> DataFrame:
     """One long table of all token kinds: site, kind, name, value, source_url, order key."""
-    cols = ["site", "kind", "name", "value", "source_url", *ORD, "pos"]
-    props = custom_properties(decls).select(
-        "site", F.lit("custom_property").alias("kind"), F.regexp_extract("property", "^(--[^:]*):", 1).alias("name"),
-        F.col("property").alias("value"), "source_url", *ORD, "pos")
-    colors = color_tokens(decls).select("site", F.lit("color").alias("kind"), "name", "value", "source_url",
-                                        *ORD, "pos")
-    fonts = font_tokens(corpus).select("site", F.lit("font").alias("kind"), F.lit("font-family").alias("name"),
-                                       F.col("font_family").alias("value"), "source_url", *ORD, "pos")
-    radii = radius_tokens(decls, corpus).select("site", F.lit("radius").alias("kind"), "name", "value",
-                                                "source_url", *ORD, "pos")
-    shadows = shadow_tokens(decls, corpus).select("site", F.lit("shadow").alias("kind"), "name", "value",
-                                                  "source_url", *ORD, "pos")
-    return props.unionByName(colors).unionByName(fonts).unionByName(radii).unionByName(shadows).select(*cols)
+    return tokens(corpus).select("site", "kind", "name", "value", "source_url", *ORD, "pos")

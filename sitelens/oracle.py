@@ -672,14 +672,17 @@ SELECT p.site, p.page_ord, p.url, {_eff('coalesce(f.status, 200)')} AS status,
        {_err('coalesce(f.status, 200)', 'p.url')} AS error, p.html
 FROM pages_themed p LEFT JOIN fetch_log f ON f.kind = 'page' AND f.site = p.site AND f.url = p.url
 """)
-_PLN = "\n".join(f"""LEFT JOIN (SELECT site, page_ord, count(*) AS n FROM {t} GROUP BY site, page_ord) {t[0]}
+_PLN = "\n".join(f"""LEFT JOIN (SELECT site, page_ord, count(*) AS n, string_agg(url, ' ' ORDER BY kind_rank, p1, p2) AS l FROM {t} GROUP BY site, page_ord) {t[0]}
   ON s.site = {t[0]}.site AND s.page_ord = {t[0]}.page_ord""" for t in ("css_links", "js_links", "internal_links"))
 query("src_pages", ["page_status", "page_bases", "css_links", "js_links", "internal_links"], f"""
 SELECT s.site, s.page_ord, s.url, b.final_url, cast(s.status AS bigint) AS status, s.error,
        CASE WHEN s.error IS NULL THEN substring(s.html, 1, 2000) ELSE '' END AS html_snippet,
        CASE WHEN s.error IS NULL THEN coalesce(c.n, 0) ELSE 0 END AS n_css_links,
        CASE WHEN s.error IS NULL THEN coalesce(j.n, 0) ELSE 0 END AS n_js_links,
-       CASE WHEN s.error IS NULL THEN coalesce(i.n, 0) ELSE 0 END AS n_internal_links
+       CASE WHEN s.error IS NULL THEN coalesce(i.n, 0) ELSE 0 END AS n_internal_links,
+       CASE WHEN s.error IS NULL THEN coalesce(c.l, '') ELSE '' END AS css_links,
+       CASE WHEN s.error IS NULL THEN coalesce(j.l, '') ELSE '' END AS js_links,
+       CASE WHEN s.error IS NULL THEN coalesce(i.l, '') ELSE '' END AS internal_links
 FROM page_status s JOIN page_bases b ON s.site = b.site AND s.page_ord = b.page_ord
 {_PLN}
 """)
@@ -862,3 +865,92 @@ UNION ALL SELECT site, 'grid_evidence', cast(0 AS bigint), cast(k AS bigint), ev
       AS k
   FROM sites s JOIN css_assets c ON c.site = s.site GROUP BY s.site)
 """)
+
+# ---------------------------------------------------------------------------
+# The batch (R14, S4, R7): page records of the crawl, their style sheets, statistics, and the analysis over them
+# ---------------------------------------------------------------------------
+
+
+def scoped(overrides: dict[str, str], deps: list[str], body: str) -> str:
+    """``body`` over the named steps, with some of the tables they read replaced (names of the outer query stay visible)."""
+    names = [n for n in _resolve_over(deps, set(overrides)) if n not in overrides]
+    steps = [(n, sql) for n, sql in overrides.items()] + [(n, _CTES[n][0]) for n in names]
+    return "WITH " + ",\n".join(f"{n} AS (\n{sql}\n)" for n, sql in steps) + f"\n{body}"
+
+
+def _resolve_over(deps: list[str], given: set[str]) -> list[str]:
+    order: list[str] = []
+
+    def visit(n: str) -> None:
+        if n in order or n in given:
+            return
+        for d in _CTES[n][1]:
+            visit(d)
+        order.append(n)
+
+    for d in deps:
+        visit(d)
+    return order
+
+
+cte("store_keys", ["page_bases"], """
+SELECT final_url AS key, site, page_ord, url FROM page_bases WHERE final_url IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY final_url ORDER BY site, page_ord) = 1
+""")
+cte("crawled", [f"bfs_v{_MAX_LEVELS}", "store_keys", "pages_themed", "fetch_log"], f"""
+SELECT site, page_ord, url, final_url, {_eff('raw')} AS status, {_err('raw', 'url')} AS error,
+       CASE WHEN {_err('raw', 'url')} IS NULL THEN html ELSE '' END AS html, store_site, store_url
+FROM (
+  SELECT v.request_id AS site, cast(v.visit_no - 1 AS bigint) AS page_ord, v.url, regexp_replace(v.url, '#.*$', '') AS final_url,
+         CASE WHEN k.key IS NULL THEN 404 ELSE coalesce(f.status, 200) END AS raw, p.html, k.site AS store_site, k.url AS store_url
+  FROM bfs_v{_MAX_LEVELS} v LEFT JOIN store_keys k ON k.key = regexp_replace(v.url, '#.*$', '')
+  LEFT JOIN pages_themed p ON p.site = k.site AND p.page_ord = k.page_ord
+  LEFT JOIN fetch_log f ON f.kind = 'page' AND f.site = k.site AND f.url = k.url)
+""")
+cte("css_fetches", ["crawled", "req_norm", "css_assets", "fetch_log"], f"""
+SELECT w.site, w.url AS css_url, w.page_ord, w.kind_rank, w.p1, w.p2, CASE WHEN a.css <> '' THEN a.css END AS css,
+       CASE WHEN a.css <> '' THEN a.site ELSE w.page_site END AS store_site
+FROM (
+  SELECT l.*, c.store_site AS page_site FROM ({scoped({"pages_themed": """
+SELECT c.site, c.page_ord, c.final_url AS url, c.html FROM crawled c JOIN req_norm r ON r.request_id = c.site
+WHERE c.error IS NULL AND r.include_assets"""}, ["css_links"], "SELECT * FROM css_links")}) l
+  JOIN crawled c ON c.site = l.site AND c.page_ord = l.page_ord
+  QUALIFY row_number() OVER (PARTITION BY l.site, l.url ORDER BY l.page_ord, l.kind_rank, l.p1, l.p2) = 1) w
+LEFT JOIN (
+  SELECT a.* FROM css_assets a LEFT JOIN fetch_log f ON f.kind = 'css' AND f.site = a.site AND f.url = a.css_url
+  WHERE f.url IS NULL OR f.status BETWEEN 200 AND 299
+  QUALIFY row_number() OVER (PARTITION BY a.css_url ORDER BY a.site, a.css_ord) = 1) a ON a.css_url = w.url
+""")
+cte("batch_css", ["css_fetches"], """
+SELECT site, cast(row_number() OVER (PARTITION BY site ORDER BY page_ord, kind_rank, p1, p2) - 1 AS bigint) AS css_ord, css_url, css
+FROM css_fetches WHERE css IS NOT NULL
+""")
+cte("batch_stats", ["crawled", "css_fetches", "fetch_log", "robots_status", "bfs_reqs"], f"""
+SELECT r.request_id AS site, coalesce(m.pages, 0) AS pages_crawled, coalesce(m.total, 0) AS total_requests, coalesce(m.failed, 0) AS failed_requests,
+       coalesce(m.duration, 0) AS crawl_duration_ms, coalesce(b.status, 'allowed') AS robots_status, b.warning AS robots_warning
+FROM bfs_reqs r LEFT JOIN (
+  SELECT m.site, count(*) FILTER (WHERE m.kind = 'page') AS pages, count(*) AS total, count(*) FILTER (WHERE m.failed) AS failed,
+         cast(max(f.ended_ms) - min(f.started_ms) AS bigint) AS duration
+  FROM (SELECT site, 'page' AS kind, error IS NOT NULL AS failed, store_site, store_url FROM crawled
+        UNION ALL SELECT site, 'css', css IS NULL, store_site, css_url FROM css_fetches) m
+  LEFT JOIN fetch_log f ON f.kind = m.kind AND f.site = m.store_site AND f.url = m.store_url
+  GROUP BY m.site) m ON m.site = r.request_id
+LEFT JOIN robots_status b ON b.origin = r.seed_origin
+""")
+query("batch_pages", ["crawled"], """
+SELECT site, page_ord, url, final_url, cast(status AS bigint) AS status, error, cast(length(html) AS bigint) AS html_chars FROM crawled
+""")
+query("batch_css", ["batch_css"], "SELECT * FROM batch_css")
+query("batch_stats", ["batch_stats"], "SELECT * FROM batch_stats")
+_REC_R = _REC.replace("primary_stack =", "r.detector =")
+_SCOPE = {"pages_themed": "SELECT site, page_ord, final_url AS url, html FROM crawled",
+          "css_assets": "SELECT site, css_ord, css_url, css FROM batch_css", "sites": "SELECT request_id AS site FROM bfs_reqs"}
+query("site_report", ["crawled", "batch_css", "bfs_reqs", "batch_stats"], "SELECT * FROM (" + scoped(
+    _SCOPE, ["signals", "ranked", "color_tokens", "custom_properties", "grid"], f"""
+SELECT s.site, b.pages_crawled, cast((SELECT count(*) FROM signals x WHERE x.site = s.site) AS integer) AS n_stack_signals,
+  cast((SELECT count(*) FROM color_tokens x WHERE x.site = s.site) AS integer) AS n_colors,
+  cast((SELECT count(*) FROM custom_properties x WHERE x.site = s.site) AS integer) AS n_custom_properties,
+  g.grid_system, CASE {_REC_R} ELSE {sql_lit(P.RECOMMEND_DEFAULT)} END AS recommended_approach
+FROM sites s JOIN batch_stats b ON b.site = s.site JOIN grid g ON g.site = s.site
+LEFT JOIN (SELECT site, detector FROM ranked WHERE stack_rank = 1) r ON r.site = s.site
+""") + ")")

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.functions import patterns as P
 from sitelens.operators import a11y as A
 from sitelens.operators import components as CP
 from sitelens.operators import corpus as C
@@ -45,27 +46,31 @@ class SiteAnalysis:
 
     @cached_property
     def decls(self) -> DataFrame:
-        return self._share(T.declarations(self.corpus), "declarations")
+        return T.declarations(self.corpus)
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return self._share(T.tokens(self.corpus), "tokens")
 
     @cached_property
     def properties(self) -> DataFrame:
-        return T.custom_properties(self.decls)
+        return T.of_kind(self.tokens, "custom_property")
 
     @cached_property
     def colors(self) -> DataFrame:
-        return T.color_tokens(self.decls)
+        return T.of_kind(self.tokens, "color")
 
     @cached_property
     def fonts(self) -> DataFrame:
-        return T.font_tokens(self.corpus)
+        return T.of_kind(self.tokens, "font")
 
     @cached_property
     def radii(self) -> DataFrame:
-        return T.radius_tokens(self.decls, self.corpus)
+        return T.of_kind(self.tokens, "radius")
 
     @cached_property
     def shadows(self) -> DataFrame:
-        return T.shadow_tokens(self.decls, self.corpus)
+        return T.of_kind(self.tokens, "shadow")
 
     @cached_property
     def headings(self) -> DataFrame:
@@ -77,7 +82,7 @@ class SiteAnalysis:
 
     @cached_property
     def families(self) -> DataFrame:
-        return T.font_families(self.corpus)
+        return self.fonts.withColumn("confidence", F.lit(P.CONF_FONT_FAMILY_SCALE))
 
     @cached_property
     def hits(self) -> DataFrame:

@@ -37,6 +37,7 @@ class BatchResult:
     reports: DataFrame  # site, report (nested), notes_text, primary_stack, primary_confidence
     outputs: DataFrame  # request_id, site, mode, report_json, design_doc
     robots: DataFrame  # site (= request id), robots_status
+    stats: DataFrame  # crawl statistics per request (see crawl_statistics)
 
 
 def crawled_pages(visited: DataFrame, store: PageStore) -> DataFrame:
@@ -60,27 +61,58 @@ def crawled_pages(visited: DataFrame, store: PageStore) -> DataFrame:
                       error_c.alias("error"), html.alias("html"), "store_site", "store_url")
 
 
-def fetched_css(crawled: DataFrame, requests: DataFrame, css_store: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
-    """Style sheets of the crawled pages, first-seen order, for requests with ``include_assets``.
+def css_fetches(crawled: DataFrame, requests: DataFrame, css_store: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
+    """Every style sheet that a request with ``include_assets`` asks for, once, at its first link in the crawled pages.
 
-    A missing sheet, empty content and a logged fetch without a 2xx answer are
-    failed fetches and left out.  Output: site, css_ord, css_url, css, store_site.
+    Of the store's rows of a URL, the first whose logged fetch was answered with 2xx is taken, whichever site it was
+    landed for; a sheet without one, and an empty one, is a failed fetch (css is null).
+    Output: site, css_url, page_ord, kind_rank, p1, p2, css, store_site (of the sheet, or of the linking page if it failed).
     """
     wanted = requests.where("include_assets").select(F.col("request_id").alias("site"))
     ok = crawled.join(wanted, "site", "left_semi").where(F.col("error").isNull())
-    res = LK.resolved_links(ok.select("site", "page_ord", F.col("final_url").alias("url"), "html"))
-    links = LK.css_links(res)
-    first = materialize(first_seen(links, ["site", "url"], ["page_ord", "kind_rank", "p1", "p2"], []), "css-wanted")
+    links = LK.css_links(LK.resolved_links(ok.select("site", "page_ord", F.col("final_url").alias("url"), "html")))
+    links = links.join(ok.select("site", "page_ord", F.col("store_site").alias("page_site")), ["site", "page_ord"])
+    first = materialize(first_seen(links, ["site", "url"], ["page_ord", "kind_rank", "p1", "p2"], ["page_site"]), "css-wanted")
     urls = first.select(F.col("url").alias("css_url")).distinct()
     # one store row per URL is chosen by its keys; the style sheet's text is looked up last
-    keys = first_seen(css_store.select("css_url", "site", "css_ord").join(urls, "css_url", "left_semi"), ["css_url"], ["site", "css_ord"], [])
+    rows = css_store.select("css_url", "site", "css_ord").join(urls, "css_url", "left_semi")
     if fetch_log is not None:
         failed = CR.fetch_state(fetch_log.where(F.col("kind") == "css")).where("error is not null").select("site", F.col("url").alias("css_url"))
-        keys = keys.join(failed, ["site", "css_url"], "left_anti")
+        rows = rows.join(failed, ["site", "css_url"], "left_anti")
+    keys = first_seen(rows, ["css_url"], ["site", "css_ord"], [])
     store = css_store.select("css_url", "css", "site", "css_ord").join(keys, ["css_url", "site", "css_ord"], "left_semi")
-    got = first.join(store.select("css_url", "css", F.col("site").alias("store_site")), first["url"] == store["css_url"], "inner").where(F.col("css") != "")
+    got = first.withColumnRenamed("url", "css_url").join(store.select("css_url", F.col("css").alias("_css"), F.col("site").alias("_site")), "css_url", "left")
+    css = F.when(F.col("_css") != "", F.col("_css"))
+    return got.select("site", "css_url", "page_ord", "kind_rank", "p1", "p2", css.alias("css"),
+                      F.when(css.isNotNull(), F.col("_site")).otherwise(F.col("page_site")).alias("store_site"))
+
+
+def fetched_css(fetches: DataFrame) -> DataFrame:
+    """The style sheets that were fetched, numbered in link order.  Output: site, css_ord, css_url, css, store_site."""
     w = Window.partitionBy("site").orderBy("page_ord", "kind_rank", "p1", "p2")
-    return got.select("site", (F.row_number().over(w) - 1).cast("bigint").alias("css_ord"), "css_url", "css", "store_site")
+    return fetches.where("css is not null").select("site", (F.row_number().over(w) - 1).cast("bigint").alias("css_ord"), "css_url", "css", "store_site")
+
+
+def crawl_statistics(reqs: DataFrame, crawled: DataFrame, fetches: DataFrame, fetch_log: DataFrame | None, robots: DataFrame) -> DataFrame:
+    """S4 per request: pages, requests made (pages, and with ``include_assets`` style sheets), failed ones, the time from
+    the first logged start to the last logged end, and the robots rule's status and warning.
+
+    Output: site (= request), pages_crawled, total_requests, failed_requests, crawl_duration_ms, robots_status, robots_warning.
+    """
+    made = (crawled.select("site", F.lit("page").alias("kind"), F.col("error").isNotNull().alias("failed"), F.col("store_site").alias("s"), F.col("store_url").alias("u"))
+            .unionByName(fetches.select("site", F.lit("css").alias("kind"), F.col("css").isNull().alias("failed"), F.col("store_site").alias("s"), F.col("css_url").alias("u"))))
+    if fetch_log is None:
+        made = made.select("*", *[F.lit(None).cast("bigint").alias(c) for c in ("started_ms", "ended_ms")])
+    else:
+        # by the store's own site and URL: a sheet shared by sites counts only as this request fetched it
+        log = CR.fetch_state(fetch_log).select(F.col("site").alias("s"), F.col("url").alias("u"), "kind", "started_ms", "ended_ms")
+        made = made.join(log, ["s", "u", "kind"], "left")
+    agg = made.groupBy("site").agg(F.count_if(F.col("kind") == "page").alias("pages_crawled"), F.count("*").alias("total_requests"),
+                                   F.count_if("failed").alias("failed_requests"), (F.max("ended_ms") - F.min("started_ms")).alias("crawl_duration_ms"))
+    out = reqs.select(F.col("request_id").alias("site")).join(agg, "site", "left").join(robots, "site", "left")
+    zero = F.lit(0).cast("bigint")
+    return out.select("site", *[F.coalesce(c, zero).cast("bigint").alias(c) for c in ("pages_crawled", "total_requests", "failed_requests", "crawl_duration_ms")],
+                      F.coalesce("robots_status", F.lit("allowed")).alias("robots_status"), "robots_warning")
 
 
 def run_batch(requests: DataFrame, pages: DataFrame | PageStore, css_store: DataFrame, fetch_log: DataFrame | None,
@@ -98,43 +130,25 @@ def run_batch(requests: DataFrame, pages: DataFrame | PageStore, css_store: Data
     store = pages if isinstance(pages, PageStore) else land_pages(pages, fetch_log)
     visited = CR.site_bfs(reqs, store if links is None else links)
     crawled = materialize(crawled_pages(visited, store), "crawled-pages")
-    css = materialize(fetched_css(crawled, reqs, css_store, fetch_log), "crawled-css")
+    fetches = materialize(css_fetches(crawled, reqs, css_store, fetch_log), "css-fetches")
+    css = materialize(fetched_css(fetches), "crawled-css")
     sites = reqs.select(F.col("request_id").alias("site"))
     if robots is not None:
         rob = robots_status(robots)
-        site_rob = (reqs.join(rob, reqs["site"] == rob["origin"], "left")
-                    .select(F.col("request_id").alias("site"), F.coalesce("status", F.lit("allowed")).alias("robots_status")))
+        ruled = (reqs.join(rob, reqs["site"] == rob["origin"], "left")
+                 .select(F.col("request_id").alias("site"), F.coalesce("status", F.lit("allowed")).alias("robots_status"), F.col("warning").alias("robots_warning")))
     else:
-        site_rob = sites.select("site", F.lit("allowed").alias("robots_status"))
+        ruled = sites.select("site", F.lit("allowed").alias("robots_status"), F.lit(None).cast("string").alias("robots_warning"))
+    site_rob = ruled.select("site", "robots_status")
+    stats = materialize(crawl_statistics(reqs, crawled, fetches, fetch_log, ruled), "crawl-statistics")
     # sources of inline styles and stack signals are the pages' final URLs (no fragment), as fetched
     analysed = crawled.select("site", "page_ord", F.col("final_url").alias("url"), "html")
     analysis = SiteAnalysis(analysed, css.drop("store_site"), sites, site_rob)
-    meta = _meta(reqs, crawled, css, fetch_log, site_rob)
+    meta = stats.select("site", "pages_crawled", "crawl_duration_ms", "robots_status").join(
+        reqs.select(F.col("request_id").alias("site"), F.col("theme_url").alias("source_url"), F.col("notes").alias("notes_text")), "site")
     reports = materialize(site_report(analysis, meta, generated_at), "reports")
     docs = design_doc(reports)
     outputs = (reqs.select(F.col("request_id"), F.col("request_id").alias("site"), "mode")
                .join(report_json(reports), "site").join(docs, "site"))
-    return BatchResult(reqs, crawled, css, reports, outputs, site_rob)
+    return BatchResult(reqs, crawled, css, reports, outputs, site_rob, stats)
 
-
-def _meta(reqs: DataFrame, crawled: DataFrame, css: DataFrame, fetch_log: DataFrame | None,
-          site_rob: DataFrame) -> DataFrame:
-    """Per request: source URL, pages crawled, crawl duration (from the fetch log), robots status, notes."""
-    n_pages = crawled.groupBy("site").agg(F.count("*").cast("bigint").alias("pages_crawled"))
-    base = reqs.select(F.col("request_id").alias("site"), F.col("theme_url").alias("source_url"),
-                       F.col("notes").alias("notes_text"))
-    out = base.join(n_pages, "site", "left").join(site_rob, "site", "left")
-    if fetch_log is not None:
-        # by the store's own site and URL: a sheet shared by sites counts only as this request fetched it
-        fetched = (crawled.where("store_site is not null").select("site", F.col("store_site").alias("s"), F.col("store_url").alias("u"), F.lit("page").alias("k"))
-                   .unionByName(css.select("site", F.col("store_site").alias("s"), F.col("css_url").alias("u"), F.lit("css").alias("k"))).distinct())
-        log = CR.fetch_state(fetch_log).select(F.col("site").alias("s"), F.col("url").alias("u"), F.col("kind").alias("k"), "started_ms", "ended_ms")
-        dur = (fetched.join(log, ["s", "u", "k"]).groupBy("site")
-               .agg((F.max("ended_ms") - F.min("started_ms")).cast("bigint").alias("crawl_duration_ms")))
-        out = out.join(dur, "site", "left")
-    else:
-        out = out.withColumn("crawl_duration_ms", F.lit(None).cast("bigint"))
-    zero = F.lit(0).cast("bigint")
-    return out.select("site", "source_url", F.coalesce("pages_crawled", zero).alias("pages_crawled"),
-                      F.coalesce("crawl_duration_ms", zero).alias("crawl_duration_ms"),
-                      F.coalesce("robots_status", F.lit("allowed")).alias("robots_status"), "notes_text")

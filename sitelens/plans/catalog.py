@@ -220,12 +220,12 @@ def _q_font_tokens(i: Inputs) -> DataFrame:
 
 @register("radius_tokens")
 def _q_radius_tokens(i: Inputs) -> DataFrame:
-    return T.radius_tokens(i.decls, i.corpus)
+    return T.radius_tokens(i.corpus)
 
 
 @register("shadow_tokens")
 def _q_shadow_tokens(i: Inputs) -> DataFrame:
-    return T.shadow_tokens(i.decls, i.corpus)
+    return T.shadow_tokens(i.corpus)
 
 
 @register("heading_scale")
@@ -245,7 +245,7 @@ def _q_font_families(i: Inputs) -> DataFrame:
 
 @register("all_tokens")
 def _q_all_tokens(i: Inputs) -> DataFrame:
-    return T.all_tokens(i.decls, i.corpus)
+    return T.all_tokens(i.corpus)
 
 
 # ---------------------------------------------------------------------------
@@ -408,7 +408,7 @@ def _q_internal_links(i: Inputs) -> DataFrame:
 
 @register("page_links")
 def _q_page_links(i: Inputs) -> DataFrame:
-    pl = LK.page_links(_resolved(i), i.pages_themed)
+    pl = LK.page_links(i.pages_themed)
     return pl.select("site", "page_ord",
                      *[F.size(c).cast("bigint").alias(f"n_{c}") for c in ("css_links", "js_links", "internal_links")],
                      *[F.array_join(c, " ").alias(c) for c in ("css_links", "js_links", "internal_links")])
@@ -441,9 +441,9 @@ def _q_normalize_requests(i: Inputs) -> DataFrame:
 @register("src_pages")
 def _q_src_pages(i: Inputs) -> DataFrame:
     r = SP.page_records(i.pages_themed, i.fetch_log)
-    return r.select("site", "page_ord", "url", "final_url", F.col("status").cast("bigint").alias("status"), "error",
-                    "html_snippet", *[F.size(c).cast("bigint").alias(f"n_{c}")
-                                      for c in ("css_links", "js_links", "internal_links")])
+    lists = ("css_links", "js_links", "internal_links")
+    return r.select("site", "page_ord", "url", "final_url", F.col("status").cast("bigint").alias("status"), "error", "html_snippet",
+                    *[F.size(c).cast("bigint").alias(f"n_{c}") for c in lists], *[F.array_join(c, " ").alias(c) for c in lists])
 
 
 @register("src_css_assets")
@@ -596,6 +596,25 @@ def _q_run_batch(i: Inputs) -> DataFrame:
                       F.size(F.split("design_doc", "\n")).cast("bigint").alias("doc_lines"))
 
 
+@register("batch_pages")
+def _q_batch_pages(i: Inputs) -> DataFrame:
+    """The page records of every request's crawl."""
+    return _batch(i).pages.select("site", "page_ord", "url", "final_url", F.col("status").cast("bigint").alias("status"), "error",
+                                  F.length("html").cast("bigint").alias("html_chars"))
+
+
+@register("batch_css")
+def _q_batch_css(i: Inputs) -> DataFrame:
+    """The style sheets fetched for every request, in link order."""
+    return _batch(i).css.select("site", "css_ord", "css_url", "css")
+
+
+@register("batch_stats")
+def _q_batch_stats(i: Inputs) -> DataFrame:
+    """S4 per request: pages, total and failed requests, duration, robots status and warning."""
+    return _batch(i).stats
+
+
 def _sink_roundtrip(i: Inputs, writer) -> DataFrame:
     path = f"{ensure_checkpoint_dir(i.spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
     writer(_batch(i).outputs, path)

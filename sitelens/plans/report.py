@@ -183,27 +183,39 @@ def report_json(report: DataFrame, pretty: bool = False) -> DataFrame:
     return report.select("site", F.to_json("report", opts).alias("report_json"))
 
 
+def site_facts_table(a: SiteAnalysis) -> DataFrame:
+    """Facts of every site as one tall table: site, kind, name, value.
+
+    A row per item that a phase found (kind ``signal``, a token kind, ``component``, ``a11y``), one for the number of
+    risks (``risks``, value), and one for the site itself (``site``), so a site without findings is there too.  The
+    first signal carries its detector and confidence.
+    """
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("double")
+    item = lambda df, kind, name=none, value=nothing: df.select("site", kind.alias("kind"), name.alias("name"), value.cast("double").alias("value"))
+    top = F.col("stack_rank") == 1
+    pieces = [item(a.sites, F.lit("site")), item(a.tokens, F.col("kind")), item(a.a11y, F.lit("a11y")),
+              item(a.signals, F.lit("signal"), F.when(top, F.col("detector")), F.when(top, F.col("confidence"))),
+              item(a.risks, F.lit("risks"), value=F.size("risks"))]
+    if a.component_classes is not None:
+        pieces.append(item(a.component_classes.select("site", "type_idx").distinct(), F.lit("component")))
+    out = pieces[0]
+    for piece in pieces[1:]:
+        out = out.unionByName(piece)
+    return out
+
+
 def run_summary(a: SiteAnalysis) -> DataFrame:
-    """Counts per phase per site, the primary stack and its confidence in percent."""
-    comps = None if a.component_classes is None else a.component_classes.select("site", "type_idx").distinct()
-    # all items as (site, kind) rows, counted by one aggregate
-    items = {"n_signals": a.signals, "n_colors": a.colors, "n_typography": a.fonts, "n_radii": a.radii,
-             "n_shadows": a.shadows, "n_components": comps, "n_a11y": a.a11y}
-    kinds = [df.select("site", F.lit(name).alias("kind")) for name, df in items.items() if df is not None]
-    rows = kinds[0]
-    for more in kinds[1:]:
-        rows = rows.unionByName(more)
-    counts = rows.groupBy("site").agg(*[F.count_if(F.col("kind") == name).alias(name) for name in items])
-    out = a.sites.join(counts, "site", "left")
-    out = out.join(a.risks.select("site", F.size("risks").alias("n_risks")), "site", "left")
-    out = out.join(primary_stacks(a), "site", "left")
-    names = [*items, "n_risks"]
-    zero = F.lit(0).cast("bigint")
-    cnt = {c: (F.coalesce(F.col(c), zero).cast("bigint") if c in out.columns else zero) for c in names}
-    total = cnt["n_colors"] + cnt["n_typography"] + cnt["n_radii"] + cnt["n_shadows"]
-    pct = F.round(F.col("primary_confidence") * 100, 0).cast("bigint")
-    return out.select("site", *[cnt[c].alias(c) for c in names], total.alias("total_tokens"),
-                      "primary_stack", pct.alias("primary_confidence_pct"))
+    """Counts per phase per site, the primary stack and its confidence in percent — one pivoting aggregate over the facts."""
+    kind = F.col("kind")
+    n = lambda k: F.count_if(kind == k).cast("bigint")
+    counts = {"n_signals": n("signal"), "n_colors": n("color"), "n_typography": n("font"), "n_radii": n("radius"), "n_shadows": n("shadow"),
+              "n_components": n("component"), "n_a11y": n("a11y"),
+              "n_risks": F.coalesce(F.max(F.when(kind == "risks", F.col("value"))), F.lit(0)).cast("bigint")}
+    out = site_facts_table(a).groupBy("site").agg(*[c.alias(name) for name, c in counts.items()], F.max("name").alias("primary_stack"),
+                                                  F.max(F.when(kind == "signal", F.col("value"))).alias("_confidence"), n("site").alias("_sites"))
+    total = F.col("n_colors") + F.col("n_typography") + F.col("n_radii") + F.col("n_shadows")
+    return out.where("_sites > 0").select("site", *counts, total.alias("total_tokens"), "primary_stack",
+                                          F.round(F.col("_confidence") * 100, 0).cast("bigint").alias("primary_confidence_pct"))
 
 
 def tailwind_key(name: Column) -> Column:

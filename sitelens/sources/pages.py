@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.operators import links as LK
 from sitelens.operators.corpus import first_seen
-from sitelens.operators.crawl import effective_status, fetch_state, page_status
+from sitelens.operators.crawl import effective_status, fetch_state, page_status, with_page_status
 from sitelens.operators.robots import site_robots
 
 SNIPPET_CHARS = 2000
@@ -17,24 +17,24 @@ def page_records(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
     """Page records — url, final url, status, error, first 2,000 characters, the three link lists.
 
     A failed fetch keeps an empty snippet and empty link lists; ``headers`` is
-    always an empty map, as in the original.  The snippet is cut in the first
-    projection of the pages, so only it (never the whole HTML) enters a join;
-    the full text stays in ``pages`` under the same (site, page_ord) key.
+    always an empty map, as in the original.  One pass over the HTML cuts the
+    snippet, makes the base and extracts the links; one aggregate per page puts
+    them together, and only its short rows meet the fetch log.  A table with a
+    ``crawled_at`` column hands it on.
     """
-    status = page_status(pages, fetch_log)
-    bases = LK.page_bases(pages).select("site", "page_ord", "final_url")
-    ok = status.where(F.col("error").isNull()).select("site", "page_ord")
-    # links are extracted from every page in a narrow pass; the short link rows (not the HTML) meet the status
-    ok_links = LK.resolved_links(pages).join(ok, ["site", "page_ord"], "left_semi")
-    links = LK.page_links(ok_links, pages.select("site", "page_ord"))
-    snippets = pages.select("site", "page_ord", F.substring("html", 1, SNIPPET_CHARS).alias("_snip"))
-    out = (status.join(bases, ["site", "page_ord"]).join(snippets, ["site", "page_ord"])
-           .join(links, ["site", "page_ord"]))
+    extra = {"_url": F.col("url"), "_snip": F.substring("html", 1, SNIPPET_CHARS)}
+    when = ["crawled_at"] if "crawled_at" in pages.columns else []
+    extra |= {c: F.col(c) for c in when}
+    rows = LK.listed(LK.page_rows(pages, extra))
+    put = [F.max(c).alias(c) for c in when]  # only the page's first row holds it
+    one = rows.groupBy(*LK.PAGE, "final_url").agg(F.max("_url").alias("url"), F.max("_snip").alias("_snip"), *put, *LK.link_lists(rows))
+    out = with_page_status(one, fetch_log)
+    ok = F.col("error").isNull()
     return out.select(
         "site", "page_ord", "url", "final_url", "status", "error",
         F.create_map().cast("map<string,string>").alias("headers"),
-        F.when(F.col("error").isNull(), F.col("_snip")).otherwise(F.lit("")).alias("html_snippet"),
-        "css_links", "js_links", "internal_links")
+        F.when(ok, F.col("_snip")).otherwise(F.lit("")).alias("html_snippet"),
+        *[F.when(ok, F.col(c)).otherwise(F.array().cast("array<string>")).alias(c) for c in LK.LISTS], *when)
 
 
 def css_fetch_list(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
