@@ -106,8 +106,8 @@ class LinkTable:
     def __init__(self, links: DataFrame):
         self.table = materialize(links, "bfs-links")
 
-    def links(self, keys: DataFrame) -> DataFrame:
-        return self.table.join(keys, "key", "left_semi")
+    def links(self, keys: DataFrame) -> DataFrame | None:
+        return None if keys.isEmpty() else self.table.join(keys, "key", "left_semi")
 
 
 def site_bfs(requests: DataFrame, store) -> DataFrame:
@@ -120,34 +120,27 @@ def site_bfs(requests: DataFrame, store) -> DataFrame:
     ensure_checkpoint_dir(requests.sparkSession)
     if isinstance(store, DataFrame):
         store = LinkTable(store)
-    req = requests.select("request_id", "max_pages", "same_origin_only",
-                          origin(F.col("seed")).alias("seed_origin"))
-    visited = requests.where(F.col("seed").isNotNull() & (F.col("max_pages") >= 1)).select(
-        "request_id", F.col("seed").alias("url"), F.lit(1).cast("bigint").alias("visit_no"),
-        F.lit(0).cast("bigint").alias("level"))
-    visited = materialize(visited, "bfs-level")
-    frontier, level = visited, 0
+    request = ["request_id", "max_pages", "same_origin_only", "seed_origin"]
+    first = (requests.where(F.col("seed").isNotNull() & (F.col("max_pages") >= 1))
+             .select("request_id", "max_pages", "same_origin_only", origin(F.col("seed")).alias("seed_origin"), F.col("seed").alias("url"),
+                     F.lit(1).cast("bigint").alias("visit_no"), F.lit(0).cast("bigint").alias("level"), F.lit(1).cast("bigint").alias("n")))
+    # a frontier row carries its request's options and the number of pages so far (n): a level joins links and nothing else
+    frontier = visited = materialize(first, "bfs-level")
+    level = 0
     while True:  # every level visits a page of some request, so the largest budget bounds the levels
         level += 1
         at = frontier.withColumn("key", strip_fragment(F.col("url")))
-        cand = (at.join(store.links(at.select("key").distinct()), "key")
-                .select("request_id", F.col("target").alias("url"), F.col("visit_no").alias("parent"), "pos")
-                .join(req, "request_id"))
-        cand = cand.where(~F.col("same_origin_only") | F.coalesce(origin(F.col("url")) == F.col("seed_origin"),
-                                                                  F.lit(False)))
-        cand = cand.join(visited.select("request_id", "url"), ["request_id", "url"], "left_anti")
-        first = cand.groupBy("request_id", "url", "max_pages").agg(F.min(F.struct("parent", "pos")).alias("_o"))
-        done = visited.groupBy("request_id").agg(F.max("visit_no").alias("_n"))
-        w = Window.partitionBy("request_id").orderBy("_o")
-        new = (first.join(done, "request_id")
-               .select("request_id", "url", (F.col("_n") + F.row_number().over(w)).cast("bigint").alias("visit_no"),
-                       "max_pages")
-               .where(F.col("visit_no") <= F.col("max_pages"))
-               .select("request_id", "url", "visit_no", F.lit(level).cast("bigint").alias("level")))
-        new = materialize(new, "bfs-level")
-        if new.isEmpty():
+        links = store.links(at.select("key"))
+        if links is None:  # no row in the frontier
             break
+        cand = at.join(links, "key").select(*request, "n", F.col("target").alias("url"), F.col("visit_no").alias("parent"), "pos")
+        cand = cand.where(~F.col("same_origin_only") | F.coalesce(origin(F.col("url")) == F.col("seed_origin"), F.lit(False)))
+        cand = cand.join(visited.select("request_id", "url"), ["request_id", "url"], "left_anti")
+        found = cand.groupBy(*request, "n", "url").agg(F.min(F.struct("parent", "pos")).alias("_o"))
+        own = Window.partitionBy("request_id")
+        new = found.select(*request, "url", (F.col("n") + F.row_number().over(own.orderBy("_o"))).cast("bigint").alias("visit_no"),
+                           F.lit(level).cast("bigint").alias("level"), F.least(F.col("n") + F.count("*").over(own), F.col("max_pages")).cast("bigint").alias("n"))
+        frontier = materialize(new.where(F.col("visit_no") <= F.col("max_pages")), "bfs-level")
         # every piece is materialised, so the union's lineage stays one level deep per piece
-        visited = visited.unionByName(new)
-        frontier = new
-    return visited
+        visited = visited.unionByName(frontier)
+    return visited.select("request_id", "url", "visit_no", "level")

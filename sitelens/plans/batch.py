@@ -115,10 +115,17 @@ def crawl_statistics(reqs: DataFrame, crawled: DataFrame, fetches: DataFrame, fe
                       F.coalesce("robots_status", F.lit("allowed")).alias("robots_status"), "robots_warning")
 
 
-def run_batch(requests: DataFrame, pages: DataFrame | PageStore, css_store: DataFrame, fetch_log: DataFrame | None,
-              robots: DataFrame | None, generated_at: str = DEFAULT_GENERATED_AT,
-              links: DataFrame | None = None) -> BatchResult:
-    """Run all accepted requests over landed pages, which are a page store or a table that is laid out first.
+@dataclass
+class Crawl:
+    requests: DataFrame  # accepted requests, defaults filled
+    pages: DataFrame  # crawled page records per request
+    css: DataFrame  # fetched style sheets per request
+    stats: DataFrame  # crawl statistics per request (see crawl_statistics)
+
+
+def crawl_requests(requests: DataFrame, pages: DataFrame | PageStore, css_store: DataFrame, fetch_log: DataFrame | None,
+                   robots: DataFrame | None, links: DataFrame | None = None) -> Crawl:
+    """The crawl of all accepted requests over landed pages, which are a page store or a table that is laid out first.
 
     ``links``: the store's whole link table (``crawl.store_links``), if built before; else the crawl parses the pages
     it visits, or finds their links in the store's cache.
@@ -131,19 +138,27 @@ def run_batch(requests: DataFrame, pages: DataFrame | PageStore, css_store: Data
     visited = CR.site_bfs(reqs, store if links is None else links)
     crawled = materialize(crawled_pages(visited, store), "crawled-pages")
     fetches = materialize(css_fetches(crawled, reqs, css_store, fetch_log), "css-fetches")
-    css = materialize(fetched_css(fetches), "crawled-css")
-    sites = reqs.select(F.col("request_id").alias("site"))
     if robots is not None:
         rob = robots_status(robots)
         ruled = (reqs.join(rob, reqs["site"] == rob["origin"], "left")
                  .select(F.col("request_id").alias("site"), F.coalesce("status", F.lit("allowed")).alias("robots_status"), F.col("warning").alias("robots_warning")))
     else:
-        ruled = sites.select("site", F.lit("allowed").alias("robots_status"), F.lit(None).cast("string").alias("robots_warning"))
-    site_rob = ruled.select("site", "robots_status")
+        ruled = reqs.select(F.col("request_id").alias("site"), F.lit("allowed").alias("robots_status"), F.lit(None).cast("string").alias("robots_warning"))
     stats = materialize(crawl_statistics(reqs, crawled, fetches, fetch_log, ruled), "crawl-statistics")
+    return Crawl(reqs, crawled, fetched_css(fetches), stats)
+
+
+def run_batch(requests: DataFrame, pages: DataFrame | PageStore, css_store: DataFrame, fetch_log: DataFrame | None,
+              robots: DataFrame | None, generated_at: str = DEFAULT_GENERATED_AT,
+              links: DataFrame | None = None) -> BatchResult:
+    """Crawl all accepted requests (see ``crawl_requests``), analyse what they found, and make their texts."""
+    crawl = crawl_requests(requests, pages, css_store, fetch_log, robots, links)
+    reqs, crawled, stats = crawl.requests, crawl.pages, crawl.stats
+    css = materialize(crawl.css, "crawled-css")
+    site_rob = stats.select("site", "robots_status")
     # sources of inline styles and stack signals are the pages' final URLs (no fragment), as fetched
     analysed = crawled.select("site", "page_ord", F.col("final_url").alias("url"), "html")
-    analysis = SiteAnalysis(analysed, css.drop("store_site"), sites, site_rob)
+    analysis = SiteAnalysis(analysed, css.drop("store_site"), reqs.select(F.col("request_id").alias("site")), site_rob)
     meta = stats.select("site", "pages_crawled", "crawl_duration_ms", "robots_status").join(
         reqs.select(F.col("request_id").alias("site"), F.col("theme_url").alias("source_url"), F.col("notes").alias("notes_text")), "site")
     reports = materialize(site_report(analysis, meta, generated_at), "reports")
@@ -151,4 +166,3 @@ def run_batch(requests: DataFrame, pages: DataFrame | PageStore, css_store: Data
     outputs = (reqs.select(F.col("request_id"), F.col("request_id").alias("site"), "mode")
                .join(report_json(reports), "site").join(docs, "site"))
     return BatchResult(reqs, crawled, css, reports, outputs, site_rob, stats)
-

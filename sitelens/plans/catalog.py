@@ -596,23 +596,27 @@ def _q_run_batch(i: Inputs) -> DataFrame:
                       F.size(F.split("design_doc", "\n")).cast("bigint").alias("doc_lines"))
 
 
+def _crawl(i: Inputs) -> BT.Crawl:
+    return BT.crawl_requests(i.requests, i.page_store, i.css_assets, i.fetch_log, i.robots)
+
+
 @register("batch_pages")
 def _q_batch_pages(i: Inputs) -> DataFrame:
     """The page records of every request's crawl."""
-    return _batch(i).pages.select("site", "page_ord", "url", "final_url", F.col("status").cast("bigint").alias("status"), "error",
+    return _crawl(i).pages.select("site", "page_ord", "url", "final_url", F.col("status").cast("bigint").alias("status"), "error",
                                   F.length("html").cast("bigint").alias("html_chars"))
 
 
 @register("batch_css")
 def _q_batch_css(i: Inputs) -> DataFrame:
     """The style sheets fetched for every request, in link order."""
-    return _batch(i).css.select("site", "css_ord", "css_url", "css")
+    return _crawl(i).css.select("site", "css_ord", "css_url", "css")
 
 
 @register("batch_stats")
 def _q_batch_stats(i: Inputs) -> DataFrame:
     """S4 per request: pages, total and failed requests, duration, robots status and warning."""
-    return _batch(i).stats
+    return _crawl(i).stats
 
 
 def _sink_roundtrip(i: Inputs, writer) -> DataFrame:

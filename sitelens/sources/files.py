@@ -1,24 +1,18 @@
-"""Style sheets held as files (S3): one row per file, whole text, with its path."""
+"""Style sheets held as files (S3): whole texts with their keys, packed into few files (see ``sources.packed``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelens.sources.packed import read_packed, write_packed
+
 
 def write_css_files(css_assets: DataFrame, path: str) -> None:
-    """Land each style sheet as its own file, under ``site=…/css_ord=…`` folders."""
-    (css_assets.select("site", "css_ord", "css").write.mode("overwrite")
-     .partitionBy("site", "css_ord").text(path))
+    """Land all style sheets in bundles; the number of files depends on the tasks and not on the sheets."""
+    write_packed(css_assets.select("site", F.col("css_ord").cast("bigint").alias("css_ord"), "css"), path, text="css")
 
 
 def read_css_files(spark: SparkSession, path: str) -> DataFrame:
-    """Read landed style sheets back: site and css_ord from the folders, the file's whole text as ``css``.
-
-    The text writer ends each file with one newline, which is removed again.
-    """
-    df = spark.read.schema("value string, site string, css_ord bigint").text(path, wholetext=True)
-    value = F.col("value")
-    css = F.when(value.endswith("\n"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(value)
-    return df.select("site", "css_ord",
-                     F.col("_metadata.file_path").alias("css_path"), css.alias("css"))
+    """Landed style sheets again.  Output: site, css_ord, css_path (bundle and offset), css."""
+    return read_packed(spark, path).select("site", "css_ord", F.col("packed_path").alias("css_path"), "css")

@@ -80,27 +80,36 @@ class PageStore:
     cache: PageCache | None = None
 
     @staticmethod
-    def _only(table: DataFrame, keys: DataFrame) -> DataFrame:
+    def _chooser(keys: DataFrame):
+        """How a table is cut to the keys (column key, repeats allowed): by literals, or by a join; None without any key."""
         few = [r[0] for r in keys.limit(LITERAL_KEYS + 1).collect()]
+        if not few:
+            return None
         if len(few) <= LITERAL_KEYS:
-            return table.where(F.col("key").isin(few))
-        return table.join(keys, "key", "left_semi")
+            return lambda table: table.where(F.col("key").isin(sorted(set(few))))
+        return lambda table: table.join(keys, "key", "left_semi")
 
-    def rows(self, keys: DataFrame, columns: list[str]) -> DataFrame:
-        """Page and fetch state of the keys that were landed (``keys``: distinct, column key)."""
+    def _rows(self, only, columns: list[str]) -> DataFrame:
         body = [c for c in columns if c in BODY]
-        wanted = self._only(self.bodies.select("key", *body), keys)
         state = [c for c in columns if c in STATE]
-        return wanted.join(self.states.select("key", *state), "key") if state else wanted
+        wanted = only(self.bodies.select("key", *body))
+        return wanted.join(only(self.states.select("key", *state)), "key") if state else wanted
 
-    def links(self, keys: DataFrame) -> DataFrame:
-        """Internal links of the fetched pages behind the keys, first seen.  Output: key, pos (link order), target."""
+    def rows(self, keys: DataFrame, columns: list[str]) -> DataFrame:
+        """Page and fetch state of the keys that were landed."""
+        return self._rows(self._chooser(keys) or (lambda table: table.limit(0)), columns)
+
+    def links(self, keys: DataFrame) -> DataFrame | None:
+        """Internal links of the fetched pages behind the keys, first seen (None without any key).  Output: key, pos (link order), target."""
+        only = self._chooser(keys)
+        if only is None:
+            return None
         place = ["site", "page_ord", "final_url"]
         if self.cache is None:
-            pages = self.rows(keys, [*place, "html", "error"]).where(F.col("error").isNull())
+            pages = self._rows(only, [*place, "html", "error"]).where(F.col("error").isNull())
             raw = LK.link_rows(pages, LK.link_array(F.col("html"), (4,)), ("key", "final_url"))
         else:
-            pages = self.rows(keys, [*place, "html_hash", "error"]).where(F.col("error").isNull())
+            pages = self._rows(only, [*place, "html_hash", "error"]).where(F.col("error").isNull())
             raw = LK.link_rows(pages.join(self.cache.read().select("html_hash", "links"), "html_hash"), F.col("links"), ("key", "final_url"))
         anchors = LK.internal_anchors(with_resolved_url(raw.where("kind_rank = 4"), "href", "final_url", "url"))
         first = first_seen(anchors, ["key", "url"], LK.LINK_ORD, [])

@@ -1,8 +1,9 @@
 """Sinks (S6, S7): report JSON and design document per request, gated by mode.
 
-Texts are rows ``(request_id, text)``, in as many files as the data has
-partitions; ids are data, so they come back as they were.  One file per request
-is an explicit export.
+Texts are rows ``(request_id, text)`` in packed files with a committed manifest
+(``sources.packed``): a failed or repeated task leaves no second text of a
+request, and a rerun replaces all texts at once.  Ids are data, so they come
+back as they were.  One file per request is an explicit export.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelens.sources.packed import read_packed, write_packed
+
 JSON_MODES = ("extract", "both")
 DOC_MODES = ("prompt", "both")
 
@@ -20,17 +23,17 @@ def _rows(outputs: DataFrame, modes: tuple[str, ...], column: str) -> DataFrame:
 
 def write_report_json(outputs: DataFrame, path: str) -> None:
     """``theme_report.json`` text per request (modes extract/both)."""
-    _rows(outputs, JSON_MODES, "report_json").write.mode("overwrite").parquet(path)
+    write_packed(_rows(outputs, JSON_MODES, "report_json"), path)
 
 
 def write_design_doc(outputs: DataFrame, path: str) -> None:
     """``design_system.md`` text per request (modes prompt/both)."""
-    _rows(outputs, DOC_MODES, "design_doc").write.mode("overwrite").parquet(path)
+    write_packed(_rows(outputs, DOC_MODES, "design_doc"), path)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """Written texts again: request_id, text."""
-    return spark.read.parquet(path).select("request_id", "text")
+    return read_packed(spark, path).select("request_id", "text")
 
 
 def export_files(texts: DataFrame, path: str) -> None:
