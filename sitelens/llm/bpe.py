@@ -72,8 +72,11 @@ def splitter(path: str) -> Callable[[bytes], list[bytes]]:
     """Cuts a run without white space into the tokenizer's words."""
     tok = tokenizer(path)
     special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+    letters = not any(s.isalpha() for s in special)
 
     def cut(run: bytes) -> list[bytes]:
+        if letters and run.isalpha():  # ASCII letters alone are one word
+            return [run.lower()]
         if any(s in run for s in special):
             return [run]
         if run.isascii():
@@ -282,6 +285,8 @@ def _put_together(docs: DataFrame, path: str, key: str, text: str, digests: bool
 
         def whole(run: bytes) -> tuple[bytes, bytes]:
             """Ids and pieces of a run, put together from its words."""
+            if run in known:  # a word of the table is its own only word
+                return known[run]
             found = []
             for w in cut(run):
                 if w not in known:  # the word has no ids, or the rows were split anew after a loss of executors
