@@ -20,17 +20,24 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ROW = "_pipeline_row"
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Every row as one struct, so that no column of the documents meets a column of an operator."""
+    return docs.select(F.struct(*docs.columns).alias("_doc"))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the base rules or the learned decision list reject."""
     rules = quality_rules.fit(docs, C.read_table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).where("kept").select(*docs.columns)
+    judged = quality_rules.judge(_whole(docs).withColumn("text", F.col("_doc.text")), rules)
+    return judged.where("kept").select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of every class of near duplicates (the first in the table)."""
-    rows = C.with_row_id(docs, "pipeline-near", ROW)
-    gone = near_dedup.near_duplicate_classes(rows, id_column=ROW).where("not kept").select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    rows = C.with_row_id(_whole(docs), "pipeline-near", ROW)
+    classes = near_dedup.near_duplicate_classes(rows.select(ROW, F.col("_doc.text").alias("text")), id_column=ROW)
+    gone = classes.where("not kept").select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select("_doc.*")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +49,11 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat every document as often as the mix takes it (not at all, once or twice)."""
-    rows = C.with_row_id(docs, "pipeline-mix", ROW)
-    taken = mixing.mix(rows.select(F.col(ROW).alias("key"), "source", C.word_count().alias("size"))).select(F.col("key").alias(ROW), "copies")
+    rows = C.with_row_id(_whole(docs), "pipeline-mix", ROW)
+    sizes = rows.select(F.col(ROW).alias("key"), F.col("_doc.source").alias("source"), C.word_count("_doc.text").alias("size"))
+    taken = mixing.mix(sizes).select(F.col("key").alias(ROW), "copies")
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return rows.join(taken.where("copies > 0"), ROW).withColumn("_copy", times).select(*docs.columns)
+    return rows.join(taken.where("copies > 0"), ROW).select("_doc", times.alias("_copy")).select("_doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
