@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sitelens.llm import common as C
 from sitelens.llm import dart_minhash as D
 from sitelens.llm import html_main as H
-from sitelens.llm import near_dedup, nearest, passages
+from sitelens.llm import mixing, near_dedup, nearest, passages, pii, quality_rules
 
 
 def shingles(words, k=5):
@@ -220,3 +220,40 @@ def test_pipeline_on_odd_and_empty_tables(spark):
         for name, stage in corpus_pipeline.STAGES:
             current = C.write_once(stage(spark, current, SF001), f"test-odd-{name}")
         assert current.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_with_clashing_columns(spark):
+    docs = C.read_table(spark, SF001, "documents").limit(80)
+    own = {n: F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")) for n in ("kept", "stats", "copies", "_copy", "base_failed", "rid", "key", "size", "comp", "base", "row")}
+    table = docs.withColumns(own)
+    known = {r["doc_id"]: tuple(r[n] for n in own) for r in table.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = C.write_once(stage(spark, table, SF001), f"test-clash-{name}")
+        assert table.columns == [*docs.columns, *own]
+        assert all(tuple(r[n] for n in own) == known[r["doc_id"]] for r in table.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, table, SF001).count() == table.count() > 20
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    docs = C.read_table(spark, SF001, "documents")
+    rows = docs.collect()
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, SF001).collect()}
+    verdicts = {r["doc_id"]: r["kept"] for r in quality_rules.quality_query(spark, SF001).collect()}
+    assert kept == {d for d, k in verdicts.items() if k}
+    one = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF001).collect()}
+    groups = classes([shingles((r["text"] or "").split()) for r in rows])
+    assert len(one) == len(groups) and all(sum(rows[k]["doc_id"] in one for k in g) == 1 for g in groups)
+    hidden = {r["doc_id"]: r["text"] for r in corpus_pipeline.hide_personal_data(spark, docs, SF001).collect()}
+    clean = {r["doc_id"] for r in pii.pii_query(spark, SF001).where("spans = ''").collect()}
+    assert clean and all(hidden[r["doc_id"]] == r["text"] for r in rows if r["doc_id"] in clean)
+    assert all("@" not in (hidden[r["doc_id"]] or "") or "@" in (r["text"] or "") for r in rows)
+    words = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows}
+    source = {r["doc_id"]: r["source"] for r in rows}
+    target = {r["source"]: r["target"] for r in mixing.mixing_query(spark, SF001).join(docs.select("doc_id", "source"), "doc_id").collect()}
+    got, most = collections.Counter(), collections.Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, SF001).groupBy("doc_id").count().collect():
+        assert r["count"] <= 2
+        got[source[r["doc_id"]]] += r["count"] * words[r["doc_id"]]
+    for d in words:
+        most[source[d]] = max(most[source[d]], words[d])
+    assert all(abs(got[x] - target[x]) <= 2 * most[x] for x in target)
