@@ -132,7 +132,7 @@ def block_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             block = batch.column(0)[0].as_py()
             for a, b in _parts(batch.column(1)):
                 new = set(_utf8(_runs(batch.column(1).slice(a, b - a))[1].dictionary)) - runs
-                pa.default_memory_pool().release_unused()
+                C.give_back()
                 runs |= new
                 for r in new:
                     words.update(cut(r))
@@ -167,7 +167,7 @@ def block_positions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
                     with pa.ipc.new_stream(sink, made.schema, options=options) as writer:
                         writer.write_table(made)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
-                pa.default_memory_pool().release_unused()
+                C.give_back()
 
     marked = docs.select(F.spark_partition_id().alias("block"), F.col(key).alias("key"), F.col(text).alias("text"))
     return marked.mapInArrow(run, "block int, packed binary")
@@ -215,7 +215,10 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     def encode(column: pa.Array) -> pa.Array:
         tok = tokenizer(path)
         made = tok.encode_batch([w.decode() for w in _utf8(column)], add_special_tokens=False)
-        return pa.array([e.ids for e in made], pa.list_(pa.int32()))
+        out = pa.array([e.ids for e in made], pa.list_(pa.int32()))
+        made = None
+        C.give_back()
+        return out
 
     return words.withColumn("ids", encode.asNondeterministic()(F.col("word")))
 
@@ -297,7 +300,7 @@ def _put_together(docs: DataFrame, path: str, key: str, text: str, digests: bool
             return b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found])
 
         keys, n, ids, decoded = [], [], [], []
-        pa.default_memory_pool().release_unused()
+        C.give_back()
         for part in left["packed"].to_pylist():
             source = pa.BufferReader(part)
             rows_, runs_, codes_ = (pa.ipc.open_stream(source).read_all() for _ in range(3))

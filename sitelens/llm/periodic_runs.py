@@ -310,7 +310,7 @@ def collapse_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", dige
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
                 if b > a:
                     yield part(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))
-                    pa.default_memory_pool().release_unused()
+                    C.give_back()
 
     C.ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()

@@ -129,7 +129,10 @@ def with_statistics(docs: DataFrame, text: str = "text", out: str = "stats") ->
     @F.arrow_udf(f"struct<{', '.join(f'{c}: bigint' for c in COUNTS + EXTRA)}>")
     def count(texts: pa.Array) -> pa.Array:
         made = statistics(texts)
-        return pa.StructArray.from_arrays([pa.array(made[c], pa.int64()) for c in COUNTS + EXTRA], fields=list(kind))
+        out = pa.StructArray.from_arrays([pa.array(made[c], pa.int64()) for c in COUNTS + EXTRA], fields=list(kind))
+        made = None
+        C.give_back()
+        return out
 
     count = count.asNondeterministic()  # a later filter on the counts must not count twice
     return docs.withColumn(out, count(F.col(text)))

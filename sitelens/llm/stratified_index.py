@@ -100,7 +100,7 @@ def term_vectors(docs: DataFrame, vocabulary: list[bytes], key: str, text: str)
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
                 if b > a:
                     yield part(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), known)
-                    pa.default_memory_pool().release_unused()
+                    C.give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, terms array<int>, tfs array<int>")
