@@ -1,27 +1,41 @@
-"""Personal data: base patterns, and information-theoretic sanitisation of the terms around them.
+"""Personal data: base patterns, and information-theoretic sanitisation of the terms that reveal them.
 
 Base spans (e-mail, IP address, card, phone) protect *entities*: the values
-found.  The terms within ``CONTEXT`` code points of an entity co-occur with it.
-Over the whole corpus, let N be all term occurrences, n(t) those of a term,
-n(e) those beside an entity and c(t, e) both.  The term reveals
+found.  A term co-occurs with an entity in every text that holds both, however
+far apart.  Over the whole corpus, let N be all texts, n(t) and n(e) those that
+hold a term or an entity, c(t, e) those that hold both.  The term reveals
 
-    PMI(t; e) / IC(e) = log2(c N / (n(t) n(e))) / -log2(n(e) / N)
+    PMI(t; e) / IC(e) = log2(p N / n(e)) / log2(N / n(e)) = 1 + log2(p) / IC(e)
 
-of the entity's information; the ratio is 1 when the term occurs nowhere else.
-From ``DISCLOSURE`` on, in at least ``SUPPORT`` different texts (copies of one
-text are no further evidence), every occurrence of the term beside the entity
-is a span too: generalised to a placeholder, or removed from ``REMOVAL`` on.
+of the entity's information, p being the chance that a text with the term
+holds the entity.  p is estimated from k different texts (copies of one text
+are no further evidence) and drawn towards the chance without the term:
+
+    p = (k c / n(t) + PRIOR n(e) / N) / (k + PRIOR)
+
+so an entity of a single text is judged too, more carefully than one of many.
+From ``DISCLOSURE`` on, every occurrence of the term in every text that holds
+the entity is a span: generalised to a placeholder, or removed from
+``REMOVAL`` on.  Terms that more than ``COMMON`` of all texts hold tell nobody
+apart and stay.  Texts without an entity are left alone.
+
+A term can only reach the threshold beside an entity if n(t) is at most
+n(e) / 2^((DISCLOSURE - 1) IC(e)); the pairs of a text are cut to those before
+they are formed, and entities of exactly the same texts are one, so a text with
+thousands of addresses of its own pairs its terms once.
 
 All of it is DataFrame expressions.  The patterns are written so that Java's
 matcher neither recurses nor tries a run again from each of its characters, so
 very long runs cost linear time: separators that may stand inside a match are
 first marked with one control character, which turns nested repetitions into
-plain runs of a class.
+plain runs of a class.  Places are running sums taken in chunks, so a text of
+many matches does not copy a growing array once per match.
 
 Defined cases: a null text is an empty one (no spans, the digest of the empty
 string); rows are handled one by one, so repeated and null ids are fine; spans
 of several kinds may overlap in the result, and in a sanitised text the one
-that begins first (the longest, then the first kind) wins; an empty table
+that begins first (the longest, then the first kind) wins; where all texts hold
+an entity it has no information and no term reveals it; an empty table
 gives no rows; extra columns are carried by ``sanitise`` unchanged.
 """
 
@@ -33,10 +47,13 @@ from pyspark.sql import functions as F
 from sitelens.llm import common as C
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-CONTEXT = 80
-SUPPORT = 3
 DISCLOSURE = 0.9
 REMOVAL = 0.98
+#: Weight, in texts, of the chance without the term.
+PRIOR = 0.5
+#: Terms of more than this share of all texts stay.
+COMMON = 1 / 8
+CHUNK = 512
 PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
 
 TERM = r"[\p{L}\p{N}]+"
@@ -50,10 +67,13 @@ INNER_DOT = r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])"
 INNER_SEPARATOR = r"(?<=[0-9])[\x20-](?=[0-9])"
 
 
-def _found(text: Column, pattern: str) -> Column:
-    """All matches as ``array<struct<s, e, m>>`` (code points, end exclusive): the pieces between give the places."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _placed(pairs: Column) -> Column:
+    """``array<struct<s, e, m>>`` from ``array<struct<gap, m>>``: running sums within chunks, shifted by the chunks before."""
     empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
 
     def step(state: Column, x: Column) -> Column:
@@ -61,9 +81,32 @@ def _found(text: Column, pattern: str) -> Column:
         end = begin + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    zipped = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(matches) > 0, walked).otherwise(empty)
+    def chunk(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+
+    def joined(state: Column, x: Column) -> Column:
+        moved = F.struct(state["at"].alias("off"), x["out"].alias("out"))
+        return F.struct((state["at"] + x["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    none = F.array().cast("array<struct<off:int,out:array<struct<s:int,e:int,m:string>>>>")
+
+    def cut(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(CHUNK))
+        chunks = F.transform(starts, lambda i: chunk(F.slice(x, i, F.lit(CHUNK))))
+        offsets = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), none.alias("out")), joined, lambda s: s["out"])
+        shift = lambda c: F.transform(c["out"], lambda y: F.struct((y["s"] + c["off"]).alias("s"), (y["e"] + c["off"]).alias("e"), y["m"].alias("m")))
+        return F.flatten(F.transform(offsets, shift))
+
+    return _bound(pairs, cut)
+
+
+def _found(text: Column, pattern: str) -> Column:
+    """All matches as ``array<struct<s, e, m>>`` (code points, end exclusive): the pieces between give the places."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    zipped = lambda m: F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: F.struct(F.length(g).alias("gap"), x.alias("m")))
+    return _bound(matches, lambda m: F.when(F.size(m) > 0, _placed(zipped(m))).otherwise(empty))
 
 
 def _digits(m: Column) -> Column:
@@ -115,18 +158,6 @@ def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("base", F.array_sort(F.concat(*parts))).drop(*[f"_{kind}" for kind in KINDS[:4]])
 
 
-def _terms_beside(text: Column, span: Column) -> Column:
-    """Terms wholly within ``CONTEXT`` code points left and right of a span, not touching it: ``array<struct<s, e, m>>``."""
-    def side(begin: Column, end: Column) -> Column:
-        # one code point more on either end tells whether the outer term is whole
-        low, high = F.greatest(begin - 1, F.lit(0)), F.least(end + 1, F.length(text))
-        near = F.lower(F.substring(text, low + 1, high - low))
-        found = F.transform(_found(near, TERM), lambda x: F.struct((x["s"] + low).alias("s"), (x["e"] + low).alias("e"), x["m"].alias("m")))
-        return F.filter(found, lambda x: (x["s"] >= begin) & (x["e"] <= end) & ((x["s"] > low) | (low == 0)) & ((x["e"] < high) | (high == F.length(text))))
-
-    return F.concat(side(F.greatest(span["s"] - CONTEXT, F.lit(0)), span["s"]), side(span["e"], F.least(span["e"] + CONTEXT, F.length(text))))
-
-
 def _masked(text: Column) -> Column:
     """The text with every character of a base span replaced, so that no term reaches into one."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -139,45 +170,63 @@ def _masked(text: Column) -> Column:
     return F.aggregate("base", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
 
 
-def with_contexts(found: DataFrame, text: str = "text") -> DataFrame:
-    """``base`` rows with ``near``: every term beside an entity, ``array<struct<entity, s, e, term>>``."""
-    def around(span: Column) -> Column:
-        entity = F.concat_ws(":", span["k"], F.when(span["k"] == 0, F.lower(span["m"])).otherwise(_digits(span["m"])))
-        return F.transform(_terms_beside(F.col("_masked"), span),
-                           lambda x: F.struct(entity.alias("entity"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("term")))
-
-    none = F.array().cast("array<struct<entity:string,s:int,e:int,term:string>>")
-    masked = found.withColumn("_masked", F.when(F.size("base") > 0, _masked(C.text_or_empty(text))))
-    return masked.withColumn("near", F.when(F.size("base") > 0, F.flatten(F.transform("base", around))).otherwise(none)).drop("_masked")
-
-
-def revealing_terms(near: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(entity, term, ratio)`` for ``near(th, entity, term)`` rows and the corpus they come from."""
-    beside = C.write_once(near.groupBy("entity", "term", "th").agg(F.count("*").alias("c")), "pii-beside")
-    pairs = beside.groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count("*").alias("texts"))
-    entities = beside.groupBy("entity").agg(F.sum("c").alias("ne"))
-    # every term of every text is counted; a task sends one row per term
-    counts = C.write_once(docs.select(F.explode(F.regexp_extract_all(F.lower(C.text_or_empty(text)), F.lit(TERM), F.lit(0))).alias("term"))
-                          .groupBy("term").agg(F.count("*").alias("nt")), "pii-terms")
-    total = counts.agg(F.sum("nt")).first()[0] or 1
-    rated = pairs.where(F.col("texts") >= SUPPORT).join(entities, "entity").join(counts, "term")
-    # occurrences beside two mentions of one entity count twice in c; the chance is at most 1
-    chance = F.least(F.col("c") / F.col("nt"), F.lit(1.0))
-    information = -F.log2(F.col("ne") / F.lit(float(total)))
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["k"], F.when(span["k"] == 0, F.lower(span["m"])).otherwise(_digits(span["m"])))
+
+
+def _terms(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _highest(ne: Column, total: int) -> Column:
+    """The most texts that may hold a term which reaches ``DISCLOSURE`` beside an entity of ``ne`` texts."""
+    return ne * F.pow(F.lit(float(total)) / ne, F.lit(1 - DISCLOSURE))
+
+
+def entity_groups(rows: DataFrame) -> DataFrame:
+    """``(rid, th, group, ne)``: the entities of every row, those of exactly the same rows as one group."""
+    held = rows.where(F.size("base") > 0).select("rid", "th", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    # the rows of an entity, as two order-free digests: partial sums, so an entity of a third of all rows is one row per task
+    same = held.groupBy("entity").agg(F.count("*").alias("ne"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), F.col("rid"))).alias("y"))
+    return held.join(same, "entity").select("rid", "th", F.xxhash64("x", "y", "ne").alias("group"), "ne").distinct()
+
+
+def revealing_terms(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(rid, term, ratio)``: the terms that reveal an entity of their row, from ``rows(rid, th, base, masked)`` and the corpus."""
+    # every text counts once for each of its terms; a task sends one row per term
+    counts = C.write_once(docs.select(F.explode(_terms(C.text_or_empty(text))).alias("term")).groupBy("term").agg(F.count("*").alias("nt")), "pii-terms")
+    total = rows.count()
+    groups = C.write_once(entity_groups(rows).withColumn("highest", _highest(F.col("ne"), total)), "pii-entities")
+    held = rows.where(F.size("base") > 0).select("rid", F.explode(_terms(F.col("masked"))).alias("term"))
+    most = groups.agg(F.max("highest")).first()[0] or 0.0
+    # terms held too often for any entity are not looked at; a term cut by a mask may not be among the counts
+    rare = counts.where((F.col("nt") <= COMMON * total) & (F.col("nt") <= most))
+    beside = held.join(rare, "term").join(groups, "rid").where("nt <= highest")
+    beside = C.write_once(beside.select("rid", "th", "term", "nt", "group", "ne"), "pii-beside")
+    texts = beside.groupBy("group", "term", "ne", "nt", "th").agg(F.count("*").alias("c"))
+    pairs = texts.groupBy("group", "term", "ne", "nt").agg(F.sum("c").alias("c"), F.count("*").alias("k"))
+    apart = F.col("ne") / F.lit(float(max(total, 1)))
+    chance = (F.col("k") * (F.col("c") / F.col("nt")) + PRIOR * apart) / (F.col("k") + PRIOR)
+    information = -F.log2(apart)
     ratio = F.when(information > 0, 1 + F.log2(chance) / information).otherwise(F.lit(0.0))
-    return rated.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= DISCLOSURE)
+    rated = pairs.select("group", "term", ratio.alias("ratio")).where(F.col("ratio") >= DISCLOSURE)
+    return beside.join(rated, ["group", "term"]).groupBy("rid", "term").agg(F.max("ratio").alias("ratio"))
 
 
 def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` (a struct of the ``carry`` columns, all by default), ``base`` and ``terms`` (``array<struct<s, k, e, ratio>>``) per row."""
     carry = docs.columns if carry is None else carry
     source = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("_text"))
-    found = with_contexts(with_base_spans(source, "_text"), "_text").withColumn("th", F.xxhash64("_text")).drop("_text")
-    rows = C.with_row_id(found, "pii-base")
-    near = rows.select("rid", "th", F.explode("near").alias("x")).select("rid", "th", "x.*")
-    flagged = revealing_terms(near, docs, text)
-    hits = (near.join(flagged, ["entity", "term"]).groupBy("rid", "s", "e").agg(F.max("ratio").alias("ratio"))
-            .groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", "ratio"))).alias("terms")))
+    found = with_base_spans(source, "_text").withColumn("th", F.xxhash64("_text"))
+    masked = found.withColumn("masked", F.when(F.size("base") > 0, _masked(C.text_or_empty("_text")))).drop("_text")
+    rows = C.with_row_id(masked, "pii-base")
+    revealing = C.write_once(revealing_terms(rows.select("rid", "th", "base", "masked"), docs, text), "pii-revealing")
+    places = (rows.where(F.size("base") > 0).select("rid", F.explode(_found(F.col("masked"), TERM)).alias("x"))
+              .select("rid", F.lower("x.m").alias("term"), "x.s", "x.e"))
+    # a row's list is bounded by its own text
+    hits = (places.join(revealing, ["rid", "term"]).groupBy("rid")
+            .agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", "ratio"))).alias("terms")))
     joined = rows.join(hits, "rid", "left")
     none = F.array().cast("array<struct<s:int,k:int,e:int,ratio:double>>")
     return joined.select("row", "base", F.coalesce("terms", none).alias("terms"))

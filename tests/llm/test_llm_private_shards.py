@@ -1,6 +1,8 @@
 """PII, sharding and WARC: against plain versions, and the defined cases."""
 
+import collections
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -58,6 +60,59 @@ def test_revealing_terms_go(spark):
     assert pii.sanitise(docs.limit(0)).count() == 0
 
 
+def plain_terms(texts):
+    """The term spans of every text by the formula, pair by pair."""
+    found = []
+    for t in texts:
+        base = sorted((m.start(), n, m.end(), m.group()) for n, (k, rx) in enumerate(RX.items()) for m in re.finditer(rx, t or "") if good(k, m.group()))
+        masked = list(t or "")
+        for a, _, b, _ in base:
+            masked[a:b] = "\x01" * (b - a)
+        found.append(({(n, m.lower() if n == 0 else re.sub("[^0-9]", "", m)) for _, n, _, m in base}, [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W_]+", "".join(masked))]))
+    with_term, with_entity, both = (collections.defaultdict(set) for _ in range(3))
+    for i, (entities, terms) in enumerate(found):
+        for w in set(x.lower() for x in re.findall(r"[^\W_]+", texts[i] or "")):
+            with_term[w].add(i)
+        for e in entities:
+            with_entity[e].add(i)
+            for w in {w for _, _, w in terms}:
+                both[e, w].add(i)
+    n, out = len(texts), []
+    for entities, terms in found:
+        spans = []
+        for a, b, w in terms:
+            for e in entities:
+                k, share, apart = len({texts[i] for i in both[e, w]}), len(both[e, w]) / max(1, len(with_term[w])), len(with_entity[e]) / n
+                chance = (k * share + pii.PRIOR * apart) / (k + pii.PRIOR)
+                if with_term[w] and len(with_term[w]) <= pii.COMMON * n and apart < 1 and 1 - math.log2(chance) / math.log2(apart) >= pii.DISCLOSURE:
+                    spans.append((a, b))
+                    break
+        out.append(spans)
+    return out
+
+
+def test_terms_equal_the_formula(spark):
+    texts = [r[0] for r in spark.read.parquet(f"{SF001}/documents.parquet").select("text").collect()]
+    texts += [f"Contact Zorblax Quimby at q@zed.org today {w}. Later on Zorblax came again." for w in ("about it", "or at noon", "with the rest", "for this")]
+    texts += [f"Contact us at noon today, {w} of it is about the rest, and later on they came again for this or with it" for w in map(str, range(30))]
+    texts += ["copied Vorple v@copy.org +49 30 1234567"] * 9 + ["many " + " ".join(f"m{k}@list.org" for k in range(300)) + " solitary", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find(docs, carry=["doc_id"])).collect()}
+    want = plain_terms(texts)
+    mine = [[tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("term:")] for i in range(len(texts))]
+    assert mine == want and sum(map(len, want)) > 20
+    first = next(i for i, t in enumerate(texts) if t and t.startswith("Contact Zorblax"))
+    text = pii.sanitise(docs).where(F.col("doc_id") == first).first()["text"]
+    assert "Zorblax" not in text and "Quimby" not in text and all(w in text for w in ("Contact", "at <EMAIL> today about it. Later on", "came again"))
+
+
+def test_long_texts_of_many_matches(spark):
+    texts = ["1.2.3.4 " * 8_000, " ".join(f"w{k}" for k in range(20_000)) + " a@b.cc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.digests(pii.find(docs, carry=["doc_id"])).collect()}
+    assert got[0]["n_ip"] == 8_000 and all(got[k]["base_sha256"] == plain(t)[1] for k, t in enumerate(texts))
+
+
 def test_sharding(spark):
     rows = [(i, "hot" if i < 400 else f"pair{i // 2}" if i < 800 else f"t{i}" if i < 1198 else None, 1) for i in range(1200)] + [(None, "", 2), (5, "", 3), (5, "", 3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard int")
