@@ -21,6 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch on its way to a Python worker, unless the session names another number.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
+#: Rows of numbers that a join may broadcast (a few MB).
+BROADCAST_ROWS = 100_000
+
 _shipped: set[str] = set()
 
 
@@ -87,6 +90,13 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def slim(df: DataFrame, name: str) -> DataFrame:
+    """A side of a few numbers a row and unique keys, for a join with rows that carry whole texts: written once, sent to
+    every task up to ``BROADCAST_ROWS`` rows; beyond that it is shuffled and hashed, so that no text is ever sorted."""
+    held = write_once(df, name)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held.hint("shuffle_hash")
+
+
 def with_row_id(df: DataFrame, name: str, out: str = "rid") -> DataFrame:
     """``df`` written with a row number of its own (unique, not gapless), for tables whose ids may repeat or be null."""
     return write_once(df.withColumn(out, F.monotonically_increasing_id()), name)

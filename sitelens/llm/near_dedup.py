@@ -90,6 +90,7 @@ def signed_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "te
 def sets_of(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, items)``: the shingle set of each ``wanted(id, doc, th1, th2)``, from the rows that hold those texts."""
     rows_in = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("th1"), F.xxhash64(F.lit(1), text).alias("th2"), F.col(text).alias("text"))
+    wanted = C.slim(wanted, "near-wanted")
     same = rows_in["doc"].eqNullSafe(wanted["doc"]) & (rows_in["th1"] == wanted["th1"]) & (rows_in["th2"] == wanted["th2"])
     found = rows_in.join(wanted, same).select("id", "text")
 

@@ -303,9 +303,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
     return learn({k: table[k].to_numpy() for k in features()}, (table["quality"] == 0).to_numpy())
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``docs`` with ``stats``, ``base_failed`` and ``kept``."""
-    return (with_statistics(docs).withColumn("base_failed", base_failed())
+    return (with_statistics(docs, text).withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & verdict(rules)))
 
 
