@@ -28,7 +28,7 @@ def _whole(docs: DataFrame) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the base rules or the learned decision list reject."""
     rules = quality_rules.fit(docs, C.read_table(spark, sf_dir, "labels"))
-    judged = quality_rules.judge(_whole(docs).withColumn("text", F.col("_doc.text")), rules)
+    judged = quality_rules.judge(_whole(docs), rules, "_doc.text")
     return judged.where("kept").select("_doc.*")
 
 
@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = C.with_row_id(_whole(docs), "pipeline-near", ROW)
     classes = near_dedup.near_duplicate_classes(rows.select(ROW, F.col("_doc.text").alias("text")), id_column=ROW)
     gone = classes.where("not kept").select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select("_doc.*")
+    return rows.join(C.slim(gone, "pipeline-gone"), ROW, "left_anti").select("_doc.*")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sizes = rows.select(F.col(ROW).alias("key"), F.col("_doc.source").alias("source"), C.word_count("_doc.text").alias("size"))
     taken = mixing.mix(sizes).select(F.col("key").alias(ROW), "copies")
     times = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return rows.join(taken.where("copies > 0"), ROW).select("_doc", times.alias("_copy")).select("_doc.*")
+    return rows.join(C.slim(taken.where("copies > 0"), "pipeline-taken"), ROW).select("_doc", times.alias("_copy")).select("_doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
