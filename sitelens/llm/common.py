@@ -19,7 +19,7 @@ from sitelens.session import ensure_checkpoint_dir, materialize, read_table  # n
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch on its way to a Python worker, unless the session names another number.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 #: Rows of numbers that a join may broadcast (a few MB).
 BROADCAST_ROWS = 100_000

@@ -1,7 +1,7 @@
 """Words, lines and shingles of many texts at once, as flat numpy arrays.
 
 The per-row work of the text operators runs inside Spark tasks on Arrow
-batches.  A batch is cut into chunks of about one megabyte of UTF-8 (whole
+batches.  A batch is cut into chunks of about a quarter of a megabyte of UTF-8 (whole
 texts, never prefixes; one very long text makes one long chunk) and each step
 is a handful of array passes instead of a Python loop over words.
 
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x2545F4914F6CDD1D)
