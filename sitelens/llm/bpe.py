@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ from sitelens.llm import common as C
 
 #: A task hands on its list of words whenever it holds so many, and starts a new one.
 WORDS_AT_ONCE = 1_000_000
+#: Places of words (a word in a block) that are packed at once, about.
+PLACES_AT_ONCE = 500_000
 
 _ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 # Latin letters with marks: already composed, and lower-cased one by one (the dotted capital I and the two
@@ -113,6 +115,20 @@ def _parts(column: pa.Array):
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``PART_BYTES`` (whole texts)."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > PART_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def block_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``(block, word)``: the words of each block, once per task (or part of a task)."""
     C.ship(docs.sparkSession)
@@ -152,8 +168,8 @@ def block_positions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
-        for batch in batches:
-            for a, b in _parts(batch.column(2)) if batch.num_rows else ():
+        for batch in _gathered(batches):
+            for a, b in _parts(batch.column(2)):
                 counts, runs = _runs(batch.column(2).slice(a, b - a))
                 codes = runs.indices.to_numpy(zero_copy_only=False)
                 order = np.argsort(-np.bincount(codes, minlength=len(runs.dictionary)), kind="stable")  # frequent runs get small numbers
@@ -173,28 +189,38 @@ def block_positions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return marked.mapInArrow(run, "block int, packed binary")
 
 
-def pack(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """``(key, packed)``: up to ``rows`` consecutive rows of one key as one compressed Arrow stream."""
-    C.ship(df.sparkSession)
-
-    def run(batches):
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            keys = table[key].combine_chunks().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            edges = sorted({0, len(keys), *cuts.tolist(), *range(0, len(keys), rows)})
-            out = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                sink = pa.BufferOutputStream()
-                part = table.slice(a, b - a).drop_columns([key])
-                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
-                    writer.write_table(part.combine_chunks())
-                out.append((keys[a], sink.getvalue().to_pybytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], [key, "packed"])
-
-    return df.mapInArrow(run, f"{key} int, packed binary")
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(block, packed)``: words with their blocks as one compressed Arrow stream per block, whenever
+    ``PLACES_AT_ONCE`` places are held."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        lists = table["blocks"].combine_chunks()
+        flat, owner = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy()
+        order = np.argsort(flat, kind="stable")
+        flat, owner, table = flat[order], owner[order], table.drop_columns(["blocks"])
+        edges = [0, *(np.flatnonzero(flat[1:] != flat[:-1]) + 1).tolist(), len(flat)]
+        packed = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
+                writer.write_table(table.take(pa.array(owner[a:b])).combine_chunks())
+            packed.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(flat[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], ["block", "packed"])
+
+    held, places = [], 0
+    for batch in batches:
+        held.append(batch)
+        places += len(batch.column("blocks").flatten())
+        if places >= PLACES_AT_ONCE:
+            yield out(held)
+            held, places = [], 0
+            C.give_back()
+    if held:
+        yield out(held)
+        held = []
+        C.give_back()
 
 
 def unpack(column: pa.ChunkedArray) -> list[pa.Table]:
@@ -224,10 +250,12 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 
 
 def decode_ids(encoded: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """``(word, blocks, ids_text, pieces_text)`` for ``(word, blocks, ids)``: decimal ids and pieces, joined by spaces in order.
+    """``(block, packed)`` for ``(word, blocks, ids)``: each block's words with their decimal ids (``ids_text``) and
+    pieces (``pieces_text``), joined by spaces in order, as compressed Arrow streams.
 
     The ids of a word become consecutive rows, the join with the vocabulary (broadcast: bounded by the tokenizer
-    file) keeps their order, and the rows of a word are put together again as they come by - no shuffle.
+    file) keeps their order, and the rows of a word are put together again as they come by - no shuffle.  The same
+    worker packs the words by block: a second one beside it would only take memory.
     """
     C.ship(spark)
     head = F.col("at") == 0
@@ -255,7 +283,7 @@ def decode_ids(encoded: DataFrame, spark: SparkSession, path: str) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.list_(pa.int32()), pa.string(), pa.string()))], ["word", "blocks", "ids_text", "pieces_text"])
 
-    return placed.mapInArrow(run, "word binary, blocks array<int>, ids_text string, pieces_text string")
+    return placed.mapInArrow(lambda batches: _by_block(run(batches)), "block int, packed binary")
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,8 +301,7 @@ def _put_together(docs: DataFrame, path: str, key: str, text: str, digests: bool
     C.ship(spark)
     # one row per distinct word, with the blocks (input splits) that hold it
     words = block_words(docs, path, text).groupBy("word").agg(F.collect_list("block").alias("blocks"))
-    table = decode_ids(encode_words(words, path), spark, path)
-    back = pack(table.select(F.explode("blocks").alias("block"), "word", "ids_text", "pieces_text").sortWithinPartitions("block"), "block", 50_000)
+    back = decode_ids(encode_words(words, path), spark, path)
     rows = block_positions(docs, key, text)
     kind = docs.schema[key].dataType
     left_key = C.arrow_type(kind)
