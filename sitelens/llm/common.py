@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.session import ensure_checkpoint_dir, materialize, read_table  # noqa: F401
+from sitelens.session import drop_materialized, ensure_checkpoint_dir, materialize, read_table, run_scope  # noqa: F401
 
 #: Separators of words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,6 +91,18 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def settled(make: Callable[[], DataFrame], name: str, spark: SparkSession) -> DataFrame:
+    """What ``make`` returns, written once; the tables written on the way to it are deleted then, so that they do not
+    lie beside those of the steps that follow."""
+    run = uuid.uuid4().hex
+    try:
+        with run_scope(run):
+            made = make()
+        return write_once(made, name)
+    finally:
+        drop_materialized(spark, run)
+
+
 def slim(df: DataFrame, name: str) -> DataFrame:
     """A side of a few numbers a row and unique keys, for a join with rows that carry whole texts: written once, sent to
     every task up to ``BROADCAST_ROWS`` rows; beyond that it is shuffled and hashed, so that no text is ever sorted."""

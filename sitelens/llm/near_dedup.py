@@ -105,6 +105,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", text:
 
 def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", weights: str = "set", threshold: float = THRESHOLD) -> DataFrame:
     """``(rid, doc_id, th1, th2, class_id, class_size, kept)`` per row of ``docs``."""
+    return C.settled(lambda: _classes(docs, id_column, text, weights, threshold), "near-classes", docs.sparkSession)
+
+
+def _classes(docs: DataFrame, id_column: str, text: str, weights: str, threshold: float) -> DataFrame:
     items = C.with_row_id(signed_documents(docs, id_column, text, weights), "near-signed")
     # partial sums first: a set held by a third of all rows is one row per task
     same = (items.where("size > 0").groupBy("fp1", "fp2").agg(F.min("rid").alias("rep")))

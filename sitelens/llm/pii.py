@@ -221,7 +221,7 @@ def find(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     found = with_base_spans(source, "_text").withColumn("th", F.xxhash64("_text"))
     masked = found.withColumn("masked", F.when(F.size("base") > 0, _masked(C.text_or_empty("_text")))).drop("_text")
     rows = C.with_row_id(masked, "pii-base")
-    revealing = C.write_once(revealing_terms(rows.select("rid", "th", "base", "masked"), docs, text), "pii-revealing")
+    revealing = C.settled(lambda: revealing_terms(rows.select("rid", "th", "base", "masked"), docs, text), "pii-revealing", docs.sparkSession)
     places = (rows.where(F.size("base") > 0).select("rid", F.explode(_found(F.col("masked"), TERM)).alias("x"))
               .select("rid", F.lower("x.m").alias("term"), "x.s", "x.e"))
     # a row's list is bounded by its own text

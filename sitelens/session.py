@@ -135,12 +135,13 @@ def materialize(df: DataFrame, name: str = "stage", keep: bool = False) -> DataF
 
     One pass (a reliable ``checkpoint()`` computes its input twice unless it is
     cached), columnar, and it survives the loss of executors: the folder is the
-    shared one named by ``spark.checkpoint.dir``.  ``keep``: the table belongs to
+    shared one named by ``spark.checkpoint.dir``.  Whole texts pass through here, so
+    it is packed closely (zstd).  ``keep``: the table belongs to
     no run (see ``drop_materialized``).
     """
     spark = df.sparkSession
     path = _place(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     _note(spark, path, None, keep)
     return spark.read.parquet(path)
 
