@@ -223,6 +223,53 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.give_back()
 
 
+def joined(values: pa.Array, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Consecutive ``values`` up to each of ``ends``, joined by spaces (no values: empty)."""
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int64()), values.cast(pa.large_binary()))
+    return pc.binary_join(lists, pa.scalar(b" ", pa.large_binary()))
+
+
+def _whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(word, blocks, ids_text, pieces_text)`` for the rows ``(word, blocks, n, at, id, piece)`` of words, a row per id
+    in order; the rows of a word may lie in several batches."""
+    held: list[pa.RecordBatch] = []
+    missing = 0  # rows of the last word still to come
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if batch.num_rows < missing:  # a word longer than a batch
+            missing -= batch.num_rows
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        at = rows.column("at").to_numpy()
+        heads = np.flatnonzero(at == 0)
+        sizes = rows.column("n").to_numpy()[heads].astype(np.int64)
+        ends = np.cumsum(sizes)
+        if not len(heads) or (heads != ends - sizes).any() or (at != np.arange(len(at)) - np.repeat(heads, np.diff([*heads, len(at)]))).any():
+            raise ValueError("the rows of a word are out of order")
+        missing = int(ends[-1]) - len(at)
+        if missing < 0:
+            raise ValueError("the rows of a word are out of order")
+        if missing:
+            heads, ends = heads[:-1], ends[:-1]
+        done = int(ends[-1]) if len(ends) else 0
+        held = [rows.slice(done)] if missing else []
+        if done:
+            texts = [joined(rows.column(c).slice(0, done).cast(pa.string()), ends).cast(pa.large_string()).cast(pa.string()) for c in ("id", "piece")]
+            first = pa.array(heads)
+            yield pa.RecordBatch.from_arrays([rows.column("word").take(first), rows.column("blocks").take(first), *texts], ["word", "blocks", "ids_text", "pieces_text"])
+    if missing:
+        raise ValueError("the rows of a word are out of order")
+
+
+def _digests(texts: pa.LargeBinaryArray) -> pa.Array:
+    """SHA-256 of every text, read where it lies."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1].tolist()
+    data = memoryview(texts.buffers()[2] or b"")
+    return pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])], pa.string())
+
+
 def unpack(column: pa.ChunkedArray) -> list[pa.Table]:
     return [pa.ipc.open_stream(p).read_all() for p in column.to_pylist()]
 
@@ -262,28 +309,7 @@ def decode_ids(encoded: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     placed = (encoded.select("word", "blocks", F.size("ids").alias("n"), F.posexplode("ids").alias("at", "id")).join(F.broadcast(vocabulary(spark, path)), "id")
               .select(F.when(head, F.col("word")).alias("word"), F.when(head, F.col("blocks")).alias("blocks"), "n", "at", "id", "piece"))
 
-    def run(batches):
-        left = 0  # rows of the current word still to come
-        word, blocks, ids, pieces = None, None, [], []
-        for batch in batches:
-            out = [], [], [], []
-            for w, bs, n, at, i, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                if at == 0:
-                    if left:
-                        raise ValueError("the rows of a word are out of order")
-                    word, blocks, ids, pieces, left = w, bs, [], [], n
-                elif at != len(ids) or not left:
-                    raise ValueError("the rows of a word are out of order")
-                ids.append(str(i))
-                pieces.append(piece)
-                left -= 1
-                if not left:
-                    for column, value in zip(out, (word, blocks, " ".join(ids), " ".join(pieces))):
-                        column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.list_(pa.int32()), pa.string(), pa.string()))], ["word", "blocks", "ids_text", "pieces_text"])
-
-    return placed.mapInArrow(lambda batches: _by_block(run(batches)), "block int, packed binary")
+    return placed.mapInArrow(lambda batches: _by_block(_whole_words(batches)), "block int, packed binary")
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -333,21 +359,20 @@ def _put_together(docs: DataFrame, path: str, key: str, text: str, digests: bool
             rows_, runs_, codes_ = (pa.ipc.open_stream(source).read_all() for _ in range(3))
             keys += rows_["key"].chunks
             made = [whole(r) for r in _utf8(runs_["run"].combine_chunks())]
-            ids_of, pieces_of = [m[0] for m in made], [m[1] for m in made]
-            tokens = np.array([i.count(b" ") + 1 if i else 0 for i in ids_of], np.int64)
+            texts_of = [pa.array([m[k] for m in made], pa.large_binary()) for k in (0, 1)]
+            tokens = np.array([m[0].count(b" ") + 1 if m[0] else 0 for m in made], np.int64)
+            made = None
             codes = np.ascontiguousarray(np.frombuffer(codes_["planes"][0].as_py(), np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
             ends = np.cumsum(rows_["n"].to_numpy())
-            for a, b in zip((ends - rows_["n"].to_numpy()).tolist(), ends.tolist()):
-                own = codes[a:b]
-                size = tokens[own]
-                if not size.all():  # runs without a token leave no gap
-                    own = own[size > 0]
-                at = own.tolist()
-                i, d = b" ".join([ids_of[x] for x in at]), b" ".join([pieces_of[x] for x in at])
-                n.append(int(size.sum()))
-                ids.append(hashlib.sha256(i).hexdigest() if digests else i.decode())
-                decoded.append(hashlib.sha256(d).hexdigest() if digests else d.decode())
-        return pa.table({"key": pa.chunked_array(keys, type=left_key), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.string()), "decoded": pa.array(decoded, pa.string())})
+            sizes = tokens[codes]
+            n.append(np.diff(np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], ends))]))
+            if not sizes.all():  # runs without a token leave no gap
+                codes, ends = codes[sizes > 0], np.concatenate(([0], np.cumsum(sizes > 0)))[ends]
+            for texts, out_ in zip(texts_of, (ids, decoded)):
+                text_ = joined(texts.take(pa.array(codes)), ends)
+                out_ += [_digests(text_)] if digests else pa.chunked_array([text_]).cast(pa.large_string()).cast(pa.string()).chunks
+        return pa.table({"key": pa.chunked_array(keys, type=left_key), "n_tokens": pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64()),
+                         "ids": pa.chunked_array(ids, pa.string()), "decoded": pa.chunked_array(decoded, pa.string())})
 
     made = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(join, out)
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids_text", "decoded")

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,20 @@ def test_bpe_equals_the_tokenizer(spark):
     assert bpe.encode_documents(docs.limit(0), bpe.public_path()).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_words_are_put_together_without_a_step_per_token(size):
+    words = [(b"one", [3], [5]), ("zwölf".encode(), [0, 2], [1, 2, 3, 4, 5, 6, 7, 8, 9]), (b"x", [1], [70000, 1])]
+    rows = [(w if k == 0 else None, b if k == 0 else None, len(ids), k, i, f"p{i}é") for w, b, ids in words for k, i in enumerate(ids)]
+    kinds = [pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part), kinds)], ["word", "blocks", "n", "at", "id", "piece"])
+    batches = lambda rows: (batch(rows[a:a + size]) for a in range(0, len(rows), size))
+    made = pa.Table.from_batches(bpe._whole_words(batches(rows))).to_pylist()
+    assert made == [{"word": w, "blocks": b, "ids_text": " ".join(map(str, ids)), "pieces_text": " ".join(f"p{i}é" for i in ids)} for w, b, ids in words]
+    for broken in (rows[:-1], rows[:2] + rows[3:], rows[1:3] + rows[:1], rows[2:], [rows[0]] * 2 + rows[2:]):
+        with pytest.raises(ValueError):
+            list(bpe._whole_words(batches(broken)))
+
+
 def targets(sizes, weights=(3, 1, 2), share=1.5, cap=2):
     """Shares by weight, stopped at the cap, what is over shared again."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
