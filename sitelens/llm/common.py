@@ -22,6 +22,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch on its way to a Python worker, unless the session names another number.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
+#: Rows that a Parquet reader holds at once, unless the session names another number: they carry whole texts, and a
+#: batch of Spark's 4,096 rows takes tens of MB of an executor's heap per task.
+READ_ROWS = ("spark.sql.parquet.columnarReaderBatchSize", "512")
+
 #: Rows of numbers that a join may broadcast (a few MB).
 BROADCAST_ROWS = 100_000
 
@@ -29,9 +33,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers (once per application), and bound the batches they get in bytes."""
-    if BATCH_BYTES[0] not in spark.conf.getAll:
-        spark.conf.set(*BATCH_BYTES)
+    """Give this package to the executors' Python workers (once per application), and bound what they get and readers hold."""
+    for name, value in (BATCH_BYTES, READ_ROWS):
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -44,3 +44,16 @@ def test_written_tables_are_packed_closely(spark):
     held = C.write_once(spark.createDataFrame([(1, "words " * 100)], "id long, text string"), "packed-closely")
     files = [pq.ParquetFile(x.removeprefix("file://")).metadata for x in held.inputFiles()]
     assert {f.row_group(0).column(1).compression for f in files if f.num_rows} == {"ZSTD"}
+
+
+def test_readers_hold_few_whole_texts_unless_the_session_says_otherwise(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    try:
+        spark.conf.unset(name)
+        near_dedup.signed_documents(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+        assert int(spark.conf.get(name)) <= 512
+        spark.conf.set(name, "2048")
+        C.ship(spark)
+        assert spark.conf.get(name) == "2048"
+    finally:
+        spark.conf.unset(name)
