@@ -33,6 +33,8 @@ not read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,6 +44,7 @@ from sitelens.llm import common as C
 from sitelens.llm import text_arrays as A
 from sitelens.llm.dart_minhash import band_keys, sketch
 from sitelens.llm.links import similar_components
+from sitelens.session import run_scope
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -50,6 +53,7 @@ BANDS = 16
 ROWS = 4
 WINDOW = 20
 REACH = 25
+LOW = (1 << 32) - 1
 
 UNITS = "doc long, th long, line int, s int, e int, fp1 long, fp2 long, keys array<long>, sketch binary"
 
@@ -84,7 +88,8 @@ class Lines:
         self.words = t.hash_spans(self.begin, self.end)
 
     def places(self, first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.texts.code_points(self.begin[first], doc), self.texts.code_points(self.end[last], doc)
+        both = self.texts.code_points(np.concatenate((self.begin[first], self.end[last])), np.concatenate((doc, doc)))
+        return both[:len(first)], both[len(first):]
 
     def sets(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shingles of the chosen lines, owned by their place in ``lines``."""
@@ -169,7 +174,7 @@ def units(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
 
 def line_sets(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, items)``: the shingles of the lines ``wanted(id, doc, th, line)``."""
-    per_doc = wanted.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("line", "id"))).alias("asked"))  # lines of one text
+    per_doc = C.slim(wanted.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("line", "id"))).alias("asked")), "passages-asked")  # lines of one text
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     found = rows.join(per_doc, rows["doc"].eqNullSafe(per_doc["doc"]) & (rows["th"] == per_doc["th"])).select("asked.id", "asked.line", "text")
 
@@ -194,24 +199,39 @@ def line_sets(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", tex
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, kind, s, e, class_id, class_docs, kept, th)``: every paragraph or longest passage that stands at several places."""
-    every = C.with_row_id(units(docs, id_column, text), "passages-units", "id")
-    lines = every.where("sketch is not null")
+    spark = docs.sparkSession
+    C.ship(spark)
+    run = uuid.uuid4().hex
+    try:
+        with run_scope(run):
+            every = C.with_row_id(units(docs, id_column, text), "passages-units", "id")
+        lines, windows = every.where("sketch is not null"), every.where("sketch is null")
+        found = C.settled(lambda: _paragraphs(docs, lines, id_column, text), "passages-lines", spark)
+        texts = _texts(docs, id_column, text)
+        # windows of every line, also of those that a class holds: the same passage may be a line here and part of one there
+        seeds = C.write_once(_placed(windows.select("doc", "th", F.col("line").alias("word"), F.col("fp1").alias("class")), texts), "passages-places")
+    finally:
+        C.drop_materialized(spark, run)
+    paragraphs = found.drop("line").withColumn("kind", F.when(F.col("class_docs") > 1, "paragraph").otherwise("repeat"))
+    passages = C.settled(lambda: _passages(docs, seeds, texts, id_column, text), "passages-spans", spark)
+    holders = passages.where("leads").groupBy("class").agg(F.count("*").alias("class_docs"))
+    passages = passages.drop("leads").join(holders.hint("shuffle_hash"), "class").withColumn("kind", F.lit("passage"))
+    return paragraphs.unionByName(passages).select(F.col("doc").alias("doc_id"), "kind", "s", "e", F.col("class").alias("class_id"), "class_docs", "kept", "th")
+
+
+def _paragraphs(docs: DataFrame, lines: DataFrame, id_column: str, text: str) -> DataFrame:
+    """Lines of the classes that have two places or more."""
     # partial sums first: a paragraph held by a third of all texts is one row per task
     same = C.write_once(lines.groupBy("fp1", "fp2").agg(F.min("id").alias("rep")), "passages-same")
-    reps = lines.join(same.select(F.col("rep").alias("id")), "id", "left_semi")
-    keys = reps.select("id", F.explode("keys").alias("key"))
-    live = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key").select("id").distinct()
-    wanted = reps.join(live, "id", "left_semi").select("id", "doc", "th", "line")
-    sets = C.write_once(line_sets(docs, wanted, id_column, text), "passages-sets")
-    comps = similar_components(keys, reps.select("id", "keys", "sketch"), sets, THRESHOLD)
+    keys = lines.join(same.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    keys = C.write_once(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "key"), "passages-keys")
+    # the few lines that share a key with another one
+    near = C.write_once(lines.join(keys.select("id").distinct(), "id", "left_semi").select("id", "doc", "th", "line", "keys", "sketch"), "passages-near")
+    sets = C.write_once(line_sets(docs, near.select("id", "doc", "th", "line"), id_column, text), "passages-sets")
+    comps = similar_components(keys, near.select("id", "keys", "sketch"), sets, THRESHOLD)
     placed = (lines.join(same, ["fp1", "fp2"]).join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
               .select("doc", "th", "line", "s", "e", F.coalesce("comp", "rep").alias("class")))
-    found = C.write_once(_classes(placed), "passages-lines")
-    # windows of every line, also of those that a class holds: the same passage may be a line here and part of one there
-    windows = every.where("sketch is null").select("doc", "th", F.col("line").alias("word"), "s", "e", F.col("fp1").alias("class"))
-    paragraphs = found.drop("line").withColumn("kind", F.when(F.col("class_docs") > 1, "paragraph").otherwise("repeat"))
-    out = paragraphs.unionByName(_passages(docs, windows, id_column, text).withColumn("kind", F.lit("passage")))
-    return out.select(F.col("doc").alias("doc_id"), "kind", "s", "e", F.col("class").alias("class_id"), "class_docs", "kept", "th")
+    return _classes(placed)
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -222,69 +242,98 @@ def _classes(rows: DataFrame) -> DataFrame:
     return rows.join(wide, "class").withColumn("kept", place == F.col("first")).drop("first")
 
 
-def _repeated(windows: DataFrame, name: str) -> DataFrame:
-    """``windows`` of two places or more, once per place, with their first place and what tells their holders (``n``, ``who``)."""
-    place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc").alias("doc"), F.col("th").alias("th"), F.col("word").alias("word"))
-    wide = (windows.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("other"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.col("doc").isNull(), "doc", "th")).alias("who"))
-            .where("first != other").drop("other"))
-    # rows alike in id and text are one document
-    return C.write_once(windows.join(wide, "class").dropDuplicates(["doc", "th", "word"]), name)
+def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``(doc, th, rows, rid)`` of every document: its rows, and a number in the order of places (by id, then text), so
+    that number and word, packed into one, are ordered as places are."""
+    once = (docs.where(F.col(text).isNotNull()).groupBy(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("th")).agg(F.count("*").alias("rows"))
+            .select(F.lit(0).alias("all"), F.col("doc").isNull().alias("last"), "doc", "th", "rows"))
+    return C.write_once(C.numbered(once, "all", ["last", "doc", "th"], "rid", "passages-ranged").select("doc", "th", "rows", "rid"), "passages-texts")
 
 
-def _passages(docs: DataFrame, seeds: DataFrame, id_column: str, text: str) -> DataFrame:
-    """The longest repeated spans around the seeds, classed by their first window.
+def _holder() -> Column:
+    return F.xxhash64(F.col("doc").isNull(), "doc", "th")
 
-    ``class_docs`` counts the documents that have a span with that first window; where the holders change within a
-    span, it is given in overlapping pieces.
-    """
-    live = _repeated(seeds, "passages-seeds")
-    order = Window.partitionBy("doc", "th").orderBy("word")  # windows of one text
-    word = F.col("word")
-
-    def joined(step) -> Column:
-        return F.coalesce((step("n").over(order) == F.col("n")) & (step("who").over(order) == F.col("who")) & (F.abs(step("word").over(order) - word) <= REACH), F.lit(False))
-
-    none = F.array().cast("array<int>")
-    gap = F.lead("word").over(order) - word
-    after = F.when(~joined(F.lead), F.sequence(word + 1, word + REACH)).when(gap > WINDOW, F.array(word + REACH - WINDOW)).otherwise(none)
-    before = F.when(~joined(F.lag), F.sequence(word - REACH, word - 1)).otherwise(none)
-    asked = (live.select("doc", "th", F.concat(after, before).alias("asked")).where(F.size("asked") > 0)
-             .groupBy("doc", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("asked")))).alias("asked")))
-    columns = ["doc", "th", "word", "s", "e", "class"]
-    every = _repeated(_windows_at(docs, asked, id_column, text).unionByName(live.select(*columns)), "passages-windows")
-    first = F.col("first")
-    every = (every.withColumn("kept", first["doc"].eqNullSafe(F.col("doc")) & (first["th"] == F.col("th")) & (first["word"] == word))
-             .withColumn("beside", F.struct("n", "who", "kept", first["doc"].alias("d"), first["th"].alias("t"), (word - first["word"]).alias("off"))))
-    same = F.lag("beside").over(order).eqNullSafe(F.col("beside")) & (word - F.lag("word").over(order) <= WINDOW)
+
+def _placed(windows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``windows`` as class, place (number of the document, and word) and what they add to the class (``n``, ``who``)."""
+    texts = C.slim(texts.select("doc", "th", "rid", _holder().alias("who")), "passages-holders")
+    met = windows.join(texts, windows["doc"].eqNullSafe(texts["doc"]) & (windows["th"] == texts["th"]))
+    return met.select("class", F.shiftleft("rid", 32).bitwiseOR(F.col("word").cast("long")).alias("place"), F.lit(1).cast("long").alias("n"), "who")
+
+
+def _repeated(windows: DataFrame, *more: str) -> DataFrame:
+    """The ``windows`` of two places or more, with their first place and what tells their holders (``n``, ``who``)."""
+    wide = (windows.groupBy("class").agg(F.sum("n").alias("n"), F.bit_xor("who").alias("who"), F.min("place").alias("first"), F.max("place").alias("other"))
+            .where("first != other").drop("other"))
+    return windows.select("class", "place", *more).join(wide.hint("shuffle_hash"), "class")
+
+
+def _passages(docs: DataFrame, seeds: DataFrame, texts: DataFrame, id_column: str, text: str) -> DataFrame:
+    """The longest repeated spans around the seeds, classed by their first window; where the holders change within a
+    span, it is given in overlapping pieces.  ``leads``: the first span of its class in its document."""
+    rid, word = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(LOW))
+    live = _repeated(seeds).groupBy(rid.alias("rid")).agg(F.collect_list(F.struct(word.cast("int").alias("word"), "n", "who")).alias("live"))  # of one text
+    windows = C.write_once(_windows_around(docs, live.join(texts, "rid").withColumn("who", _holder()), id_column, text), "passages-windows")
+    if not texts.where("rows > 1").isEmpty():  # rows alike in id and text are one document
+        windows = windows.where("rows = 1").unionByName(windows.where("rows > 1").dropDuplicates(["place"]))
+    # as far from the first place as the window before: side by side with it there, too
+    every = _repeated(windows, "span").select(rid.alias("rid"), "place", "class", "span", "n", "who", (F.col("place") - F.col("first")).alias("off"))
+    order = Window.partitionBy("rid").orderBy("place")  # windows of one text
+    same = F.col("place") - F.lag("place").over(order) <= WINDOW
+    for c in ("n", "who", "off"):
+        same &= F.lag(c).over(order) == F.col(c)
     runs = every.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    spans = (runs.groupBy("doc", "th", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min(F.struct("word", "class"))["class"].alias("class"), F.min("kept").alias("kept")).drop("run"))
-    spans = C.write_once(spans, "passages-spans")
-    holders = spans.select("class", "doc", "th").distinct().groupBy("class").agg(F.count("*").alias("class_docs"))
-    return spans.join(holders, "class")
+    spans = (runs.groupBy("rid", "run").agg(F.min("span").alias("begin"), F.max("span").alias("end"), F.max(F.when(F.col("new") == 1, F.col("class"))).alias("class"), F.max("off").alias("off"))
+             .withColumn("leads", F.row_number().over(Window.partitionBy("rid", "class").orderBy("begin")) == 1))
+    return (spans.join(C.slim(texts.drop("rows"), "passages-documents"), "rid")
+            .select("doc", "th", F.shiftright("begin", 32).cast("int").alias("s"), F.col("end").bitwiseAND(F.lit(LOW)).cast("int").alias("e"), "class", (F.col("off") == 0).alias("kept"), "leads"))
+
 
+def _asked(owner: np.ndarray, word: np.ndarray, n: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and word of the windows to cut around seeds (ordered by both): every one up to ``REACH`` before and after
+    a change of holders, and one between seeds that leave words out."""
+    gap = word[1:] - word[:-1]
+    joined = (owner[1:] == owner[:-1]) & (n[1:] == n[:-1]) & (who[1:] == who[:-1]) & (gap <= REACH)
+    ends, begins = np.flatnonzero(np.append(~joined, True)), np.flatnonzero(np.append(True, ~joined))
+    apart = np.flatnonzero(joined & (gap > WINDOW))
+    steps = np.arange(1, REACH + 1)
+    at = np.concatenate(((word[ends, None] + steps).ravel(), (word[begins, None] - steps).ravel(), word[apart] + REACH - WINDOW))
+    return np.concatenate((np.repeat(owner[ends], REACH), np.repeat(owner[begins], REACH), owner[apart])), at
 
-def _windows_at(docs: DataFrame, asked: DataFrame, id_column: str, text: str) -> DataFrame:
-    """The windows that begin at the ``asked`` words (those outside a text are none)."""
+
+def _windows_around(docs: DataFrame, live: DataFrame, id_column: str, text: str) -> DataFrame:
+    """The ``live`` windows of each text, those asked for around them, and what they add to their classes.
+
+    One that is both counts twice.  Every row of a document gives all windows of the document (``rows``: how many do).
+    """
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    found = rows.join(asked, rows["doc"].eqNullSafe(asked["doc"]) & (rows["th"] == asked["th"])).select(rows["doc"], rows["th"], "asked", "text")
+    live = live.hint("shuffle_hash")
+    found = rows.join(live, rows["doc"].eqNullSafe(live["doc"]) & (rows["th"] == live["th"])).select("rid", "rows", "who", "live", "text")
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        out = {k: [] for k in ("row", "word", "s", "e", "print")}
-        for a, b in A.chunks(batch.column(3)):
-            x = Lines(batch.column(3).slice(a, b - a))
-            lists = batch.column(2).slice(a, b - a)
-            owner, at = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
-            begin, end = np.searchsorted(x.owner, owner), np.searchsorted(x.owner, owner, side="right")
-            inside = (at >= 0) & (begin + at + WINDOW <= end)
-            out["row"].append(owner[inside] + a)
-            for k, v in _windows(x, (begin + at)[inside]).items():
+        out = {k: [] for k in ("class", "place", "span", "n", "who", "rows")}
+        rid, alike, who = (batch.column(k).to_numpy() for k in range(3))
+        for a, b in A.chunks(batch.column(4)):
+            x = Lines(batch.column(4).slice(a, b - a))
+            lists = batch.column(3).slice(a, b - a)
+            seeds = lists.flatten()
+            owner = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+            word, n, tells = (seeds.field(k).to_numpy() for k in range(3))
+            begin, end = np.searchsorted(x.owner, np.arange(b - a)), np.searchsorted(x.owner, np.arange(b - a), side="right")
+            held, one = np.unique(begin[owner] + word, return_index=True)
+            owner = owner[one]
+            near, at = _asked(owner, held - begin[owner], n[one], tells[one])
+            inside = (at >= 0) & (begin[near] + at + WINDOW <= end[near])
+            asked = np.unique((begin[near] + at)[inside])
+            every = np.union1d(asked, held)
+            new, old = np.isin(every, asked), np.isin(every, held)
+            w, row = _windows(x, every), x.owner[every] + a
+            for k, v in (("class", w["print"]), ("place", rid[row] << 32 | w["word"]), ("span", w["s"] << 32 | w["e"]), ("n", new * alike[row] + old),
+                         ("who", (new * alike[row] + old) % 2 * who[row]), ("rows", alike[row])):
                 out[k].append(v)
-        flat = {k: np.concatenate(v) for k, v in out.items()}
-        row = pa.array(flat["row"], pa.int64())
-        return {"doc": batch.column(0).take(row), "th": batch.column(1).take(row), "word": pa.array(flat["word"], pa.int32()), "s": pa.array(flat["s"], pa.int32()),
-                "e": pa.array(flat["e"], pa.int32()), "class": pa.array(flat["print"], pa.int64())}
+        return {k: pa.array(np.concatenate(v), pa.int64()) for k, v in out.items()}
 
-    return C.map_batches(found, cut, "doc long, th long, word int, s int, e int, class long")
+    return C.map_batches(found, cut, "class long, place long, span long, n long, who long, rows long")
 
 
 def remove_passages(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import pyarrow.parquet as pq
 
 from sitelens.llm import common as C
-from sitelens.llm import near_dedup
+from sitelens.llm import near_dedup, passages
 from sitelens.session import ensure_checkpoint_dir
 
 
@@ -24,6 +24,16 @@ def test_near_dedup_leaves_its_classes_alone(spark):
     assert got.count() == 30 and got.where("kept").count() == got.select("class_id").distinct().count()  # it can be read without the others
 
 
+def test_passages_leave_no_units_windows_or_sets(spark):
+    part = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, f"{k} {part} {'x' * k}") for k in range(1, 6)] + [(None, part), (2, f"2 {part} xx")], "doc_id long, text string")
+    before = tables(spark)
+    got = passages.repeated_passages(docs).collect()
+    left = {x.rsplit("-", 1)[0] for x in tables(spark) - before}
+    assert not left & {f"llm-{x}" for x in ("passages-units", "passages-sets", "passages-seeds", "passages-windows", "links-keys", "cc-labels")}
+    assert {r["doc_id"] for r in got if r["kind"] == "passage"} == {1, 2, 3, 4, 5, None}
+
+
 def test_a_failed_step_leaves_nothing_of_its_own(spark):
     before = tables(spark)
 
