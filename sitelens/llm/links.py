@@ -3,7 +3,8 @@
 Items that share a band key may be similar.  Within a key, items are compared
 with one leader first (the leader changes with each round), the exact measure
 decides, and components are formed.  Only keys that still hold several
-components are then searched for the remaining links, block against block:
+components are then searched for the remaining links.  Those of at most ``FEW``
+items give all pairs between components, larger ones go block against block:
 every item outside the key's largest component meets all items of other
 components, in the order of their estimated similarity, until the exact measure
 finds a link to each such component or no candidate is left.  So what a search
@@ -25,6 +26,8 @@ from sitelens.llm.dart_minhash import MOST_BANDS
 #: Items of one key that a task compares at once; larger groups are cut into blocks of about so many.
 BLOCK = 8192
 STAR_ROUNDS = 2
+#: Up to so many items of one key meet in a join; a search, one group a key, takes longer than their pairs.
+FEW = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -70,8 +73,12 @@ def similar_components(keys: DataFrame, sketches: DataFrame, sets: DataFrame, th
         met = divided.join(leaders, "key").where("comp != lead.comp").select(F.col("id").alias("a"), F.col("lead.id").alias("b"))
         edges, comps = _grow(edges, comps, verified(C.write_once(_pairs(met), "links-pairs"), sets, threshold))
     divided = _with_components(live, comps)
-    divided = divided.join(_divided(divided), "key", "left_semi")
-    return _grow(edges, comps, _search(divided, sketches, sets, threshold).distinct())[1]
+    divided = C.write_once(divided.join(_divided(divided), "key", "left_semi"), "links-divided")
+    few = divided.where(F.col("n") <= FEW)
+    met = (few.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")).join(few.select("key", F.col("id").alias("b"), F.col("comp").alias("cb")), "key")
+           .where("a < b and ca != cb"))
+    links = verified(C.write_once(_pairs(met), "links-pairs"), sets, threshold)
+    return _grow(edges, comps, links.unionByName(_search(divided.where(F.col("n") > FEW), sketches, sets, threshold)).distinct())[1]
 
 
 def _with_components(live: DataFrame, comps: DataFrame | None) -> DataFrame:

@@ -139,7 +139,9 @@ def shingles(words: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarr
             total[has] = total[has] * _BASE + words[begin[short][has] + k]
         hashes = np.concatenate((hashes, mix(total ^ sizes[short].astype(np.uint64))))
         owners = np.concatenate((owners, ids[short]))
-    order = np.lexsort((hashes, owners))
+    order = np.argsort(hashes)  # much faster than lexsort, as is a stable sort of 16 bits; equal pairs may swap places
+    small = np.uint16 if not len(owners) or owners.max() < 1 << 16 else np.int64
+    order = order[np.argsort(owners[order].astype(small), kind="stable")]
     hashes, owners = hashes[order], owners[order]
     if len(hashes):
         new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])))

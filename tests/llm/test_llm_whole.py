@@ -110,3 +110,27 @@ def test_article_goes_on_after_a_self_closed_svg_and_keeps_math_and_object():
         assert "before" in got and "after the icon" in got and "end" in got, tag
     got = words("<article><p>energy <math><mi>mass</mi></math> <object data=x>fallback</object> rest</p><svg><text>drawn</text></svg></article>")
     assert all(w in got for w in ("energy", "mass", "fallback", "rest")) and "drawn" not in got
+
+
+def test_links_of_small_keys_and_of_large_ones_give_the_same_components(spark, monkeypatch):
+    own = np.random.default_rng(23)
+    # chains: each set is similar to the next one only, and no set is similar to its key's leader
+    sets, keys = [], []
+    for c in range(6):
+        base = np.sort(own.choice(10**6, 200, replace=False))
+        for k in range(4):
+            sets.append((4 * c + k, base[12 * k:12 * k + 100].tolist()))
+            keys.append((4 * c + k, [(c % 3) * 64, ((100 + c) << 8) + 1]))
+    items = spark.createDataFrame(sets, "id long, items array<long>")
+    sketches = spark.createDataFrame([(i, k, bytes(4)) for i, k in keys], "id long, keys array<long>, sketch binary")
+    long = sketches.select("id", F.explode("keys").alias("key"))
+    grouped = {}
+    verified = links.verified
+    joined = []
+    for few in (0, 16):
+        monkeypatch.setattr(links, "FEW", few)
+        monkeypatch.setattr(links, "verified", lambda pairs, *a: joined.append((links.FEW, pairs.count())) or verified(pairs, *a))
+        grouped[few] = {r["id"]: r["comp"] for r in links.similar_components(long, sketches, items, 0.75).collect()}
+    want = {4 * c + k: 4 * c for c in range(6) for k in range(4)}
+    assert grouped[0] == grouped[16] == want
+    assert [n for few, n in joined if few == 0][-1] == 0 < [n for few, n in joined if few == 16][-1]  # pairs of small keys met in a join
